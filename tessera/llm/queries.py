@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, licenses, mixing, topk
+from . import blocks, langid, licenses, mixing, parsing, topk
 from .shared import documents
 
 
@@ -18,9 +18,17 @@ def op5_language_id(spark, sf_dir):
     return langid.identify(documents(spark, sf_dir))
 
 
+def op8_block_dedup(spark, sf_dir):
+    return blocks.remove_repeats(documents(spark, sf_dir))
+
+
+def op9_parse_dedup(spark, sf_dir):
+    return parsing.remove_repeats(documents(spark, sf_dir))
+
+
 def op10_exact_top_k(spark, sf_dir):
     return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op3_mix_sources, op4_license_scan, op5_language_id, op10_exact_top_k)}
-ORACLE_SQL = {"op3_mix_sources": mixing.ORACLE, "op10_exact_top_k": topk.ORACLE}
+QUERIES = {f.__name__: f for f in (op3_mix_sources, op4_license_scan, op5_language_id, op8_block_dedup, op9_parse_dedup, op10_exact_top_k)}
+ORACLE_SQL = {"op3_mix_sources": mixing.ORACLE, "op8_block_dedup": blocks.ORACLE, "op10_exact_top_k": topk.ORACLE}

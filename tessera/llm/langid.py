@@ -140,6 +140,16 @@ def train(docs: DataFrame, per_language: int = 500, held_out: tuple[int, int] =
     return Hierarchy(x, [r.lang for r in got])
 
 
+def predictions(model: Hierarchy, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Language and score of each text; `und` without a letter."""
+    lang, score = model.predict(trigram_features(data, offsets))
+    raw = data.tobytes()
+    for i in range(len(lang)):
+        if not _LETTER.search(raw[offsets[i] : offsets[i + 1]].decode("utf-8", "replace")):
+            lang[i], score[i] = "und", 0.0
+    return lang, score
+
+
 def identify(docs: DataFrame, per_language: int = 500, held_out: tuple[int, int] = (4, 2)) -> DataFrame:
     """doc_id, held_out, lang_pred, score for each row of docs (doc_id, text, lang).
 
@@ -154,11 +164,26 @@ def identify(docs: DataFrame, per_language: int = 500, held_out: tuple[int, int]
 
     def predict(batches):
         for rows, data, offsets in chunks(batches, rows=512):
-            lang, score = model.predict(trigram_features(data, offsets))
-            raw = data.tobytes()
-            for i in range(rows.num_rows):
-                if not _LETTER.search(raw[offsets[i] : offsets[i + 1]].decode("utf-8", "replace")):
-                    lang[i], score[i] = "und", 0.0
+            lang, score = predictions(model, data, offsets)
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("held_out"), pa.array(list(lang), pa.string()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     return doc_text(docs).withColumn("held_out", fold(held_out[0]) == held_out[1]).mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def keep_identified(docs: DataFrame, per_language: int = 500) -> DataFrame:
+    """The rows of docs whose text has a language; lang becomes the predicted one, other columns stay.
+
+    A document is rejected if it is `und`, that is null, empty or without a letter.
+    """
+    model = train(docs, per_language)
+    place = docs.columns.index("lang")
+    names = docs.columns
+
+    def run(batches):
+        for rows, data, offsets in chunks(batches, rows=512):
+            lang, _ = predictions(model, data, offsets)
+            out = rows.set_column(place, "lang", pa.array(list(lang), pa.string()))
+            yield pa.RecordBatch.from_arrays(out.filter(pa.array(lang != "und")).columns, names=names)
+
+    schema = docs.withColumn("lang", F.col("lang").cast("string")).schema
+    return docs.withColumn("lang", F.col("lang").cast("string")).mapInArrow(run, schema)

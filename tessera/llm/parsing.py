@@ -132,42 +132,70 @@ def single_starts(rows: DataFrame, width: int) -> DataFrame:
     return exchange(rows, entries, judge, (8, 0))
 
 
-def remove_repeats(docs: DataFrame, width: int = 400, keep_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept_text) for each row of docs (doc_id, text).
+def judged_rows(rows: DataFrame, width: int) -> DataFrame:
+    """rows (rid, h, text, ...) with marks and singles, what both passes found."""
+    own = rows.select("rid", "h", "text")
+    marked = written(phrases(own, width), "phrases")
+    singles = single_starts(own.join(marked.hint("shuffle_hash"), ["rid", "h"]), width).withColumnRenamed("marks", "singles")
+    return rows.join(marked.hint("shuffle_hash"), ["rid", "h"], "left").join(singles.hint("shuffle_hash"), ["rid", "h"], "left")
+
+
+def removed(n: int, marks: list[bytes] | None, singles: list[bytes] | None, width: int) -> np.ndarray | None:
+    """Which of n bytes go; None if none does."""
+    values = np.concatenate([np.zeros(0, np.uint64), *(unpacked(m) for m in marks or ()), *(unpacked(m) for m in singles or ())])
+    s = np.unique(_starts(values[(values & U64(1)) == 0]))
+    s = s[(s >= 0) & (s <= n - width)]
+    return covered(n, s, s + width) if len(s) else None
+
+
+def remove_repeats(docs: DataFrame, width: int = 400) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs (doc_id, text).
 
     A byte goes if a string of `width` bytes of its document covers it that
     starts at another place too, in any document (also its own; overlaps
     count; all occurrences go).  Null, empty and short texts lose nothing.
     Repeated rows are documents of their own, so both lose what they share;
-    a null doc_id is judged like any other.  kept_text leaves characters that
-    a removed run would cut whole.  An empty table gives no rows.
+    a null doc_id is judged like any other.  An empty table gives no rows.
     """
-    rows = text_rows(docs)
-    marked = written(phrases(rows, width), "phrases")
-    edges = marked.filter(F.exists("marks", lambda m: F.length(m) > 0))
-    singles = single_starts(rows.join(edges.hint("shuffle_hash"), ["rid", "h"]), width).withColumnRenamed("marks", "singles")
-    judged = rows.join(marked.hint("shuffle_hash"), ["rid", "h"], "left").join(singles.hint("shuffle_hash"), ["rid", "h"], "left")
 
     def finish(batches):
         for batch in batches:
-            out, kept = [], []
+            out = []
             for raw, marks, single in zip(texts_of(batch), batch.column("marks").to_pylist(), batch.column("singles").to_pylist(), strict=True):
-                n = len(raw)
-                values = np.concatenate([np.zeros(0, np.uint64), *(unpacked(m) for m in marks or ()), *(unpacked(m) for m in single or ())])
-                s = np.unique(_starts(values[(values & U64(1)) == 0]))
-                s = s[(s >= 0) & (s <= n - width)]
-                spans, text = 0, raw
-                if len(s):
-                    gone = covered(n, s, s + width)
+                gone, spans, text = removed(len(raw), marks, single, width), 0, raw
+                if gone is not None:
                     text = np.frombuffer(raw, dtype=np.uint8)[~gone].tobytes()
                     spans = int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1))
-                out.append((n, n - len(text), spans, hashlib.sha256(text).hexdigest()))
-                if keep_text:
-                    kept.append((whole_characters(raw, gone) if len(s) else raw).decode("utf-8", "replace"))
+                out.append((len(raw), len(raw) - len(text), spans, hashlib.sha256(text).hexdigest()))
             cols = list(zip(*out, strict=True)) if out else [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string()), *([pa.array(kept, pa.string())] if keep_text else [])], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept_text"] if keep_text else [])])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    return judged_rows(text_rows(docs), width).select("doc_id", "text", "marks", "singles").mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
 
-    return judged.select("doc_id", "text", "marks", "singles").mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * keep_text)
+def cut_repeats(docs: DataFrame, width: int = 400) -> DataFrame:
+    """The rows of docs with texts (and n_chars) without repeated strings; a text that this empties goes.
+
+    Characters that a removed run would cut stay whole.  Other columns stay.
+    """
+    names = docs.columns
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(np.iinfo(np.int64).max).cast("long")).alias("rid"), F.xxhash64(F.col("text").cast("string")).alias("h"), *(F.col(c) for c in names))
+
+    def finish(batches):
+        for batch in batches:
+            texts, kept = [], []
+            for raw, marks, single in zip(texts_of(batch), batch.column("marks").to_pylist(), batch.column("singles").to_pylist(), strict=True):
+                gone = removed(len(raw), marks, single, width)
+                text = raw if gone is None else whole_characters(raw, gone)
+                texts.append(text.decode("utf-8", "replace"))
+                kept.append(gone is None or bool(text))
+            cols = {c: batch.column(c) for c in names} | {"text": pa.array(texts, pa.string())}
+            if "n_chars" in cols:
+                cols["n_chars"] = pa.array([len(t) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols)).filter(pa.array(kept, pa.bool_()))
+
+    schema = docs.select(*(F.col(c).cast("long") if c == "n_chars" else F.col(c) for c in names)).schema
+    return judged_rows(keyed, width).select(*names, "marks", "singles").mapInArrow(finish, schema)
 
 
 def whole_characters(raw: bytes, gone: np.ndarray) -> bytes:

@@ -2,10 +2,26 @@
 
 from __future__ import annotations
 
-from . import blocks, langid, licenses, mixing, parsing, topk
+from . import blocks, decontaminate, jaccard, langid, licenses, mixing, parsing, quality, topk, toxicity
 from .shared import documents
 
 
+def labels(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def benchmark(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+
+
+def op1_ngram_jaccard(spark, sf_dir):
+    return jaccard.components(documents(spark, sf_dir))
+
+
+def op2_toxicity(spark, sf_dir):
+    return toxicity.score_documents(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op3_mix_sources(spark, sf_dir):
     return mixing.mix_sources(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -18,6 +34,14 @@ def op5_language_id(spark, sf_dir):
     return langid.identify(documents(spark, sf_dir))
 
 
+def op6_benchmark_decontamination(spark, sf_dir):
+    return decontaminate.contaminated(documents(spark, sf_dir), benchmark(spark, sf_dir))
+
+
+def op7_quality(spark, sf_dir):
+    return quality.classify(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op8_block_dedup(spark, sf_dir):
     return blocks.remove_repeats(documents(spark, sf_dir))
 
@@ -30,5 +54,5 @@ def op10_exact_top_k(spark, sf_dir):
     return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op3_mix_sources, op4_license_scan, op5_language_id, op8_block_dedup, op9_parse_dedup, op10_exact_top_k)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_toxicity, op3_mix_sources, op4_license_scan, op5_language_id, op6_benchmark_decontamination, op7_quality, op8_block_dedup, op9_parse_dedup, op10_exact_top_k)}
 ORACLE_SQL = {"op3_mix_sources": mixing.ORACLE, "op8_block_dedup": blocks.ORACLE, "op10_exact_top_k": topk.ORACLE}

@@ -20,8 +20,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import partitions
-from .textscan import chunks, ids
+from .shared import partitions, small_batches
+from .textscan import chunks, give_back, ids
 
 BLOB, TABLE, REPLY = 0, 1, 2
 ROW = "bucket int, kind int, chunk long, payload binary"
@@ -42,6 +42,7 @@ class Entries:
 
 def text_rows(docs: DataFrame) -> DataFrame:
     """rid (doc_id, the largest integer for null), doc_id, text, h: rows with equal rid and h are alike."""
+    small_batches(docs.sparkSession)
     text = F.col("text").cast("string")
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(np.iinfo(np.int64).max).cast("long")).alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
 
@@ -177,6 +178,8 @@ def exchange(rows: DataFrame, entries: Callable, judge: Callable, widths: tuple[
                 yield as_rows(out)
                 out = []
         yield as_rows(out)
+        del columns, number, hit, values, at, order
+        give_back()
 
     def spread(batches):
         tables, replies = {}, {}

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .exchange import BLOB, ROW, TABLE, as_rows, pack, runs, text_rows, unpack
 from .shared import partitions, written
-from .textscan import LOWER, U64, Rolling, chunks, ids, mix, row_of, whitespace_words, windows, word_hashes, words
+from .textscan import LOWER, U64, Rolling, chunks, give_back, ids, mix, row_of, whitespace_words, windows, word_hashes, words
 
 IS_WORD = whitespace_words()
 WORDS, SMALL, HOT_TABLE, SEGMENT, MEMBERS = 5, 16, 100_000, 2_000_000, 512
@@ -187,6 +187,8 @@ def meet_tokens(rows: DataFrame, hot: np.ndarray) -> DataFrame:
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
         zeros = np.zeros(len(pairs))
         yield rows_of(PAIR, np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1]), zeros, zeros)
+        del keys, fp, size, pos, order, group, count, pairs, found
+        give_back()
 
     return rows.select("rid", "text").mapInArrow(send, ROW).repartitionById(n, F.col("bucket")).mapInArrow(meet, MET)
 

@@ -34,6 +34,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts can be long: 10000 of them (Spark's default) would be too much for one Arrow batch."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(setting, "10000") == "10000":
+        spark.conf.set(setting, "1000")
+
+
 def doc_text(df: DataFrame, *more: str) -> DataFrame:
     """doc_id as long and text as string, with no other column but `more`: clashing names can't arise."""
+    small_batches(df.sparkSession)
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)

@@ -7,13 +7,14 @@ a finaliser; equal strings always agree, so hashing never loses a match.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -59,6 +60,15 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
             end = min(n, at + rows, max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1))
             yield batch.slice(at, end - at), data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
             at = end
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system, so that idle Python workers stay small."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
 
 
 def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -1,14 +1,14 @@
 """Toxicity by class-conditional Kneser-Ney models with shared backoff counts.
 
-Each class has an interpolated bigram model: discounted bigram counts back off
-to discounted continuation counts, and these to word counts of the whole
-corpus, which both classes share.  Events seen fewer than `cutoff` times in a
-class are discounted in full, so rare expressions are smoothed by the shared
-counts alone.  The length-normalised difference of the log-likelihoods, of the
-document and of its most toxic windows, is turned into a probability by a
-logistic curve that is fitted on rows the models have not seen.
-
-Corpus counts cover all documents; class models use a bounded number of
+Each class has an interpolated Kneser-Ney model of the bytes of lower-cased
+words, given up to five bytes before them in the word: discounted counts back
+off to continuation counts of shorter contexts, and at last to byte pairs of
+the whole corpus, which both classes share.  So rare expressions are judged by
+their parts; counts under CUTOFF are discounted in full.  The length-normalised difference of the log-likelihoods of the
+document, and those of its most toxic words, are turned into a probability by
+a logistic curve that is fitted on rows the models have not seen.
+
+The shared counts cover all documents; class models use a bounded number of
 labelled rows of each class (`per_class`).
 """
 
@@ -16,120 +16,164 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .langid import fold
-from .shared import doc_text, partitions
+from .shared import doc_text
 from .textscan import LOWER, U64, alnum_words, byte_rolling, chunks, words
 
-SLOT_BITS, PIECES = 20, 64
-DISCOUNT, CUTOFF, WINDOW = 0.75, 4, 4
+ORDER, DISCOUNT, CUTOFF, STRONG = 6, 0.75, 4, 2.0
 _IS_WORD = alnum_words()
+BOUNDARY = 0x20
+FEATURES = 5
 
 
-def word_sequence(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the lower-cased words, and the first word of each text."""
-    low = LOWER[data]
-    starts, ends, first = words(low, offsets, _IS_WORD)
-    return (byte_rolling(low).of(starts, ends) if len(starts) else np.zeros(0, np.uint64)), first
-
-
-def slots(h: np.ndarray) -> np.ndarray:
-    return (h >> U64(64 - SLOT_BITS)).astype(np.int64)
-
-
-def pair_hash(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    return (left * U64(0x9E3779B97F4A7C15)) ^ (right * U64(0xC2B2AE3D27D4EB4F)) ^ (right >> U64(29))
-
-
-def corpus_counts(docs: DataFrame) -> np.ndarray:
-    """Words of all documents by hash slot; the table has a fixed size."""
-    width = (1 << SLOT_BITS) // PIECES
+def corpus_pairs(docs: DataFrame) -> np.ndarray:
+    """How often each byte follows each other one in the lower-cased texts of all documents (256 x 256)."""
 
     def count(batches):
-        total = np.zeros(1 << SLOT_BITS, dtype=np.int64)
-        for _, data, offsets in chunks(batches):
-            total += np.bincount(slots(word_sequence(data, offsets)[0]), minlength=1 << SLOT_BITS)
-        yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array([total[i * width : (i + 1) * width].astype("<u4").tobytes() for i in range(PIECES)], pa.binary())], names=["piece", "n"])
-
-    def add(batches):
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for piece, raw in zip(batch.column("piece").to_pylist(), batch.column("n").to_pylist(), strict=True):
-                sums[piece] = sums.get(piece, 0) + np.frombuffer(raw, dtype="<u4").astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.astype("<i8").tobytes() for v in sums.values()], pa.binary())], names=["piece", "n"])
-
-    n = min(PIECES, partitions(docs.sparkSession))
-    rows = doc_text(docs).mapInArrow(count, "piece int, n binary").repartitionById(n, F.pmod(F.col("piece"), F.lit(n))).mapInArrow(add, "piece int, n binary").collect()  # PIECES rows of fixed size
-    out = np.zeros(1 << SLOT_BITS, dtype=np.int64)
-    for r in rows:
-        out[r.piece * width : (r.piece + 1) * width] = np.frombuffer(r.n, dtype="<i8")
+        total = np.zeros(1 << 16, dtype=np.int64)
+        for _, data, _offsets in chunks(batches):
+            low = LOWER[data]
+            low = np.where(_IS_WORD[low], low, BOUNDARY).astype(np.int32)
+            total += np.bincount(low[:-1] * 256 + low[1:], minlength=1 << 16)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], names=["pair", "n"])
+
+    got = doc_text(docs).mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # at most 65536 rows
+    out = np.zeros(1 << 16, dtype=np.float64)
+    out[got.column("pair").to_numpy()] = got.column("n").to_numpy()
+    return out.reshape(256, 256)
+
+
+def laid_out(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words' bytes, a boundary before each; each byte's place in its word; where each word begins."""
+    sizes = lengths + 1
+    begin = np.cumsum(sizes) - sizes
+    place = np.arange(int(sizes.sum())) - np.repeat(begin, sizes)
+    flat = np.full(len(place), BOUNDARY, dtype=np.uint8)
+    inner = place > 0
+    flat[inner] = data[(np.repeat(starts - 1, sizes) + place)[inner]]
+    return flat, place, begin
+
+
+def gram(flat: np.ndarray, k: int) -> np.ndarray:
+    """The k bytes that end at each place, as one integer (the first k - 1 are of no use)."""
+    key = flat.astype(np.uint64)
+    out = key.copy()
+    for i in range(1, k):
+        out[i:] |= key[:-i] << U64(8 * i)
     return out
 
 
-class Lookup:
-    """Values by 64-bit hash; 0 where there is none."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        order = np.argsort(keys)
-        self.keys, self.values = keys[order], values[order].astype(np.float64)
-
-    def __call__(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.zeros(len(h))
-        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        return np.where(self.keys[at] == h, self.values[at], 0.0)
+def summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    held, of = np.unique(keys, return_inverse=True)
+    return held, np.bincount(of, weights=weights, minlength=len(held))
 
 
-class KneserNey:
-    """One class's model from its bigrams (left, right, count)."""
+def class_counts(flat: np.ndarray, place: np.ndarray, weight: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """(grams, counts) by order: raw for the highest order and for grams at a word's start, else continuation counts."""
+    raw = {}
+    for k in range(2, ORDER + 1):
+        inside = place >= k - 1
+        raw[k] = summed(gram(flat, k)[inside], weight[inside])
+    out = {ORDER: raw[ORDER]}
+    for k in range(2, ORDER):
+        longer = raw[k + 1][0] & U64((1 << 8 * k) - 1)
+        keys, n = raw[k]
+        first = (keys >> U64(8 * (k - 1))) == BOUNDARY
+        out[k] = summed(np.concatenate([longer, keys[first]]), np.concatenate([np.ones(len(longer)), n[first]]))
+    return out
 
-    def __init__(self, left: np.ndarray, right: np.ndarray, count: np.ndarray):
-        self.types = max(1, len(left))
-        held, of, followers = np.unique(right, return_inverse=True, return_counts=True)
-        contexts = followers
-        seen = contexts >= CUTOFF
-        self.continuation = Lookup(held[seen], contexts[seen] - DISCOUNT)
-        self.freed = 1.0 - self.continuation.values.sum() / self.types
-        context, of = np.unique(left, return_inverse=True)
-        totals = np.bincount(of, weights=count, minlength=len(context))
-        often = count >= CUTOFF
-        self.bigram = Lookup(pair_hash(left[often], right[often]), (count[often] - DISCOUNT) / totals[of[often]])
-        used = np.bincount(of[often], weights=(count[often] - DISCOUNT), minlength=len(context))
-        known = used > 0
-        self.kept = Lookup(context[known], used[known] / totals[known])
 
-    def log(self, left: np.ndarray, right: np.ndarray, shared: np.ndarray) -> np.ndarray:
-        lower = self.continuation(right) / self.types + self.freed * shared
-        return np.log(self.bigram(pair_hash(left, right)) + (1.0 - self.kept(left)) * lower)
+def aligned(keys: np.ndarray, held: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """values by key; 0 where held lacks the key."""
+    if not len(held):
+        return np.zeros(len(keys))
+    at = np.minimum(np.searchsorted(held, keys), len(held) - 1)
+    return np.where(held[at] == keys, values[at], 0.0)
 
 
 class Toxicity:
-    def __init__(self, toxic: KneserNey, ordinary: KneserNey, counts: np.ndarray):
-        self.toxic, self.ordinary = toxic, ordinary
-        self.shared = ((counts + 0.5) / (counts.sum() + 0.5 * len(counts))).astype(np.float64)
-        self.weights = np.zeros(4)
-
-    def features(self, h: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Of each text: its mean difference, that of its best window, and its summed strong evidence."""
-        out = np.zeros((len(first) - 1, 3))
-        if not len(h):
+    """For each order: grams, log-ratios of the classes' probabilities, and log-ratios of their backoff weights."""
+
+    def __init__(self, counts: list[dict[int, tuple[np.ndarray, np.ndarray]]], pairs: np.ndarray):
+        shared = (pairs + 0.5) / (pairs.sum(axis=1, keepdims=True) + 128.0)
+        self.keys, self.ratio, self.backoff = {}, {}, {}
+        probability = None
+        for k in range(2, ORDER + 1):
+            keys = np.unique(np.concatenate([c[k][0] for c in counts]))
+            if k == 2:
+                lower = [shared[(keys >> U64(8)).astype(np.int64), (keys & U64(255)).astype(np.int64)]] * 2
+            else:
+                at = np.searchsorted(self.keys[k - 1], keys & U64((1 << 8 * (k - 1)) - 1))
+                lower = [p[at] for p in probability]
+            probability, freed = [], []
+            for c, low in zip(counts, lower, strict=True):
+                held, n = c[k]
+                kept = np.where(n >= CUTOFF, n - DISCOUNT, 0.0)
+                context, total = summed(held >> U64(8), n)
+                weight = 1.0 - summed(held >> U64(8), kept)[1] / total
+                own = aligned(keys >> U64(8), context, total)
+                left = np.where(own > 0, aligned(keys >> U64(8), context, weight), 1.0)
+                probability.append(aligned(keys, held, kept) / np.maximum(own, 1e-9) + left * low)
+                freed.append((context, weight))
+            self.keys[k], self.ratio[k] = keys, np.log(probability[0] / probability[1]).astype(np.float32)
+            # Backoff weights belong to the context: a gram of order k - 1, or one byte.
+            of = self.keys[k - 1] if k > 2 else np.arange(256, dtype=np.uint64)
+            logs = []
+            for context, weight in freed:
+                w = aligned(of, context, weight)
+                logs.append(np.log(np.where(w > 0, w, 1.0)))
+            self.backoff[k - 1] = (logs[0] - logs[1]).astype(np.float32)
+        self.weights = np.zeros(FEATURES + 1)
+
+    def word_ratios(self, flat: np.ndarray, place: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """Sum over each word's bytes of log P(toxic) - log P(ordinary)."""
+        n = len(flat)
+        value = np.zeros(n, dtype=np.float32)
+        value[1:] = self.backoff[1][flat[:-1]]
+        at = np.arange(n)
+        back = None  # log backoff weights of the order before, by place
+        for k in range(2, ORDER + 1):
+            if back is not None:
+                inside = place >= k - 1
+                value[1:] += np.where(inside[1:], back[:-1], 0)
+            at = at[place[at] >= k - 1]
+            key = gram(flat, k)[at]
+            keys = self.keys[k]
+            found = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            same = keys[found] == key
+            at, found = at[same], found[same]
+            value[at] = self.ratio[k][found]
+            if k < ORDER:
+                back = np.zeros(n, dtype=np.float32)
+                back[at] = self.backoff[k][found]
+        value[place == 0] = 0
+        return np.add.reduceat(value, begin) if len(begin) else np.zeros(0, np.float32)
+
+    def features(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Of each text: the mean difference a byte, the best word's, the second best's, the summed strong ones', and its length."""
+        out = np.zeros((len(offsets) - 1, FEATURES))
+        low = LOWER[data]
+        starts, ends, first = words(low, offsets, _IS_WORD)
+        if not len(starts):
             return out
-        left = np.concatenate([h[:1], h[:-1]])
-        starts = first[:-1][first[:-1] < first[1:]]
-        left[starts] = U64(0)
-        shared = self.shared[slots(h)]
-        diff = self.toxic.log(left, h, shared) - self.ordinary.log(left, h, shared)
-        sums = np.concatenate([[0.0], np.cumsum(diff)])
+        _, one, of = np.unique(byte_rolling(low).of(starts, ends), return_index=True, return_inverse=True)
+        ratio = self.word_ratios(*laid_out(low, starts[one], (ends - starts)[one]))[of].astype(np.float64)
         texts = np.flatnonzero(first[1:] > first[:-1])
-        a, b = first[texts], first[texts + 1]
-        out[texts, 0] = (sums[b] - sums[a]) / (b - a)
-        at = np.arange(len(h))
-        row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-        end = np.minimum(at + WINDOW, first[row + 1])
-        out[texts, 1] = np.maximum.reduceat((sums[end] - sums[at]) / WINDOW, a)
-        out[texts, 2] = np.log1p(np.add.reduceat(np.maximum(diff - 2.0, 0.0), a))
+        a = first[texts]
+        out[texts, 0] = np.add.reduceat(ratio, a) / np.add.reduceat(ends - starts, a)
+        best = np.maximum.reduceat(ratio, a)
+        out[texts, 1] = best
+        rest = ratio.copy()
+        row = np.repeat(np.arange(len(texts)), np.diff([*a, len(ratio)]))
+        rest[rest >= best[row]] = -1.0
+        out[texts, 2] = np.maximum.reduceat(rest, a)
+        out[texts, 3] = np.log1p(np.add.reduceat(np.maximum(ratio - STRONG, 0.0), a))
+        out[texts, 4] = np.log1p(np.diff(first)[texts])
         return out
 
     def score(self, features: np.ndarray) -> np.ndarray:
@@ -168,34 +212,40 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, per_class: int, mod
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int, modulus: int) -> Toxicity | None:
     """Class models of two thirds of the sample, and the curve of the rest; None without both classes."""
-    sample = labelled(docs, labels, "toxic", per_class, modulus).persist()
+    sample = labelled(docs, labels, "toxic", per_class, modulus).select("doc_id", "text", "label", "half").persist()
     try:
 
-        def bigrams(batches):
+        def spelled(batches):
             for rows, data, offsets in chunks(batches):
-                h, first = word_sequence(data, offsets)
-                left = np.concatenate([h[:1], h[:-1]])
-                left[first[:-1][first[:-1] < len(h)]] = U64(0)
+                low = LOWER[data]
+                starts, ends, first = words(low, offsets, _IS_WORD)
                 label = np.repeat(rows.column("label").to_numpy(), np.diff(first))
-                yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(left.view(np.int64)), pa.array(h.view(np.int64))], names=["label", "l", "r"])
-
-        grams = sample.filter("half").mapInArrow(bigrams, "label int, l long, r long").groupBy("label", "l", "r").agg(F.count(F.lit(1)).cast("int").alias("n")).toArrow()  # bounded by per_class
-        label, left, right, n = (grams.column(c).to_numpy() for c in ("label", "l", "r", "n"))
-        if not ((label == 1).any() and (label == 0).any()):
+                raw = low.tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array([raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], pa.binary())], names=["label", "word"])
+
+        got = sample.filter("half").mapInArrow(spelled, "label int, word binary").groupBy("label", "word").agg(F.count(F.lit(1)).alias("n")).toArrow()  # bounded by per_class
+        counts = []
+        for c in (1, 0):
+            mine = got.filter(pc.equal(got.column("label"), c))
+            texts = mine.column("word").to_pylist()
+            lengths = np.array([len(w) for w in texts], dtype=np.int64)
+            flat, place, _ = laid_out(np.frombuffer(b"".join(texts), dtype=np.uint8), np.cumsum(lengths) - lengths, lengths)
+            counts.append(class_counts(flat, place, np.repeat(mine.column("n").to_numpy().astype(np.float64), lengths + 1)))
+        if not all(len(c[2][0]) for c in counts):
             return None
-        model = Toxicity(*(KneserNey(left[label == c].view(np.uint64), right[label == c].view(np.uint64), n[label == c].astype(np.float64)) for c in (1, 0)), corpus_counts(docs))
+        model = Toxicity(counts, corpus_pairs(docs))
 
         def featured(batches):
             for rows, data, offsets in chunks(batches):
-                x = model.features(*word_sequence(data, offsets))
-                yield pa.RecordBatch.from_arrays([rows.column("label"), *(pa.array(x[:, i]) for i in range(3))], names=["label", "a", "b", "c"])
+                x = model.features(data, offsets)
+                yield pa.RecordBatch.from_arrays([rows.column("label"), *(pa.array(x[:, i]) for i in range(FEATURES))], names=["label", *"abcde"])
 
-        got = sample.filter("not half").mapInArrow(featured, "label int, a double, b double, c double").toArrow()
-        y, x = got.column("label").to_numpy(), np.column_stack([got.column(c).to_numpy() for c in "abc"]) if got.num_rows else np.zeros((0, 3))
+        got = sample.filter("not half").mapInArrow(featured, "label int, a double, b double, c double, d double, e double").toArrow()
+        y = got.column("label").to_numpy()
         if (y == 1).any() and (y == 0).any():
-            model.weights = logistic(x, y.astype(np.float64))
+            model.weights = logistic(np.column_stack([got.column(c).to_numpy() for c in "abcde"]), y.astype(np.float64))
         else:
-            model.weights = np.array([1.0, 0.0, 0.0, 0.0])
+            model.weights = np.eye(1, FEATURES + 1)[0]
         return model
     finally:
         sample.unpersist()
@@ -212,12 +262,12 @@ def score_documents(docs: DataFrame, labels: DataFrame, per_class: int = 3000, m
     counts as fold 0.  Repeated rows get equal scores.
     """
     model = train(docs, labels, per_class, modulus)
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by per_class and the fixed count table
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by per_class
 
     def run(batches):
         held = sent.value
         for rows, data, offsets in chunks(batches):
-            score = held.score(held.features(*word_sequence(data, offsets))) if held else np.zeros(rows.num_rows)
+            score = held.score(held.features(data, offsets)) if held else np.zeros(rows.num_rows)
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("held_out"), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     return doc_text(docs).withColumn("held_out", fold(modulus) == 0).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")

@@ -7,7 +7,8 @@ a token among the first |x| - ceil(3|x|/4) + 1 of either, so classes meet by
 these tokens, in packed exchanges; length and position filters thin the pairs.
 Candidates are verified against a trie of their ordered sets: partial overlaps
 are shared along common paths, and a subtree is left as soon as the remaining
-lengths cannot reach the overlap that is needed.
+lengths cannot reach the overlap that is needed.  Before sets travel, bitmaps of
+four to eight bits a token bound each pair's overlap from above.
 
 Groups of up to 16 classes give all their pairs.  Larger groups first give
 pairs with one hub and with neighbours by size; pairs of such a group are
@@ -32,8 +33,9 @@ from .textscan import LOWER, U64, Rolling, chunks, give_back, ids, mix, row_of,
 IS_WORD = whitespace_words()
 WORDS, SMALL, HOT_TABLE, SEGMENT, MEMBERS = 5, 16, 100_000, 2_000_000, 512
 WIDTHS = (5, 8, 4, 4)
-MET = "kind int, a long, b long, n int, m int"
-DOC, PAIR, GROUP = 0, 1, 2
+MET = "kind int, a long, b long, n int, m int, bits binary"
+DOC, PAIR, GROUP, BITS = 0, 1, 2, 3
+MAPS = 3  # a kind of packed rows: bitmaps of classes
 NULL_ID = np.iinfo(np.int64).max
 
 
@@ -109,6 +111,38 @@ def frequent_tokens(rows: DataFrame) -> np.ndarray:
     return np.sort(got.column("token").to_numpy().view(np.uint64))
 
 
+def map_bits(size):
+    """Bits of a set's bitmap: a power of two, at least four a token."""
+    return 1 << np.maximum(6, np.ceil(np.log2(np.maximum(size, 1) * 4)).astype(np.int64))
+
+
+def bitmaps(tokens: np.ndarray, bounds: np.ndarray, texts: np.ndarray) -> list[bytes]:
+    """The bitmap of each of these texts' sets; leading bits of the tokens' hashes are the places."""
+    bits = map_bits(np.diff(bounds)[texts])
+    sizes = np.diff(bounds)[texts]
+    ends = np.cumsum(bits)
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    at = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(bounds[texts], sizes)
+    shift = U64(64) - np.log2(bits).astype(np.uint64)
+    held = np.zeros(int(ends[-1]) if len(ends) else 0, dtype=np.uint8)
+    held[(ends - bits)[owner] + (mix(tokens[at]) >> shift[owner]).astype(np.int64)] = 1
+    raw = np.packbits(held).tobytes()
+    return [raw[(e - b) // 8 : e // 8] for b, e in zip(bits.tolist(), ends.tolist(), strict=True)]
+
+
+def overlap_bound(a: bytes, size_a: int, b: bytes, size_b: int) -> int:
+    """An upper bound of the overlap: bits that only one set has are tokens that only it has."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if len(x) != len(y):
+        x, y = np.unpackbits(x), np.unpackbits(y)
+        while len(x) > len(y):
+            x = x.reshape(-1, 2).max(axis=1)
+        while len(y) > len(x):
+            y = y.reshape(-1, 2).max(axis=1)
+        return int(min(size_a - np.count_nonzero(x & ~y & 1), size_b - np.count_nonzero(y & ~x & 1)))
+    return int(min(size_a - np.bitwise_count(x & ~y).sum(), size_b - np.bitwise_count(y & ~x).sum()))
+
+
 def candidate_mask(size_a, pos_a, size_b, pos_b):
     """Length, prefix and position filters of pairs that share the token at these positions."""
     larger, smaller = np.maximum(size_a, size_b), np.minimum(size_a, size_b)
@@ -137,18 +171,41 @@ def meet_tokens(rows: DataFrame, hot: np.ndarray) -> DataFrame:
             pos = np.arange(len(owner)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
             keys = tokens[bounds[owner] + pos]
             out = [(chunk % n, TABLE, chunk, table)]
+            maps: dict[int, list[bytes]] = {}
+            for f, size, raw in zip(fp[one].tolist(), sizes[one].tolist(), bitmaps(tokens, bounds, one), strict=True):
+                maps.setdefault(f % n, []).append(np.array([f, size], np.int64).tobytes() + raw)
+            out += [(b, MAPS, chunk, b"".join(raws)) for b, raws in maps.items()]
             out += [(b, BLOB, chunk, raw) for b, raw in pack(n, keys, owner, [fp[owner].view(np.uint64), sizes[owner].astype(np.uint64), pos.astype(np.uint64)], WIDTHS)]
             yield as_rows(out)
 
-    def rows_of(kind, a, b, size, pos):
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(size.astype(np.int32)), pa.array(pos.astype(np.int32))], names=["kind", "a", "b", "n", "m"])
+    def rows_of(kind, a, b, size, pos, bits=None):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(size.astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(bits or [None] * len(a), pa.binary())], names=["kind", "a", "b", "n", "m", "bits"])
+
+    def map_rows(raws, seen):
+        """Each class's bitmap once: all of a class's come to one partition."""
+        found, sizes, maps = [], [], []
+        for raw in raws:
+            at = 0
+            while at < len(raw):
+                f, size = np.frombuffer(raw, np.int64, 2, at).tolist()
+                end = at + 16 + int(map_bits(size)) // 8
+                if f not in seen:
+                    seen.add(f)
+                    found.append(f)
+                    sizes.append(size)
+                    maps.append(raw[at + 16 : end])
+                at = end
+        zeros = np.zeros(len(found), np.int64)
+        return rows_of(BITS, np.array(found, np.int64), zeros, np.array(sizes, np.int64), zeros, maps)
 
     def meet(batches):
-        blobs = []
+        blobs, seen = [], set()
         for batch in batches:
             for kind, raw in zip(batch.column("kind").to_pylist(), batch.column("payload").to_pylist(), strict=True):
                 if kind == BLOB:
                     blobs.append(unpack(raw, WIDTHS))
+                elif kind == MAPS:
+                    yield map_rows([raw], seen)
                 else:
                     t = np.frombuffer(raw, dtype=np.int64).reshape(-1, 3)
                     yield rows_of(DOC, np.ascontiguousarray(t[:, 0]), np.ascontiguousarray(t[:, 1]), t[:, 2], np.zeros(len(t)))
@@ -230,23 +287,40 @@ class PrefixTree:
         return out
 
 
-def verify(pairs: DataFrame, owners: DataFrame, rows: DataFrame, hot: np.ndarray) -> DataFrame:
+def thinned(pairs: DataFrame, maps: DataFrame) -> DataFrame:
+    """a, b of the pairs whose bitmaps allow the overlap needed; maps: fp, n, bits."""
+    x, y = (maps.select(F.col("fp").alias("fp" + s), F.col("n").alias("n" + s), F.col("bits").alias("bits" + s)) for s in "xy")
+    both = pairs.join(x, F.col("a") == F.col("fpx")).join(y, F.col("b") == F.col("fpy")).select("a", "b", "nx", "bitsx", "ny", "bitsy")
+
+    def run(batches):
+        for batch in batches:
+            good = [overlap_bound(bx, nx, by, ny) >= needed(nx, ny) for nx, bx, ny, by in zip(*(batch.column(c).to_pylist() for c in ("nx", "bitsx", "ny", "bitsy")), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def verify(candidates: DataFrame, maps: DataFrame, owners: DataFrame, rows: DataFrame, hot: np.ndarray) -> DataFrame:
     """a, b of the pairs of classes whose sets link; owners: fp, rid of one document of each class."""
     order_table = rows.sparkSession.sparkContext.broadcast(hot)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(owners, "fp").select("fp", F.col("rid").alias("of"))
+    pairs = written(thinned(candidates, maps), "pairs")
+    sizes = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("members")).withColumnRenamed("a", "hub")
+    salted = pairs.join(sizes, F.col("a") == F.col("hub")).select("a", F.pmod(F.xxhash64("b"), F.ceil(F.col("members") / MEMBERS)).cast("int").alias("salt"), "b")
+    hubs = salted.select("a", "salt", F.col("a").alias("fp"), F.lit(0).alias("member")).distinct()
+    members = hubs.unionByName(salted.select("a", "salt", F.col("b").alias("fp"), F.lit(1).alias("member")))
+    wanted = members.groupBy("fp").agg(F.collect_list(F.struct("a", "salt", "member")).alias("uses")).join(owners, "fp").select("fp", F.col("rid").alias("of"), "uses")
 
     def build(batches):
         for batch, data, offsets in chunks(batches):
             tokens, bounds = token_sets(data, offsets, order_table.value)
             fp = fingerprints(tokens, bounds)
             own = np.flatnonzero(fp == batch.column("fp").to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array(fp[own]), pa.array([tokens[bounds[i] : bounds[i + 1]].tobytes() for i in own], pa.binary())], names=["fp", "tokens"])
+            uses = batch.column("uses").to_pylist()
+            out = [(u["a"], u["salt"], int(fp[i]), u["member"], tokens[bounds[i] : bounds[i + 1]].tobytes()) for i in own for u in uses[i]]
+            cols = list(zip(*out, strict=True)) if out else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["a", "salt", "fp", "member", "tokens"])
 
-    sets = rows.join(wanted.hint("shuffle_hash"), F.col("rid") == F.col("of")).select("fp", "text").mapInArrow(build, "fp long, tokens binary").groupBy("fp").agg(F.first("tokens").alias("tokens"))
-    sizes = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("members")).withColumnRenamed("a", "hub")
-    salted = pairs.join(sizes, F.col("a") == F.col("hub")).select("a", F.pmod(F.xxhash64("b"), F.ceil(F.col("members") / MEMBERS)).cast("int").alias("salt"), "b")
-    hubs = salted.select("a", "salt", F.col("a").alias("fp"), F.lit(0).alias("member")).distinct()
-    members = hubs.unionByName(salted.select("a", "salt", F.col("b").alias("fp"), F.lit(1).alias("member")))
+    held = rows.join(wanted.hint("shuffle_hash"), F.col("rid") == F.col("of")).select("fp", "text", "uses").mapInArrow(build, "a long, salt int, fp long, member int, tokens binary")
 
     def check(batches):
         hub, key, waiting = None, None, []
@@ -272,7 +346,6 @@ def verify(pairs: DataFrame, owners: DataFrame, rows: DataFrame, hot: np.ndarray
             yield flush()
 
     n = partitions(rows.sparkSession)
-    held = members.join(sets, "fp").select("a", "salt", "fp", "member", "tokens")
     return held.repartition(n, "a", "salt").sortWithinPartitions("a", "salt", "member").mapInArrow(check, "a long, b long")
 
 
@@ -301,8 +374,9 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     met = written(meet_tokens(rows, hot), "met")
     members = met.filter(F.col("kind") == DOC).select(F.col("a").alias("rid"), F.col("b").alias("fp"), F.col("n").alias("size"))
     owners = members.groupBy("fp").agg(F.min("rid").alias("rid"))
+    maps = met.filter(F.col("kind") == BITS).select(F.col("a").alias("fp"), "n", "bits")
     first = met.filter(F.col("kind") == PAIR).select("a", "b").distinct()
-    links = written(verify(first, owners, rows, hot), "links")
+    links = written(verify(first, maps, owners, rows, hot), "links")
     roots = connected(links)
     groups = met.filter(F.col("kind") == GROUP).select(F.col("a").alias("token"), F.col("b").alias("fp"), "n", "m")
     labelled = groups.join(roots, F.col("fp") == F.col("node"), "left").select("token", "fp", "n", "m", F.coalesce("root", "fp").alias("root"))
@@ -314,7 +388,7 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         need = F.ceil(3 * (F.col("nx") + F.col("ny")) / 7)
         fits = (F.col("fpx") < F.col("fpy")) & (F.col("rootx") != F.col("rooty")) & (4 * F.least("nx", "ny") >= 3 * F.greatest("nx", "ny")) & (left >= need)
         more = x.join(y.withColumnRenamed("token", "same"), (F.col("token") == F.col("same")) & fits).select(F.col("fpx").alias("a"), F.col("fpy").alias("b")).distinct()
-        late = written(verify(written(more, "more"), owners, rows, hot), "late")
+        late = written(verify(more, maps, owners, rows, hot), "late")
         links = links.unionByName(late)
         if late.limit(1).count():
             roots = connected(links)

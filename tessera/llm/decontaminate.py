@@ -47,12 +47,12 @@ def grams(data: np.ndarray) -> np.ndarray:
     return x[:-4] | x[4:] << U64(32)
 
 
-def align(item: np.ndarray, text: np.ndarray, band: int, fixed: int | None = None) -> tuple[int, int]:
+def align(item: np.ndarray, text: np.ndarray, band: int, budget: int, fixed: int | None = None) -> tuple[int, int]:
     """Fewest edits of the whole item against a part of text, and the end of the shortest such part.
 
     Only the first `band` diagonals count, and the part may start on any of
     them.  With `fixed`, the part starts with text, and diagonals reach
-    `fixed` to either side of that start.
+    `fixed` to either side of that start.  Once all costs exceed `budget` it ends.
     """
     lead = fixed or 0
     band = 2 * lead + 1 if fixed is not None else band
@@ -65,6 +65,8 @@ def align(item: np.ndarray, text: np.ndarray, band: int, fixed: int | None = Non
         new = row + (padded[i : i + band] != c)
         np.minimum(new[:-1], row[1:] + 1, out=new[:-1])
         row = np.minimum.accumulate(new - at) + at
+        if i % 16 == 15 and row.min() > budget:
+            return budget + 1, 0
     row[max(0, m - n + 1) :] = n + m + 1
     end = int(row.argmin())
     return int(row[end]), n + end - lead
@@ -83,6 +85,7 @@ class Index:
     item: np.ndarray
     place: np.ndarray
     present: np.ndarray
+    exact: list[bytes]
 
     @classmethod
     def of(cls, rows: list[tuple[int, str]], rate: float) -> Index:
@@ -110,7 +113,7 @@ class Index:
         present = np.zeros(1 << FILTER_BITS, dtype=bool)
         present[cls.slot(key)] = True
         flat = lambda x: (np.concatenate(x) if x else np.zeros(0, np.int64))[order]
-        return cls(ids, items, np.array(budgets, np.int64), np.array(needed, np.int64), key[heads], np.append(heads, len(key)), flat(item), flat(place), present)
+        return cls(ids, items, np.array(budgets, np.int64), np.array(needed, np.int64), key[heads], np.append(heads, len(key)), flat(item), flat(place), present, [x.tobytes() for x in items])
 
     @staticmethod
     def slot(g: np.ndarray) -> np.ndarray:
@@ -138,15 +141,24 @@ class Index:
         # A band that starts one before a counted one has its second half only.
         item, band = held >> 40, held & ((1 << 40) - 1)
         good = both >= self.needed[item]
-        out = []
-        for i, b in zip(item[good].tolist(), band[good].tolist(), strict=True):
+        item, band = item[good], band[good]
+        # Bands next to each other show one occurrence; up to three are aligned as one.
+        out: list[tuple[int, int, int]] = []
+        last = (-1, 0, 0)
+        for i, b in zip(item.tolist(), band.tolist(), strict=True):
+            if last[0] == i and b == last[2] + 1 and b - last[1] < 3:
+                last = (i, last[1], b)
+                out.pop()
+            else:
+                last = (i, b, b)
             width = int(self.budgets[i]) + 1
-            out.append((i, b * width - shift, (b + 2) * width - shift - 1))
+            out.append((i, last[1] * width - shift, (b + 2) * width - shift - 1))
         return out
 
     def matches(self, data: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(text, item, edits, start, end) in normalised places."""
         out = set()
+        raw = data.tobytes()
         for i, lo, hi in self.bands(data):
             item, budget = self.items[i], int(self.budgets[i])
             middle = min(max((lo + hi) // 2 + len(item) // 2, 0), len(data) - 1)
@@ -155,10 +167,14 @@ class Index:
                 a, b = max(lo - budget, int(first[t])), min(hi + len(item) + budget, int(first[t + 1]))
                 if hi + budget < a or b - a < len(item) - budget:
                     continue
-                edits, end = align(item, data[a:b], hi + budget - a + 1)
+                whole = raw[a:b].find(self.exact[i])
+                if whole >= 0:
+                    out.add((t, i, 0, a + whole, a + whole + len(item)))
+                    continue
+                edits, end = align(item, data[a:b], hi + budget - a + 1, budget)
                 if edits > budget:
                     continue
-                _, back = align(item[::-1], data[a : a + end][::-1], 0, fixed=budget)
+                _, back = align(item[::-1], data[a : a + end][::-1], 0, budget, fixed=budget)
                 out.add((t, i, edits, a + end - back, a + end))
         return sorted(out)
 

@@ -11,10 +11,10 @@ lengths cannot reach the overlap that is needed.  Before sets travel, bitmaps of
 four to eight bits a token bound each pair's overlap from above.
 
 Groups of up to 16 classes give all their pairs.  Larger groups first give
-pairs with one hub and with neighbours by size; pairs of such a group are
-looked at again only between classes that these links have not connected yet.
-So a group of copies costs about as many pairs as it has members, and no link
-between components is missed.
+pairs with two hubs and the next class.  Classes of such a group that these
+links have not connected then probe the tries of the other components in it,
+the smaller component the larger one.  So a group of copies costs about as many
+pairs as it has members, and no link between components is missed.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from .shared import partitions, written
 from .textscan import LOWER, U64, Rolling, chunks, give_back, ids, mix, row_of, whitespace_words, windows, word_hashes, words
 
 IS_WORD = whitespace_words()
-WORDS, SMALL, HOT_TABLE, SEGMENT, MEMBERS = 5, 16, 100_000, 2_000_000, 512
+WORDS, SMALL, HOT_TABLE, SEGMENT, MEMBERS = 5, 16, 200_000, 2_000_000, 512
 WIDTHS = (5, 8, 4, 4)
 MET = "kind int, a long, b long, n int, m int, bits binary"
 DOC, PAIR, GROUP, BITS = 0, 1, 2, 3
@@ -93,7 +93,7 @@ def frequent_tokens(rows: DataFrame) -> np.ndarray:
 
         def flush():
             token, n = np.unique(np.concatenate(held), return_counts=True)
-            often = n >= max(4, 5e-4 * n_docs)
+            often = n >= max(3, 5e-4 * n_docs)
             return pa.RecordBatch.from_arrays([pa.array(token[often].view(np.int64)), pa.array(n[often].astype(np.int64))], names=["token", "n"])
 
         for _, data, offsets in chunks(batches):
@@ -153,7 +153,7 @@ def candidate_mask(size_a, pos_a, size_b, pos_b):
     return (4 * smaller >= 3 * larger) & (pos_small < index_prefix(smaller)) & (left >= needed(size_a, size_b))
 
 
-def meet_tokens(rows: DataFrame, hot: np.ndarray) -> DataFrame:
+def meet_tokens(rows: DataFrame, hot: np.ndarray, small: int = SMALL) -> DataFrame:
     """kind DOC (rid, fp, size), PAIR (fp, fp) and GROUP (token, fp, size, position) rows."""
     n = partitions(rows.sparkSession)
     order_table = rows.sparkSession.sparkContext.broadcast(hot)  # at most HOT_TABLE integers
@@ -231,15 +231,19 @@ def meet_tokens(rows: DataFrame, hot: np.ndarray) -> DataFrame:
             good = candidate_mask(size[i], pos[i], size[j], pos[j]) & (fp[i] != fp[j])
             found.append(np.sort(np.column_stack([fp[i[good]], fp[j[good]]]), axis=1))
 
-        for step in range(1, SMALL):
+        for step in range(1, small):
             i = np.arange(len(keys) - step)
-            near = (group[i] == group[i + step]) & ((count[i] <= SMALL) | (step <= 2))
+            near = (group[i] == group[i + step]) & (count[i] <= small)
             pair(i[near], i[near] + step)
-        large = np.flatnonzero(count > SMALL)
+        large = np.flatnonzero(count > small)
         if len(large):
+            # The smallest set, the smallest fingerprint, and the next fingerprint: much the same pairs in every group of one family.
             by_fp = np.lexsort((fp, group))
-            hub = by_fp[heads]
-            pair(hub[group[large]], large)
+            pair(heads[group[large]], large)
+            pair(by_fp[heads][group[large]], large)
+            i = np.arange(len(keys) - 1)
+            i = i[(group[i] == group[i + 1]) & (count[i] > small)]
+            pair(by_fp[i], by_fp[i + 1])
             yield rows_of(GROUP, keys[large].view(np.int64), fp[large], size[large], pos[large])
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
         zeros = np.zeros(len(pairs))
@@ -300,15 +304,30 @@ def thinned(pairs: DataFrame, maps: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def verify(candidates: DataFrame, maps: DataFrame, owners: DataFrame, rows: DataFrame, hot: np.ndarray) -> DataFrame:
-    """a, b of the pairs of classes whose sets link; owners: fp, rid of one document of each class."""
-    order_table = rows.sparkSession.sparkContext.broadcast(hot)
+def verify_pairs(candidates: DataFrame, maps: DataFrame, owners: DataFrame, rows: DataFrame, hot: np.ndarray, block: int = MEMBERS) -> DataFrame:
+    """a, b of the pairs of classes whose sets link: each a probes tries of up to about MEMBERS of its partners."""
     pairs = written(thinned(candidates, maps), "pairs")
     sizes = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("members")).withColumnRenamed("a", "hub")
-    salted = pairs.join(sizes, F.col("a") == F.col("hub")).select("a", F.pmod(F.xxhash64("b"), F.ceil(F.col("members") / MEMBERS)).cast("int").alias("salt"), "b")
-    hubs = salted.select("a", "salt", F.col("a").alias("fp"), F.lit(0).alias("member")).distinct()
-    members = hubs.unionByName(salted.select("a", "salt", F.col("b").alias("fp"), F.lit(1).alias("member")))
-    wanted = members.groupBy("fp").agg(F.collect_list(F.struct("a", "salt", "member")).alias("uses")).join(owners, "fp").select("fp", F.col("rid").alias("of"), "uses")
+    salted = pairs.join(sizes, F.col("a") == F.col("hub")).select("a", F.pmod(F.xxhash64("b"), F.ceil(F.col("members") / block)).cast("int").alias("salt"), "b")
+    probes = salted.select("a", "salt", F.col("a").alias("fp"), F.lit(1).alias("role")).distinct()
+    return search(salted.select("a", "salt", F.col("b").alias("fp"), F.lit(0).alias("role")).unionByName(probes), owners, rows, hot)
+
+
+def verify_components(tasks: DataFrame, roots: DataFrame, owners: DataFrame, rows: DataFrame, hot: np.ndarray, block: int = MEMBERS) -> DataFrame:
+    """Links of a class with any class of a component: tasks (fp, root, members) probe tries of the component's classes."""
+    wanted = tasks.groupBy("root").agg(F.first("members").alias("members")).withColumnRenamed("root", "a")
+    blocks = F.ceil(F.col("members") / block)
+    linked = wanted.join(roots, F.col("a") == F.col("root")).select("a", "members", F.col("node").alias("fp"))
+    single = wanted.filter("members = 1").select("a", "members", F.col("a").alias("fp"))
+    tries = linked.unionByName(single).select("a", F.pmod(F.xxhash64("fp"), blocks).cast("int").alias("salt"), "fp", F.lit(0).alias("role"))
+    probes = tasks.select(F.col("root").alias("a"), F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))).alias("salt"), "fp", F.lit(1).alias("role"))
+    return search(tries.unionByName(probes), owners, rows, hot)
+
+
+def search(uses: DataFrame, owners: DataFrame, rows: DataFrame, hot: np.ndarray) -> DataFrame:
+    """a, b: links of each probe (role 1) with the sets of the trie (role 0) of the same (a, salt)."""
+    order_table = rows.sparkSession.sparkContext.broadcast(hot)
+    wanted = uses.groupBy("fp").agg(F.collect_list(F.struct("a", "salt", "role")).alias("uses")).join(owners, "fp").select("fp", F.col("rid").alias("of"), "uses")
 
     def build(batches):
         for batch, data, offsets in chunks(batches):
@@ -316,37 +335,31 @@ def verify(candidates: DataFrame, maps: DataFrame, owners: DataFrame, rows: Data
             fp = fingerprints(tokens, bounds)
             own = np.flatnonzero(fp == batch.column("fp").to_numpy())
             uses = batch.column("uses").to_pylist()
-            out = [(u["a"], u["salt"], int(fp[i]), u["member"], tokens[bounds[i] : bounds[i + 1]].tobytes()) for i in own for u in uses[i]]
+            out = [(u["a"], u["salt"], int(fp[i]), u["role"], tokens[bounds[i] : bounds[i + 1]].tobytes()) for i in own for u in uses[i]]
             cols = list(zip(*out, strict=True)) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["a", "salt", "fp", "member", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["a", "salt", "fp", "role", "tokens"])
 
-    held = rows.join(wanted.hint("shuffle_hash"), F.col("rid") == F.col("of")).select("fp", "text", "uses").mapInArrow(build, "a long, salt int, fp long, member int, tokens binary")
+    held = rows.join(wanted.hint("shuffle_hash"), F.col("rid") == F.col("of")).select("fp", "text", "uses").mapInArrow(build, "a long, salt int, fp long, role int, tokens binary")
 
     def check(batches):
-        hub, key, waiting = None, None, []
-
-        def flush():
-            nonlocal waiting
-            linked = PrefixTree([t for _, t in waiting]).linked(hub) if waiting else []
-            b = [waiting[i][0] for i in linked]
-            waiting = []
-            return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(b), pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
+        key, held, tree = None, {}, None
         for batch in batches:
-            for a, salt, fp, member, raw in zip(*(batch.column(c).to_pylist() for c in ("a", "salt", "fp", "member", "tokens")), strict=True):
-                if not member:
-                    if waiting:
-                        yield flush()
-                    hub, key = np.frombuffer(raw, dtype=np.uint64), (a, salt)
+            found = []
+            for a, salt, fp, role, raw in zip(*(batch.column(c).to_pylist() for c in ("a", "salt", "fp", "role", "tokens")), strict=True):
+                if key != (a, salt):
+                    key, held, tree = (a, salt), {}, None
+                tokens = np.frombuffer(raw, dtype=np.uint64)
+                if role == 0:
+                    held[fp] = tokens
                     continue
-                waiting.append((fp, np.frombuffer(raw, dtype=np.uint64)))
-                if len(waiting) == MEMBERS:
-                    yield flush()
-        if waiting:
-            yield flush()
+                if tree is None:
+                    names, tree = list(held), PrefixTree(list(held.values()))
+                found += [(fp, names[i]) for i in tree.linked(tokens) if names[i] != fp]
+            cols = list(zip(*found, strict=True)) if found else [[], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b"])
 
     n = partitions(rows.sparkSession)
-    return held.repartition(n, "a", "salt").sortWithinPartitions("a", "salt", "member").mapInArrow(check, "a long, b long")
+    return held.repartition(n, "a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(check, "a long, b long")
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -367,35 +380,41 @@ def connected(links: DataFrame) -> DataFrame:
         labels = labels.select("node", "root")
 
 
-def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rid, fp, size of every row; a, b: links between classes; node, root: classes by component)."""
+def link_classes(docs: DataFrame, small: int = SMALL, block: int = MEMBERS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rid, fp, size of every row; a, b: links between classes; node, root: classes by component).
+
+    Groups of over `small` classes are linked by hubs first; tries hold about `block` sets.
+    """
     rows = text_rows(docs)
     hot = frequent_tokens(rows)
-    met = written(meet_tokens(rows, hot), "met")
+    met = written(meet_tokens(rows, hot, small), "met")
     members = met.filter(F.col("kind") == DOC).select(F.col("a").alias("rid"), F.col("b").alias("fp"), F.col("n").alias("size"))
     owners = members.groupBy("fp").agg(F.min("rid").alias("rid"))
     maps = met.filter(F.col("kind") == BITS).select(F.col("a").alias("fp"), "n", "bits")
     first = met.filter(F.col("kind") == PAIR).select("a", "b").distinct()
-    links = written(verify(first, maps, owners, rows, hot), "links")
+    links = written(verify_pairs(first, maps, owners, rows, hot, block), "links")
     roots = connected(links)
+    # Members of a large group that are not connected yet: the smaller component's classes probe the larger component.
+    sizes = roots.groupBy(F.col("root").alias("of")).agg(F.count(F.lit(1)).alias("members"))
     groups = met.filter(F.col("kind") == GROUP).select(F.col("a").alias("token"), F.col("b").alias("fp"), "n", "m")
     labelled = groups.join(roots, F.col("fp") == F.col("node"), "left").select("token", "fp", "n", "m", F.coalesce("root", "fp").alias("root"))
     apart = labelled.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select(F.col("token").alias("open"))
-    unsettled = written(labelled.join(apart, F.col("token") == F.col("open"), "left_semi"), "unsettled")
+    sized = labelled.join(apart, F.col("token") == F.col("open"), "left_semi").join(sizes, F.col("root") == F.col("of"), "left")
+    unsettled = written(sized.select("token", "fp", "n", "m", "root", F.coalesce("members", F.lit(1)).alias("members")), "unsettled")
     if unsettled.limit(1).count():
-        x, y = (unsettled.select("token", *(F.col(c).alias(c + s) for c in ("fp", "n", "m", "root"))) for s in ("x", "y"))
-        left = 1 + F.least(F.col("nx") - F.col("mx") - 1, F.col("ny") - F.col("my") - 1)
-        need = F.ceil(3 * (F.col("nx") + F.col("ny")) / 7)
-        fits = (F.col("fpx") < F.col("fpy")) & (F.col("rootx") != F.col("rooty")) & (4 * F.least("nx", "ny") >= 3 * F.greatest("nx", "ny")) & (left >= need)
-        more = x.join(y.withColumnRenamed("token", "same"), (F.col("token") == F.col("same")) & fits).select(F.col("fpx").alias("a"), F.col("fpy").alias("b")).distinct()
-        late = written(verify(more, maps, owners, rows, hot), "late")
+        parts = unsettled.groupBy(F.col("token").alias("same"), F.col("root").alias("their"), F.col("members").alias("many")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("m")).alias("left"))
+        larger = F.struct("many", "their") > F.struct("members", "root")
+        # What any of them could reach: lengths that fit, and enough tokens left behind the shared one.
+        fits = (4 * F.col("hi") >= 3 * F.col("n")) & (3 * F.col("lo") <= 4 * F.col("n")) & (F.least(F.col("n") - F.col("m"), F.col("left")) >= F.ceil(3 * (F.col("n") + F.greatest(F.col("lo"), F.ceil(0.75 * F.col("n")))) / 7))
+        tasks = unsettled.join(parts, (F.col("token") == F.col("same")) & larger & fits).select("fp", F.col("their").alias("root"), F.col("many").alias("members")).distinct()
+        late = written(verify_components(written(tasks, "tasks"), roots, owners, rows, hot, block), "late")
         links = links.unionByName(late)
         if late.limit(1).count():
             roots = connected(links)
     return members, links, roots
 
 
-def components(docs: DataFrame) -> DataFrame:
+def components(docs: DataFrame, small: int = SMALL, block: int = MEMBERS) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs (doc_id, text).
 
     Words are lower-cased (A-Z) runs of other than ASCII white space; fewer
@@ -406,7 +425,7 @@ def components(docs: DataFrame) -> DataFrame:
     counts as larger than all; a component of such rows only has a null id.
     Repeated rows are linked.  Equal sets are told by a 64-bit fingerprint.
     """
-    members, _, roots = link_classes(docs)
+    members, _, roots = link_classes(docs, small, block)
     of = members.join(roots, F.col("fp") == F.col("node"), "left").select("rid", "size", F.coalesce("root", "fp").alias("root"))
     of = written(of, "classes")
     least = of.filter("size > 0").groupBy(F.col("root").alias("class")).agg(F.min("rid").alias("least"))

@@ -12,8 +12,8 @@ four to eight bits a token bound each pair's overlap from above.
 
 Groups of up to 16 classes give all their pairs.  Larger groups first give
 pairs with two hubs and the next class.  Classes of such a group that these
-links have not connected then probe the tries of the other components in it,
-the smaller component the larger one.  So a group of copies costs about as many
+links have not connected are then held against the other components in it, by
+bitmaps and then by tries, the smaller component against the larger one.  So a group of copies costs about as many
 pairs as it has members, and no link between components is missed.
 """
 
@@ -32,6 +32,7 @@ from .textscan import LOWER, U64, Rolling, chunks, give_back, ids, mix, row_of,
 
 IS_WORD = whitespace_words()
 WORDS, SMALL, HOT_TABLE, SEGMENT, MEMBERS = 5, 16, 200_000, 2_000_000, 512
+FEW_PAIRS = 20_000
 WIDTHS = (5, 8, 4, 4)
 MET = "kind int, a long, b long, n int, m int, bits binary"
 DOC, PAIR, GROUP, BITS = 0, 1, 2, 3
@@ -304,28 +305,84 @@ def thinned(pairs: DataFrame, maps: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def verify_pairs(candidates: DataFrame, maps: DataFrame, owners: DataFrame, rows: DataFrame, hot: np.ndarray, block: int = MEMBERS) -> DataFrame:
-    """a, b of the pairs of classes whose sets link: each a probes tries of up to about MEMBERS of its partners."""
-    pairs = written(thinned(candidates, maps), "pairs")
+def verify_pairs(pairs: DataFrame, owners: DataFrame, rows: DataFrame, hot: np.ndarray, block: int = MEMBERS) -> DataFrame:
+    """a, b of the pairs of classes (a written table) whose sets link: each a probes tries of up to about `block` of its partners."""
     sizes = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("members")).withColumnRenamed("a", "hub")
     salted = pairs.join(sizes, F.col("a") == F.col("hub")).select("a", F.pmod(F.xxhash64("b"), F.ceil(F.col("members") / block)).cast("int").alias("salt"), "b")
     probes = salted.select("a", "salt", F.col("a").alias("fp"), F.lit(1).alias("role")).distinct()
-    return search(salted.select("a", "salt", F.col("b").alias("fp"), F.lit(0).alias("role")).unionByName(probes), owners, rows, hot)
+    uses = salted.select("a", "salt", F.col("b").alias("fp"), F.lit(0).alias("role")).unionByName(probes)
+    return search(uses, pairs.count() <= FEW_PAIRS, owners, rows, hot)
 
 
-def verify_components(tasks: DataFrame, roots: DataFrame, owners: DataFrame, rows: DataFrame, hot: np.ndarray, block: int = MEMBERS) -> DataFrame:
-    """Links of a class with any class of a component: tasks (fp, root, members) probe tries of the component's classes."""
+def component_candidates(tasks: DataFrame, roots: DataFrame, maps: DataFrame, block: int = MEMBERS) -> DataFrame:
+    """a, b: a class and a class of a component it has to be held against whose bitmaps allow a link.
+
+    tasks: fp, root, members.  Bitmaps of a component's classes stand in
+    blocks of about `block`; each probe is sent to every block.
+    """
     wanted = tasks.groupBy("root").agg(F.first("members").alias("members")).withColumnRenamed("root", "a")
     blocks = F.ceil(F.col("members") / block)
     linked = wanted.join(roots, F.col("a") == F.col("root")).select("a", "members", F.col("node").alias("fp"))
     single = wanted.filter("members = 1").select("a", "members", F.col("a").alias("fp"))
-    tries = linked.unionByName(single).select("a", F.pmod(F.xxhash64("fp"), blocks).cast("int").alias("salt"), "fp", F.lit(0).alias("role"))
+    held = linked.unionByName(single).select("a", F.pmod(F.xxhash64("fp"), blocks).cast("int").alias("salt"), "fp", F.lit(0).alias("role"))
     probes = tasks.select(F.col("root").alias("a"), F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))).alias("salt"), "fp", F.lit(1).alias("role"))
-    return search(tries.unionByName(probes), owners, rows, hot)
+    mapped = held.unionByName(probes).join(maps.withColumnRenamed("fp", "of"), F.col("fp") == F.col("of")).select("a", "salt", "fp", "role", "n", "bits")
 
+    def run(batches):
+        key, held, table = None, [], None
+        for batch in batches:
+            found = []
+            for a, salt, fp, role, n, bits in zip(*(batch.column(c).to_pylist() for c in ("a", "salt", "fp", "role", "n", "bits")), strict=True):
+                if key != (a, salt):
+                    key, held, table = (a, salt), [], None
+                if role == 0:
+                    held.append((fp, n, bits))
+                    continue
+                table = table or BitmapBlock(held)
+                found += [(fp, other) for other in table.allowed(n, bits) if other != fp]
+            cols = list(zip(*found, strict=True)) if found else [[], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b"])
+
+    n = partitions(tasks.sparkSession)
+    return mapped.repartition(n, "a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(run, "a long, b long")
+
+
+class BitmapBlock:
+    """Bitmaps of many sets, by length, against which one is held at a time."""
+
+    def __init__(self, rows: list[tuple[int, int, bytes]]):
+        self.parts: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for length in {len(bits) for _, _, bits in rows}:
+            own = [r for r in rows if len(r[2]) == length]
+            self.parts[length] = np.array([r[0] for r in own]), np.array([r[1] for r in own]), np.frombuffer(b"".join(r[2] for r in own), np.uint8).reshape(len(own), length)
+
+    @staticmethod
+    def folded(matrix: np.ndarray, length: int) -> np.ndarray:
+        while matrix.shape[1] > length:
+            pairs = (matrix | matrix << 1) & 0xAA  # each even place holds either of two bits
+            spread = np.unpackbits(pairs, axis=1)[:, ::2]
+            matrix = np.packbits(spread, axis=1)
+        return matrix
+
+    def allowed(self, size: int, bits: bytes) -> list[int]:
+        own = np.frombuffer(bits, np.uint8)[None, :]
+        out: list[int] = []
+        for length, (fps, sizes, maps) in self.parts.items():
+            fits = (4 * np.minimum(sizes, size) >= 3 * np.maximum(sizes, size)).nonzero()[0]
+            if not len(fits):
+                continue
+            width = min(length, own.shape[1])
+            x, y = self.folded(own, width), self.folded(maps[fits], width)
+            left = np.minimum(size - np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64), sizes[fits] - np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64))
+            out += fps[fits][left >= needed(sizes[fits], size)].tolist()
+        return out
 
-def search(uses: DataFrame, owners: DataFrame, rows: DataFrame, hot: np.ndarray) -> DataFrame:
-    """a, b: links of each probe (role 1) with the sets of the trie (role 0) of the same (a, salt)."""
+
+def search(uses: DataFrame, few: bool, owners: DataFrame, rows: DataFrame, hot: np.ndarray) -> DataFrame:
+    """a, b: links of each probe (role 1) with the sets of the trie (role 0) of the same (a, salt).
+
+    few: the uses come from at most FEW_PAIRS pairs, so they may be broadcast and no text is shuffled.
+    """
     order_table = rows.sparkSession.sparkContext.broadcast(hot)
     wanted = uses.groupBy("fp").agg(F.collect_list(F.struct("a", "salt", "role")).alias("uses")).join(owners, "fp").select("fp", F.col("rid").alias("of"), "uses")
 
@@ -339,7 +396,7 @@ def search(uses: DataFrame, owners: DataFrame, rows: DataFrame, hot: np.ndarray)
             cols = list(zip(*out, strict=True)) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["a", "salt", "fp", "role", "tokens"])
 
-    held = rows.join(wanted.hint("shuffle_hash"), F.col("rid") == F.col("of")).select("fp", "text", "uses").mapInArrow(build, "a long, salt int, fp long, role int, tokens binary")
+    held = rows.join(F.broadcast(wanted) if few else wanted.hint("shuffle_hash"), F.col("rid") == F.col("of")).select("fp", "text", "uses").mapInArrow(build, "a long, salt int, fp long, role int, tokens binary")
 
     def check(batches):
         key, held, tree = None, {}, None
@@ -392,7 +449,7 @@ def link_classes(docs: DataFrame, small: int = SMALL, block: int = MEMBERS) -> t
     owners = members.groupBy("fp").agg(F.min("rid").alias("rid"))
     maps = met.filter(F.col("kind") == BITS).select(F.col("a").alias("fp"), "n", "bits")
     first = met.filter(F.col("kind") == PAIR).select("a", "b").distinct()
-    links = written(verify_pairs(first, maps, owners, rows, hot, block), "links")
+    links = written(verify_pairs(written(thinned(first, maps), "pairs"), owners, rows, hot, block), "links")
     roots = connected(links)
     # Members of a large group that are not connected yet: the smaller component's classes probe the larger component.
     sizes = roots.groupBy(F.col("root").alias("of")).agg(F.count(F.lit(1)).alias("members"))
@@ -407,7 +464,8 @@ def link_classes(docs: DataFrame, small: int = SMALL, block: int = MEMBERS) -> t
         # What any of them could reach: lengths that fit, and enough tokens left behind the shared one.
         fits = (4 * F.col("hi") >= 3 * F.col("n")) & (3 * F.col("lo") <= 4 * F.col("n")) & (F.least(F.col("n") - F.col("m"), F.col("left")) >= F.ceil(3 * (F.col("n") + F.greatest(F.col("lo"), F.ceil(0.75 * F.col("n")))) / 7))
         tasks = unsettled.join(parts, (F.col("token") == F.col("same")) & larger & fits).select("fp", F.col("their").alias("root"), F.col("many").alias("members")).distinct()
-        late = written(verify_components(written(tasks, "tasks"), roots, owners, rows, hot, block), "late")
+        more = written(component_candidates(written(tasks, "tasks"), roots, maps, block), "more")
+        late = written(verify_pairs(more, owners, rows, hot, block), "late")
         links = links.unionByName(late)
         if late.limit(1).count():
             roots = connected(links)

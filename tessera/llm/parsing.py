@@ -16,6 +16,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -179,7 +180,7 @@ def cut_repeats(docs: DataFrame, width: int = 400) -> DataFrame:
     Characters that a removed run would cut stay whole.  Other columns stay.
     """
     names = docs.columns
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(np.iinfo(np.int64).max).cast("long")).alias("rid"), F.xxhash64(F.col("text").cast("string")).alias("h"), *(F.col(c) for c in names))
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(np.iinfo(np.int64).max).cast("long")).alias("rid"), F.xxhash64(F.col("text").cast("string")).alias("h"), F.col("text").cast("string").alias("text"), F.struct(*(F.col(c) for c in names if c != "text"), F.lit(0).alias("_")).alias("row"))
 
     def finish(batches):
         for batch in batches:
@@ -189,13 +190,13 @@ def cut_repeats(docs: DataFrame, width: int = 400) -> DataFrame:
                 text = raw if gone is None else whole_characters(raw, gone)
                 texts.append(text.decode("utf-8", "replace"))
                 kept.append(gone is None or bool(text))
-            cols = {c: batch.column(c) for c in names} | {"text": pa.array(texts, pa.string())}
+            cols = {c: pc.struct_field(batch.column("row"), c) for c in names if c != "text"} | {"text": pa.array(texts, pa.string())}
             if "n_chars" in cols:
                 cols["n_chars"] = pa.array([len(t) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols)).filter(pa.array(kept, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([cols[c] for c in names], names=names).filter(pa.array(kept, pa.bool_()))
 
-    schema = docs.select(*(F.col(c).cast("long") if c == "n_chars" else F.col(c) for c in names)).schema
-    return judged_rows(keyed, width).select(*names, "marks", "singles").mapInArrow(finish, schema)
+    schema = docs.select(*(F.col(c).cast({"n_chars": "long", "text": "string"}[c]).alias(c) if c in ("n_chars", "text") else F.col(c) for c in names)).schema
+    return judged_rows(keyed, width).select("row", "text", "marks", "singles").mapInArrow(finish, schema)
 
 
 def whole_characters(raw: bytes, gone: np.ndarray) -> bytes:

@@ -28,7 +28,7 @@ class BitSlices:
         self.ids, self.vals = ids[order], vals[order]
         self.low = self.vals.min(axis=0)
         above = (self.vals - self.low).astype(np.uint64)
-        self.bits = int(above.max()).bit_length()
+        self.bits = int(above.max(initial=0)).bit_length()
         self.slices = [np.packbits(((above >> np.uint64(b)) & np.uint64(1)).astype(np.uint8), axis=0) for b in range(self.bits)]
 
     def top(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:

@@ -142,7 +142,7 @@ def window_gate(x: str, lo: float, hi: float, width: float) -> str:
 
 
 def soft_named(lab: str, keep: str) -> str:
-    """Query: membership m_<category> of the twelve categories; each transfer moves mass, so they sum to 1."""
+    """Query: L and membership m_<category> of the twelve categories; each transfer moves mass, so they sum to 1."""
     s, d, w = sigmoid, num, 4.0
     up = lambda x, at, width=w: s(f"({x} - {d(at)}) / {d(width)}")
     down = lambda x, at, width=w: s(f"({d(at)} - {x}) / {d(width)}")
@@ -196,4 +196,4 @@ def soft_named(lab: str, keep: str) -> str:
         for c, g in gates:
             value[c] = f"{value[c]} + ({given}) * {g}"
         sql = f"SELECT {held}, " + ", ".join(f"{value[c]} AS m_{c}" for c in CATEGORIES) + f" FROM ({gated}) b{i}"
-    return f"SELECT {keep}, " + ", ".join(f"m_{c}" for c in CATEGORIES) + f" FROM ({sql}) z"
+    return f"SELECT {keep}, L, " + ", ".join(f"m_{c}" for c in CATEGORIES) + f" FROM ({sql}) z"

@@ -41,3 +41,18 @@ _register("override_fraction", f"SELECT stem, round(avg(CASE WHEN base <> label
 _register("colour_names_soft", "SELECT stem, pix, " + ", ".join(f"round(m_{x}, 6) AS m_{x}" for x in c.CATEGORIES) + f" FROM ({SOFT}) x")
 REMOVED = c.to_rgb(f"SELECT {KEEP}, label, L, CASE WHEN label = 'green' THEN {c.num(0)} ELSE a END AS a, CASE WHEN label = 'green' THEN {c.num(0)} ELSE b_ END AS b_ FROM ({NAMED}) x", f"{KEEP}, label")
 _register("colour_remove", f"SELECT stem, pix, label, {R6('r1', 'g1', 'b1')} FROM ({REMOVED}) x")
+SOFT_AB = c.soft_named(c.to_lab(c.with_probabilities(FOREGROUND), "stem, pix, " + ", ".join("p_" + t for t in c.TERMS)).replace("s0", "s0p"), f"{KEEP}, a, b_")
+FADED = c.to_rgb(f"SELECT {KEEP}, m_green, L, a * ({c.num(1)} - {c.num(0.8)} * m_green) AS a, b_ * ({c.num(1)} - {c.num(0.8)} * m_green) AS b_ FROM ({SOFT_AB}) x", f"{KEEP}, m_green")
+_register("colour_fade_soft", f"SELECT stem, pix, {R6('m_green', 'r1', 'g1', 'b1')} FROM ({FADED}) x")
+# Lightness standardised over the population: each specimen is moved to the mean of all means and deviations; a*, b* stay.
+MOMENTS = f"SELECT stem, avg(L) AS m, stddev_pop(L) AS s FROM ({LAB}) x GROUP BY stem"
+TARGET = f"SELECT avg(m) AS M0, avg(s) AS S0 FROM ({MOMENTS}) y"
+MOVED = f"""
+SELECT p.stem, p.pix, p.a, p.b_, CASE WHEN q.s < {c.num(1e-8)} THEN t.M0 ELSE greatest(least((p.L - q.m) / q.s * t.S0 + t.M0, {c.num(100)}), {c.num(0)}) END AS L
+FROM ({LAB}) p JOIN ({MOMENTS}) q ON p.stem = q.stem CROSS JOIN ({TARGET}) t"""
+STANDARD = c.to_rgb(MOVED, f"{KEEP}, L, a, b_")
+_register("population_standardise", f"SELECT stem, pix, {R6('r1', 'g1', 'b1')} FROM ({STANDARD}) x")
+BACK = c.to_lab(f"SELECT stem, pix, L AS L0, a AS a0, b_ AS b0, r1 * {c.num(255)} AS r, g1 * {c.num(255)} AS g, b1 * {c.num(255)} AS b FROM ({STANDARD}) x", "stem, pix, L0, a0, b0")
+_register("standardise_audit", f"SELECT stem, round(avg(L), 4) AS realised_mean, round(stddev_pop(L), 4) AS realised_std, round(avg(sqrt((L - L0) * (L - L0) + (a - a0) * (a - a0) + (b_ - b0) * (b_ - b0))), 4) AS mean_delta_e FROM ({BACK}) x GROUP BY stem")
+FIXED = f"SELECT p.stem, p.pix, greatest(least(CASE WHEN q.s < {c.num(1e-8)} THEN {c.num(50)} ELSE (p.L - q.m) / q.s * {c.num(15)} + {c.num(50)} END, {c.num(100)}), {c.num(0)}) AS L, {c.num(0)} AS a, {c.num(0)} AS b_ FROM ({LAB}) p JOIN ({MOMENTS}) q ON p.stem = q.stem"
+_register("equalise_fixed_target", f"SELECT stem, pix, {R6('r1', 'g1', 'b1')} FROM ({c.to_rgb(FIXED, KEEP)}) x")

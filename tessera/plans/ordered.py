@@ -175,3 +175,17 @@ def block_permute(spark, sf_dir):
     w = W.partitionBy("stem").orderBy((F.col("pix") * 7919) % 10007, "pix")
     p = Source(spark, sf_dir).sql(PIXELS).select("stem", "pix")
     return p.withColumn("new_pix", F.coalesce(F.lead("pix").over(w), F.first("pix").over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))))
+
+
+@query("""
+SELECT s_suppkey AS stem, CAST(s_suppkey % 3 AS INT) AS kind, CASE WHEN s_suppkey % 3 = 1 THEN CAST(s_suppkey AS INT) END AS fallback_y,
+       CASE WHEN s_suppkey % 3 = 2 THEN 3 ELSE 0 END AS n, CASE WHEN s_suppkey % 3 = 2 THEN CAST(s_suppkey + 4 AS INT) END AS last_x, CASE WHEN s_suppkey % 3 = 2 THEN 8 END AS last_cell FROM supplier""")
+def candidate_tables(spark, sf_dir):
+    from tessera.functions import candidates
+
+    k = F.col("s_suppkey").cast("int")
+    general = F.array(F.lit(2), F.lit(3), k, k + 1, k + 2, k + 2, k + 3, k + 4, F.lit(6), F.lit(7), F.lit(8))
+    payload = F.when(k % 3 == 0, F.array(F.lit(0))).when(k % 3 == 1, F.array(F.lit(1), k, k)).otherwise(general)
+    p = Source(spark, sf_dir).table("supplier").select(F.col("s_suppkey").alias("stem"), candidates.parsed(payload).alias("c"))
+    last = F.try_element_at("c.cands", F.lit(-1))
+    return p.select("stem", "c.kind", F.col("c.fallback.y").alias("fallback_y"), F.size("c.cands").alias("n"), last["x"].alias("last_x"), last["cell"].alias("last_cell"))

@@ -145,3 +145,25 @@ def test_config_includes(tmp_path):
     (tmp_path / "base.yaml").write_text("a: 1\nb: x\n")
     (tmp_path / "run.yaml").write_text("includes: base.yaml\nb: 2.5\n")
     assert folds.load_config(tmp_path / "run.yaml") == {"a": 1, "b": 2.5}
+
+
+def test_sinks_resume(spark, tmp_path):
+    from tessera.sources import sinks
+
+    path = str(tmp_path / "t")
+    sinks.append_missing(spark.range(5), path, ["id"])
+    sinks.append_missing(spark.range(8), path, ["id"])
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == list(range(8))
+    assert sinks.reuse_or_build(spark, path, lambda: None).count() == 8
+    sinks.write_table(spark.range(3), str(tmp_path / "s" / "v=1"))
+    sinks.write_table(spark.range(4), str(tmp_path / "s" / "v=2"))
+    (tmp_path / "s" / "v=2" / "_SUCCESS").unlink()
+    assert sinks.latest_state(spark, str(tmp_path / "s")).count() == 3
+
+
+def test_registry_refuses_a_second_kernel():
+    from tessera.functions import ablations
+
+    assert set(ablations.REGISTRY) == {"A3", "A4", "A5"}
+    with pytest.raises(ValueError, match="registered"):
+        ablations.ablation("A3", "crop")(lambda x: x)

@@ -162,3 +162,30 @@ def scan(docs: DataFrame, threshold: float = 0.8, templates: dict[str, list[str]
             )
 
     return doc_text(docs).mapInArrow(run, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+
+
+def _oracle() -> str:
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    phrases = ", ".join(f"('{label}', {p.split()!r})" for label, p in PHRASES.items())
+    templates = ", ".join(f"('{label}', {sorted(set(t.split()))!r})" for label, ts in TEMPLATES.items() for t in ts)
+    return f"""
+WITH w AS (SELECT doc_id, {low} AS t, regexp_extract_all({low}, '{word}') AS words FROM documents),
+places AS (
+  SELECT doc_id, label, unnest(list_filter(range(1, len(words) - len(p) + 2), lambda i: words[i:i + len(p) - 1] = p)) AS i
+  FROM w CROSS JOIN (VALUES {phrases}) AS v(label, p)),
+base AS (SELECT doc_id, count(*) AS n, min(i) - 1 AS lo, max(i) - 1 AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM places GROUP BY doc_id),
+lines AS (SELECT doc_id, regexp_extract_all(unnest(string_split(t, chr(10))), '{word}') AS words FROM w),
+blocks AS (SELECT doc_id, list_distinct(words[i + 1:i + {BLOCK}]) AS b FROM (SELECT doc_id, words, unnest(range(0, len(words), {BLOCK // 2})) AS i FROM lines)),
+shares AS (SELECT doc_id, label, len(list_intersect(b, t)) / CAST(len(t) AS DOUBLE) AS share FROM blocks CROSS JOIN (VALUES {templates}) AS v(label, t)),
+met AS (SELECT doc_id, label, share FROM shares WHERE share >= CAST(0.8 AS DOUBLE) - CAST(1e-12 AS DOUBLE)),
+united AS (SELECT doc_id, label FROM met UNION SELECT doc_id, label FROM places),
+named AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM united GROUP BY doc_id),
+best AS (SELECT doc_id, max(share) AS share FROM met GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(w.words) AS BIGINT) AS n_words, CAST(coalesce(base.n, 0) AS BIGINT) AS n_base, CAST(base.lo AS BIGINT) AS first_word, CAST(base.hi AS BIGINT) AS last_word,
+       coalesce(base.labels, '') AS base_labels, coalesce(named.labels, '') AS labels, CASE WHEN base.n > 0 THEN CAST(1 AS DOUBLE) ELSE coalesce(best.share, CAST(0 AS DOUBLE)) END AS score
+FROM w LEFT JOIN base ON base.doc_id = w.doc_id LEFT JOIN named ON named.doc_id = w.doc_id LEFT JOIN best ON best.doc_id = w.doc_id
+"""
+
+
+ORACLE = _oracle()

@@ -211,4 +211,20 @@ def whole_characters(raw: bytes, gone: np.ndarray) -> bytes:
     return data[kept[number]].tobytes()
 
 
-ORACLE = None
+ORACLE = """
+WITH raw AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+windows AS (SELECT doc_id, i, md5(substr(x, 2 * i + 1, 800)) AS k FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 399)) AS i FROM raw WHERE length(x) >= 800)),
+repeated AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY k) AS n FROM windows) WHERE n > 1),
+marked AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400 THEN 0 ELSE 1 END AS fresh FROM repeated),
+numbered AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked),
+runs AS (SELECT doc_id, run, min(i) AS a, max(i) + 400 AS b FROM numbered GROUP BY doc_id, run),
+pieces AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER w, 0) AS after, row_number() OVER w AS place, count(*) OVER (PARTITION BY doc_id) AS n FROM runs WINDOW w AS (PARTITION BY doc_id ORDER BY a)),
+kept AS (
+  SELECT p.doc_id, sum(b - a) AS gone, max(n) AS n_spans,
+         string_agg(substr(x, 2 * after + 1, 2 * (a - after)) || CASE WHEN place = n THEN substr(x, 2 * b + 1) ELSE '' END, '' ORDER BY a) AS rest
+  FROM pieces p JOIN raw ON raw.doc_id = p.doc_id GROUP BY p.doc_id)
+SELECT raw.doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(CASE WHEN gone IS NULL THEN x ELSE coalesce(rest, '') END)) AS kept_sha256
+FROM raw LEFT JOIN kept ON kept.doc_id = raw.doc_id
+"""

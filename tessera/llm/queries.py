@@ -55,4 +55,11 @@ def op10_exact_top_k(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_toxicity, op3_mix_sources, op4_license_scan, op5_language_id, op6_benchmark_decontamination, op7_quality, op8_block_dedup, op9_parse_dedup, op10_exact_top_k)}
-ORACLE_SQL = {"op3_mix_sources": mixing.ORACLE, "op8_block_dedup": blocks.ORACLE, "op10_exact_top_k": topk.ORACLE}
+ORACLE_SQL = {
+    "op1_ngram_jaccard": jaccard.ORACLE,
+    "op3_mix_sources": mixing.ORACLE,
+    "op4_license_scan": licenses.ORACLE,
+    "op8_block_dedup": blocks.ORACLE,
+    "op9_parse_dedup": parsing.ORACLE,
+    "op10_exact_top_k": topk.ORACLE,
+}

@@ -32,7 +32,6 @@ from .textscan import LOWER, U64, Rolling, chunks, give_back, ids, mix, row_of,
 
 IS_WORD = whitespace_words()
 WORDS, SMALL, HOT_TABLE, SEGMENT, MEMBERS = 5, 16, 200_000, 2_000_000, 512
-FEW_PAIRS = 20_000
 WIDTHS = (5, 8, 4, 4)
 MET = "kind int, a long, b long, n int, m int, bits binary"
 DOC, PAIR, GROUP, BITS = 0, 1, 2, 3
@@ -311,7 +310,7 @@ def verify_pairs(pairs: DataFrame, owners: DataFrame, rows: DataFrame, hot: np.n
     salted = pairs.join(sizes, F.col("a") == F.col("hub")).select("a", F.pmod(F.xxhash64("b"), F.ceil(F.col("members") / block)).cast("int").alias("salt"), "b")
     probes = salted.select("a", "salt", F.col("a").alias("fp"), F.lit(1).alias("role")).distinct()
     uses = salted.select("a", "salt", F.col("b").alias("fp"), F.lit(0).alias("role")).unionByName(probes)
-    return search(uses, pairs.count() <= FEW_PAIRS, owners, rows, hot)
+    return search(uses, owners, rows, hot)
 
 
 def component_candidates(tasks: DataFrame, roots: DataFrame, maps: DataFrame, block: int = MEMBERS) -> DataFrame:
@@ -378,11 +377,8 @@ class BitmapBlock:
         return out
 
 
-def search(uses: DataFrame, few: bool, owners: DataFrame, rows: DataFrame, hot: np.ndarray) -> DataFrame:
-    """a, b: links of each probe (role 1) with the sets of the trie (role 0) of the same (a, salt).
-
-    few: the uses come from at most FEW_PAIRS pairs, so they may be broadcast and no text is shuffled.
-    """
+def search(uses: DataFrame, owners: DataFrame, rows: DataFrame, hot: np.ndarray) -> DataFrame:
+    """a, b: links of each probe (role 1) with the sets of the trie (role 0) of the same (a, salt)."""
     order_table = rows.sparkSession.sparkContext.broadcast(hot)
     wanted = uses.groupBy("fp").agg(F.collect_list(F.struct("a", "salt", "role")).alias("uses")).join(owners, "fp").select("fp", F.col("rid").alias("of"), "uses")
 
@@ -396,7 +392,7 @@ def search(uses: DataFrame, few: bool, owners: DataFrame, rows: DataFrame, hot:
             cols = list(zip(*out, strict=True)) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["a", "salt", "fp", "role", "tokens"])
 
-    held = rows.join(F.broadcast(wanted) if few else wanted.hint("shuffle_hash"), F.col("rid") == F.col("of")).select("fp", "text", "uses").mapInArrow(build, "a long, salt int, fp long, role int, tokens binary")
+    held = rows.join(wanted.hint("shuffle_hash"), F.col("rid") == F.col("of")).select("fp", "text", "uses").mapInArrow(build, "a long, salt int, fp long, role int, tokens binary")
 
     def check(batches):
         key, held, tree = None, {}, None

@@ -23,7 +23,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .exchange import BLOB, ROW, TABLE, as_rows, pack, runs, text_rows, unpack
@@ -424,13 +424,14 @@ def connected(links: DataFrame) -> DataFrame:
     edges = written(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), "edges")
     labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "labels")
     while True:
-        around = edges.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("at")).agg(F.min("root").alias("near"))
-        better = labels.join(around, F.col("node") == F.col("at")).select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
+        heard = edges.join(labels, F.col("b") == F.col("node")).select(F.col("a").alias("node"), "root", F.lit(None).cast("long").alias("old"))
+        better = heard.unionByName(labels.withColumn("old", F.col("root"))).groupBy("node").agg(F.min("root").alias("root"), F.max("old").alias("old"))
         jump = labels.select(F.col("node").alias("of"), F.col("root").alias("further"))
-        labels = written(better.join(jump, F.col("root") == F.col("of"), "left").select("node", "old", F.least("root", "further").alias("root")), "labels")
-        if not labels.filter("root <> old").limit(1).count():
-            return labels.select("node", "root")
-        labels = labels.select("node", "root")
+        changes = Observation()
+        moved = better.join(jump, F.col("root") == F.col("of"), "left").select("node", F.least("root", "further").alias("root"), "old")
+        labels = written(moved.observe(changes, F.count(F.when(F.col("root") != F.col("old"), 1)).alias("n")).select("node", "root"), "labels")
+        if not changes.get["n"]:
+            return labels
 
 
 def link_classes(docs: DataFrame, small: int = SMALL, block: int = MEMBERS) -> tuple[DataFrame, DataFrame, DataFrame]:

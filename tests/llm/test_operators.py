@@ -361,3 +361,21 @@ def test_empty_tables(empty, spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     for df in (jaccard.components(empty), blocks.remove_repeats(empty), parsing.remove_repeats(empty), licenses.scan(empty), decontaminate.contaminated(empty, bench), topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"))):
         assert df.count() == 0
+
+
+def test_connected_components_of_chains_and_stars(spark):
+    rng = random.Random(11)
+    links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(rng.randrange(200, 240), rng.randrange(200, 240)) for _ in range(25)] + [(-5, 300), (300, 301)]
+    links = [(a, b) for a, b in links if a != b]
+    parent = {x: x for e in links for x in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        parent[max(find(a), find(b))] = min(find(a), find(b))
+    got = {r.node: r.root for r in jaccard.connected(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in parent}
+    assert jaccard.connected(spark.createDataFrame([], "a long, b long")).count() == 0

@@ -80,49 +80,52 @@ TABLE_INDEX = "(CAST(floor(r / 8) AS INT) + 32 * CAST(floor(g / 8) AS INT) + 102
 
 
 def named(lab: str, keep: str) -> str:
-    """Query: hard colour label of every foreground pixel of `lab` (keep, L, a, b_, p_<term>).
+    """Query: keep, L, a, b_, C, h, raw, base and label of every pixel of `lab` (keep, L, a, b_, p_<term>).
 
-    The cascade goes in a fixed order; each step sees the label the steps before it left.
+    The cascade goes in a fixed order; each step sees the label the steps
+    before it left.  What a step asks of the pixel itself is decided first, in
+    one projection, so the steps pass narrow rows and stay in generated code.
     """
-    raw = "CASE " + " ".join(f"WHEN p_{t} = greatest({', '.join('p_' + x for x in TERMS)}) THEN '{t}'" for t in TERMS) + " END"
-    base = (
-        "CASE WHEN raw = 'orange' THEN 'rufous' WHEN raw IN ('brown', 'gray') AND L >= 42 THEN concat('light_', raw) WHEN raw IN ('brown', 'gray') THEN concat('dark_', raw)"
-        " WHEN raw = 'pink' AND (h <= 45 OR h >= 330) THEN 'red' WHEN raw = 'pink' AND L >= 42 THEN 'light_brown' WHEN raw = 'pink' THEN 'dark_brown' ELSE raw END"
-    )
     d = num
-    red = f"(raw IN ('brown', 'orange', 'pink') AND (((h < 41 OR h >= 350) AND C >= 12) OR (h >= 41 AND h < 47 AND C >= 30)))"
+    browns, grays = "'light_brown', 'dark_brown'", "'light_gray', 'dark_gray'"
+    red = "(raw IN ('brown', 'orange', 'pink') AND (((h < 41 OR h >= 350) AND C >= 12) OR (h >= 41 AND h < 47 AND C >= 30)))"
     yellow = "(raw IN ('brown', 'orange', 'green') AND h >= 70 AND h < 100 AND C >= 30)"
     rufous = (
         "(raw IN ('brown', 'orange') AND ((h >= 41 AND h < 70 AND C >= 22 AND NOT (L < 30 AND C < 35) AND NOT (L >= 45 AND C < 45))"
-        f" OR (h >= 70 AND h < 82 AND C >= 22 AND C < 30 AND L < 45)) AND NOT {red} AND NOT {yellow})"
+        " OR (h >= 70 AND h < 82 AND C >= 22 AND C < 30 AND L < 45)))"
     )
-    q = f"(p_green / greatest(p_brown, p_orange, p_yellow, {d(1e-12)}))"
-    browns, grays = "'light_brown', 'dark_brown'", "'light_gray', 'dark_gray'"
+    # Pixel condition, labels it applies to, label it gives (a condition alone for the steps that ask the raw term).
     steps = [
-        ("raw IN ('green', 'gray') AND C >= 5 AND h >= 170 AND h < 315", "'blue'"),
-        (red, "'red'"),
-        (yellow, "'yellow'"),
-        (rufous, "'rufous'"),
-        ("label = 'rufous' AND L >= 45 AND C <= 30", "'light_brown'"),
+        ("L >= 45 AND C <= 30", "'rufous'", "'light_brown'"),
         (
-            f"label IN ('yellow', 'rufous', {browns}, {grays}) AND p_green >= {d(0.08)} AND C >= 10 AND h >= 65 AND h < 145"
-            f" AND ((h >= 85 AND {q} >= {d(0.25)}) OR (L <= 34 AND h >= 72 AND h < 85 AND C <= 26 AND raw = 'brown' AND {q} >= {d(0.25)})) AND NOT (h < 80 AND C >= 35)",
-            "'green'",
+            f"p_green >= {d(0.08)} AND C >= 10 AND h >= 65 AND h < 145 AND q >= {d(0.25)} AND (h >= 85 OR (L <= 34 AND h >= 72 AND h < 85 AND C <= 26 AND raw = 'brown')) AND NOT (h < 80 AND C >= 35)",
+            f"'yellow', 'rufous', {browns}, {grays}", "'green'",
         ),
-        ("label = 'yellow' AND L >= 85 AND C <= 25", "'white'"),
-        (f"label = 'light_brown' AND L >= 58 AND C <= least({d(24)}, {d(14)} + {d(0.35)} * (L - 50))", "'white'"),
-        (f"label IN ({browns}) AND C <= 12 AND h >= 60", "CASE WHEN L >= 42 THEN 'light_gray' ELSE 'dark_gray' END"),
-        (f"label IN ({browns}) AND L >= 42 AND C <= 20 AND h >= 72 AND p_gray / greatest(p_brown, {d(1e-12)}) >= {d(0.3)}", "'light_gray'"),
-        ("label = 'black' AND L >= 25", "'dark_gray'"),
-        (f"label IN ('black', 'dark_gray') AND p_blue >= {d(0.06)} AND C >= 5 AND h >= 230 AND h < 330", "'blue'"),
-        (f"label = 'red' AND L <= 22 AND C <= 20 AND p_purple / greatest(p_red, {d(1e-12)}) >= {d(0.6)}", "'purple'"),
-        (f"label IN ({browns}, {grays}) AND L <= 22", "'black'"),
-    ]
+        ("L >= 85 AND C <= 25", "'yellow'", "'white'"),
+        (f"L >= 58 AND C <= least({d(24)}, {d(14)} + {d(0.35)} * (L - 50))", "'light_brown'", "'white'"),
+        ("C <= 12 AND h >= 60", browns, "CASE WHEN L >= 42 THEN 'light_gray' ELSE 'dark_gray' END"),
+        (f"L >= 42 AND C <= 20 AND h >= 72 AND p_gray / greatest(p_brown, {d(1e-12)}) >= {d(0.3)}", browns, "'light_gray'"),
+        ("L >= 25", "'black'", "'dark_gray'"),
+        (f"p_blue >= {d(0.06)} AND C >= 5 AND h >= 230 AND h < 330", "'black', 'dark_gray'", "'blue'"),
+        (f"L <= 22 AND C <= 20 AND p_purple / greatest(p_red, {d(1e-12)}) >= {d(0.6)}", "'red'", "'purple'"),
+        ("L <= 22", f"{browns}, {grays}", "'black'"),
+    ]
     p = ", ".join(f"p_{t}" for t in TERMS)
-    q0 = f"SELECT {keep}, L, a, b_, {CHROMA} AS C, {HUE} AS h, {p}, {raw} AS raw FROM ({lab}) n0"
-    sql = f"SELECT {keep}, L, a, b_, C, h, {p}, raw, {base} AS base, {base} AS label FROM ({q0}) n1"
-    for i, (when, to) in enumerate(steps):
-        sql = f"SELECT {keep}, L, a, b_, C, h, {p}, raw, base, CASE WHEN {when} THEN {to} ELSE label END AS label FROM ({sql}) c{i}"
+    top = f"SELECT {keep}, L, a, b_, {CHROMA} AS C, {HUE} AS h, {p}, p_green / greatest(p_brown, p_orange, p_yellow, {d(1e-12)}) AS q, greatest({p}) AS top FROM ({lab}) n0"
+    raw = "CASE " + " ".join(f"WHEN p_{t} = top THEN '{t}'" for t in TERMS) + " END"
+    terms = f"SELECT {keep}, L, a, b_, C, h, q, p_green, p_gray, p_brown, p_blue, p_purple, p_red, {raw} AS raw FROM ({top}) n1"
+    base = (
+        "CASE WHEN raw = 'orange' THEN 'rufous' WHEN raw IN ('brown', 'gray') AND L >= 42 THEN concat('light_', raw) WHEN raw IN ('brown', 'gray') THEN concat('dark_', raw)"
+        " WHEN raw = 'pink' AND (h <= 45 OR h >= 330) THEN 'red' WHEN raw = 'pink' AND L >= 42 THEN 'light_brown' WHEN raw = 'pink' THEN 'dark_brown' ELSE raw END"
+    )
+    asked = ", ".join(f"({when}) AS k{i}" for i, (when, _, _) in enumerate(steps))
+    first = f"CASE WHEN {yellow} THEN 'yellow' WHEN {red} THEN 'red' WHEN {rufous} THEN 'rufous' WHEN raw IN ('green', 'gray') AND C >= 5 AND h >= 170 AND h < 315 THEN 'blue' END"
+    held = f"{keep}, L, a, b_, C, h, raw, base"
+    left = lambda i: "".join(f", k{j}" for j in range(i, len(steps)))
+    sql = f"SELECT {keep}, L, a, b_, C, h, raw, {base} AS base, {first} AS moved, {asked} FROM ({terms}) n2"
+    sql = f"SELECT {held}, coalesce(moved, base) AS label{left(0)} FROM ({sql}) n3"
+    for i, (_, donors, to) in enumerate(steps):
+        sql = f"SELECT {held}, CASE WHEN k{i} AND label IN ({donors}) THEN {to} ELSE label END AS label{left(i + 1)} FROM ({sql}) c{i}"
     return sql
 
 

@@ -446,7 +446,7 @@ def link_classes(docs: DataFrame, small: int = SMALL, block: int = MEMBERS) -> t
     owners = members.groupBy("fp").agg(F.min("rid").alias("rid"))
     maps = met.filter(F.col("kind") == BITS).select(F.col("a").alias("fp"), "n", "bits")
     first = met.filter(F.col("kind") == PAIR).select("a", "b").distinct()
-    links = written(verify_pairs(written(thinned(first, maps), "pairs"), owners, rows, hot, block), "links")
+    links = written(verify_pairs(written(thinned(first, maps), "pairs"), owners, rows, hot, block), "links", compact=True)
     roots = connected(links)
     # Members of a large group that are not connected yet: the smaller component's classes probe the larger component.
     sizes = roots.groupBy(F.col("root").alias("of")).agg(F.count(F.lit(1)).alias("members"))
@@ -461,8 +461,8 @@ def link_classes(docs: DataFrame, small: int = SMALL, block: int = MEMBERS) -> t
         # What any of them could reach: lengths that fit, and enough tokens left behind the shared one.
         fits = (4 * F.col("hi") >= 3 * F.col("n")) & (3 * F.col("lo") <= 4 * F.col("n")) & (F.least(F.col("n") - F.col("m"), F.col("left")) >= F.ceil(3 * (F.col("n") + F.greatest(F.col("lo"), F.ceil(0.75 * F.col("n")))) / 7))
         tasks = unsettled.join(parts, (F.col("token") == F.col("same")) & larger & fits).select("fp", F.col("their").alias("root"), F.col("many").alias("members")).distinct()
-        more = written(component_candidates(written(tasks, "tasks"), roots, maps, block), "more")
-        late = written(verify_pairs(more, owners, rows, hot, block), "late")
+        more = written(component_candidates(written(tasks, "tasks"), roots, maps, block), "more", compact=True)
+        late = written(verify_pairs(more, owners, rows, hot, block), "late", compact=True)
         links = links.unionByName(late)
         if late.limit(1).count():
             roots = connected(links)

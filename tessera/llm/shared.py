@@ -21,11 +21,14 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: a lost executor costs no recomputation."""
+def written(df: DataFrame, name: str, compact: bool = False) -> DataFrame:
+    """df as a Parquet table in the shared folder, read again: a lost executor costs no recomputation.
+
+    compact: many tasks give few rows each, so they are rebalanced into few files first.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.hint("rebalance") if compact else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

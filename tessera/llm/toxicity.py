@@ -1,33 +1,40 @@
 """Toxicity by class-conditional Kneser-Ney models with shared backoff counts.
 
-Each class has an interpolated Kneser-Ney model of the bytes of lower-cased
-words, given up to five bytes before them in the word: discounted counts back
-off to continuation counts of shorter contexts, and at last to byte pairs of
-the whole corpus, which both classes share.  So rare expressions are judged by
-their parts; counts under CUTOFF are discounted in full.  The length-normalised difference of the log-likelihoods of the
-document, and those of its most toxic words, are turned into a probability by
-a logistic curve that is fitted on rows the models have not seen.
-
-The shared counts cover all documents; class models use a bounded number of
-labelled rows of each class (`per_class`).
+Each class has an interpolated Kneser-Ney model of the bytes of a text, lower-
+cased and with one boundary between words, given the five bytes before them,
+also those of the words before.  Class counts (all labelled rows outside fold
+0) hold for the orders from OWN up; they back off to continuation counts of
+all texts up to order SHARED, and at last to byte pairs of all texts, which
+both classes share.
+Every count above 0 is discounted by DISCOUNT, so rare expressions count and
+are smoothed by their parts.  The length-normalised difference of the
+log-likelihoods of the document, and those of its most toxic words, are turned
+into a probability by a logistic curve.  The curve is fitted on a bounded
+number of labelled rows (`per_class`), scored by counts without these rows.
+
+Counts are a table of grams, dealt by the two bytes before the last: grams of
+three bytes and more meet all that share their context or their end there.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .exchange import as_rows, low_bytes, packed, to_planes, unpacked, wide
 from .langid import fold
-from .shared import doc_text
-from .textscan import LOWER, U64, alnum_words, byte_rolling, chunks, words
+from .shared import doc_text, partitions, written
+from .textscan import LOWER, U64, alnum_words, chunks, give_back, mix, row_of, words
 
-ORDER, DISCOUNT, CUTOFF, STRONG = 6, 0.75, 4, 2.0
+ORDER, SHARED, OWN, DISCOUNT, STRONG = 6, 3, 3, 0.75, 2.0
 _IS_WORD = alnum_words()
 BOUNDARY = 0x20
 FEATURES = 5
+ALL, ORDINARY, TOXIC, FIT = 0, 1, 2, 2  # columns of counts; FIT is added for those without the curve's rows
+HELD = 1 << 21
+LABELS_TO_BROADCAST, GRAMS_TO_BROADCAST = 1_000_000, 4_000_000
 
 
 def corpus_pairs(docs: DataFrame) -> np.ndarray:
@@ -48,17 +55,6 @@ def corpus_pairs(docs: DataFrame) -> np.ndarray:
     return out.reshape(256, 256)
 
 
-def laid_out(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The words' bytes, a boundary before each; each byte's place in its word; where each word begins."""
-    sizes = lengths + 1
-    begin = np.cumsum(sizes) - sizes
-    place = np.arange(int(sizes.sum())) - np.repeat(begin, sizes)
-    flat = np.full(len(place), BOUNDARY, dtype=np.uint8)
-    inner = place > 0
-    flat[inner] = data[(np.repeat(starts - 1, sizes) + place)[inner]]
-    return flat, place, begin
-
-
 def gram(flat: np.ndarray, k: int) -> np.ndarray:
     """The k bytes that end at each place, as one integer (the first k - 1 are of no use)."""
     key = flat.astype(np.uint64)
@@ -68,117 +64,118 @@ def gram(flat: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def laid_out(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The gram that ends at each byte of the words and at the boundary after each; where each word begins; first words of texts.
+
+    A text starts with boundaries only, so no gram reaches into another text.
+    """
+    low = LOWER[data]
+    starts, ends, first = words(low, offsets, _IS_WORD)
+    sizes = ends - starts + 1
+    begin = np.cumsum(sizes) - sizes
+    of = np.repeat(np.arange(len(starts)), sizes)
+    place = np.arange(len(of)) - begin[of]
+    some = np.diff(first) > 0
+    at = np.arange(len(of)) + (ORDER - 1) * np.cumsum(some)[row_of(first)][of]
+    flat = np.full(len(of) + (ORDER - 1) * int(some.sum()), BOUNDARY, dtype=np.uint8)
+    inner = place < sizes[of] - 1
+    flat[at[inner]] = low[(starts[of] + place)[inner]]
+    return gram(flat, ORDER)[at], begin, first
+
+
+def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     held, of = np.unique(keys, return_inverse=True)
-    return held, np.bincount(of, weights=weights, minlength=len(held))
-
-
-def class_counts(flat: np.ndarray, place: np.ndarray, weight: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """(grams, counts) by order: raw for the highest order and for grams at a word's start, else continuation counts."""
-    raw = {}
-    for k in range(2, ORDER + 1):
-        inside = place >= k - 1
-        raw[k] = summed(gram(flat, k)[inside], weight[inside])
-    out = {ORDER: raw[ORDER]}
-    for k in range(2, ORDER):
-        longer = raw[k + 1][0] & U64((1 << 8 * k) - 1)
-        keys, n = raw[k]
-        first = (keys >> U64(8 * (k - 1))) == BOUNDARY
-        out[k] = summed(np.concatenate([longer, keys[first]]), np.concatenate([np.ones(len(longer)), n[first]]))
-    return out
+    return held, np.bincount(of, weights=n, minlength=len(held)).astype(np.int64)
 
 
 def aligned(keys: np.ndarray, held: np.ndarray, values: np.ndarray) -> np.ndarray:
     """values by key; 0 where held lacks the key."""
     if not len(held):
-        return np.zeros(len(keys))
+        return np.zeros(len(keys), dtype=values.dtype)
     at = np.minimum(np.searchsorted(held, keys), len(held) - 1)
-    return np.where(held[at] == keys, values[at], 0.0)
-
-
-class Toxicity:
-    """For each order: grams, log-ratios of the classes' probabilities, and log-ratios of their backoff weights."""
-
-    def __init__(self, counts: list[dict[int, tuple[np.ndarray, np.ndarray]]], pairs: np.ndarray):
-        shared = (pairs + 0.5) / (pairs.sum(axis=1, keepdims=True) + 128.0)
-        self.keys, self.ratio, self.backoff = {}, {}, {}
-        probability = None
-        for k in range(2, ORDER + 1):
-            keys = np.unique(np.concatenate([c[k][0] for c in counts]))
-            if k == 2:
-                lower = [shared[(keys >> U64(8)).astype(np.int64), (keys & U64(255)).astype(np.int64)]] * 2
-            else:
-                at = np.searchsorted(self.keys[k - 1], keys & U64((1 << 8 * (k - 1)) - 1))
-                lower = [p[at] for p in probability]
-            probability, freed = [], []
-            for c, low in zip(counts, lower, strict=True):
-                held, n = c[k]
-                kept = np.where(n >= CUTOFF, n - DISCOUNT, 0.0)
-                context, total = summed(held >> U64(8), n)
-                weight = 1.0 - summed(held >> U64(8), kept)[1] / total
-                own = aligned(keys >> U64(8), context, total)
-                left = np.where(own > 0, aligned(keys >> U64(8), context, weight), 1.0)
-                probability.append(aligned(keys, held, kept) / np.maximum(own, 1e-9) + left * low)
-                freed.append((context, weight))
-            self.keys[k], self.ratio[k] = keys, np.log(probability[0] / probability[1]).astype(np.float32)
-            # Backoff weights belong to the context: a gram of order k - 1, or one byte.
-            of = self.keys[k - 1] if k > 2 else np.arange(256, dtype=np.uint64)
-            logs = []
-            for context, weight in freed:
-                w = aligned(of, context, weight)
-                logs.append(np.log(np.where(w > 0, w, 1.0)))
-            self.backoff[k - 1] = (logs[0] - logs[1]).astype(np.float32)
-        self.weights = np.zeros(FEATURES + 1)
-
-    def word_ratios(self, flat: np.ndarray, place: np.ndarray, begin: np.ndarray) -> np.ndarray:
-        """Sum over each word's bytes of log P(toxic) - log P(ordinary)."""
-        n = len(flat)
-        value = np.zeros(n, dtype=np.float32)
-        value[1:] = self.backoff[1][flat[:-1]]
-        at = np.arange(n)
-        back = None  # log backoff weights of the order before, by place
-        for k in range(2, ORDER + 1):
-            if back is not None:
-                inside = place >= k - 1
-                value[1:] += np.where(inside[1:], back[:-1], 0)
-            at = at[place[at] >= k - 1]
-            key = gram(flat, k)[at]
-            keys = self.keys[k]
-            found = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            same = keys[found] == key
-            at, found = at[same], found[same]
-            value[at] = self.ratio[k][found]
+    return np.where(held[at] == keys, values[at], values.dtype.type(0))
+
+
+class Counts:
+    """Counts by column and gram; what comes in is summed whenever HELD entries wait."""
+
+    def __init__(self):
+        self.held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        self.waiting = 0
+
+    def add(self, column: int, keys: np.ndarray, n: np.ndarray) -> None:
+        self.held.setdefault(column, []).append((keys, n))
+        self.waiting += len(keys)
+        if self.waiting > HELD:
+            self.settle()
+
+    def settle(self) -> int:
+        self.held = {c: [summed(np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts]))] for c, parts in self.held.items()}
+        self.waiting = 0
+        return sum(len(parts[0][0]) for parts in self.held.values())
+
+    def of(self, column: int) -> tuple[np.ndarray, np.ndarray]:
+        return self.held[column][0] if column in self.held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+class Orders:
+    """Distinct ends, by order, of grams that are whole by their last three bytes."""
+
+    def __init__(self, grams: np.ndarray):
+        self.keys, self.of, self.context = {}, {}, {}
+        for k in range(3, ORDER + 1):
+            self.keys[k], self.of[k] = np.unique(grams & U64((1 << 8 * k) - 1), return_inverse=True)
+            self.context[k] = np.unique(self.keys[k] >> U64(8), return_inverse=True)[1]
+        self.grams = grams
+
+    def smoothed(self, n: np.ndarray, p: np.ndarray, low: int, high: int) -> np.ndarray:
+        """Interpolated probabilities, by gram, of orders low to high over p."""
+        raw = {k: np.bincount(self.of[k], weights=n, minlength=len(self.keys[k])) for k in range(low, ORDER + 1)}
+        for k in range(low, high + 1):
+            keys, of, context = self.keys[k], self.of[k], self.context[k]
+            c = raw[k]
             if k < ORDER:
-                back = np.zeros(n, dtype=np.float32)
-                back[at] = self.backoff[k][found]
-        value[place == 0] = 0
-        return np.add.reduceat(value, begin) if len(begin) else np.zeros(0, np.float32)
-
-    def features(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Of each text: the mean difference a byte, the best word's, the second best's, the summed strong ones', and its length."""
-        out = np.zeros((len(offsets) - 1, FEATURES))
-        low = LOWER[data]
-        starts, ends, first = words(low, offsets, _IS_WORD)
-        if not len(starts):
-            return out
-        _, one, of = np.unique(byte_rolling(low).of(starts, ends), return_index=True, return_inverse=True)
-        ratio = self.word_ratios(*laid_out(low, starts[one], (ends - starts)[one]))[of].astype(np.float64)
-        texts = np.flatnonzero(first[1:] > first[:-1])
-        a = first[texts]
-        out[texts, 0] = np.add.reduceat(ratio, a) / np.add.reduceat(ends - starts, a)
-        best = np.maximum.reduceat(ratio, a)
-        out[texts, 1] = best
-        rest = ratio.copy()
-        row = np.repeat(np.arange(len(texts)), np.diff([*a, len(ratio)]))
-        rest[rest >= best[row]] = -1.0
-        out[texts, 2] = np.maximum.reduceat(rest, a)
-        out[texts, 3] = np.log1p(np.add.reduceat(np.maximum(ratio - STRONG, 0.0), a))
-        out[texts, 4] = np.log1p(np.diff(first)[texts])
+                end = np.searchsorted(keys, self.keys[k + 1] & U64((1 << 8 * k) - 1))
+                begins = keys >> U64(8 * (k - 2)) == U64(BOUNDARY * 257)  # at a text's start nothing else precedes
+                c = np.where(begins, c, np.bincount(end, weights=raw[k + 1] > 0, minlength=len(keys)))
+            kept = np.maximum(c - DISCOUNT, 0.0)
+            total = np.bincount(context, weights=c)
+            left = np.where(total > 0, 1.0 - np.bincount(context, weights=kept) / np.maximum(total, 1.0), 1.0)
+            p = (kept / np.maximum(total, 1.0)[context])[of] + left[context][of] * p
+        return p
+
+
+def log_ratios(grams: np.ndarray, n: list[np.ndarray], pairs: np.ndarray) -> list[np.ndarray]:
+    """log P(toxic) - log P(ordinary) of each gram's last byte, by all counts and by those without the curve's rows."""
+    orders = Orders(grams)
+    base = ((pairs + 0.5) / (pairs.sum(axis=1, keepdims=True) + 128.0))[(grams >> U64(8) & U64(255)).astype(np.int64), (grams & U64(255)).astype(np.int64)]
+    shared = orders.smoothed(n[ALL], base, 3, SHARED)
+    own = {c: orders.smoothed(n[c], shared, OWN, ORDER) for c in range(1, 5)}
+    return [np.log(own[TOXIC + more] / own[ORDINARY + more]).astype(np.float32) for more in (0, FIT)]
+
+
+def text_features(ratio: np.ndarray, begin: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Of each text: the mean difference a byte, the best word's, the second best's, the summed strong ones', and its length."""
+    out = np.zeros((len(first) - 1, FEATURES))
+    if not len(begin):
         return out
+    word = np.add.reduceat(ratio.astype(np.float64), begin)
+    texts = np.flatnonzero(first[1:] > first[:-1])
+    a = first[texts]
+    out[texts, 0] = np.add.reduceat(word, a) / np.diff([*begin[a], len(ratio)])
+    best = np.maximum.reduceat(word, a)
+    out[texts, 1] = best
+    rest = word.copy()
+    rest[rest >= best[np.repeat(np.arange(len(texts)), np.diff([*a, len(word)]))]] = -1.0
+    out[texts, 2] = np.maximum.reduceat(rest, a)
+    out[texts, 3] = np.log1p(np.add.reduceat(np.maximum(word - STRONG, 0.0), a))
+    out[texts, 4] = np.log1p(np.diff(first)[texts])
+    return out
 
-    def score(self, features: np.ndarray) -> np.ndarray:
-        z = features @ self.weights[:-1] + self.weights[-1]
-        return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
+
+def looked_up(keys: np.ndarray, held: np.ndarray, values: np.ndarray) -> np.ndarray:
+    distinct, of = np.unique(keys, return_inverse=True)
+    return aligned(distinct, held, values)[of]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -210,64 +207,153 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, per_class: int, mod
     return doc_text(docs).join(F.broadcast(chosen), "doc_id")
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int, modulus: int) -> Toxicity | None:
-    """Class models of two thirds of the sample, and the curve of the rest; None without both classes."""
-    sample = labelled(docs, labels, "toxic", per_class, modulus).select("doc_id", "text", "label", "half").persist()
-    try:
-
-        def spelled(batches):
-            for rows, data, offsets in chunks(batches):
-                low = LOWER[data]
-                starts, ends, first = words(low, offsets, _IS_WORD)
-                label = np.repeat(rows.column("label").to_numpy(), np.diff(first))
-                raw = low.tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array([raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], pa.binary())], names=["label", "word"])
-
-        got = sample.filter("half").mapInArrow(spelled, "label int, word binary").groupBy("label", "word").agg(F.count(F.lit(1)).alias("n")).toArrow()  # bounded by per_class
-        counts = []
-        for c in (1, 0):
-            mine = got.filter(pc.equal(got.column("label"), c))
-            texts = mine.column("word").to_pylist()
-            lengths = np.array([len(w) for w in texts], dtype=np.int64)
-            flat, place, _ = laid_out(np.frombuffer(b"".join(texts), dtype=np.uint8), np.cumsum(lengths) - lengths, lengths)
-            counts.append(class_counts(flat, place, np.repeat(mine.column("n").to_numpy().astype(np.float64), lengths + 1)))
-        if not all(len(c[2][0]) for c in counts):
-            return None
-        model = Toxicity(counts, corpus_pairs(docs))
-
-        def featured(batches):
-            for rows, data, offsets in chunks(batches):
-                x = model.features(data, offsets)
-                yield pa.RecordBatch.from_arrays([rows.column("label"), *(pa.array(x[:, i]) for i in range(FEATURES))], names=["label", *"abcde"])
-
-        got = sample.filter("not half").mapInArrow(featured, "label int, a double, b double, c double, d double, e double").toArrow()
-        y = got.column("label").to_numpy()
-        if (y == 1).any() and (y == 0).any():
-            model.weights = logistic(np.column_stack([got.column(c).to_numpy() for c in "abcde"]), y.astype(np.float64))
-        else:
-            model.weights = np.eye(1, FEATURES + 1)[0]
-        return model
-    finally:
-        sample.unpersist()
-
-
-def score_documents(docs: DataFrame, labels: DataFrame, per_class: int = 3000, modulus: int = 5) -> DataFrame:
-    """doc_id, held_out, score, predicted for each row of docs (doc_id, text); labels: doc_id, toxic.
+def classes(labels: DataFrame, label: str, modulus: int) -> DataFrame:
+    """doc_id, label (0 or 1) of labelled rows whose fold is not 0; a doc_id with both labels is left out."""
+    own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).filter(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & (fold(modulus) != 0))
+    return own.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("most")).filter("label = most").drop("most")
 
-    Only labels of rows outside fold 0 (crc32 of the id as text, modulo
-    `modulus`) are learned from, at most about `per_class` of each class.
-    score is 0 to 1, also for null and empty texts (no evidence: what the curve
-    says of an all-zero document).  Without labels of both classes every score
-    is 0.  Null labels are ignored; an id with both labels too.  A null doc_id
-    counts as fold 0.  Repeated rows get equal scores.
-    """
-    model = train(docs, labels, per_class, modulus)
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by per_class
 
-    def run(batches):
-        held = sent.value
+def gram_counts(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """Packed counts of the grams of all rows of docs, and of those of each class; known: doc_id, label, curve."""
+    n = partitions(docs.sparkSession)
+
+    def sent(counts):
+        counts.settle()
+        for column in counts.held:
+            keys, times = counts.of(column)
+            bucket = (mix(keys >> U64(8) & U64(0xFFFF)) % U64(n)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            ends = np.cumsum(np.bincount(bucket, minlength=n))
+            starts = np.concatenate([[0], ends[:-1]])
+            yield as_rows([(b, column, 0, packed(keys[order[starts[b] : ends[b]]]) + to_planes(low_bytes(times[order[starts[b] : ends[b]]], 8))) for b in np.flatnonzero(ends > starts).tolist()])
+
+    def count(batches):
+        counts = Counts()
         for rows, data, offsets in chunks(batches):
-            score = held.score(held.features(data, offsets)) if held else np.zeros(rows.num_rows)
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("held_out"), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+            keys, begin, first = laid_out(data, offsets)
+            counts.add(ALL, *np.unique(keys, return_counts=True))
+            label, curve = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("label", "curve"))
+            sizes = np.diff([*begin, len(keys)])[: len(begin)]
+            code = np.repeat(np.repeat(label * 2 + curve, np.diff(first)), sizes)
+            for c in (0, 1):
+                fit, both = keys[code == 2 * c], keys[(code == 2 * c) | (code == 2 * c + 1)]
+                for column, own in ((ORDINARY + c, both), (ORDINARY + c + FIT, fit)):
+                    if len(own):
+                        counts.add(column, *np.unique(own, return_counts=True))
+            if not counts.waiting and sum(len(k) for parts in counts.held.values() for k, _ in parts) > HELD:
+                yield from sent(counts)
+                counts = Counts()
+        yield from sent(counts)
+        give_back()
+
+    rows = doc_text(docs).join(known, "doc_id", "left").select("text", F.coalesce("label", F.lit(-1)).alias("label"), F.coalesce(F.col("curve").cast("int"), F.lit(0)).alias("curve"))
+    return rows.mapInArrow(count, "bucket int, kind int, chunk long, payload binary").repartitionById(n, F.col("bucket"))
+
+
+def model_table(docs: DataFrame, known: DataFrame, pairs: np.ndarray) -> DataFrame:
+    """gram, ratio, fit: the log-ratio of the classes for each gram of the texts, by all counts and by those without the curve's rows."""
+
+    def build(batches):
+        counts = Counts()
+        for batch in batches:
+            for column, raw in zip(batch.column("kind").to_pylist(), batch.column("payload").to_pylist(), strict=True):
+                half = len(raw) // 2
+                counts.add(column, unpacked(raw[:half]), wide(np.frombuffer(raw[half:], dtype=np.uint8).reshape(8, -1)).astype(np.int64))
+        counts.settle()
+        grams = counts.of(ALL)[0]
+        if len(grams):
+            ratio, fit = log_ratios(grams, [aligned(grams, *counts.of(c)) for c in range(5)], pairs)
+            yield pa.RecordBatch.from_arrays([pa.array(grams.astype(np.int64)), pa.array(ratio), pa.array(fit)], names=["gram", "ratio", "fit"])
+        del counts
+        give_back()
+
+    return gram_counts(docs, known).mapInArrow(build, "gram long, ratio float, fit float")
+
+
+def with_features(rows: DataFrame, model: DataFrame, value: str, fields: str, broadcast: bool) -> DataFrame:
+    """`fields` of rows (which have text too) and the features of their texts by a column of the model.
+
+    broadcast: the model's grams are few.  Else texts are written as units of
+    a batch each, their distinct grams are joined with the model, and the
+    answers meet their unit again.
+    """
+    names = [f.split()[0] for f in fields.split(", ")]
+    schema = fields + "".join(f", x{i} double" for i in range(FEATURES))
+
+    def made(chunk, data, offsets, held, values):
+        keys, begin, first = laid_out(data, offsets)
+        x = text_features(looked_up(keys, held, values), begin, first)
+        return pa.RecordBatch.from_arrays([*(chunk.column(c) for c in names), *(pa.array(x[:, i]) for i in range(FEATURES))], names=[*names, *(f"x{i}" for i in range(FEATURES))])
+
+    if broadcast:
+        got = model.select("gram", value).toArrow()  # at most GRAMS_TO_BROADCAST
+        order = np.argsort(got.column("gram").to_numpy())
+        table = rows.sparkSession.sparkContext.broadcast((got.column("gram").to_numpy()[order].astype(np.uint64), got.column(value).to_numpy()[order]))
+
+        def run(batches):
+            for chunk, data, offsets in chunks(batches):
+                yield made(chunk, data, offsets, *table.value)
+
+        return rows.select(*names, "text").mapInArrow(run, schema)
+
+    units = written(rows.select(*names, "text", (F.shiftleft(F.spark_partition_id().cast("long"), 33) + F.floor(F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) / 1000)).alias("unit")), "units")
 
-    return doc_text(docs).withColumn("held_out", fold(modulus) == 0).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    def asked(batches):
+        for chunk, data, offsets in chunks(batches):
+            keys, begin, first = laid_out(data, offsets)
+            unit = np.repeat(np.repeat(chunk.column("unit").to_numpy(), np.diff(first)), np.diff([*begin, len(keys)])[: len(begin)])
+            for u in np.unique(unit):
+                own = np.unique(keys[unit == u]).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), u)), pa.array(own)], names=["unit", "gram"])
+
+    answers = units.select("unit", "text").mapInArrow(asked, "unit long, gram long").join(model.select("gram", F.col(value).alias("value")), "gram")
+
+    def met(texts, replies):
+        replies = replies.combine_chunks()
+        held, at = np.unique(replies.column("gram").to_numpy().astype(np.uint64), return_index=True)
+        values = replies.column("value").to_numpy().astype(np.float32)[at]
+        return pa.Table.from_batches([made(*c, held, values) for c in chunks(texts.combine_chunks().to_batches())])
+
+    return units.groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(met, schema)
+
+
+def score_documents(docs: DataFrame, labels: DataFrame, per_class: int = 3000, modulus: int = 5, grams_to_broadcast: int = GRAMS_TO_BROADCAST) -> DataFrame:
+    """doc_id, held_out, score, predicted for each row of docs (doc_id, text); labels: doc_id, toxic.
+
+    All labelled rows outside fold 0 (crc32 of the id as text, modulo
+    `modulus`) are learned from; the curve is fitted on a third of at most
+    about `per_class` of each class.  score is 0 to 1, also for null and empty
+    texts (no evidence: what the curve says of an all-zero document).  Without
+    labels of both classes every score is 0.  Null labels are ignored; an id
+    with both labels too.  A null doc_id counts as fold 0.  Repeated rows get
+    equal scores.
+    """
+    own = doc_text(docs)
+    one = classes(labels, "toxic", modulus)
+    counts = {r.label: r["count"] for r in one.groupBy("label").count().collect()}
+    share = F.when(F.col("label") == 1, F.lit(min(1.0, per_class / counts.get(1, 1)))).otherwise(F.lit(min(1.0, per_class / counts.get(0, 1))))
+    drawn = (F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) < share * (1 << 20)) & (F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(3)) == 0)
+    known = one.withColumn("curve", drawn)
+    if sum(counts.values()) <= LABELS_TO_BROADCAST:
+        known = F.broadcast(known)
+    result = "doc_id long, held_out boolean, score double, predicted int"
+    rows = own.withColumn("held_out", fold(modulus) == 0)
+    there = {r.label for r in own.select("doc_id").join(known, "doc_id").select("label").distinct().collect()} if len(counts) == 2 else set()
+    if len(there) < 2:
+        return rows.select("doc_id", "held_out", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
+    model = written(model_table(docs, known, corpus_pairs(docs)), "toxicity")
+    few = model.count() <= grams_to_broadcast
+    sample = own.join(F.broadcast(known.filter("curve")), "doc_id").select("label", "text")  # bounded by per_class
+    got = with_features(sample, model, "fit", "label int", few).toArrow()
+    y = got.column("label").to_numpy()
+    weights = np.eye(1, FEATURES + 1)[0]
+    if (y == 1).any() and (y == 0).any():
+        weights = logistic(np.column_stack([got.column(f"x{i}").to_numpy() for i in range(FEATURES)]), y.astype(np.float64))
+
+    def score(batches):
+        for batch in batches:
+            z = np.column_stack([batch.column(f"x{i}").to_numpy() for i in range(FEATURES)]) @ weights[:-1] + weights[-1]
+            p = 1 / (1 + np.exp(-np.clip(z, -35, 35)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+
+    return with_features(rows, model, "ratio", "doc_id long, held_out boolean", few).mapInArrow(score, result)

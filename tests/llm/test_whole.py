@@ -41,6 +41,21 @@ def test_toxicity_counts_rows_outside_the_sample(spark):
     assert all(scores[probes[m]] > scores[probes["plain"]] for m in marks)
 
 
+def test_toxicity_rare_words_count(spark):
+    marks = [f"zq{a}{b}x" for a in "bcdfghjk" for b in "mpvw"]
+    docs, labels, probes = _corpus(spark, marks, 2, lambda m: m, lambda rng, filler: filler(1)[0])
+    scores = _scores(docs, labels)
+    assert all(scores[probes[m]] > scores[probes["plain"]] for m in marks)
+
+
+def test_toxicity_phrases_of_ordinary_words_count(spark):
+    pairs = [("mud", "cow"), ("wet", "hog"), ("dim", "pig")]
+    alone = [w for p in pairs for w in p]
+    docs, labels, probes = _corpus(spark, pairs, 40, " ".join, lambda rng, filler: " ".join([rng.choice(alone), *filler(2), rng.choice(alone)]))
+    scores = _scores(docs, labels)
+    assert all(scores[probes[p]] > scores[probes["plain"]] + 0.05 for p in pairs)
+
+
 def test_toxicity_joined_model_agrees(spark):
     marks = [f"zq{a}x" for a in "bcdfghjk"]
     docs, labels, _ = _corpus(spark, marks, 10, lambda m: m, lambda rng, filler: filler(1)[0])

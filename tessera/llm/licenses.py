@@ -1,7 +1,7 @@
 """License scans: fixed phrases, and an exact set-similarity join of text blocks with templates.
 
-A block is up to 64 consecutive words of one line (overlapping by half where a
-line is longer).  A block meets a template if it holds at least `threshold` of
+A block is up to 64 consecutive words of one line, or with `across_lines` of the
+whole text (overlapping by half where that is longer).  A block meets a template if it holds at least `threshold` of
 the template's distinct words.  Template words are ordered by their frequency
 in the whole corpus, rarest first: a block that meets the threshold holds one
 of the first |T| - needed + 1 words (prefix filter), has enough distinct words
@@ -81,7 +81,7 @@ def word_counts(docs: DataFrame, vocabulary: list[str]) -> np.ndarray:
     return out
 
 
-def scan(docs: DataFrame, threshold: float = 0.8, templates: dict[str, list[str]] = TEMPLATES, phrases: dict[str, str] = PHRASES) -> DataFrame:
+def scan(docs: DataFrame, threshold: float = 0.8, templates: dict[str, list[str]] = TEMPLATES, phrases: dict[str, str] = PHRASES, across_lines: bool = False) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for each row of docs (doc_id, text).
 
     Base: every place where a phrase's words stand consecutively (also across
@@ -89,6 +89,8 @@ def scan(docs: DataFrame, threshold: float = 0.8, templates: dict[str, list[str]
     the largest share of a template in a block that meets it, 1 with a base
     label, else 0.  Null or empty text: no words, nothing found, empty label
     strings.  Repeated rows are scanned alike; a null doc_id is kept.
+    across_lines: blocks are cut over the words of the whole text, so that
+    wrapped templates are met; else no block leaves its line.
     """
     vocabulary = _vocabulary(templates, phrases)
     counts = word_counts(docs, vocabulary)
@@ -151,7 +153,7 @@ def scan(docs: DataFrame, threshold: float = 0.8, templates: dict[str, list[str]
                 for a, i in zip(at[at + len(p) <= first[text + 1]] if len(at) else at, text[at + len(p) <= first[text + 1]] if len(at) else text, strict=True):
                     places[i].append(int(a - first[i]))
                     labels[i].add(label)
-            breaks = np.flatnonzero(low == 10)
+            breaks = np.flatnonzero(low == 10) if not across_lines else np.zeros(0, np.int64)
             more = joined(found, np.searchsorted(breaks, starts), first) if rare[found].any() else {}
             base = [",".join(sorted(x)) for x in labels]
             both = [",".join(sorted(labels[i] | set(more.get(i, ())))) for i in range(n)]
@@ -164,18 +166,19 @@ def scan(docs: DataFrame, threshold: float = 0.8, templates: dict[str, list[str]
     return doc_text(docs).mapInArrow(run, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
 
 
-def _oracle() -> str:
+def _oracle(across_lines: bool = False) -> str:
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     phrases = ", ".join(f"('{label}', {p.split()!r})" for label, p in PHRASES.items())
     templates = ", ".join(f"('{label}', {sorted(set(t.split()))!r})" for label, ts in TEMPLATES.items() for t in ts)
+    lines = "SELECT doc_id, words FROM w" if across_lines else f"SELECT doc_id, regexp_extract_all(unnest(string_split(t, chr(10))), '{word}') AS words FROM w"
     return f"""
 WITH w AS (SELECT doc_id, {low} AS t, regexp_extract_all({low}, '{word}') AS words FROM documents),
 places AS (
   SELECT doc_id, label, unnest(list_filter(range(1, len(words) - len(p) + 2), lambda i: words[i:i + len(p) - 1] = p)) AS i
   FROM w CROSS JOIN (VALUES {phrases}) AS v(label, p)),
 base AS (SELECT doc_id, count(*) AS n, min(i) - 1 AS lo, max(i) - 1 AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM places GROUP BY doc_id),
-lines AS (SELECT doc_id, regexp_extract_all(unnest(string_split(t, chr(10))), '{word}') AS words FROM w),
+lines AS ({lines}),
 blocks AS (SELECT doc_id, list_distinct(words[i + 1:i + {BLOCK}]) AS b FROM (SELECT doc_id, words, unnest(range(0, len(words), {BLOCK // 2})) AS i FROM lines)),
 shares AS (SELECT doc_id, label, len(list_intersect(b, t)) / CAST(len(t) AS DOUBLE) AS share FROM blocks CROSS JOIN (VALUES {templates}) AS v(label, t)),
 met AS (SELECT doc_id, label, share FROM shares WHERE share >= CAST(0.8 AS DOUBLE) - CAST(1e-12 AS DOUBLE)),
@@ -188,4 +191,4 @@ FROM w LEFT JOIN base ON base.doc_id = w.doc_id LEFT JOIN named ON named.doc_id
 """
 
 
-ORACLE = _oracle()
+ORACLE, ORACLE_TEXT = _oracle(), _oracle(across_lines=True)

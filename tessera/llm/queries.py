@@ -30,6 +30,10 @@ def op4_license_scan(spark, sf_dir):
     return licenses.scan(documents(spark, sf_dir))
 
 
+def op4_license_text(spark, sf_dir):
+    return licenses.scan(documents(spark, sf_dir), across_lines=True)
+
+
 def op5_language_id(spark, sf_dir):
     return langid.identify(documents(spark, sf_dir))
 
@@ -54,11 +58,12 @@ def op10_exact_top_k(spark, sf_dir):
     return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_toxicity, op3_mix_sources, op4_license_scan, op5_language_id, op6_benchmark_decontamination, op7_quality, op8_block_dedup, op9_parse_dedup, op10_exact_top_k)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_toxicity, op3_mix_sources, op4_license_scan, op5_language_id, op6_benchmark_decontamination, op7_quality, op8_block_dedup, op9_parse_dedup, op10_exact_top_k, op4_license_text)}
 ORACLE_SQL = {
     "op1_ngram_jaccard": jaccard.ORACLE,
     "op3_mix_sources": mixing.ORACLE,
     "op4_license_scan": licenses.ORACLE,
+    "op4_license_text": licenses.ORACLE_TEXT,
     "op8_block_dedup": blocks.ORACLE,
     "op9_parse_dedup": parsing.ORACLE,
     "op10_exact_top_k": topk.ORACLE,

@@ -1,9 +1,14 @@
 """Operators do the whole job: evidence outside samples, rare expressions, both forms of a join."""
 
+import os
 import random
 import zlib
 
-from tessera.llm import toxicity
+import duckdb
+
+from tessera.llm import licenses, queries, toxicity
+
+from ..conftest import SMALL
 
 
 def _corpus(spark, marks, rows_a_mark, toxic_has, plain_has, n_plain=300):
@@ -74,3 +79,24 @@ def test_toxicity_shared_counts_follow_the_texts(spark):
         want |= {flat[i - 5 : i + 1] for i in range(5, len(flat))}
     got = {int(r.gram).to_bytes(6, "big").decode() for r in toxicity.model_table(docs, known, toxicity.corpus_pairs(docs)).collect()}
     assert got == want
+
+
+WRAPPED = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files",
+    "bsd-3": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:",
+    "gpl-3": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by",
+}
+
+
+def test_licenses_meet_wrapped_templates(spark):
+    data = [(i, f"{'lead ' * (7 * i)}\n{text}\n{'more words ' * 30}") for i, text in enumerate(WRAPPED.values())]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(data, "doc_id long, text string"), across_lines=True).collect()}
+    assert [(got[i].labels, got[i].score) for i in range(len(data))] == [(label, 1.0) for label in WRAPPED]
+
+
+def test_license_text_matches_sql(spark):
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{os.path.join(SMALL, 'documents.parquet')}'")
+    want = con.sql(queries.ORACLE_SQL["op4_license_text"])
+    got = queries.QUERIES["op4_license_text"](spark, SMALL).select(*want.columns)
+    assert sorted(map(repr, (tuple(r) for r in got.collect()))) == sorted(map(repr, want.fetchall()))

@@ -32,6 +32,7 @@ from .textscan import LOWER, U64, Rolling, chunks, give_back, ids, mix, row_of,
 
 IS_WORD = whitespace_words()
 WORDS, SMALL, HOT_TABLE, SEGMENT, MEMBERS = 5, 16, 200_000, 2_000_000, 512
+EVERY, WAITING = 1 << 31, 1 << 21  # no group has over EVERY classes; candidate pairs that wait in a task
 WIDTHS = (5, 8, 4, 4)
 MET = "kind int, a long, b long, n int, m int, bits binary"
 DOC, PAIR, GROUP, BITS = 0, 1, 2, 3
@@ -227,14 +228,22 @@ def meet_tokens(rows: DataFrame, hot: np.ndarray, small: int = SMALL) -> DataFra
         group, count = np.repeat(np.arange(len(heads)), counts), np.repeat(counts, counts)
         found = []
 
+        def pair_rows(found):
+            pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+            zeros = np.zeros(len(pairs))
+            return rows_of(PAIR, np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1]), zeros, zeros)
+
         def pair(i, j):
             good = candidate_mask(size[i], pos[i], size[j], pos[j]) & (fp[i] != fp[j])
             found.append(np.sort(np.column_stack([fp[i[good]], fp[j[good]]]), axis=1))
 
-        for step in range(1, small):
+        for step in range(1, min(small, int(counts.max(initial=1)))):
             i = np.arange(len(keys) - step)
             near = (group[i] == group[i + step]) & (count[i] <= small)
             pair(i[near], i[near] + step)
+            if sum(map(len, found)) > WAITING:
+                yield pair_rows(found)
+                found.clear()
         large = np.flatnonzero(count > small)
         if len(large):
             # The smallest set, the smallest fingerprint, and the next fingerprint: much the same pairs in every group of one family.
@@ -245,10 +254,8 @@ def meet_tokens(rows: DataFrame, hot: np.ndarray, small: int = SMALL) -> DataFra
             i = i[(group[i] == group[i + 1]) & (count[i] > small)]
             pair(by_fp[i], by_fp[i + 1])
             yield rows_of(GROUP, keys[large].view(np.int64), fp[large], size[large], pos[large])
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        zeros = np.zeros(len(pairs))
-        yield rows_of(PAIR, np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1]), zeros, zeros)
-        del keys, fp, size, pos, order, group, count, pairs, found
+        yield pair_rows(found)
+        del keys, fp, size, pos, order, group, count, found
         give_back()
 
     return rows.select("rid", "text").mapInArrow(send, ROW).repartitionById(n, F.col("bucket")).mapInArrow(meet, MET)
@@ -437,7 +444,10 @@ def connected(links: DataFrame) -> DataFrame:
 def link_classes(docs: DataFrame, small: int = SMALL, block: int = MEMBERS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rid, fp, size of every row; a, b: links between classes; node, root: classes by component).
 
-    Groups of over `small` classes are linked by hubs first; tries hold about `block` sets.
+    Groups of over `small` classes are linked by hubs first, then only classes
+    of different components are compared: the links connect what they should,
+    but links within a component are missing (`all_links` has them).  Tries
+    hold about `block` sets.
     """
     rows = text_rows(docs)
     hot = frequent_tokens(rows)
@@ -490,6 +500,32 @@ def components(docs: DataFrame, small: int = SMALL, block: int = MEMBERS) -> Dat
     return joined.unionByName(alone)
 
 
+def all_links(docs: DataFrame, block: int = MEMBERS) -> tuple[DataFrame, DataFrame]:
+    """(rid, fp, size of every row; a, b with a < b: every link between classes, once).
+
+    Every class probes tries of all its partners, in groups of any size: no
+    pair is left out because its classes are connected already.  Work and rows
+    can grow with the square of a family of near copies, as its links do.
+    """
+    rows = text_rows(docs)
+    hot = frequent_tokens(rows)
+    met = written(meet_tokens(rows, hot, EVERY), "met")
+    members = met.filter(F.col("kind") == DOC).select(F.col("a").alias("rid"), F.col("b").alias("fp"), F.col("n").alias("size"))
+    owners = members.groupBy("fp").agg(F.min("rid").alias("rid"))
+    maps = met.filter(F.col("kind") == BITS).select(F.col("a").alias("fp"), "n", "bits")
+    pairs = written(thinned(met.filter(F.col("kind") == PAIR).select("a", "b").distinct(), maps), "pairs")
+    links = verify_pairs(pairs, owners, rows, hot, block)
+    return members, written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links", compact=True)
+
+
+def link_counts(docs: DataFrame, block: int = MEMBERS) -> DataFrame:
+    """doc_id, n_shingles, n_links for each row of docs: how many different shingle sets its own links with (see `components`)."""
+    members, links = all_links(docs, block)
+    ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    of = members.join(ends, F.col("fp") == F.col("node"), "left")
+    return of.select(F.when(F.col("rid") != NULL_ID, F.col("rid")).alias("doc_id"), F.col("size").cast("long").alias("n_shingles"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of their component, all columns as they are.
 

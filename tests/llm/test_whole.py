@@ -6,7 +6,7 @@ import zlib
 
 import duckdb
 
-from tessera.llm import licenses, queries, toxicity
+from tessera.llm import jaccard, licenses, queries, toxicity
 
 from ..conftest import SMALL
 
@@ -100,3 +100,22 @@ def test_license_text_matches_sql(spark):
     want = con.sql(queries.ORACLE_SQL["op4_license_text"])
     got = queries.QUERIES["op4_license_text"](spark, SMALL).select(*want.columns)
     assert sorted(map(repr, (tuple(r) for r in got.collect()))) == sorted(map(repr, want.fetchall()))
+
+
+def test_jaccard_loses_no_link_within_a_family(spark):
+    rng = random.Random(11)
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(120)]
+    texts = {}
+    for i in range(60):
+        words = list(base)
+        for at in rng.sample(range(120), rng.randint(1, 3)):
+            words[at] = f"n{i}x{at}"
+        texts[i] = " ".join(words)
+    texts |= {100: texts[0], 101: "", 102: "one two three"}
+    shingles = {i: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if (w := t.split()) else set() for i, t in texts.items()}
+    sets = {frozenset(x) for x in shingles.values() if x}
+    linked = lambda x, y: x != y and 100 * len(x & y) >= 75 * len(x | y)
+    want = {i: sum(linked(x, y) for y in sets) for i, x in shingles.items()}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.n_links for r in jaccard.link_counts(docs, block=8).collect()}
+    assert got == want and 0 < sum(want.values()) < 2 * 60 * 59

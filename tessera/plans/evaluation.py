@@ -9,7 +9,7 @@ from tessera.sources.relations import PREDICTIONS
 
 from .registry import Source, query, rounded
 
-REPS = 20
+REPS, FULL_REPS = 20, 500
 
 AUC = """
 auc_grouped AS (SELECT {keys}, class, p, sum({pos}) AS pos, sum({neg}) AS neg FROM {rows} GROUP BY ALL),
@@ -80,19 +80,30 @@ def mae_ref(spark, sf_dir):
 WEIGHTED_AUC = AUC.format(keys="condition_name, rep", rows="weighted", pos="pos * times", neg="neg * times")
 
 
-@query(f"""{ROWS}, families AS (SELECT family, row_number() OVER (ORDER BY family) - 1 AS place, count(*) OVER () AS n FROM (SELECT DISTINCT family FROM rows_)),
-picks AS (SELECT rep, (((rep + 1) * 7919 + (place + 1) * 104729 + (rep + 1) * (place + 1) * (place + 31)) % 1000003) % n AS place FROM families CROSS JOIN (SELECT range AS rep FROM range({REPS}))),
+def _bootstrap_sql(reps):
+    return f"""{ROWS}, families AS (SELECT family, row_number() OVER (ORDER BY family) - 1 AS place, count(*) OVER () AS n FROM (SELECT DISTINCT family FROM rows_)),
+picks AS (SELECT rep, (((rep + 1) * 7919 + (place + 1) * 104729 + (rep + 1) * (place + 1) * (place + 31)) % 1000003) % n AS place FROM families CROSS JOIN (SELECT range AS rep FROM range({reps}))),
 draws AS (SELECT p.rep, f.family, count(*) AS times FROM picks p JOIN families f ON p.place = f.place GROUP BY ALL),
 weighted AS (
   SELECT c.condition_name, c.class, c.p, d.rep, d.times, CASE WHEN c.t > 0 THEN 1 ELSE 0 END AS pos, CASE WHEN c.t > 0 THEN 0 ELSE 1 END AS neg
   FROM rows_ c JOIN draws d ON c.family = d.family),{WEIGHTED_AUC},
 deltas AS (SELECT a.condition_name, a.macro_auc - b.macro_auc AS delta FROM auc_macro a JOIN auc_macro b ON a.rep = b.rep AND b.condition_name = 'reference' WHERE a.condition_name <> 'reference')
-SELECT condition_name, round(avg(delta), 6) AS delta_auc_mean, round(var_pop(delta), 9) AS delta_auc_variance, count(*) AS n_bootstrap_valid FROM deltas GROUP BY ALL""")
+SELECT condition_name, round(avg(delta), 6) AS delta_auc_mean, round(var_pop(delta), 9) AS delta_auc_variance, count(*) AS n_bootstrap_valid FROM deltas GROUP BY ALL"""
+
+
+@query(_bootstrap_sql(REPS))
 def bootstrap_delta_auc(spark, sf_dir):
     out = metrics.bootstrap_delta_auc(Source(spark, sf_dir).sql(PREDICTIONS), REPS)
     return rounded(rounded(out, "delta_auc_mean"), "delta_auc_variance", digits=9)
 
 
+@query(_bootstrap_sql(FULL_REPS))
+def bootstrap_delta_auc_full(spark, sf_dir):
+    """bootstrap_delta_auc with the resamples of the reference."""
+    out = metrics.bootstrap_delta_auc(Source(spark, sf_dir).sql(PREDICTIONS), FULL_REPS)
+    return rounded(rounded(out, "delta_auc_mean"), "delta_auc_variance", digits=9)
+
+
 FOLDS = """
 SELECT o_orderpriority AS condition_name, CAST(o_orderkey % 3 AS INT) AS fold, count(*) AS n, avg(o_totalprice) / 1e6 AS delta, var_pop(o_totalprice) / 1e12 AS variance
 FROM orders GROUP BY 1, 2"""

@@ -12,9 +12,11 @@ four to eight bits a token bound each pair's overlap from above.
 
 Groups of up to 16 classes give all their pairs.  Larger groups first give
 pairs with two hubs and the next class.  Classes of such a group that these
-links have not connected are then held against the other components in it, by
-bitmaps and then by tries, the smaller component against the larger one.  So a group of copies costs about as many
-pairs as it has members, and no link between components is missed.
+links have not connected are then met in blocks: a task holds two blocks, and
+of their pairs only those come out that lie in different components and pass
+length, position and bitmap bounds; tries verify them.  So a group of copies
+costs about as many pairs as it has members, and no link between components is
+missed.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .exchange import BLOB, ROW, TABLE, as_rows, pack, runs, text_rows, unpack
@@ -32,6 +35,7 @@ from .textscan import LOWER, U64, Rolling, chunks, give_back, ids, mix, row_of,
 
 IS_WORD = whitespace_words()
 WORDS, SMALL, HOT_TABLE, SEGMENT, MEMBERS = 5, 16, 200_000, 2_000_000, 512
+GROUP_BLOCK, MAP_BYTES = 256, 256  # classes of a block of a large group; bytes of a bitmap that travels with each of them
 EVERY, WAITING = 1 << 31, 1 << 21  # no group has over EVERY classes; candidate pairs that wait in a task
 WIDTHS = (5, 8, 4, 4)
 MET = "kind int, a long, b long, n int, m int, bits binary"
@@ -233,9 +237,10 @@ def meet_tokens(rows: DataFrame, hot: np.ndarray, small: int = SMALL) -> DataFra
             zeros = np.zeros(len(pairs))
             return rows_of(PAIR, np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1]), zeros, zeros)
 
-        def pair(i, j):
+        def pair(i, j, hub=False):
             good = candidate_mask(size[i], pos[i], size[j], pos[j]) & (fp[i] != fp[j])
-            found.append(np.sort(np.column_stack([fp[i[good]], fp[j[good]]]), axis=1))
+            ends = np.column_stack([fp[i[good]], fp[j[good]]])
+            found.append(ends if hub else np.sort(ends, axis=1))
 
         for step in range(1, min(small, int(counts.max(initial=1)))):
             i = np.arange(len(keys) - step)
@@ -248,8 +253,8 @@ def meet_tokens(rows: DataFrame, hot: np.ndarray, small: int = SMALL) -> DataFra
         if len(large):
             # The smallest set, the smallest fingerprint, and the next fingerprint: much the same pairs in every group of one family.
             by_fp = np.lexsort((fp, group))
-            pair(heads[group[large]], large)
-            pair(by_fp[heads][group[large]], large)
+            pair(heads[group[large]], large, hub=True)
+            pair(by_fp[heads][group[large]], large, hub=True)
             i = np.arange(len(keys) - 1)
             i = i[(group[i] == group[i + 1]) & (count[i] > small)]
             pair(by_fp[i], by_fp[i + 1])
@@ -320,68 +325,93 @@ def verify_pairs(pairs: DataFrame, owners: DataFrame, rows: DataFrame, hot: np.n
     return search(uses, owners, rows, hot)
 
 
-def component_candidates(tasks: DataFrame, roots: DataFrame, maps: DataFrame, block: int = MEMBERS) -> DataFrame:
-    """a, b: a class and a class of a component it has to be held against whose bitmaps allow a link.
+class Block:
+    """Classes of one token group, as arrays."""
 
-    tasks: fp, root, members.  Bitmaps of a component's classes stand in
-    blocks of about `block`; each probe is sent to every block.
+    def __init__(self, members: pa.StructArray):
+        self.fp, self.n, self.m, self.root, self.before = (members.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("fp", "n", "m", "root", "before"))
+        raws = members.field("bits").to_pylist()
+        self.length = np.array([len(raw) for raw in raws], np.int64)
+        self.place = np.zeros(len(raws), np.int64)
+        self.maps = {}
+        for length in np.unique(self.length).tolist():
+            own = np.flatnonzero(self.length == length)
+            self.place[own] = np.arange(len(own))
+            self.maps[length] = np.frombuffer(b"".join(raws[i] for i in own), np.uint8).reshape(len(own), length)
+
+    def of(self, rows: np.ndarray, width: int) -> np.ndarray:
+        """Bitmaps of these rows (all of one length), folded to `width` bytes."""
+        return folded(self.maps[int(self.length[rows[0]])][self.place[rows]], width)
+
+
+def folded(matrix: np.ndarray, width: int) -> np.ndarray:
+    while matrix.shape[1] > width:
+        pairs = (matrix | matrix << 1) & 0xAA  # each even place holds either of two bits
+        matrix = np.packbits(np.unpackbits(pairs, axis=1)[:, ::2], axis=1)
+    return matrix
+
+
+def pairs_apart(x: Block, y: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of x, row of y, whether a bitmap was folded) of pairs that lie in different components and may link.
+
+    Pairs that share the token before this one meet there already.
+    """
+    apart = (x.root[:, None] != y.root[None, :]) & ((x.before[:, None] != y.before[None, :]) | (x.before[:, None] == 0))
+    if x is y:
+        apart = np.triu(apart, 1)
+    i, j = np.nonzero(apart & candidate_mask(x.n[:, None], x.m[:, None], y.n[None, :], y.m[None, :]))
+    good = np.zeros(len(i), dtype=bool)
+    kinds = x.length[i] << 32 | y.length[j]
+    for kind in np.unique(kinds):
+        own = np.flatnonzero(kinds == kind)
+        width = int(min(kind >> 32, kind & 0xFFFFFFFF))
+        for part in np.array_split(own, -(-len(own) * width // (4 << 20))):
+            a, b = i[part], j[part]
+            u, v = x.of(a, width), y.of(b, width)
+            left = np.minimum(x.n[a] - np.bitwise_count(u & ~v).sum(axis=1, dtype=np.int64), y.n[b] - np.bitwise_count(v & ~u).sum(axis=1, dtype=np.int64))
+            good[part] = left >= needed(x.n[a], y.n[b])
+    i, j = i[good], j[good]
+    return i, j, (map_bits(x.n[i]) > 8 * MAP_BYTES) | (map_bits(y.n[j]) > 8 * MAP_BYTES)
+
+
+def group_candidates(groups: DataFrame, roots: DataFrame, maps: DataFrame, size: int = GROUP_BLOCK) -> DataFrame:
+    """a, b: classes of one token group but of different components whose bitmaps allow a link.
+
+    groups: token, fp, n, m (size and position).  Groups whose classes are all
+    connected are left alone.  A group is cut into blocks of about `size`
+    classes; pairs of blocks meet in tasks, and only pairs that pass come out.
     """
-    wanted = tasks.groupBy("root").agg(F.first("members").alias("members")).withColumnRenamed("root", "a")
-    blocks = F.ceil(F.col("members") / block)
-    linked = wanted.join(roots, F.col("a") == F.col("root")).select("a", "members", F.col("node").alias("fp"))
-    single = wanted.filter("members = 1").select("a", "members", F.col("a").alias("fp"))
-    held = linked.unionByName(single).select("a", F.pmod(F.xxhash64("fp"), blocks).cast("int").alias("salt"), "fp", F.lit(0).alias("role"))
-    probes = tasks.select(F.col("root").alias("a"), F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))).alias("salt"), "fp", F.lit(1).alias("role"))
-    mapped = held.unionByName(probes).join(maps.withColumnRenamed("fp", "of"), F.col("fp") == F.col("of")).select("a", "salt", "fp", "role", "n", "bits")
+    labelled = groups.join(roots, F.col("fp") == F.col("node"), "left").select("token", "fp", "n", "m", F.coalesce("root", "fp").alias("root"))
+    labelled = written(labelled, "labelled")
+    stands = labelled.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("many")).filter("lo <> hi")
+    blocks = F.ceil(F.col("many") / size).cast("int")
+    still = labelled.join(stands.select(F.col("token").alias("open"), blocks.alias("blocks")), F.col("token") == F.col("open")).drop("open")
+    before = F.coalesce(F.lag("token").over(W.partitionBy("fp").orderBy("m")), F.lit(0))
 
-    def run(batches):
-        key, held, table = None, [], None
+    def fold(batches):
         for batch in batches:
-            found = []
-            for a, salt, fp, role, n, bits in zip(*(batch.column(c).to_pylist() for c in ("a", "salt", "fp", "role", "n", "bits")), strict=True):
-                if key != (a, salt):
-                    key, held, table = (a, salt), [], None
-                if role == 0:
-                    held.append((fp, n, bits))
-                    continue
-                table = table or BitmapBlock(held)
-                found += [(fp, other) for other in table.allowed(n, bits) if other != fp]
-            cols = list(zip(*found, strict=True)) if found else [[], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b"])
+            raws = [folded(np.frombuffer(raw, np.uint8)[None, :], MAP_BYTES).tobytes() if len(raw) > MAP_BYTES else raw for raw in batch.column("bits").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array(raws, pa.binary())], names=["of", "bits"])
 
-    n = partitions(tasks.sparkSession)
-    return mapped.repartition(n, "a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(run, "a long, b long")
-
-
-class BitmapBlock:
-    """Bitmaps of many sets, by length, against which one is held at a time."""
-
-    def __init__(self, rows: list[tuple[int, int, bytes]]):
-        self.parts: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for length in {len(bits) for _, _, bits in rows}:
-            own = [r for r in rows if len(r[2]) == length]
-            self.parts[length] = np.array([r[0] for r in own]), np.array([r[1] for r in own]), np.frombuffer(b"".join(r[2] for r in own), np.uint8).reshape(len(own), length)
-
-    @staticmethod
-    def folded(matrix: np.ndarray, length: int) -> np.ndarray:
-        while matrix.shape[1] > length:
-            pairs = (matrix | matrix << 1) & 0xAA  # each even place holds either of two bits
-            spread = np.unpackbits(pairs, axis=1)[:, ::2]
-            matrix = np.packbits(spread, axis=1)
-        return matrix
-
-    def allowed(self, size: int, bits: bytes) -> list[int]:
-        own = np.frombuffer(bits, np.uint8)[None, :]
-        out: list[int] = []
-        for length, (fps, sizes, maps) in self.parts.items():
-            fits = (4 * np.minimum(sizes, size) >= 3 * np.maximum(sizes, size)).nonzero()[0]
-            if not len(fits):
-                continue
-            width = min(length, own.shape[1])
-            x, y = self.folded(own, width), self.folded(maps[fits], width)
-            left = np.minimum(size - np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64), sizes[fits] - np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64))
-            out += fps[fits][left >= needed(sizes[fits], size)].tolist()
-        return out
+    # A class stands in the groups of its whole prefix, so what travels with it is bounded by MAP_BYTES.
+    short = maps.select("fp", "bits").mapInArrow(fold, "of long, bits binary")
+    packed = still.withColumn("before", before).join(short, F.col("fp") == F.col("of")).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    packed = packed.groupBy("token", "block", "blocks").agg(F.collect_list(F.struct("fp", "n", "m", "root", "before", "bits")).alias("members"))
+    met = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.groupBy("token", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")).agg(F.collect_list("members").alias("sides"))
+
+    def compare(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                held = batch.column("sides").slice(k, 1).flatten()
+                sides = [Block(held.slice(s, 1).flatten()) for s in range(len(held))]
+                i, j, fold = pairs_apart(sides[0], sides[-1])
+                if len(i):
+                    ends = np.sort(np.column_stack([sides[0].fp[i], sides[-1].fp[j]]), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(ends[:, 0])), pa.array(np.ascontiguousarray(ends[:, 1])), pa.array(fold)], names=["a", "b", "folded"])
+
+    found = written(met.select("sides").mapInArrow(compare, "a long, b long, folded boolean").distinct(), "apart")
+    return found.filter("not folded").select("a", "b").unionByName(thinned(found.filter("folded").select("a", "b"), maps))
 
 
 def search(uses: DataFrame, owners: DataFrame, rows: DataFrame, hot: np.ndarray) -> DataFrame:
@@ -458,20 +488,9 @@ def link_classes(docs: DataFrame, small: int = SMALL, block: int = MEMBERS) -> t
     first = met.filter(F.col("kind") == PAIR).select("a", "b").distinct()
     links = written(verify_pairs(written(thinned(first, maps), "pairs"), owners, rows, hot, block), "links", compact=True)
     roots = connected(links)
-    # Members of a large group that are not connected yet: the smaller component's classes probe the larger component.
-    sizes = roots.groupBy(F.col("root").alias("of")).agg(F.count(F.lit(1)).alias("members"))
     groups = met.filter(F.col("kind") == GROUP).select(F.col("a").alias("token"), F.col("b").alias("fp"), "n", "m")
-    labelled = groups.join(roots, F.col("fp") == F.col("node"), "left").select("token", "fp", "n", "m", F.coalesce("root", "fp").alias("root"))
-    apart = labelled.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select(F.col("token").alias("open"))
-    sized = labelled.join(apart, F.col("token") == F.col("open"), "left_semi").join(sizes, F.col("root") == F.col("of"), "left")
-    unsettled = written(sized.select("token", "fp", "n", "m", "root", F.coalesce("members", F.lit(1)).alias("members")), "unsettled")
-    if unsettled.limit(1).count():
-        parts = unsettled.groupBy(F.col("token").alias("same"), F.col("root").alias("their"), F.col("members").alias("many")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("m")).alias("left"))
-        larger = F.struct("many", "their") > F.struct("members", "root")
-        # What any of them could reach: lengths that fit, and enough tokens left behind the shared one.
-        fits = (4 * F.col("hi") >= 3 * F.col("n")) & (3 * F.col("lo") <= 4 * F.col("n")) & (F.least(F.col("n") - F.col("m"), F.col("left")) >= F.ceil(3 * (F.col("n") + F.greatest(F.col("lo"), F.ceil(0.75 * F.col("n")))) / 7))
-        tasks = unsettled.join(parts, (F.col("token") == F.col("same")) & larger & fits).select("fp", F.col("their").alias("root"), F.col("many").alias("members")).distinct()
-        more = written(component_candidates(written(tasks, "tasks"), roots, maps, block), "more", compact=True)
+    if groups.limit(1).count():
+        more = written(group_candidates(groups, roots, maps, max(2, min(GROUP_BLOCK, block // 2))), "more", compact=True)
         late = written(verify_pairs(more, owners, rows, hot, block), "late", compact=True)
         links = links.unionByName(late)
         if late.limit(1).count():

@@ -1,13 +1,19 @@
 """Suffix-array dedup by prefix-free parsing, distributed.
 
-A rolling hash of 12 bytes triggers phrase starts.  The suffixes at phrase
-starts, grouped by their first bytes (the core) and told apart by what stands
-left and right of it, put the corpus's suffixes in order without ever
-comparing two texts: a start d bytes before its next trigger t repeats if
-another suffix of the core's group agrees on the d bytes left of t and on the
-rest of the window right of it.  Where the whole surrounding of a trigger (its
-phrase and a window) occurs twice, all its starts repeat at once; only where
-surroundings of one core differ, at edges of repeats, single starts are met.
+A rolling hash of 12 bytes triggers phrase starts: a place is one if its hash is
+the smallest (the last of equal ones) in some window of SPAN places.  The first
+SPAN bytes of any string hold the trigger of the window that starts with it, so
+equal strings have that trigger at the same place, phrases are bounded, and no
+string is without one.  The dictionary holds what follows a trigger for `core`
+bytes: a string of the width asked for holds the whole entry of its trigger, so
+it repeats only if the entry does.  Entries that repeat are ordered by entry and
+by what stands left and right of them.  Where the whole surroundings of two
+triggers (all strings that belong to them) agree, all these strings repeat at
+once; only where surroundings of one entry differ, at edges of repeats, the
+strings are met singly.
+
+The order is one of 64-bit hashes: equal suffixes stand together in it, as in a
+suffix array, but it isn't lexicographic.
 """
 
 from __future__ import annotations
@@ -24,7 +30,7 @@ from .exchange import Entries, covered, exchange, marks_of, runs, text_rows, tex
 from .shared import written
 from .textscan import U64, byte_rolling
 
-GRAM, ONE_IN, REACH = 12, 40, 160
+GRAM, SPAN, CORE, PASSAGE = 12, 64, 240, 256
 
 
 def _classes(keys, more, counts):
@@ -48,44 +54,50 @@ def _with_local(first, keys, places, more, values) -> Entries:
     return Entries(first, keys[sent], (places * 2 + speaker)[sent], [more[sent]], values[twice])
 
 
-def phrases(rows: DataFrame, width: int) -> DataFrame:
-    """Marks (trigger << 16 | reach << 1 | edge): all `reach` starts up to the trigger repeat, or (edge) must be met singly."""
-    core = width - REACH + 1
+def triggers(data: np.ndarray, offsets: np.ndarray, width: int, roll, asked: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Triggers with the first and last start of the strings of `width` bytes that belong to each; asked: only these starts count."""
+    none = np.zeros(0, np.int64)
+    if len(data) < width:
+        return none, none, none
+    at = np.arange(len(data) - GRAM + 1)
+    # The smallest hash, then the last place, of each window: minima over 1, 2, 4, ... places.
+    least = roll.raw(at, at + GRAM) * U64(0xD6E8FEB86659FD93) & ~U64(0xFFFFFFFF) | (U64(0xFFFFFFFF) - at.astype(np.uint64))
+    for k in range(SPAN.bit_length() - 1):
+        np.minimum(least[: -(1 << k)], least[1 << k :], out=least[: -(1 << k)])
+    room = np.zeros(len(data) + 1, dtype=np.int8)
+    long = np.flatnonzero(np.diff(offsets) >= width)
+    np.add.at(room, offsets[long], 1)
+    np.add.at(room, offsets[long + 1] - width + 1, -1)
+    usable = np.cumsum(room[:-1], dtype=np.int8) > 0
+    start = np.flatnonzero(usable if asked is None else usable & asked)
+    t = (U64(0xFFFFFFFF) - (least[start] & U64(0xFFFFFFFF))).astype(np.int64)
+    heads = runs(t, start - np.arange(len(start)))
+    return t[heads], start[heads], start[np.append(heads[1:], len(t)) - 1] if len(t) else none
+
+
+def parse(rows: DataFrame, width: int, within: int = 0) -> DataFrame:
+    """Marks of triggers whose entry of the dictionary repeats: all strings that belong to them do too, or (edge) must be met singly.
+
+    A mark is trigger << 16 | (trigger - first start) << 8 | (trigger - last start) << 1 | edge.
+    within: rows have marks and singles of this smaller width; a string repeats only if all the smaller ones in it do.
+    """
+    core = core_of(width)
+
+    def inner(batch, offsets):
+        """Starts at which, and up to width - within bytes later, strings of the smaller width repeat."""
+        found = [repeated_starts(m, s, int(n), within) + o for m, s, n, o in zip(batch.column("marks").to_pylist(), batch.column("singles").to_pylist(), np.diff(offsets), offsets[:-1], strict=True)]
+        known = np.zeros(int(offsets[-1]) + 1, np.int64)
+        known[np.concatenate(found) + 1] = 1
+        known = np.cumsum(known)
+        last = np.minimum(np.arange(int(offsets[-1])) + width - within + 1, int(offsets[-1]))
+        return known[last] - known[:-1] == width - within + 1
 
     def entries(batch, data, offsets):
-        n = len(data)
         roll = byte_rolling(data)
-        none = np.zeros(0, np.int64)
-        if n < width:
-            return Entries(offsets, np.zeros(0, np.uint64), none, [np.zeros(0, np.uint64)])
-        at = np.arange(n - GRAM + 1)
-        fires = (roll.raw(at, at + GRAM) * U64(0xD6E8FEB86659FD93) >> U64(32)) < U64((1 << 32) // ONE_IN)
-        t = np.flatnonzero(fires)
-        text = np.searchsorted(offsets, t, side="right") - 1
-        inside = t + GRAM <= offsets[text + 1]
-        t, text = t[inside], text[inside]
-        before = np.concatenate([[-1], t[:-1]]) if len(t) else none
-        before = np.maximum(before, offsets[text] - 1)
-        reach = np.minimum(t - before, REACH)
-        right = np.minimum(width, offsets[text + 1] - t)
-        # Starts that no trigger reaches are met singly.
-        delta, room = np.zeros(n + 1, dtype=np.int8), np.zeros(n + 1, dtype=np.int8)
-        delta[t - reach + 1] += 1
-        delta[t + 1] -= 1
-        long = np.flatnonzero(np.diff(offsets) >= width)
-        np.add.at(room, offsets[long], 1)
-        np.add.at(room, offsets[long + 1] - width + 1, -1)
-        alone = np.flatnonzero((np.cumsum(room[:-1], dtype=np.int8) > 0) & (np.cumsum(delta[:-1], dtype=np.int8) == 0))
-        some = (right >= core) & (reach - 1 + right >= width)
-        t, reach, right = t[some], reach[some], right[some]
-        around = (roll.of(t - reach + 1, t + right) & ~U64(0xFF)) | reach.astype(np.uint64)
-        single = roll.of(alone, alone + width)
-        keys = np.concatenate([roll.of(t, t + core), single])
-        more = np.concatenate([around, ((single * U64(0x9E3779B97F4A7C15)) & ~U64(0xFF)) | U64(1)])
-        places = np.concatenate([t, alone])
-        order = np.argsort(places, kind="stable")
-        keys, more, places = keys[order], more[order], places[order]
-        return _with_local(offsets, keys, places, more, places.astype(np.uint64) << U64(16) | (more & U64(0xFF)) << U64(1))
+        t, lo, hi = triggers(data, offsets, width, roll, inner(batch, offsets) if within else None)
+        where = ((t - lo) << 8 | (t - hi) << 1).astype(np.uint64)
+        around = roll.of(lo, hi + width) & ~U64(0xFFFF) | where
+        return _with_local(offsets, roll.of(t, t + core), t, around, t.astype(np.uint64) << U64(16) | where)
 
     def judge(keys, places, more):
         twice, at = (places & U64(1)).astype(np.int64), places >> U64(1)
@@ -96,21 +108,29 @@ def phrases(rows: DataFrame, width: int) -> DataFrame:
         groups = runs(keys[order[starts]])
         several = np.repeat(np.diff([*groups, len(starts)]) > 1, np.diff([*groups, len(starts)]))
         edges = order[starts[several]]
-        value = lambda i: at[i] << U64(16) | (more[i] & U64(0xFF)) << U64(1)
+        value = lambda i: at[i] << U64(16) | more[i] & U64(0xFFFE)
         return np.concatenate([repeats, edges]), np.concatenate([value(repeats), value(edges) | U64(1)])
 
     return exchange(rows, entries, judge, (5, 8))
 
 
+def core_of(width: int) -> int:
+    """Bytes of an entry of the dictionary."""
+    if width < SPAN + GRAM:
+        raise ValueError(f"strings of under {SPAN + GRAM} bytes are too short for windows of {SPAN} places")
+    return min(CORE, width - SPAN + 1)
+
+
 def _starts(marks: np.ndarray) -> np.ndarray:
     """All starts that marks stand for."""
-    t, reach = (marks >> U64(16)).astype(np.int64), ((marks & U64(0xFFFF)) >> U64(1)).astype(np.int64)
-    last = np.cumsum(reach)
-    return np.arange(last[-1] if len(last) else 0) - np.repeat(last - reach, reach) + np.repeat(t - reach + 1, reach)
+    t, low = (marks >> U64(16)).astype(np.int64), (marks & U64(0xFFFF)).astype(np.int64)
+    first, size = t - (low >> 8), (low >> 8) - (low >> 1 & 0x7F) + 1
+    last = np.cumsum(size)
+    return np.arange(last[-1] if len(last) else 0) - np.repeat(last - size, size) + np.repeat(first, size)
 
 
 def single_starts(rows: DataFrame, width: int) -> DataFrame:
-    """Marks (start << 16 | 1 << 1) of starts at edges that repeat; rows have marks of phrases."""
+    """Marks (start << 16) of starts at edges that repeat; rows have marks of `parse`."""
 
     def entries(batch, data, offsets):
         found = [np.zeros(0, np.int64)]
@@ -121,82 +141,116 @@ def single_starts(rows: DataFrame, width: int) -> DataFrame:
         if not len(at):
             return Entries(offsets, np.zeros(0, np.uint64), at, [np.zeros(0, np.uint64)])
         keys = byte_rolling(data).of(at, at + width)
-        return _with_local(offsets, keys, at, np.zeros(len(at), np.uint64), at.astype(np.uint64) << U64(16) | U64(2))
+        return _with_local(offsets, keys, at, np.zeros(len(at), np.uint64), at.astype(np.uint64) << U64(16))
 
     def judge(keys, places, more):
         twice, at = (places & U64(1)).astype(np.int64), places >> U64(1)
         order, starts, totals = _classes(keys, more, 1 + twice)
         hit = order[np.repeat(totals > 1, np.diff([*starts, len(keys)]))]
         hit = hit[twice[hit] == 0]
-        return hit, at[hit] << U64(16) | U64(2)
+        return hit, at[hit] << U64(16)
 
     return exchange(rows, entries, judge, (8, 0))
 
 
-def judged_rows(rows: DataFrame, width: int) -> DataFrame:
-    """rows (rid, h, text, ...) with marks and singles, what both passes found."""
-    own = rows.select("rid", "h", "text")
-    marked = written(phrases(own, width), "phrases")
-    singles = single_starts(own.join(marked.hint("shuffle_hash"), ["rid", "h"]), width).withColumnRenamed("marks", "singles")
-    return rows.join(marked.hint("shuffle_hash"), ["rid", "h"], "left").join(singles.hint("shuffle_hash"), ["rid", "h"], "left")
+def repeated_starts(marks: list[bytes] | None, singles: list[bytes] | None, n: int, width: int) -> np.ndarray:
+    """Starts in a text of n bytes of strings that repeat."""
+    values = np.concatenate([np.zeros(0, np.uint64), *(unpacked(m) for m in marks or ()), *(unpacked(m) for m in singles or ())])
+    s = np.unique(_starts(values[(values & U64(1)) == 0]))
+    return s[(s >= 0) & (s <= n - width)]
+
+
+def marked_rows(rows: DataFrame, width: int, within: int = 0) -> DataFrame:
+    """rid, h, text, marks, singles of the rows (rid, h, text, ...) in which some entry of the dictionary repeats."""
+    own = rows.select("rid", "h", "text", *(["marks", "singles"] if within else []))
+    marked = written(parse(own, width, within), "phrases")
+    kept = written(rows.select("rid", "h", "text").join(marked.hint("shuffle_hash"), ["rid", "h"]), "marked")
+    singles = written(single_starts(kept, width).withColumnRenamed("marks", "singles"), "singles")
+    return kept.join(singles.hint("shuffle_hash"), ["rid", "h"], "left")
+
+
+def judged_rows(rows: DataFrame, *judged: DataFrame) -> DataFrame:
+    """rows with marks0 and singles0 of the first, marks1 and singles1 of the second of `judged`, and so on."""
+    for i, found in enumerate(judged):
+        of = found.select("rid", "h", F.col("marks").alias(f"marks{i}"), F.col("singles").alias(f"singles{i}")).dropDuplicates(["rid", "h"])
+        rows = rows.join(of.hint("shuffle_hash"), ["rid", "h"], "left")
+    return rows
 
 
 def removed(n: int, marks: list[bytes] | None, singles: list[bytes] | None, width: int) -> np.ndarray | None:
     """Which of n bytes go; None if none does."""
-    values = np.concatenate([np.zeros(0, np.uint64), *(unpacked(m) for m in marks or ()), *(unpacked(m) for m in singles or ())])
-    s = np.unique(_starts(values[(values & U64(1)) == 0]))
-    s = s[(s >= 0) & (s <= n - width)]
+    s = repeated_starts(marks, singles, n, width)
     return covered(n, s, s + width) if len(s) else None
 
 
-def remove_repeats(docs: DataFrame, width: int = 400) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs (doc_id, text).
+def remove_repeats(docs: DataFrame, width: int = 400, passage: int = PASSAGE) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_repeated for each row of docs (doc_id, text).
 
     A byte goes if a string of `width` bytes of its document covers it that
     starts at another place too, in any document (also its own; overlaps
-    count; all occurrences go).  Null, empty and short texts lose nothing.
-    Repeated rows are documents of their own, so both lose what they share;
-    a null doc_id is judged like any other.  An empty table gives no rows.
+    count; all occurrences go).  n_repeated counts the bytes that such strings
+    of `passage` (at most `width`) bytes cover; those under no string of
+    `width` stay.  Null, empty and short texts lose nothing.  Repeated rows are
+    documents of their own, so both lose what they share; a null doc_id is
+    judged like any other.  An empty table gives no rows.
     """
+    rows = text_rows(docs)
+    short = marked_rows(rows, passage)
+    found = [short, marked_rows(short, width, passage)]
 
     def finish(batches):
         for batch in batches:
             out = []
-            for raw, marks, single in zip(texts_of(batch), batch.column("marks").to_pylist(), batch.column("singles").to_pylist(), strict=True):
-                gone, spans, text = removed(len(raw), marks, single, width), 0, raw
+            for raw, m0, s0, m1, s1 in zip(texts_of(batch), *(batch.column(c).to_pylist() for c in ("marks0", "singles0", "marks1", "singles1")), strict=True):
+                gone, spans, text = removed(len(raw), m1, s1, width), 0, raw
                 if gone is not None:
                     text = np.frombuffer(raw, dtype=np.uint8)[~gone].tobytes()
                     spans = int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1))
-                out.append((len(raw), len(raw) - len(text), spans, hashlib.sha256(text).hexdigest()))
-            cols = list(zip(*out, strict=True)) if out else [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                again = removed(len(raw), m0, s0, passage)
+                out.append((len(raw), len(raw) - len(text), spans, hashlib.sha256(text).hexdigest(), 0 if again is None else int(np.count_nonzero(again))))
+            cols = list(zip(*out, strict=True)) if out else [[]] * 5
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.int64())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated"])
+
+    return judged_rows(rows, *found).select("doc_id", "text", "marks0", "singles0", "marks1", "singles1").mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated long")
+
 
-    return judged_rows(text_rows(docs), width).select("doc_id", "text", "marks", "singles").mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+def long_runs(raw: bytes, gone: np.ndarray, least_words: int) -> np.ndarray:
+    """gone without the runs in which fewer than least_words words stand."""
+    edges = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0))
+    out = gone.copy()
+    for start, end in edges.reshape(-1, 2):
+        if len(raw[start:end].split()) < least_words:
+            out[start:end] = False
+    return out
 
 
-def cut_repeats(docs: DataFrame, width: int = 400) -> DataFrame:
+def cut_repeats(docs: DataFrame, width: int = 400, least_words: int = 0) -> DataFrame:
     """The rows of docs with texts (and n_chars) without repeated strings; a text that this empties goes.
 
-    Characters that a removed run would cut stay whole.  Other columns stay.
+    Characters that a removed run would cut stay whole.  Runs of fewer than
+    `least_words` words (parts of words at the ends count) stay.  Other columns
+    stay.
     """
     names = docs.columns
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(np.iinfo(np.int64).max).cast("long")).alias("rid"), F.xxhash64(F.col("text").cast("string")).alias("h"), F.col("text").cast("string").alias("text"), F.struct(*(F.col(c) for c in names if c != "text"), F.lit(0).alias("_")).alias("row"))
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(np.iinfo(np.int64).max).cast("long")).alias("rid"), F.xxhash64(F.col("text").cast("string")).alias("h"), F.col("text").cast("string").alias("text"), F.struct(*(F.col(c).alias(f"c{i}") for i, c in enumerate(names) if c != "text"), F.lit(0).alias("unused")).alias("row"))
 
     def finish(batches):
         for batch in batches:
             texts, kept = [], []
-            for raw, marks, single in zip(texts_of(batch), batch.column("marks").to_pylist(), batch.column("singles").to_pylist(), strict=True):
+            for raw, marks, single in zip(texts_of(batch), batch.column("marks0").to_pylist(), batch.column("singles0").to_pylist(), strict=True):
                 gone = removed(len(raw), marks, single, width)
+                if gone is not None and least_words:
+                    gone = long_runs(raw, gone, least_words)
                 text = raw if gone is None else whole_characters(raw, gone)
                 texts.append(text.decode("utf-8", "replace"))
                 kept.append(gone is None or bool(text))
-            cols = {c: pc.struct_field(batch.column("row"), c) for c in names if c != "text"} | {"text": pa.array(texts, pa.string())}
-            if "n_chars" in cols:
-                cols["n_chars"] = pa.array([len(t) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([cols[c] for c in names], names=names).filter(pa.array(kept, pa.bool_()))
+            cols = [pa.array(texts, pa.string()) if c == "text" else pc.struct_field(batch.column("row"), f"c{i}") for i, c in enumerate(names)]
+            if "n_chars" in names:
+                cols[names.index("n_chars")] = pa.array([len(t) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array(kept, pa.bool_()))
 
     schema = docs.select(*(F.col(c).cast({"n_chars": "long", "text": "string"}[c]).alias(c) if c in ("n_chars", "text") else F.col(c) for c in names)).schema
-    return judged_rows(keyed, width).select("row", "text", "marks", "singles").mapInArrow(finish, schema)
+    return judged_rows(keyed, marked_rows(keyed, width)).select("row", "text", "marks0", "singles0").mapInArrow(finish, schema)
 
 
 def whole_characters(raw: bytes, gone: np.ndarray) -> bytes:
@@ -215,6 +269,9 @@ ORACLE = """
 WITH raw AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
 windows AS (SELECT doc_id, i, md5(substr(x, 2 * i + 1, 800)) AS k FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 399)) AS i FROM raw WHERE length(x) >= 800)),
 repeated AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY k) AS n FROM windows) WHERE n > 1),
+shorter AS (SELECT doc_id, i, md5(substr(x, 2 * i + 1, 512)) AS k FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 255)) AS i FROM raw WHERE length(x) >= 512)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY k) AS n FROM shorter) WHERE n > 1),
+standing AS (SELECT doc_id, sum(least(256, coalesce(next - i, 256))) AS n_repeated FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM again) GROUP BY doc_id),
 marked AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400 THEN 0 ELSE 1 END AS fresh FROM repeated),
 numbered AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked),
 runs AS (SELECT doc_id, run, min(i) AS a, max(i) + 400 AS b FROM numbered GROUP BY doc_id, run),
@@ -225,6 +282,6 @@ kept AS (
          string_agg(substr(x, 2 * after + 1, 2 * (a - after)) || CASE WHEN place = n THEN substr(x, 2 * b + 1) ELSE '' END, '' ORDER BY a) AS rest
   FROM pieces p JOIN raw ON raw.doc_id = p.doc_id GROUP BY p.doc_id)
 SELECT raw.doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
-       sha256(unhex(CASE WHEN gone IS NULL THEN x ELSE coalesce(rest, '') END)) AS kept_sha256
-FROM raw LEFT JOIN kept ON kept.doc_id = raw.doc_id
+       sha256(unhex(CASE WHEN gone IS NULL THEN x ELSE coalesce(rest, '') END)) AS kept_sha256, CAST(coalesce(n_repeated, 0) AS BIGINT) AS n_repeated
+FROM raw LEFT JOIN kept ON kept.doc_id = raw.doc_id LEFT JOIN standing ON standing.doc_id = raw.doc_id
 """

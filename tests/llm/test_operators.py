@@ -151,20 +151,50 @@ def test_block_dedup(docs, rows, odd):
         assert collections.Counter(map(tuple, blocks.remove_repeats(df).collect())) == brute_blocks(data)
 
 
-def brute_parse(rows, width=400):
-    count = collections.Counter()
+def brute_parse(rows, width=400, passage=256):
     raws = [(i, (t or "").encode()) for i, t in rows]
-    for _, raw in raws:
-        count.update(raw[s : s + width] for s in range(len(raw) - width + 1))
-    out = collections.Counter()
-    for i, raw in raws:
-        gone = np.zeros(len(raw), bool)
+
+    def gone(raw, width):
+        out = np.zeros(len(raw), bool)
         for s in range(len(raw) - width + 1):
             if count[raw[s : s + width]] > 1:
-                gone[s : s + width] = True
-        kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-        spans = int((np.diff(gone.astype(int), prepend=0) == 1).sum())
-        out[(i, len(raw), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest())] += 1
+                out[s : s + width] = True
+        return out
+
+    count = collections.Counter(raw[s : s + w] for w in (width, passage) for _, raw in raws for s in range(len(raw) - w + 1))
+    out = collections.Counter()
+    for i, raw in raws:
+        cut = gone(raw, width)
+        kept = np.frombuffer(raw, np.uint8)[~cut].tobytes()
+        spans = int((np.diff(cut.astype(int), prepend=0) == 1).sum())
+        out[(i, len(raw), int(cut.sum()), spans, hashlib.sha256(kept).hexdigest(), int(gone(raw, passage).sum()))] += 1
+    return out
+
+
+def brute_cut(rows, width, least_words):
+    """Texts by id without runs of repeated strings that hold least_words words; characters stay whole; emptied texts go."""
+    raws = [(i, (t or "").encode()) for i, t in rows]
+    count = collections.Counter(raw[s : s + width] for _, raw in raws for s in range(len(raw) - width + 1))
+    out = {}
+    for i, raw in raws:
+        ends = [-1] + [s for s in range(len(raw) - width + 1) if count[raw[s : s + width]] > 1]
+        gone, cut = [], set()
+        for s in ends[1:]:
+            if gone and s <= gone[-1][1]:
+                gone[-1][1] = s + width
+            else:
+                gone.append([s, s + width])
+        for a, b in gone:
+            if len(raw[a:b].split()) >= least_words:
+                cut.update(range(a, b))
+        place, kept = 0, []
+        for c in raw.decode():
+            size = len(c.encode())
+            if not cut.issuperset(range(place, place + size)):
+                kept.append(c)
+            place += size
+        if kept or not cut:
+            out[i] = "".join(kept)
     return out
 
 
@@ -184,6 +214,29 @@ def test_parse_dedup_runs_edges_and_repeats(spark):
     assert 5 not in kept and kept[7] is not None and all("�" not in t for t in kept.values())
 
 
+def test_cut_repeats_takes_passages_of_50_words(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghé") for _ in range(rng.randint(3, 8)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    passages = {n: prose(n) for n in (55, 80, 120)}
+    boiler = prose(45)
+    data = [(10 * n + k, f"{prose(90)} {p} {prose(70)}") for n, p in passages.items() for k in range(3)] + [(k, f"{prose(100)} {boiler}\n{prose(100)}") for k in range(4)] + [(5, None), (6, "")]
+    docs = spark.createDataFrame(data, "doc_id long, text string").withColumn("row", F.lit("x")).withColumn("h", F.lit(1)).withColumn("_", F.lit(2))
+    got = {r.doc_id: r for r in parsing.cut_repeats(docs, width=parsing.PASSAGE, least_words=50).collect()}
+    assert set(got) == {i for i, _ in data} and got[6].text == "" and got[10 * 55].row == "x" and got[10 * 55]["_"] == 2
+    for i, text in data:
+        inside = [p for p in passages.values() if p in (text or "")]
+        if inside:
+            assert inside[0] not in got[i].text and len(got[i].text.split()) <= 164
+        elif text:
+            assert got[i].text == text
+
+
+def test_string_widths_too_short_for_triggers(spark):
+    with pytest.raises(ValueError, match="too short"):
+        parsing.cut_repeats(spark.createDataFrame([(1, "a")], "doc_id long, text string"), width=40)
+
+
 def test_mixing(docs, odd, empty, spark):
     con = duckdb.connect()
     con.sql(f"create view documents as select * from '{SMALL}/documents.parquet'")

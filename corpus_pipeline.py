@@ -32,8 +32,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without their repeated 400-byte strings (whole characters only); texts that this empties go."""
-    return parsing.cut_repeats(_same(docs)).select(*COLUMNS)
+    """Texts without repeated strings of 256 bytes where they cover 50 words or more (whole characters only); texts that this empties go."""
+    return parsing.cut_repeats(_same(docs), width=256, least_words=50).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,14 +2,18 @@
 
 Each class has an interpolated Kneser-Ney model of the bytes of a text, lower-
 cased and with one boundary between words, given the five bytes before them,
-also those of the words before.  Class counts (all labelled rows outside fold
-0) hold for the orders from OWN up; they back off to continuation counts of
-all texts up to order SHARED, and at last to byte pairs of all texts, which
-both classes share.
-Every count above 0 is discounted by DISCOUNT, so rare expressions count and
-are smoothed by their parts.  The length-normalised difference of the
-log-likelihoods of the document, and those of its most toxic words, are turned
-into a probability by a logistic curve.  The curve is fitted on a bounded
+also those of the words before.  Counts above 0 are discounted by DISCOUNT at
+every order; what that leaves goes to the next order down: the class's own
+counts (all labelled rows outside fold 0) from ORDER to SHARED bytes, then
+continuation counts and byte pairs of all texts, which both classes share.  So
+rare expressions count, and are smoothed by their parts.
+
+Each word has the difference of its toxic and its ordinary log-likelihood.  A
+document has their length-normalised mean in the exponential sense,
+log(mean(exp(SHARPNESS * difference))) / SHARPNESS over its words: the plain
+mean, in which SHARPNESS is near 0, drowns a few toxic words of a long
+document.  A curve that can only rise turns it into a probability: a logistic one
+over how rare such a score is among ordinary rows.  It is fitted on a bounded
 number of labelled rows (`per_class`), scored by counts without these rows.
 
 Counts are a table of grams, dealt by the two bytes before the last: grams of
@@ -28,10 +32,9 @@ from .langid import fold
 from .shared import doc_text, partitions, written
 from .textscan import LOWER, U64, alnum_words, chunks, give_back, mix, row_of, words
 
-ORDER, SHARED, OWN, DISCOUNT, STRONG = 6, 3, 3, 0.75, 2.0
+ORDER, SHARED, DISCOUNT, SHARPNESS = 6, 3, 0.9, 0.75
 _IS_WORD = alnum_words()
 BOUNDARY = 0x20
-FEATURES = 5
 ALL, ORDINARY, TOXIC, FIT = 0, 1, 2, 2  # columns of counts; FIT is added for those without the curve's rows
 HELD = 1 << 21
 LABELS_TO_BROADCAST, GRAMS_TO_BROADCAST = 1_000_000, 4_000_000
@@ -42,10 +45,13 @@ def corpus_pairs(docs: DataFrame) -> np.ndarray:
 
     def count(batches):
         total = np.zeros(1 << 16, dtype=np.int64)
-        for _, data, _offsets in chunks(batches):
+        for _, data, offsets in chunks(batches):
             low = LOWER[data]
             low = np.where(_IS_WORD[low], low, BOUNDARY).astype(np.int32)
-            total += np.bincount(low[:-1] * 256 + low[1:], minlength=1 << 16)
+            inside = np.ones(max(len(low) - 1, 0), dtype=bool)
+            ends = offsets[1:-1]
+            inside[ends[(ends > 0) & (ends < len(low))] - 1] = False  # no pair reaches into another text
+            total += np.bincount((low[:-1] * 256 + low[1:])[inside], minlength=1 << 16)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], names=["pair", "n"])
 
@@ -128,48 +134,42 @@ class Orders:
             self.context[k] = np.unique(self.keys[k] >> U64(8), return_inverse=True)[1]
         self.grams = grams
 
-    def smoothed(self, n: np.ndarray, p: np.ndarray, low: int, high: int) -> np.ndarray:
-        """Interpolated probabilities, by gram, of orders low to high over p."""
-        raw = {k: np.bincount(self.of[k], weights=n, minlength=len(self.keys[k])) for k in range(low, ORDER + 1)}
-        for k in range(low, high + 1):
-            keys, of, context = self.keys[k], self.of[k], self.context[k]
-            c = raw[k]
-            if k < ORDER:
-                end = np.searchsorted(keys, self.keys[k + 1] & U64((1 << 8 * k) - 1))
-                begins = keys >> U64(8 * (k - 2)) == U64(BOUNDARY * 257)  # at a text's start nothing else precedes
-                c = np.where(begins, c, np.bincount(end, weights=raw[k + 1] > 0, minlength=len(keys)))
-            kept = np.maximum(c - DISCOUNT, 0.0)
-            total = np.bincount(context, weights=c)
-            left = np.where(total > 0, 1.0 - np.bincount(context, weights=kept) / np.maximum(total, 1.0), 1.0)
-            p = (kept / np.maximum(total, 1.0)[context])[of] + left[context][of] * p
-        return p
+    def smoothed(self, n: np.ndarray, p: np.ndarray, k: int) -> np.ndarray:
+        """Probabilities, by gram, of order k interpolated with p: raw counts at the highest order, continuation counts below."""
+        keys, of, context = self.keys[k], self.of[k], self.context[k]
+        c = np.bincount(of, weights=n, minlength=len(keys))
+        if k < ORDER:
+            longer = self.keys[k + 1]
+            end = np.searchsorted(keys, longer & U64((1 << 8 * k) - 1))
+            begins = keys >> U64(8 * (k - 2)) == U64(BOUNDARY * 257)  # at a text's start nothing else precedes
+            c = np.where(begins, c, np.bincount(end, weights=np.bincount(self.of[k + 1], weights=n, minlength=len(longer)) > 0, minlength=len(keys)))
+        kept = np.maximum(c - DISCOUNT, 0.0)
+        total = np.bincount(context, weights=c)
+        left = np.where(total > 0, 1.0 - np.bincount(context, weights=kept) / np.maximum(total, 1.0), 1.0)
+        return (kept / np.maximum(total, 1.0)[context])[of] + left[context][of] * p
 
 
 def log_ratios(grams: np.ndarray, n: list[np.ndarray], pairs: np.ndarray) -> list[np.ndarray]:
     """log P(toxic) - log P(ordinary) of each gram's last byte, by all counts and by those without the curve's rows."""
     orders = Orders(grams)
-    base = ((pairs + 0.5) / (pairs.sum(axis=1, keepdims=True) + 128.0))[(grams >> U64(8) & U64(255)).astype(np.int64), (grams & U64(255)).astype(np.int64)]
-    shared = orders.smoothed(n[ALL], base, 3, SHARED)
-    own = {c: orders.smoothed(n[c], shared, OWN, ORDER) for c in range(1, 5)}
+    shared = ((pairs + 0.5) / (pairs.sum(axis=1, keepdims=True) + 128.0))[(grams >> U64(8) & U64(255)).astype(np.int64), (grams & U64(255)).astype(np.int64)]
+    for k in range(3, SHARED + 1):
+        shared = orders.smoothed(n[ALL], shared, k)
+    own = dict.fromkeys(range(1, 5), shared)
+    for k in range(SHARED, ORDER + 1):
+        own = {c: orders.smoothed(n[c], p, k) for c, p in own.items()}
     return [np.log(own[TOXIC + more] / own[ORDINARY + more]).astype(np.float32) for more in (0, FIT)]
 
 
-def text_features(ratio: np.ndarray, begin: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Of each text: the mean difference a byte, the best word's, the second best's, the summed strong ones', and its length."""
-    out = np.zeros((len(first) - 1, FEATURES))
+def text_scores(ratio: np.ndarray, begin: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Of each text: the exponential mean of its words' differences; 0 without words."""
+    out = np.zeros(len(first) - 1)
     if not len(begin):
         return out
     word = np.add.reduceat(ratio.astype(np.float64), begin)
     texts = np.flatnonzero(first[1:] > first[:-1])
-    a = first[texts]
-    out[texts, 0] = np.add.reduceat(word, a) / np.diff([*begin[a], len(ratio)])
-    best = np.maximum.reduceat(word, a)
-    out[texts, 1] = best
-    rest = word.copy()
-    rest[rest >= best[np.repeat(np.arange(len(texts)), np.diff([*a, len(word)]))]] = -1.0
-    out[texts, 2] = np.maximum.reduceat(rest, a)
-    out[texts, 3] = np.log1p(np.add.reduceat(np.maximum(word - STRONG, 0.0), a))
-    out[texts, 4] = np.log1p(np.diff(first)[texts])
+    most, size = np.maximum.reduceat(word, first[texts]), np.diff(first)[texts]
+    out[texts] = most + np.log(np.add.reduceat(np.exp(SHARPNESS * (word - np.repeat(most, size))), first[texts]) / size) / SHARPNESS
     return out
 
 
@@ -194,6 +194,12 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
+def rarity(x: np.ndarray, knots: np.ndarray) -> np.ndarray:
+    """How many times the share of ordinary rows above x has halved; knots: their quantiles at 0, 1/2, 3/4, ..."""
+    top = len(knots) - 1
+    return np.where(x > knots[-1], top + np.log1p(np.maximum(x - knots[-1], 0.0)), np.interp(x, knots, np.arange(top + 1)))
+
+
 def labelled(docs: DataFrame, labels: DataFrame, label: str, per_class: int, modulus: int) -> DataFrame:
     """doc_id, text, label (0 or 1), half of about `per_class` labelled rows a class whose fold is not 0.
 
@@ -270,20 +276,20 @@ def model_table(docs: DataFrame, known: DataFrame, pairs: np.ndarray) -> DataFra
     return gram_counts(docs, known).mapInArrow(build, "gram long, ratio float, fit float")
 
 
-def with_features(rows: DataFrame, model: DataFrame, value: str, fields: str, broadcast: bool) -> DataFrame:
-    """`fields` of rows (which have text too) and the features of their texts by a column of the model.
+def with_differences(rows: DataFrame, model: DataFrame, value: str, fields: str, broadcast: bool) -> DataFrame:
+    """`fields` of rows (which have text too) and x, the score of their texts by a column of the model.
 
     broadcast: the model's grams are few.  Else texts are written as units of
     a batch each, their distinct grams are joined with the model, and the
     answers meet their unit again.
     """
     names = [f.split()[0] for f in fields.split(", ")]
-    schema = fields + "".join(f", x{i} double" for i in range(FEATURES))
+    schema = fields + ", x double"
 
     def made(chunk, data, offsets, held, values):
         keys, begin, first = laid_out(data, offsets)
-        x = text_features(looked_up(keys, held, values), begin, first)
-        return pa.RecordBatch.from_arrays([*(chunk.column(c) for c in names), *(pa.array(x[:, i]) for i in range(FEATURES))], names=[*names, *(f"x{i}" for i in range(FEATURES))])
+        x = text_scores(looked_up(keys, held, values), begin, first)
+        return pa.RecordBatch.from_arrays([*(chunk.column(c) for c in names), pa.array(x)], names=[*names, "x"])
 
     if broadcast:
         got = model.select("gram", value).toArrow()  # at most GRAMS_TO_BROADCAST
@@ -323,7 +329,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, per_class: int = 3000, m
     All labelled rows outside fold 0 (crc32 of the id as text, modulo
     `modulus`) are learned from; the curve is fitted on a third of at most
     about `per_class` of each class.  score is 0 to 1, also for null and empty
-    texts (no evidence: what the curve says of an all-zero document).  Without
+    texts (no evidence: what the curve says of no difference).  Without
     labels of both classes every score is 0.  Null labels are ignored; an id
     with both labels too.  A null doc_id counts as fold 0.  Repeated rows get
     equal scores.
@@ -344,16 +350,19 @@ def score_documents(docs: DataFrame, labels: DataFrame, per_class: int = 3000, m
     model = written(model_table(docs, known, corpus_pairs(docs)), "toxicity")
     few = model.count() <= grams_to_broadcast
     sample = own.join(F.broadcast(known.filter("curve")), "doc_id").select("label", "text")  # bounded by per_class
-    got = with_features(sample, model, "fit", "label int", few).toArrow()
+    got = with_differences(sample, model, "fit", "label int", few).toArrow()
     y = got.column("label").to_numpy()
-    weights = np.eye(1, FEATURES + 1)[0]
+    slope, bias, knots = 1.0, 0.0, np.zeros(1)
     if (y == 1).any() and (y == 0).any():
-        weights = logistic(np.column_stack([got.column(f"x{i}").to_numpy() for i in range(FEATURES)]), y.astype(np.float64))
+        x = got.column("x").to_numpy()
+        knots = np.quantile(x[y == 0], [1 - 0.5**k for k in range(max(1, int(np.log2((y == 0).sum()))))])
+        slope, bias = logistic(rarity(x, knots)[:, None], y.astype(np.float64))
+        slope = max(slope, 0.0)  # a larger difference never lowers a score
 
     def score(batches):
         for batch in batches:
-            z = np.column_stack([batch.column(f"x{i}").to_numpy() for i in range(FEATURES)]) @ weights[:-1] + weights[-1]
+            z = rarity(batch.column("x").to_numpy(), knots) * slope + bias
             p = 1 / (1 + np.exp(-np.clip(z, -35, 35)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    return with_features(rows, model, "ratio", "doc_id long, held_out boolean", few).mapInArrow(score, result)
+    return with_differences(rows, model, "ratio", "doc_id long, held_out boolean", few).mapInArrow(score, result)

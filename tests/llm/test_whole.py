@@ -1,10 +1,13 @@
 """Operators do the whole job: evidence outside samples, rare expressions, both forms of a join."""
 
+import collections
+import math
 import os
 import random
 import zlib
 
 import duckdb
+import numpy as np
 
 from tessera.llm import jaccard, licenses, queries, toxicity
 
@@ -81,6 +84,58 @@ def test_toxicity_shared_counts_follow_the_texts(spark):
     assert got == want
 
 
+def brute_kneser_ney(texts, of_class):
+    """log P(1) - log P(0) of each six-byte gram by dictionaries; texts: lower-case words with single spaces."""
+    flats = [" " * 5 + t + " " if t else "" for t in texts]
+    tops = [collections.Counter(f[i - 5 : i + 1] for i in range(5, len(f))) for f in flats]
+    pairs = collections.Counter(t[i : i + 2] for t in texts for i in range(len(t) - 1))
+    rows = collections.Counter()
+    for pair, n in pairs.items():
+        rows[pair[0]] += n
+    counts = {name: sum((tops[i] for i in own), collections.Counter()) for name, own in of_class.items()}
+
+    def order(top, k):
+        raw = collections.Counter()
+        longer = collections.defaultdict(set)
+        for g, n in top.items():
+            raw[g[-k:]] += n
+            longer[g[-k:]].add(g[-k - 1 :])
+        c = {g: n if k == 6 or g[:2] == "  " else len(longer[g]) for g, n in raw.items()}
+        total, kept = collections.Counter(), collections.Counter()
+        for g, n in c.items():
+            total[g[:-1]] += n
+            kept[g[:-1]] += n - 0.9
+        return lambda g, p: p if not total[g[:-1]] else max(c.get(g, 0) - 0.9, 0) / total[g[:-1]] + (1 - kept[g[:-1]] / total[g[:-1]]) * p
+
+    shared, own = order(counts["all"], 3), {c: [order(counts[c], k) for k in range(3, 7)] for c in (0, 1)}
+    out = {}
+    for g in counts["all"]:
+        base = shared(g[-3:], (pairs[g[-2:]] + 0.5) / (rows[g[-2]] + 128))
+        p = {}
+        for c in (0, 1):
+            p[c] = base
+            for k, smooth in zip(range(3, 7), own[c], strict=True):
+                p[c] = smooth(g[-k:], p[c])
+        out[g] = math.log(p[1] / p[0])
+    return out
+
+
+def test_toxicity_against_brute_force_kneser_ney(spark):
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choice("abc") for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(1, 9))) for _ in range(40)] + ["", "a"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    known = spark.createDataFrame([(i, i % 2, False) for i in range(24)], "doc_id long, label int, curve boolean")
+    want = brute_kneser_ney(texts, {"all": range(len(texts)), 0: range(0, 24, 2), 1: range(1, 24, 2)})
+    got = {int(r.gram).to_bytes(6, "big").decode(): r.ratio for r in toxicity.model_table(docs, known, toxicity.corpus_pairs(docs)).collect()}
+    assert got.keys() == want.keys() and all(abs(got[g] - want[g]) < 1e-5 for g in got)
+
+
+def test_toxicity_weighs_words_exponentially():
+    ratio, begin, first = np.array([0.0, 1, 3, 0, 2, 2, 2, 8, -1, 5]), np.array([0, 2, 3, 5, 6, 7, 9]), np.array([0, 6, 6, 7])
+    want = math.log(sum(math.exp(0.75 * m) for m in (1, 3, 2, 2, 2, 7)) / 6) / 0.75
+    assert np.allclose(toxicity.text_scores(ratio, begin, first), [want, 0, 5])
+
+
 WRAPPED = {
     "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files",
     "bsd-3": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:",

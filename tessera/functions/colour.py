@@ -1,7 +1,7 @@
 """sRGB, CIELAB and colour naming as SQL expression text.
 
-Expressions use only functions that Spark SQL and other engines share, so
-Catalyst compiles them in one stage and an oracle can read the same text.
+The text is what another engine is asked to check the operators with; Spark's
+own form is in `palette` and `operators.colour`.
 Doubles are written with an exponent: plain decimals would be DECIMAL.
 """
 
@@ -58,8 +58,8 @@ def to_rgb(source: str, keep: str, lab: tuple[str, str, str] = ("L", "a", "b_"))
 
 
 def truncated(c: str) -> str:
-    """uint8 by truncation (as the gray and chroma operators store pixels)."""
-    return f"CAST(floor({c} * {num(255)}) AS INT)"
+    """uint8 by truncation (as the gray and chroma operators store pixels); what rounding errors made of a whole level stays that level."""
+    return f"CAST(floor(round({c} * {num(255)}, 6)) AS INT)"
 
 
 CHROMA = "sqrt(a * a + b_ * b_)"
@@ -94,6 +94,7 @@ def named(lab: str, keep: str) -> str:
         "(raw IN ('brown', 'orange') AND ((h >= 41 AND h < 70 AND C >= 22 AND NOT (L < 30 AND C < 35) AND NOT (L >= 45 AND C < 45))"
         " OR (h >= 70 AND h < 82 AND C >= 22 AND C < 30 AND L < 45)))"
     )
+    # Every threshold of the cascade.
     # Pixel condition, labels it applies to, label it gives (a condition alone for the steps that ask the raw term).
     steps = [
         ("L >= 45 AND C <= 30", "'rufous'", "'light_brown'"),

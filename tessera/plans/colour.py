@@ -1,11 +1,17 @@
-"""Colour operators over the pixel relation as registered queries."""
+"""Colour operators over the pixel relation as registered queries; their SQL is a form of its own."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from tessera.functions import colour as c
+from tessera.operators import colour as op
 from tessera.sources.relations import PIXELS
 
-from .registry import Source, query
+from .registry import Source, query, rounded
 
 FOREGROUND = f"SELECT * FROM ({PIXELS}) bg WHERE r <> 0 OR g <> 0 OR b <> 0"
 LAB = c.to_lab(FOREGROUND)
@@ -13,37 +19,54 @@ KEEP = "stem, pix"
 R6 = lambda *names: ", ".join(f"round({n}, 6) AS {n.strip('_') if n == 'b_' else n}" for n in names)
 
 
-def _run(sql):
-    return lambda spark, sf_dir: Source(spark, sf_dir).sql(sql)
+def _register(name: str, made: Callable[[DataFrame], DataFrame], sql: str) -> None:
+    """A query that `made` gives of the foreground pixels."""
 
+    def f(spark, sf_dir):
+        return made(op.foreground(Source(spark, sf_dir).sql(PIXELS)))
 
-def _register(name, sql):
-    f = _run(sql)
     f.__name__ = name
     query(sql)(f)
 
 
+def _six(df: DataFrame, *columns: str) -> DataFrame:
+    return rounded(df.select(*columns), *(x for x in columns if x not in ("stem", "pix", "label", "r8", "g8", "b8")))
+
+
+STORED = ", ".join(f"{c.truncated(n + '1')} AS {n}8" for n in "rgb")
+NEAREST = ", ".join(f"CAST(round_even(round({n}1 * {c.num(255)}, 6), 0) AS INT) AS {n}8" for n in "rgb")
+OUT = ("r1", "g1", "b1", "r8", "g8", "b8")
+
+
+def _audit(pixels: DataFrame) -> DataFrame:
+    """stem and what the standardised pixels, stored as doubles, realise."""
+    moved = op.standardised(pixels)
+    held = moved.select("stem", F.col("L1").alias("L0"), F.col("a").alias("a0"), F.col("b_").alias("b0"), *((F.col(f"{n}1") * 255).alias(f"{n}255") for n in "rgb"))
+    back = op.with_lab(held, ("r255", "g255", "b255"))
+    apart = F.sqrt(F.pow(F.col("L") - F.col("L0"), 2) + F.pow(F.col("a") - F.col("a0"), 2) + F.pow(F.col("b_") - F.col("b0"), 2))
+    return back.groupBy("stem").agg(F.round(F.avg("L"), 4).alias("realised_mean"), F.round(F.stddev_pop("L"), 4).alias("realised_std"), F.round(F.avg(apart), 4).alias("mean_delta_e"))
+
+
 GRAY = c.to_rgb(f"SELECT {KEEP}, L, {c.num(0)} AS a, {c.num(0)} AS b_ FROM ({LAB}) x", KEEP)
 CHROMA_ONLY = c.to_rgb(f"SELECT {KEEP}, {c.num(50)} AS L, a, b_ FROM ({LAB}) x", KEEP)
 NAMED = c.named(c.to_lab(c.with_probabilities(FOREGROUND), "stem, pix, " + ", ".join("p_" + t for t in c.TERMS)).replace("s0", "s0p"), KEEP)
 SOFT = c.soft_named(c.to_lab(c.with_probabilities(FOREGROUND), "stem, pix, " + ", ".join("p_" + t for t in c.TERMS)).replace("s0", "s0p"), KEEP)
 
-_register("pixel_lab", f"SELECT stem, pix, {R6('L', 'a', 'b_')} FROM ({LAB}) x")
-_register("hue_chroma", f"SELECT stem, pix, round({c.CHROMA}, 6) AS chroma, round({c.HUE}, 4) AS hue FROM ({LAB}) x WHERE {c.CHROMA} > 1")
-_register("gray_lstar", f"SELECT stem, pix, {R6('r1', 'g1', 'b1')} FROM ({GRAY}) x")
-_register("chroma_only", f"SELECT stem, pix, {R6('r1', 'g1', 'b1')} FROM ({CHROMA_ONLY}) x")
-_register("delta_e", f"SELECT x.stem, count(*) AS n, round(avg(sqrt(x.a * x.a + x.b_ * x.b_)), 6) AS mean_delta_e, round(max(sqrt(x.a * x.a + x.b_ * x.b_)), 6) AS max_delta_e FROM ({LAB}) x GROUP BY x.stem")
-_register("chroma_retention", f"SELECT stem, count(*) AS n, round(avg({c.CHROMA}), 6) AS mean_chroma, round(avg(CASE WHEN {c.CHROMA} > 1 THEN {c.CHROMA} END), 6) AS mean_chromatic, round(avg(CASE WHEN {c.CHROMA} > 1 THEN {c.num(1)} ELSE {c.num(0)} END), 6) AS share_chromatic FROM ({LAB}) x GROUP BY stem")
-_register("colour_names_hard", f"SELECT stem, pix, raw, base, label FROM ({NAMED}) x")
-# A filter on the label would be pushed through the cascade and copy it at every step; a count of matches stays above it.
-_register("presence_by_label", f"SELECT stem, label, count(CASE WHEN label IN ({', '.join(repr(x) for x in c.CHROMATIC)}) THEN 1 END) AS n FROM ({NAMED}) x GROUP BY stem, label HAVING count(CASE WHEN label IN ({', '.join(repr(x) for x in c.CHROMATIC)}) THEN 1 END) > 0")
-_register("override_fraction", f"SELECT stem, round(avg(CASE WHEN base <> label THEN {c.num(1)} ELSE {c.num(0)} END), 6) AS changed FROM ({NAMED}) x GROUP BY stem")
-_register("colour_names_soft", "SELECT stem, pix, " + ", ".join(f"round(m_{x}, 6) AS m_{x}" for x in c.CATEGORIES) + f" FROM ({SOFT}) x")
+_register("pixel_lab", lambda p: _six(op.with_lab(p).withColumnRenamed("b", "blue").withColumnRenamed("b_", "b"), "stem", "pix", "L", "a", "b"), f"SELECT stem, pix, {R6('L', 'a', 'b_')} FROM ({LAB}) x")
+_register("hue_chroma", lambda p: op.with_lab(p).filter(op.chroma() > 1).select("stem", "pix", F.round(op.chroma(), 6).alias("chroma"), F.round(op.hue(), 4).alias("hue")), f"SELECT stem, pix, round({c.CHROMA}, 6) AS chroma, round({c.HUE}, 4) AS hue FROM ({LAB}) x WHERE {c.CHROMA} > 1")
+_register("gray_lstar", lambda p: _six(op.gray(p), "stem", "pix", *OUT), f"SELECT stem, pix, {R6('r1', 'g1', 'b1')}, {STORED} FROM ({GRAY}) x")
+_register("chroma_only", lambda p: _six(op.chroma_only(p), "stem", "pix", *OUT), f"SELECT stem, pix, {R6('r1', 'g1', 'b1')}, {STORED} FROM ({CHROMA_ONLY}) x")
+_register("delta_e", lambda p: op.with_lab(p).groupBy("stem").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(op.chroma()), 6).alias("mean_delta_e"), F.round(F.max(op.chroma()), 6).alias("max_delta_e")), f"SELECT x.stem, count(*) AS n, round(avg(sqrt(x.a * x.a + x.b_ * x.b_)), 6) AS mean_delta_e, round(max(sqrt(x.a * x.a + x.b_ * x.b_)), 6) AS max_delta_e FROM ({LAB}) x GROUP BY x.stem")
+_register("chroma_retention", lambda p: op.with_lab(p).withColumn("C", op.chroma()).groupBy("stem").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("C"), 6).alias("mean_chroma"), F.round(F.avg(F.when(F.col("C") > 1, F.col("C"))), 6).alias("mean_chromatic"), F.round(F.avg((F.col("C") > 1).cast("double")), 6).alias("share_chromatic")), f"SELECT stem, count(*) AS n, round(avg({c.CHROMA}), 6) AS mean_chroma, round(avg(CASE WHEN {c.CHROMA} > 1 THEN {c.CHROMA} END), 6) AS mean_chromatic, round(avg(CASE WHEN {c.CHROMA} > 1 THEN {c.num(1)} ELSE {c.num(0)} END), 6) AS share_chromatic FROM ({LAB}) x GROUP BY stem")
+_register("colour_names_hard", lambda p: op.named(p).select("stem", "pix", "raw", "base", "label"), f"SELECT stem, pix, raw, base, label FROM ({NAMED}) x")
+_register("presence_by_label", op.present, f"SELECT stem, label, count(CASE WHEN label IN ({', '.join(repr(x) for x in c.CHROMATIC)}) THEN 1 END) AS n FROM ({NAMED}) x GROUP BY stem, label HAVING count(CASE WHEN label IN ({', '.join(repr(x) for x in c.CHROMATIC)}) THEN 1 END) > 0")
+_register("override_fraction", lambda p: op.named(p).groupBy("stem").agg(F.round(F.avg((F.col("base") != F.col("label")).cast("double")), 6).alias("changed")), f"SELECT stem, round(avg(CASE WHEN base <> label THEN {c.num(1)} ELSE {c.num(0)} END), 6) AS changed FROM ({NAMED}) x GROUP BY stem")
+_register("colour_names_soft", lambda p: _six(op.soft_named(p), "stem", "pix", *(f"m_{x}" for x in c.CATEGORIES)), "SELECT stem, pix, " + ", ".join(f"round(m_{x}, 6) AS m_{x}" for x in c.CATEGORIES) + f" FROM ({SOFT}) x")
 REMOVED = c.to_rgb(f"SELECT {KEEP}, label, L, CASE WHEN label = 'green' THEN {c.num(0)} ELSE a END AS a, CASE WHEN label = 'green' THEN {c.num(0)} ELSE b_ END AS b_ FROM ({NAMED}) x", f"{KEEP}, label")
-_register("colour_remove", f"SELECT stem, pix, label, {R6('r1', 'g1', 'b1')} FROM ({REMOVED}) x")
+_register("colour_remove", lambda p: _six(op.removed(p, F.lit("green")), "stem", "pix", "label", "r1", "g1", "b1"), f"SELECT stem, pix, label, {R6('r1', 'g1', 'b1')} FROM ({REMOVED}) x")
 SOFT_AB = c.soft_named(c.to_lab(c.with_probabilities(FOREGROUND), "stem, pix, " + ", ".join("p_" + t for t in c.TERMS)).replace("s0", "s0p"), f"{KEEP}, a, b_")
 FADED = c.to_rgb(f"SELECT {KEEP}, m_green, L, a * ({c.num(1)} - {c.num(0.8)} * m_green) AS a, b_ * ({c.num(1)} - {c.num(0.8)} * m_green) AS b_ FROM ({SOFT_AB}) x", f"{KEEP}, m_green")
-_register("colour_fade_soft", f"SELECT stem, pix, {R6('m_green', 'r1', 'g1', 'b1')} FROM ({FADED}) x")
+_register("colour_fade_soft", lambda p: _six(op.faded(p, "green", 0.8), "stem", "pix", "m_green", "r1", "g1", "b1"), f"SELECT stem, pix, {R6('m_green', 'r1', 'g1', 'b1')} FROM ({FADED}) x")
 # Lightness standardised over the population: each specimen is moved to the mean of all means and deviations; a*, b* stay.
 MOMENTS = f"SELECT stem, avg(L) AS m, stddev_pop(L) AS s FROM ({LAB}) x GROUP BY stem"
 TARGET = f"SELECT avg(m) AS M0, avg(s) AS S0 FROM ({MOMENTS}) y"
@@ -51,8 +74,8 @@ MOVED = f"""
 SELECT p.stem, p.pix, p.a, p.b_, CASE WHEN q.s < {c.num(1e-8)} THEN t.M0 ELSE greatest(least((p.L - q.m) / q.s * t.S0 + t.M0, {c.num(100)}), {c.num(0)}) END AS L
 FROM ({LAB}) p JOIN ({MOMENTS}) q ON p.stem = q.stem CROSS JOIN ({TARGET}) t"""
 STANDARD = c.to_rgb(MOVED, f"{KEEP}, L, a, b_")
-_register("population_standardise", f"SELECT stem, pix, {R6('r1', 'g1', 'b1')} FROM ({STANDARD}) x")
+_register("population_standardise", lambda p: _six(op.standardised(p), "stem", "pix", *OUT), f"SELECT stem, pix, {R6('r1', 'g1', 'b1')}, {NEAREST} FROM ({STANDARD}) x")
 BACK = c.to_lab(f"SELECT stem, pix, L AS L0, a AS a0, b_ AS b0, r1 * {c.num(255)} AS r, g1 * {c.num(255)} AS g, b1 * {c.num(255)} AS b FROM ({STANDARD}) x", "stem, pix, L0, a0, b0")
-_register("standardise_audit", f"SELECT stem, round(avg(L), 4) AS realised_mean, round(stddev_pop(L), 4) AS realised_std, round(avg(sqrt((L - L0) * (L - L0) + (a - a0) * (a - a0) + (b_ - b0) * (b_ - b0))), 4) AS mean_delta_e FROM ({BACK}) x GROUP BY stem")
+_register("standardise_audit", _audit, f"SELECT stem, round(avg(L), 4) AS realised_mean, round(stddev_pop(L), 4) AS realised_std, round(avg(sqrt((L - L0) * (L - L0) + (a - a0) * (a - a0) + (b_ - b0) * (b_ - b0))), 4) AS mean_delta_e FROM ({BACK}) x GROUP BY stem")
 FIXED = f"SELECT p.stem, p.pix, greatest(least(CASE WHEN q.s < {c.num(1e-8)} THEN {c.num(50)} ELSE (p.L - q.m) / q.s * {c.num(15)} + {c.num(50)} END, {c.num(100)}), {c.num(0)}) AS L, {c.num(0)} AS a, {c.num(0)} AS b_ FROM ({LAB}) p JOIN ({MOMENTS}) q ON p.stem = q.stem"
-_register("equalise_fixed_target", f"SELECT stem, pix, {R6('r1', 'g1', 'b1')} FROM ({c.to_rgb(FIXED, KEEP)}) x")
+_register("equalise_fixed_target", lambda p: _six(op.equalised(p), "stem", "pix", "r1", "g1", "b1"), f"SELECT stem, pix, {R6('r1', 'g1', 'b1')} FROM ({c.to_rgb(FIXED, KEEP)}) x")

@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 CODES = ("A1", "A2", "A3", "A4", "A5", "A6", "A7")
 EXCLUSIVE = ("A1", "A2", "A6", "A7")
 SIZE_PROBABILITY = {0: 0.20, 1: 0.40, 2: 0.30, 3: 0.10}
-# Where an ablation acts and how often it is drawn.
-LEVELS = {"A1": "image", "A2": "image", "A3": "crop", "A4": "image", "A5": "crop", "A6": "image", "A7": "image"}
 GRID_CODES, GRID_SIDES, GRID_REALISATIONS, GRID_ANGLES, GRID_LENGTHS = ("A1", "A2", "A5", "A7"), (56, 16, 4, 1), (1, 2, 3), (0, 90), (17, 41, 101)
 
 
@@ -41,17 +39,27 @@ def marginals(conditions: DataFrame) -> DataFrame:
     return numbered(conditions).select(F.explode("codes").alias("code"), "probability").groupBy("code").agg(F.sum("probability").alias("probability"))
 
 
-def draw(items: DataFrame, conditions: DataFrame, u: Column, v: Column) -> DataFrame:
-    """items with a drawn condition_name: u (0..999) picks the size, v (an integer) the set within it.
+def restricted(conditions: DataFrame, allowed: list[str] | None = None) -> DataFrame:
+    """condition_name, codes, k, probability of the sets of `allowed` codes alone (all, if None).
 
-    Restricting the draw to some codes is a filter of `conditions` before:
-    pools are counted anew, which is what rejecting and drawing again does.
+    Rejecting a set and drawing again draws its size again too: each set keeps
+    its share of the whole pool of its size, divided by the mass that is kept.
     """
-    size = F.when(u < 200, 0).when(u < 600, 1).when(u < 900, 2).otherwise(3)
-    pool = F.broadcast(numbered(conditions).select("k", "place", "pool", "condition_name"))
-    counts = F.broadcast(numbered(conditions).select("k", "pool").distinct())
-    drawn = items.withColumn("k", size).join(counts, "k").withColumn("place", (v % F.col("pool")).cast("int")).drop("pool")
-    return drawn.join(pool, ["k", "place"]).drop("place", "pool")
+    kept = numbered(conditions)
+    if allowed is not None:
+        kept = kept.filter(F.size(F.array_except("codes", F.array(*map(F.lit, allowed)) if allowed else F.array().cast("array<string>"))) == 0)
+    whole = kept.agg(F.sum("probability").alias("_mass"))  # one row
+    return kept.crossJoin(F.broadcast(whole)).select("condition_name", "codes", "k", (F.col("probability") / F.col("_mass")).alias("probability"))
+
+
+def draw(items: DataFrame, conditions: DataFrame, u: Column, allowed: list[str] | None = None) -> DataFrame:
+    """items with k and condition_name; u (0 up to 1) picks the set by its probability, sets in order of size and name."""
+    sets = sorted(restricted(conditions, allowed).collect(), key=lambda r: (r.k, r.condition_name))  # 36 at most
+    chosen, upto = F.struct(F.lit(sets[-1].k).alias("k"), F.lit(sets[-1].condition_name).alias("condition_name")), 1.0
+    for r, after in zip(reversed(sets[:-1]), reversed(sets[1:]), strict=True):
+        upto -= after.probability
+        chosen = F.when(u < upto, F.struct(F.lit(r.k).alias("k"), F.lit(r.condition_name).alias("condition_name"))).otherwise(chosen)
+    return items.withColumn("_drawn", chosen).select(*items.columns, "_drawn.k", "_drawn.condition_name")
 
 
 def fixed_grid(spark: SparkSession) -> DataFrame:

@@ -126,16 +126,24 @@ def bootstrap_delta_auc(predictions: DataFrame, reps: int) -> DataFrame:
     return deltas.groupBy("condition_name").agg(F.avg("delta").alias("delta_auc_mean"), F.var_pop("delta").alias("delta_auc_variance"), F.count("delta").alias("n_bootstrap_valid"))
 
 
+def fold_summary(predictions: DataFrame, reps: int) -> DataFrame:
+    """paired_summary with delta_auc_variance and n_bootstrap_valid of a family bootstrap (null for the reference)."""
+    drawn = bootstrap_delta_auc(predictions, reps).drop("delta_auc_mean")
+    return paired_summary(predictions).join(drawn, "condition_name", "left")
+
+
 def combine_folds(folds: DataFrame) -> DataFrame:
-    """Per condition: inverse-variance mean and its deviation, plain and size-weighted means, folds in order.
+    """Per condition: inverse-variance mean and its deviation, plain and size-weighted means, folds in order; smallest mean first.
 
-    folds: condition_name, fold, n, delta, variance.  A zero variance would
-    weigh without bound and is left out of the inverse-variance mean.
+    folds: condition_name, fold, n, delta, variance.  A variance that is zero
+    (it would weigh without bound), null or NaN is left out of the
+    inverse-variance mean.
     """
-    w = F.try_divide(F.lit(1.0), F.col("variance"))
+    w = F.when((F.col("variance") > 0) & ~F.isnan("variance"), 1 / F.col("variance"))
     sums = folds.groupBy("condition_name").agg(
-        F.sum(w * F.col("delta")).alias("wd"), F.sum(w).alias("w"), F.avg("delta").alias("mean_delta"),
+        F.sum(w * F.col("delta")).alias("wd"), F.sum(w).alias("w"), F.count(F.lit(1)).alias("n_folds"), F.avg("delta").alias("mean_delta"),
         (F.sum(F.col("n") * F.col("delta")) / F.sum("n")).alias("size_weighted_delta"),
         F.transform(F.array_sort(F.collect_list(F.struct("fold", "delta"))), lambda x: F.round(x["delta"], 6)).alias("deltas"),
     )
-    return sums.select("condition_name", F.try_divide("wd", "w").alias("iv_mean"), F.try_divide(F.lit(1.0), F.sqrt("w")).alias("iv_std"), "mean_delta", "size_weighted_delta", F.concat_ws(",", F.transform("deltas", lambda x: F.format_string("%.6f", x))).alias("deltas"))
+    out = sums.select("condition_name", "n_folds", F.try_divide("wd", "w").alias("iv_mean"), F.try_divide(F.lit(1.0), F.sqrt("w")).alias("iv_std"), "mean_delta", "size_weighted_delta", F.concat_ws(",", F.transform("deltas", lambda x: F.format_string("%.6f", x))).alias("deltas"))
+    return out.orderBy(F.asc_nulls_last("iv_mean"), "condition_name")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from itertools import accumulate
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,16 +21,15 @@ def moving_average(df: DataFrame, key: str, order: str, value: str, decay: float
 
     The recursion folds each key's series (epochs: one row an epoch) in order.
     """
-    series = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v")))).alias("s"))
-    zero = F.expr("CAST(array() AS array<struct<o:int,v:double,ema:double>>)")
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
 
-    def step(done: Column, x: Column) -> Column:
-        before = F.try_element_at(done, F.lit(-1))["ema"]
-        ema = F.coalesce(F.lit(decay) * before + F.lit(1 - decay) * x["v"], x["v"])
-        return F.concat(done, F.array(F.struct(x["o"].cast("int").alias("o"), x["v"].cast("double").alias("v"), ema.cast("double").alias("ema"))))
+    def fold(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by(order)
+        values = rows.column(value).cast(pa.float64())
+        averages = accumulate(values.to_pylist(), lambda before, x: decay * before + (1 - decay) * x)
+        return pa.table({key: rows.column(key), order: rows.column(order), value: values, "ema": pa.array(averages, pa.float64())})
 
-    folded = series.select(key, F.explode(F.aggregate("s", zero, step)).alias("x"))
-    return folded.select(key, F.col("x.o").alias(order), F.col("x.v").alias(value), F.col("x.ema").alias("ema"))
+    return df.select(key, order, value).groupBy(key).applyInArrow(fold, f"{key} {kinds[key]}, {order} {kinds[order]}, {value} double, ema double")
 
 
 def balanced_weights(averages: DataFrame, key: str, order: str, terms: tuple[str, str], lag: int, temperature: float, band: tuple[float, float]) -> DataFrame:
@@ -59,12 +62,31 @@ def apportion(density: DataFrame, totals: DataFrame, key: str) -> DataFrame:
 
 
 def match_ranks(values: DataFrame, counts: DataFrame, key: str, value: str, tie: str) -> DataFrame:
-    """Each row's bin so that bins hold exactly the counts, in order of value (ties by `tie`)."""
-    ranked = values.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(value, tie)))
-    upto = counts.withColumn("hi", F.sum("n").over(W.partitionBy(key).orderBy("bin"))).withColumn("lo", F.col("hi") - F.col("n"))
-    spans = upto.filter("n > 0").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "bin"))).alias("spans"))
-    inside = F.filter("spans", lambda s: (F.col("rank") > s["lo"]) & (F.col("rank") <= s["hi"]))
-    return ranked.join(spans, key).withColumn("bin", F.element_at(inside, 1)["bin"]).drop("spans", "rank")
+    """Each row's bin so that bins hold exactly the counts, in order of value (ties by `tie`).
+
+    A bin is known at the rank where it begins and carried on from there, so a
+    row costs the same for any number of bins.
+    """
+    order = W.partitionBy(key).orderBy(value, tie)
+    begins = counts.filter("n > 0").select(key, (F.sum("n").over(W.partitionBy(key).orderBy("bin")) - F.col("n") + 1).cast("int").alias("rank"), "bin")
+    ranked = values.withColumn("rank", F.row_number().over(order)).join(begins, [key, "rank"], "left")
+    known = F.last("bin", ignorenulls=True).over(W.partitionBy(key).orderBy("rank").rowsBetween(W.unboundedPreceding, 0))
+    return ranked.withColumn("bin", known).drop("rank")
+
+
+def permute_blocks(pixels: DataFrame, keys: list[str], crop: int, side: int, drawn: Callable[[Column], Column]) -> DataFrame:
+    """pixels (keys, y, x) of full crops with the blocks of side x side in the order of drawn(block); other crops stay.
+
+    Blocks keep their inside; the multiset of pixels of a crop stays.
+    """
+    across = crop // side
+    full = pixels.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") == crop * crop).drop("_n")
+    blocks = full.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(across * across - 1)))).withColumn("_h", drawn(F.col("_b")))
+    placed = blocks.withColumn("_place", F.row_number().over(W.partitionBy(*keys).orderBy("_h", "_b")) - 1).drop("_h")
+    own = (F.floor(F.col("y") / side) * across + F.floor(F.col("x") / side)).cast("int")
+    moved = pixels.withColumn("_b", own).join(placed, [*keys, "_b"], "left")
+    to = lambda c, block: F.coalesce(block * side + F.col(c) % side, F.col(c))
+    return moved.withColumns({"y": to("y", F.floor(F.col("_place") / across)), "x": to("x", F.col("_place") % across)}).drop("_b", "_place")
 
 
 def one_per_cell(candidates: DataFrame, key: str, cell: str, seed: Column, n: int) -> DataFrame:

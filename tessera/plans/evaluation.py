@@ -42,11 +42,14 @@ def _rows(spark, sf_dir):
     return rows.withColumn("positive", (F.col("t") > 0).cast("long")).withColumn("negative", (F.col("t") <= 0).cast("long"))
 
 
-@query(f"""{ROWS},{PLAIN_AUC},{AP},{KL},{MAE}, n AS (SELECT condition_name, count(DISTINCT stem) AS n_images FROM rows_ GROUP BY ALL)
+PAIRED = f"""{ROWS},{PLAIN_AUC},{AP},{KL},{MAE}, n AS (SELECT condition_name, count(DISTINCT stem) AS n_images FROM rows_ GROUP BY ALL)
 SELECT n.condition_name, n.n_images, round(macro_auc, 6) AS macro_auc, round(macro_ap, 6) AS macro_ap, round(mean_kl, 6) AS mean_kl, round(mean_abs_error, 6) AS mean_abs_error,
        CASE WHEN n.condition_name <> 'reference' THEN round(macro_auc - (SELECT macro_auc FROM auc_macro WHERE condition_name = 'reference'), 6) END AS delta_auc
 FROM n LEFT JOIN auc_macro a ON n.condition_name = a.condition_name LEFT JOIN ap_macro p ON n.condition_name = p.condition_name
-JOIN kl ON n.condition_name = kl.condition_name JOIN mae ON n.condition_name = mae.condition_name""")
+JOIN kl ON n.condition_name = kl.condition_name JOIN mae ON n.condition_name = mae.condition_name"""
+
+
+@query(PAIRED)
 def paired_condition_summary(spark, sf_dir):
     out = metrics.paired_summary(Source(spark, sf_dir).sql(PREDICTIONS))
     return rounded(out, "macro_auc", "macro_ap", "mean_kl", "mean_abs_error", "delta_auc")
@@ -104,14 +107,24 @@ def bootstrap_delta_auc_full(spark, sf_dir):
     return rounded(rounded(out, "delta_auc_mean"), "delta_auc_variance", digits=9)
 
 
+@query(f"SELECT s.*, b.delta_auc_variance, b.n_bootstrap_valid FROM ({PAIRED}) s LEFT JOIN ({_bootstrap_sql(FULL_REPS)}) b ON s.condition_name = b.condition_name")
+def fold_summary(spark, sf_dir):
+    """The summary of one fold, with the variance that fold combination weighs by."""
+    out = metrics.fold_summary(Source(spark, sf_dir).sql(PREDICTIONS), FULL_REPS)
+    return rounded(rounded(out, "macro_auc", "macro_ap", "mean_kl", "mean_abs_error", "delta_auc"), "delta_auc_variance", digits=9)
+
+
+#: One fold of a condition has no spread, one has no value at all.
 FOLDS = """
-SELECT o_orderpriority AS condition_name, CAST(o_orderkey % 3 AS INT) AS fold, count(*) AS n, avg(o_totalprice) / 1e6 AS delta, var_pop(o_totalprice) / 1e12 AS variance
-FROM orders GROUP BY 1, 2"""
+SELECT condition_name, fold, n, delta, CASE WHEN condition_name = '1-URGENT' AND fold = 0 THEN CAST(0 AS DOUBLE) WHEN condition_name = '2-HIGH' AND fold = 1 THEN CAST('NaN' AS DOUBLE) ELSE variance END AS variance
+FROM (SELECT o_orderpriority AS condition_name, CAST(o_orderkey % 3 AS INT) AS fold, count(*) AS n, CAST(avg(o_totalprice) / 1e6 AS DOUBLE) AS delta, CAST(var_pop(o_totalprice) / 1e12 AS DOUBLE) AS variance
+FROM orders GROUP BY 1, 2) plain"""
 
 
 @query(f"""
-WITH f AS ({FOLDS}) SELECT condition_name, round(sum(delta / variance) / sum(1 / variance), 6) AS iv_mean, round(1 / sqrt(sum(1 / variance)), 6) AS iv_std, round(avg(delta), 6) AS mean_delta,
-       round(sum(n * delta) / sum(n), 6) AS size_weighted_delta, string_agg(printf('%.6f', round(delta, 6)), ',' ORDER BY fold, delta) AS deltas FROM f GROUP BY 1""")
+WITH f AS ({FOLDS}), u AS (SELECT *, CASE WHEN variance > 0 AND NOT isnan(variance) THEN 1 / variance END AS w FROM f)
+SELECT condition_name, count(*) AS n_folds, round(sum(delta * w) / sum(w), 6) AS iv_mean, round(1 / sqrt(sum(w)), 6) AS iv_std, round(avg(delta), 6) AS mean_delta,
+       round(sum(n * delta) / sum(n), 6) AS size_weighted_delta, string_agg(printf('%.6f', round(delta, 6)), ',' ORDER BY fold, delta) AS deltas FROM u GROUP BY 1""")
 def combine_folds(spark, sf_dir):
     folds = Source(spark, sf_dir).sql(FOLDS).withColumn("delta", F.col("delta").cast("double")).withColumn("variance", F.col("variance").cast("double"))
     return rounded(metrics.combine_folds(folds), "iv_mean", "iv_std", "mean_delta", "size_weighted_delta")

@@ -169,12 +169,23 @@ def radial_slope(spark, sf_dir):
     return rounded(agg.loglog_slope(p, "vec_id", "radius", 2, 9), "alpha")
 
 
-@query("SELECT stem, pix, new_pix FROM (SELECT stem, pix, lead(pix, 1) OVER w AS nxt, first_value(pix) OVER w AS head, coalesce(lead(pix, 1) OVER w, first_value(pix) OVER w) AS new_pix FROM (" + PIXELS + ") p WINDOW w AS (PARTITION BY stem ORDER BY (pix * 7919) % 10007, pix ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) q")
+CROP, SIDE = 16, 4
+BLOCKS = (CROP // SIDE) ** 2
+PLACED = f"""
+WITH p AS (SELECT stem, pix, row_number() OVER (PARTITION BY stem ORDER BY pix) - 1 AS i FROM ({PIXELS}) x),
+c AS (SELECT stem, pix, i // {CROP * CROP} AS crop, (i % {CROP * CROP}) // {CROP} AS y, i % {CROP} AS x FROM p),
+full_ AS (SELECT stem, crop FROM c GROUP BY 1, 2 HAVING count(*) = {CROP * CROP}),
+o AS (SELECT stem, crop, b, row_number() OVER (PARTITION BY stem, crop ORDER BY ((b + 1) * 7919 + (crop + 1) * 104729 + stem * 31) % 10007, b) - 1 AS place FROM full_ CROSS JOIN (SELECT range AS b FROM range({BLOCKS})))"""
+
+
+@query(PLACED + f""" SELECT c.stem, c.crop, c.pix, CAST(CASE WHEN o.place IS NULL THEN y ELSE o.place // {CROP // SIDE} * {SIDE} + y % {SIDE} END AS INT) AS y, CAST(CASE WHEN o.place IS NULL THEN x ELSE o.place % {CROP // SIDE} * {SIDE} + x % {SIDE} END AS INT) AS x
+FROM c LEFT JOIN o ON c.stem = o.stem AND c.crop = o.crop AND o.b = (y // {SIDE}) * {CROP // SIDE} + x // {SIDE}""")
 def block_permute(spark, sf_dir):
-    """A permutation within each specimen by keyed order; the multiset of pixels stays."""
-    w = W.partitionBy("stem").orderBy((F.col("pix") * 7919) % 10007, "pix")
-    p = Source(spark, sf_dir).sql(PIXELS).select("stem", "pix")
-    return p.withColumn("new_pix", F.coalesce(F.lead("pix").over(w), F.first("pix").over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))))
+    """Crops of 16 x 16 pixels, their blocks of 4 x 4 dealt anew by keyed order; a crop that isn't full stays."""
+    i = F.row_number().over(W.partitionBy("stem").orderBy("pix")) - 1
+    p = Source(spark, sf_dir).sql(PIXELS).select("stem", "pix").withColumn("i", i)
+    crops = p.select("stem", "pix", F.floor(F.col("i") / CROP**2).alias("crop"), F.floor(F.col("i") % CROP**2 / CROP).alias("y"), (F.col("i") % CROP).cast("long").alias("x"))
+    return ordered.permute_blocks(crops, ["stem", "crop"], CROP, SIDE, lambda b: ((b + 1) * 7919 + (F.col("crop") + 1) * 104729 + F.col("stem") * 31) % 10007).select("stem", "crop", "pix", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"))
 
 
 @query("""

@@ -182,19 +182,34 @@ def condition_marginals(spark, sf_dir):
     return rounded(cond.marginals(cond.all_conditions(spark)), "probability")
 
 
-@query(SETS + """, drawn AS (
-  SELECT doc_id AS stem, (doc_id * 7919 + 13) % 1000 AS u, doc_id * 104729 + 7 AS v FROM labels),
-sized AS (SELECT *, CASE WHEN u < 200 THEN 0 WHEN u < 600 THEN 1 WHEN u < 900 THEN 2 ELSE 3 END AS k FROM drawn)
-SELECT s.stem, s.k, n.condition_name FROM sized s JOIN numbered n ON s.k = n.k AND s.v % n.pool = n.place""")
-def condition_draw(spark, sf_dir):
+DRAWN = """, kept AS (SELECT condition_name, k, probability / sum(probability) OVER () AS probability FROM numbered WHERE {where}),
+bounds AS (SELECT *, coalesce(sum(probability) OVER (ORDER BY k, condition_name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo, sum(probability) OVER (ORDER BY k, condition_name) AS hi FROM kept),
+drawn AS (SELECT doc_id AS stem, ((doc_id * 7919 + 13) % 100003 + 0.5) / CAST(100003 AS DOUBLE) AS u FROM labels)
+SELECT d.stem, b.k, b.condition_name FROM drawn d JOIN bounds b ON d.u >= b.lo AND d.u < b.hi"""
+
+
+def _drawn(spark, sf_dir, allowed=None):
     items = Source(spark, sf_dir).table("labels").select(F.col("doc_id").alias("stem"))
-    return cond.draw(items, cond.all_conditions(spark), (F.col("stem") * 7919 + 13) % 1000, F.col("stem") * 104729 + 7).select("stem", "k", "condition_name")
+    u = ((F.col("stem") * 7919 + 13) % 100003 + 0.5) / F.lit(100003.0)
+    return cond.draw(items, cond.all_conditions(spark), u, allowed).select("stem", "k", "condition_name")
+
+
+@query(SETS + DRAWN.format(where="true"))
+def condition_draw(spark, sf_dir):
+    return _drawn(spark, sf_dir)
+
+
+WITHOUT_A7 = [c for c in cond.CODES if c != "A7"]
+
+
+@query(SETS + DRAWN.format(where="NOT contains(name, 'A7')"))
+def condition_draw_without_a7(spark, sf_dir):
+    return _drawn(spark, sf_dir, WITHOUT_A7)
 
 
-@query(SETS + "SELECT condition_name, k, round(CASE k WHEN 0 THEN 0.2 WHEN 1 THEN 0.4 WHEN 2 THEN 0.3 ELSE 0.1 END / CAST(count(*) OVER (PARTITION BY k) AS DOUBLE), 6) AS probability FROM ok WHERE NOT contains(name, 'A7')")
+@query(SETS + "SELECT condition_name, k, round(probability / sum(probability) OVER (), 6) AS probability FROM numbered WHERE NOT contains(name, 'A7')")
 def condition_draw_restricted(spark, sf_dir):
-    allowed = cond.all_conditions(spark).filter(~F.array_contains("codes", "A7"))
-    return rounded(cond.numbered(allowed).select("condition_name", "k", "probability"), "probability")
+    return rounded(cond.restricted(cond.all_conditions(spark), WITHOUT_A7).select("condition_name", "k", "probability"), "probability")
 
 
 @query(f"SELECT view, family, count(*) AS n, sum(quality) AS good FROM ({ITEMS}) i GROUP BY 1, 2")

@@ -29,6 +29,10 @@ def stream_incremental(spark, sf_dir):
     return events.build_missing(events.event_stream(spark, sf_dir), done, "user_id", lambda df: df.select("user_id", F.lit("built").alias("state")), "incremental")
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS (SELECT event_type AS term, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i FROM events),
+m AS (SELECT term, i, CAST(value AS DOUBLE) AS ema FROM e WHERE i = 1
+      UNION ALL SELECT e.term, e.i, CAST(0.9 AS DOUBLE) * m.ema + CAST(0.1 AS DOUBLE) * e.value FROM m JOIN e ON e.term = m.term AND e.i = m.i + 1)
+SELECT term, i AS epochs, round(ema, 6) AS ema FROM m QUALIFY row_number() OVER (PARTITION BY term ORDER BY i DESC) = 1""")
 def stream_balancer(spark, sf_dir):
-    return events.run_now(events.balancer(events.event_stream(spark, sf_dir), 0.9), "update", "balancer")
+    return rounded(events.run_now(events.balancer(events.event_stream(spark, sf_dir), 0.9), "update", "balancer", ("term",)), "ema")

@@ -6,6 +6,7 @@ with trigger(availableNow) and keeps its state under a checkpoint location.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,12 +14,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir, which all executors share; a temporary one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tessera-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path under spark.checkpoint.dir, which all executors share; a temporary one only where that is unset and Spark is local."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{(base or tempfile.mkdtemp(prefix='tessera-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,16 +31,19 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def run_now(stream: DataFrame, mode: str, name: str) -> DataFrame:
-    """All available input, then the result as a table: complete results replace, appended ones add up."""
+def run_now(stream: DataFrame, mode: str, name: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """All available input, then the result as a table: complete results replace, appended ones add up, updates replace by `keys`."""
     spark = stream.sparkSession
     out = folder(spark, name)
 
-    def write(batch: DataFrame, _id: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("_batch", F.lit(number).cast("long")).write.mode("overwrite" if mode == "complete" else "append").parquet(out)
 
     stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", folder(spark, f"{name}-state")).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    rows = spark.read.schema(StructType([*stream.schema.fields, StructField("_batch", LongType())])).parquet(out)
+    if mode != "update":
+        return rows.drop("_batch")
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*stream.columns), "_batch").alias("_last")).select("_last.*")
 
 
 def tumbling(stream: DataFrame, width: str, key: str, value: str) -> DataFrame:
@@ -75,12 +82,12 @@ def balancer(stream: DataFrame, decay: float) -> DataFrame:
 
     def update(key, frames, state: GroupState):
         n, ema = state.get if state.exists else (0, None)
-        rows = pd.concat(list(frames)).sort_values("ts")
+        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
         for x in rows["value"]:
             ema = x if ema is None else decay * ema + (1 - decay) * x
             n += 1
         state.update((n, ema))
         yield pd.DataFrame({"term": [key[0]], "epochs": [n], "ema": [ema]})
 
-    grouped = stream.select(F.col("event_type").alias("term"), "ts", "value").groupBy("term")
+    grouped = stream.select(F.col("event_type").alias("term"), "ts", "event_id", "value").groupBy("term")
     return grouped.applyInPandasWithState(update, "term string, epochs long, ema double", "n long, ema double", "update", GroupStateTimeout.NoTimeout)

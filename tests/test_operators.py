@@ -80,6 +80,66 @@ def test_condition_counts_and_marginals(spark):
     assert conditions.fixed_grid(spark).count() == 23
 
 
+def test_restricted_draw_rejects_whole_draws(spark):
+    every = conditions.all_conditions(spark)
+    mass = 0.2 + 0.4 * 6 / 7 + 0.3 * 12 / 15 + 0.1 * 10 / 13  # what drawing accepts without A7
+    got = {r.condition_name: r.probability for r in conditions.restricted(every, [c for c in conditions.CODES if c != "A7"]).collect()}
+    assert len(got) == 29 and abs(got["reference"] - 0.2 / mass) < 1e-12 and abs(got["A1+A3"] - 0.3 / 15 / mass) < 1e-12
+    n = 20000
+    items = spark.range(n).withColumnRenamed("id", "stem")
+    drawn = conditions.draw(items, every, (F.col("stem") + 0.5) / n, ["A1", "A3"]).groupBy("condition_name").count().collect()
+    share = {r.condition_name: r["count"] / n for r in drawn}
+    weights = {"reference": 0.2, "A1": 0.4 / 7, "A3": 0.4 / 7, "A1+A3": 0.3 / 15}
+    assert all(abs(share[c] - w / sum(weights.values())) < 1e-3 for c, w in weights.items()) and len(share) == 4
+
+
+def test_blocks_move_as_wholes(spark):
+    rows = [(c, y, x, 100 * y + x) for c in (0, 1) for y in range(8) for x in range(8)] + [(2, 0, 0, 7)]
+    got = ordered.permute_blocks(spark.createDataFrame(rows, "c int, y int, x int, v int"), ["c"], 8, 4, lambda b: (b * 7 + F.col("c") + 3) % 4).collect()
+    at = {(r.c, r.y, r.x): r.v for r in got}
+    assert len(at) == len(rows) and at[2, 0, 0] == 7
+    for c in (0, 1):
+        order = sorted(range(4), key=lambda b: ((b * 7 + c + 3) % 4, b))
+        for place, b in enumerate(order):
+            assert all(at[c, place // 2 * 4 + i, place % 2 * 4 + j] == 100 * (b // 2 * 4 + i) + b % 2 * 4 + j for i in range(4) for j in range(4))
+
+
+def test_ranks_fill_bins_exactly(spark):
+    values = spark.createDataFrame([("a", float(i % 5), i) for i in range(20)] + [("b", 1.0, 0)], "k string, v double, t int")
+    counts = spark.createDataFrame([("a", 0, 3), ("a", 1, 0), ("a", 2, 17), ("b", 0, 0), ("b", 1, 1)], "k string, bin int, n long")
+    got = ordered.match_ranks(values, counts, "k", "v", "t").collect()
+    order = sorted((r.v, r.t, r.bin) for r in got if r.k == "a")
+    assert [b for _, _, b in order] == [0] * 3 + [2] * 17 and [r.bin for r in got if r.k == "b"] == [1]
+
+
+def test_probability_table_is_checked():
+    from tessera.functions import palette
+
+    good = np.ones((32**3, 11))
+    assert np.allclose(palette.checked_table(good), 1 / 11)
+    for bad in (good[:5], -good, good * np.nan, good * 0):
+        with pytest.raises(ValueError, match="table|weight"):
+            palette.checked_table(bad)
+
+
+def test_named_colours_follow_an_injected_table(spark):
+    from tessera.operators import colour
+
+    pixels = spark.createDataFrame([(1, 0, 200, 30, 30), (1, 1, 0, 0, 0), (2, 0, 250, 250, 250)], "stem int, pix int, r int, g int, b int")
+    weights = np.zeros((32**3, 11))
+    weights[:, 9] = 1.0  # everything is white
+    assert {r.label for r in colour.named(colour.foreground(pixels), weights).collect()} == {"white"}
+    gone = colour.removed(pixels, F.lit("white"), weights).collect()
+    assert all(abs(r.r1 - r.g1) < 1e-3 and abs(r.g1 - r.b1) < 1e-3 for r in gone)
+
+
+def test_gray_of_a_gray_is_itself(spark):
+    from tessera.operators import colour
+
+    rows = spark.createDataFrame([(v, v, v) for v in range(256)], "r int, g int, b int")
+    assert all(abs(r.r8 - r.r) <= 1 and r.r8 <= r.r for r in colour.gray(rows).collect())
+
+
 @settings(max_examples=20, deadline=None)
 @given(st.integers(0, 2**32 - 1), st.sampled_from([1, 2, 4, 8]))
 def test_permutation_keeps_the_multiset(seed, side):

@@ -155,6 +155,8 @@ def single_starts(rows: DataFrame, width: int) -> DataFrame:
 
 def repeated_starts(marks: list[bytes] | None, singles: list[bytes] | None, n: int, width: int) -> np.ndarray:
     """Starts in a text of n bytes of strings that repeat."""
+    if not marks and not singles:
+        return np.zeros(0, np.int64)
     values = np.concatenate([np.zeros(0, np.uint64), *(unpacked(m) for m in marks or ()), *(unpacked(m) for m in singles or ())])
     s = np.unique(_starts(values[(values & U64(1)) == 0]))
     return s[(s >= 0) & (s <= n - width)]

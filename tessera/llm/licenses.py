@@ -5,8 +5,8 @@ whole text (overlapping by half where that is longer).  A block meets a template
 the template's distinct words.  Template words are ordered by their frequency
 in the whole corpus, rarest first: a block that meets the threshold holds one
 of the first |T| - needed + 1 words (prefix filter), has enough distinct words
-(length filter), and its first shared word leaves enough template words behind
-it (positional filter).  What passes is counted exactly.
+(length filter), and from its first shared word on, template and block each
+have enough words left in that order (positional filter).  What passes is counted exactly.
 """
 
 from __future__ import annotations
@@ -125,15 +125,17 @@ def scan(docs: DataFrame, threshold: float = 0.8, templates: dict[str, list[str]
                     continue
                 done.add((lo, text))
                 words_here = found[lo : min(lo + BLOCK, end)]
-                block = set(words_here[words_here >= 0].tolist())
-                tried = set()
-                for w in block:
+                block = sorted(set(words_here[words_here >= 0].tolist()), key=rank.__getitem__)
+                held, tried = set(block), set()
+                for j, w in enumerate(block):  # in the global order, so w is the first word that it shares with an untried template
                     for i, at in by_prefix.get(w, ()):
                         label, t, need, _ = sets[i]
-                        if i in tried or len(words_here) < need or len(t) - at < need and not block.intersection(t[:at]):
+                        if i in tried:
                             continue
                         tried.add(i)
-                        shared = len(block.intersection(t))
+                        if len(words_here) < need or min(len(t) - at, len(block) - j) < need:
+                            continue
+                        shared = len(held.intersection(t))
                         if shared >= need:
                             best = out.setdefault(text, {})
                             best[label] = max(best.get(label, 0.0), shared / len(t))

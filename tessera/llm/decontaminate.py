@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .exchange import covered, runs, spans
-from .shared import doc_text
+from .shared import doc_text, free_name
 from .textscan import U64, alnum_words, chunks
 
 Q, RATE, BLOCK_BYTES, FILTER_BITS = 8, 0.1, 2 << 20, 22
@@ -187,8 +187,12 @@ def blocks_of(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[Data
     return [items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) for i in range(n)]
 
 
-def find_matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
-    """doc_id, row (a hash of the whole text), item_id, edits, start, end: every occurrence found, in bytes of the text.
+def find_matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, row (a hash of the whole text), item_id, edits, start, end: where items stand, in bytes of the text.
+
+    Every document and item that match have a row.  Occurrences that start
+    within a few diagonals of each other (repeats closer than an item's edit
+    budget) are reported once, at the place with the fewest edits.
 
     An item matches where its whole normalised text stands with at most
     rate * length edits (fewer, if the q-gram bound asks for it).  Items that
@@ -196,7 +200,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> D
     nothing.  Repeated documents and items match alike.
     """
     found = None
-    for part in blocks_of(benchmark):
+    for part in blocks_of(benchmark, block_bytes):
         index = Index.of(sorted((r.item_id, r.text) for r in part.collect()), rate)  # at most about BLOCK_BYTES
 
         def run(batches, index=index):
@@ -213,18 +217,19 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> D
     return found
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
-    """doc_id, item_id, edits (fewest), places (occurrences), first_start: one row for each document and item that match.
+def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, item_id, edits (fewest), places (that `find_matches` reports), first_start: one row for each document and item that match.
 
     Documents without a match have no row.  Rows with a null doc_id match
     under a null doc_id; equal doc_ids are one document.
     """
-    places = find_matches(docs, benchmark, rate).dropDuplicates()
+    places = find_matches(docs, benchmark, rate, block_bytes).dropDuplicates()
     return places.groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits"), F.count(F.lit(1)).alias("places"), F.min("start").alias("first_start"))
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """The rows of docs in whose text no item was found, all columns as they are."""
-    marked = find_matches(docs, benchmark, rate).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).distinct()
+    of, row = free_name(docs, "of"), free_name(docs, "of_row")
+    marked = find_matches(docs, benchmark, rate).select(F.col("doc_id").alias(of), F.col("row").alias(row)).distinct()
     own = F.xxhash64(F.col("text").cast("string"))
-    return docs.join(marked, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (own == F.col("_row")), "left_anti")
+    return docs.join(marked, F.col("doc_id").cast("long").eqNullSafe(F.col(of)) & (own == F.col(row)), "left_anti")

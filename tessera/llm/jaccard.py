@@ -30,7 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .exchange import BLOB, ROW, TABLE, as_rows, pack, runs, text_rows, unpack
-from .shared import partitions, written
+from .shared import free_name, partitions, written
 from .textscan import LOWER, U64, Rolling, chunks, give_back, ids, mix, row_of, whitespace_words, windows, word_hashes, words
 
 IS_WORD = whitespace_words()
@@ -550,8 +550,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Rows with a null doc_id stay; repeated rows of the smallest doc_id do too.
     """
-    kept = components(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long") == F.col("_kept"), "left_semi").unionByName(docs.filter(F.col("doc_id").isNull()))
+    name = free_name(docs, "kept")
+    kept = components(docs).filter("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(kept, F.col("doc_id").cast("long") == F.col(name), "left_semi").unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 ORACLE = r"""

@@ -373,10 +373,31 @@ def test_decontamination_finds_edited_items(spark):
 
 def test_decontamination_blocks_agree(spark, docs):
     bench = spark.read.parquet(f"{SMALL}/benchmark.parquet")
-    whole = decontaminate.contaminated(docs, bench).collect()
     assert len(decontaminate.blocks_of(bench, 2000)) > 1
-    pages = [decontaminate.Index.of(sorted((r.item_id, r.text) for r in b.collect()), 0.1) for b in decontaminate.blocks_of(bench, 2000)]
-    assert sum(len(p.ids) for p in pages) == bench.count() and whole
+    whole, parts = (sorted(map(tuple, decontaminate.contaminated(docs, bench, block_bytes=n).collect())) for n in (decontaminate.BLOCK_BYTES, 2000))
+    assert whole and whole == parts
+
+
+def test_decontamination_of_long_and_repeated_rows(spark):
+    rng = random.Random(17)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    item = text(30)
+    long = text(60_000) + " " + item + " " + text(60_000)
+    data = [(1, long), (1, long), (2, long.replace(item, text(30))), (3, item), (3, item)]
+    docs = spark.createDataFrame(data, "doc_id long, text string").withColumn("of", F.lit(1)).withColumn("OF_row", F.lit(2))
+    bench = spark.createDataFrame([(7, item), (7, item)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.edits, r.places) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got == {(1, 7): (0, 1), (3, 7): (0, 1)}
+    left = decontaminate.clean_documents(docs, bench)
+    assert [(r.doc_id, r["of"], r["OF_row"]) for r in left.collect()] == [(2, 1, 2)]
+
+
+def test_near_duplicates_with_clashing_names(spark):
+    words = [f"w{i}" for i in range(40)]
+    data = [(1, " ".join(words)), (2, " ".join(words)), (3, " ".join(words[1:] + ["x"])), (4, None), (None, "a b")]
+    docs = spark.createDataFrame(data, "doc_id long, text string").withColumn("kept", F.lit(5)).withColumn("_kept", F.lit(6)).withColumn("fp", F.lit(7))
+    rows = jaccard.keep_one(docs).collect()
+    assert sorted((r.doc_id or 0, r.kept, r["_kept"], r.fp) for r in rows) == [(0, 5, 6, 7), (1, 5, 6, 7), (4, 5, 6, 7)]
 
 
 def test_top_k(spark):
@@ -407,7 +428,7 @@ def test_registered_queries_match_sql(spark):
 
 
 def test_all_ten_are_registered():
-    assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{n}" for n in range(1, 11)]
+    assert list(dict.fromkeys(q.split("_")[0] for q in queries.QUERIES)) == [f"op{n}" for n in range(1, 11)]
 
 
 def test_empty_tables(empty, spark):

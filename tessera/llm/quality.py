@@ -2,10 +2,11 @@
 
 A linear classifier on hashed byte trigrams gives each document evidence.
 Evidence is summed by host (source) and by path (here lang within the host:
-documents have no URL paths); each host's posterior mean is shrunk toward the
-global prior and each path's toward its host's, the strength of shrinkage
-being estimated from the spread between hosts.  A document's score adds its
-path's log-odds, relative to the global prior, to its own evidence.
+documents have no URL paths).  Variance components (within paths, between the
+paths of a host, between hosts) are estimated by moments from these sums; each
+level is shrunk toward the one above by the variance within over the variance
+between.  A document is scored by its own evidence and by what the other
+documents of its path, its host and the corpus say, so it isn't counted twice.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from .shared import doc_text, written
 from .textscan import chunks
 from .toxicity import labelled, logistic
 
-SITES_TO_BROADCAST = 50_000
+SITES_TO_BROADCAST, STRONGEST = 50_000, 1000.0
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int, modulus: int) -> np.ndarray | None:
@@ -43,13 +44,36 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int, modulus: int) -> n
     return np.append(w[:-1] * a, w[-1] * a + b)
 
 
+def strengths(paths: DataFrame) -> tuple[float, float, float]:
+    """Prior mean, and how many documents the prior of a host and of a path weigh; paths: host, n, good, square.
+
+    The strengths lie between 1 and STRONGEST, which also stands for levels that don't differ.
+    """
+    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good"), F.sum("square").alias("square"), F.count(F.lit(1)).alias("paths"), F.sum(F.col("good") * F.col("good") / F.col("n")).alias("a"), F.sum(F.col("n") * F.col("n")).alias("nn"))
+    t = hosts.agg(F.sum("n").alias("n"), F.sum("good").alias("good"), F.sum("square").alias("square"), F.sum("paths").alias("paths"), F.count(F.lit(1)).alias("hosts"), F.sum("a").alias("a"), F.sum(F.col("good") * F.col("good") / F.col("n")).alias("b"), F.sum(F.col("nn") / F.col("n")).alias("c"), F.sum(F.col("n") * F.col("n").cast("double")).alias("d")).collect()[0]  # one row
+    if not t.n:
+        return 0.5, STRONGEST, STRONGEST
+    prior = min(max(t.good / t.n, 1e-3), 1 - 1e-3)
+    within = max((t.square - t.a) / (t.n - t.paths) if t.n > t.paths else prior * (1 - prior), 1e-9)
+
+    def strength(excess: float, room: float) -> float:
+        between = excess / room if room > 0 else 0.0
+        return min(max(within / between, 1.0), STRONGEST) if between > 0 else STRONGEST
+
+    of_paths = strength(t.a - t.b - (t.paths - t.hosts) * within, t.n - t.c)
+    of_hosts = strength(t.b - t.good**2 / t.n - (t.hosts - 1) * within, t.n - t.d / t.n)
+    return prior, of_hosts, of_paths
+
+
 def classify(docs: DataFrame, labels: DataFrame, per_class: int = 1000, modulus: int = 5, site_weight: float = 0.5) -> DataFrame:
     """doc_id, held_out, evidence, host_posterior, path_posterior, score, predicted for each row of docs.
 
     docs: doc_id, text, source, lang; labels: doc_id, quality (only rows
     outside fold 0 are learned from, at most about `per_class` a class).
-    evidence is the document's own probability of quality 1, score adds
-    `site_weight` of its path's relative log-odds, predicted is score >= 0.5.
+    evidence is the document's own probability of quality 1.  host_posterior
+    and path_posterior are those of the host's and the path's other documents.
+    score adds `site_weight` of the path's log-odds, relative to the prior, to
+    the evidence; predicted is score >= 0.5.
     Null hosts and langs form sites of their own.  Null and empty texts get
     the classifier's bias as evidence.  Without labels of both classes evidence
     is 0.5.  Null doc_ids count as fold 0.  Repeated rows count as rows.
@@ -64,21 +88,17 @@ def classify(docs: DataFrame, labels: DataFrame, per_class: int = 1000, modulus:
 
     own = doc_text(docs, F.col("source").cast("string").alias("host"), F.col("lang").cast("string").alias("path"))
     scored = written(own.mapInArrow(run, "doc_id long, host string, path string, evidence double"), "evidence")
-    paths = scored.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("evidence").alias("good"))
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("good").alias("host_good"))
-    total = hosts.agg(F.sum("host_n").alias("n"), F.sum("host_good").alias("good"), F.avg(F.col("host_good") / F.col("host_n")).alias("mean"), F.var_samp(F.col("host_good") / F.col("host_n")).alias("spread"), F.avg(1 / F.col("host_n")).alias("inverse")).collect()[0]
-    prior = min(max((total.good or 0.5) / (total.n or 1), 1e-3), 1 - 1e-3)
-    # Method of moments: spread between hosts beyond what counts of this size show by chance.
-    chance = prior * (1 - prior) * (total.inverse or 1.0)
-    between = max((total.spread or 0.0) - chance, 1e-4)
-    strength = min(max(prior * (1 - prior) / between - 1, 1.0), 1000.0)
-    host_posterior = (F.col("host_good") + strength * prior) / (F.col("host_n") + strength)
-    sites = paths.join(hosts.select(F.col("host").alias("h"), host_posterior.alias("host_posterior")), F.col("host").eqNullSafe(F.col("h")))
-    sites = written(sites.select(F.col("host").alias("h"), F.col("path").alias("p"), "host_posterior", ((F.col("good") + strength * F.col("host_posterior")) / (F.col("n") + strength)).alias("path_posterior")), "sites")
+    paths = written(scored.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("evidence").alias("good"), F.sum(F.col("evidence") * F.col("evidence")).alias("square")), "paths")
+    prior, of_hosts, of_paths = strengths(paths)
+    hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("good").alias("host_good")).withColumnRenamed("host", "h")
+    sites = paths.join(hosts, F.col("host").eqNullSafe(F.col("h"))).select(F.col("host").alias("site"), F.col("path").alias("p"), "n", "good", "host_n", "host_good")
+    sites = written(sites, "sites")
     if sites.count() <= SITES_TO_BROADCAST:
         sites = F.broadcast(sites)
     logit = lambda c: F.log(c / (1 - c))
     clipped = lambda c: F.greatest(F.least(c, F.lit(1 - 1e-6)), F.lit(1e-6))
+    out = scored.join(sites, F.col("host").eqNullSafe(F.col("site")) & F.col("path").eqNullSafe(F.col("p")))
+    out = out.withColumn("host_posterior", (F.col("host_good") - F.col("evidence") + of_hosts * prior) / (F.col("host_n") - 1 + of_hosts))
+    out = out.withColumn("path_posterior", (F.col("good") - F.col("evidence") + of_paths * F.col("host_posterior")) / (F.col("n") - 1 + of_paths))
     z = logit(clipped(F.col("evidence"))) + site_weight * (logit(clipped(F.col("path_posterior"))) - float(np.log(prior / (1 - prior))))
-    out = scored.join(sites, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")))
     return out.withColumn("score", 1 / (1 + F.exp(-z))).select("doc_id", (fold(modulus) == 0).alias("held_out"), "evidence", "host_posterior", "path_posterior", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -9,7 +9,7 @@ import zlib
 import duckdb
 import numpy as np
 
-from tessera.llm import jaccard, licenses, queries, toxicity
+from tessera.llm import jaccard, licenses, quality, queries, toxicity
 
 from ..conftest import SMALL
 
@@ -136,6 +136,47 @@ def test_toxicity_weighs_words_exponentially():
     assert np.allclose(toxicity.text_scores(ratio, begin, first), [want, 0, 5])
 
 
+def brute_strengths(rows):
+    """Prior and strengths from (host, path, evidence) rows, by the sums of squares of a nested analysis of variance."""
+    rows = [(repr(h), repr(p), e) for h, p, e in rows]
+    by = lambda key: [[e for h, p, e in rows if key(h, p) == k] for k in {key(h, p) for h, p, _ in rows}]
+    mean = lambda g: sum(g) / len(g)
+    hosts, paths, every = by(lambda h, p: h), by(lambda h, p: (h, p)), [e for _, _, e in rows]
+    within = sum((e - mean(g)) ** 2 for g in paths for e in g) / (len(rows) - len(paths))
+    host_mean = {h: mean([e for g, _, e in rows if g == h]) for h in {h for h, _, _ in rows}}
+    ss_paths = sum((mean([x for g, q, x in rows if (g, q) == (h, p)]) - host_mean[h]) ** 2 for h, p, _ in rows)
+    ss_hosts = sum((host_mean[h] - mean(every)) ** 2 for h, _, _ in rows)
+    room_paths = len(rows) - sum(sum(len([1 for g, q, _ in rows if (g, q) == (h, p)]) ** 2 for p in {q for g, q, _ in rows if g == h}) / len([1 for g, _, _ in rows if g == h]) for h in host_mean)
+    room_hosts = len(rows) - sum(len(g) ** 2 for g in hosts) / len(rows)
+    strength = lambda ss, df, room: min(max(within / ((ss - df * within) / room), 1), 1000) if ss > df * within else 1000
+    return mean(every), strength(ss_hosts, len(hosts) - 1, room_hosts), strength(ss_paths, len(paths) - len(hosts), room_paths)
+
+
+def test_quality_posteriors_against_brute_force(spark):
+    rng = random.Random(4)
+    docs = [(i, None if i % 29 == 0 else " ".join(rng.choice(["good", "fine", "junk", "spam", "buy"]) for _ in range(rng.randint(1, 9))), rng.choice(["a", "b", "c", None]), rng.choice(["en", "de", None])) for i in range(200)]
+    docs.append((docs[3][0], *docs[3][1:]))
+    labels = [(i, int("good" in (t or ""))) for i, t, _, _ in docs[:150]]
+    got = quality.classify(spark.createDataFrame(docs, "doc_id long, text string, source string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    site = {i: (h, p) for i, _, h, p in docs}
+    rows = [(*site[r.doc_id], r.evidence) for r in got]
+    prior, of_hosts, of_paths = brute_strengths(rows)
+    assert len(got) == len(docs) and len({round(r.evidence, 6) for r in got}) > 20
+    for r in got:
+        h, p = site[r.doc_id]
+        own, path = [e for g, _, e in rows if g == h], [e for g, q, e in rows if (g, q) == (h, p)]
+        host = (sum(own) - r.evidence + of_hosts * prior) / (len(own) - 1 + of_hosts)
+        want = (sum(path) - r.evidence + of_paths * host) / (len(path) - 1 + of_paths)
+        z = math.log(r.evidence / (1 - r.evidence)) + 0.5 * (math.log(want / (1 - want)) - math.log(prior / (1 - prior)))
+        assert abs(r.host_posterior - host) < 1e-9 and abs(r.path_posterior - want) < 1e-9 and abs(r.score - 1 / (1 + math.exp(-z))) < 1e-9
+
+
+def test_quality_levels_that_do_not_differ_are_shrunk_most(spark):
+    paths = spark.createDataFrame([("a", 10, 5.0, 4.0), ("b", 10, 5.0, 4.0)], "host string, n long, good double, square double")
+    assert quality.strengths(paths) == (0.5, 1000.0, 1000.0)
+    assert quality.strengths(paths.limit(0)) == (0.5, 1000.0, 1000.0)
+
+
 WRAPPED = {
     "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files",
     "bsd-3": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:",

@@ -1,10 +1,11 @@
 """Exact top-k search by inner product over a bit-sliced index.
 
-Components are quantised to integers.  A block of rows keeps, for each
-dimension, the bits of (value - block minimum) as vertical bitmaps.  A block of
-queries adds the slices from the most significant one downward; what the lower
-slices can still add bounds every score, rows whose bound is below the k-th
-best leave, and rows that are left at the end are settled by their integers.
+Components are quantised to integers.  A block of rows keeps, for each bit of
+(value - block minimum), the row's dimensions as packed bits.  A block of
+queries, sliced in the same way, adds the slices from the most significant one
+downward by AND and population counts; what the lower slices can still add
+bounds every score, and rows whose bound is below the k-th best of every query
+leave.  What is left at the end has exact integer scores.
 """
 
 from __future__ import annotations
@@ -15,55 +16,83 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-QUERIES_AT_ONCE = 128
+QUERIES_AT_ONCE, ROWS_AT_ONCE = 128, 512
 _QUANTISED = "vec_id long, dim int, vals binary"
 _FOUND = "query_id long, vec_id long, score long"
 
 
+def packed(bits: np.ndarray) -> np.ndarray:
+    """Rows of 0 and 1 as rows of 64-bit words."""
+    words = -(-bits.shape[1] // 64)
+    held = np.zeros((len(bits), words * 64), dtype=np.uint8)
+    held[:, : bits.shape[1]] = bits
+    return np.packbits(held, axis=1).view(np.uint64)
+
+
+def slices(values: np.ndarray) -> list[np.ndarray]:
+    """Bit slices, lowest first, of a matrix of integers from 0."""
+    whole = values.astype(np.uint64)
+    return [packed(((whole >> np.uint64(b)) & np.uint64(1)).astype(np.uint8)) for b in range(int(whole.max(initial=0)).bit_length())]
+
+
 class BitSlices:
-    """Rows (sorted by id) of one dimension count as bitmaps, one for each dimension and bit."""
+    """Rows of one dimension count, sorted by id, as bit slices of (value - smallest value of its dimension)."""
 
     def __init__(self, ids: np.ndarray, vals: np.ndarray):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.vals = ids[order], vals[order]
-        self.low = self.vals.min(axis=0)
-        above = (self.vals - self.low).astype(np.uint64)
-        self.bits = int(above.max(initial=0)).bit_length()
-        self.slices = [np.packbits(((above >> np.uint64(b)) & np.uint64(1)).astype(np.uint8), axis=0) for b in range(self.bits)]
+        self.ids, vals = ids[order], vals[order]
+        self.low = vals.min(axis=0)
+        self.slices = slices(vals - self.low)
 
     def top(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(query id repeated, row ids, scores) with each query's k best rows, ties to the smaller id."""
+        """(query id repeated, row ids, scores) with each query's k best rows, ties to the smaller id.
+
+        A slice of the rows and one of the queries add the population count of
+        their bitwise AND; queries are shifted to be 0 or more, and the shift
+        times the slice's own count is taken back.
+        """
         n = len(self.ids)
-        size = np.abs(queries).sum(axis=1).max(initial=0) * max(1, np.abs(self.vals).max(initial=0), (1 << self.bits))
-        kind = np.float32 if size < 1 << 24 else np.float64
-        q = queries.astype(kind)
-        scores = np.repeat((queries @ self.low).astype(kind)[:, None], n, axis=1)
-        gain, loss = np.maximum(q, 0).sum(axis=1), np.minimum(q, 0).sum(axis=1)
+        shift = int(queries.min(initial=0))
+        asked = slices(queries - shift)
+        scores = np.repeat((queries @ self.low)[:, None], n, axis=1)
+        gain, loss = np.maximum(queries, 0).sum(axis=1), np.minimum(queries, 0).sum(axis=1)
         own = self.ids[None, :] == query_ids[:, None]
-        alive = np.ones(n, dtype=bool)  # rows that some query of this block may still want
         rows = np.arange(n)
-        for b in range(self.bits - 1, -1, -1):
-            held = np.unpackbits(self.slices[b], axis=0, count=n)
-            scores += (q * kind(1 << b)) @ (held if alive.all() else held[rows]).T.astype(kind)
-            left = kind((1 << b) - 1)
+        for b in range(len(self.slices) - 1, -1, -1):
+            held = self.slices[b][rows]
+            for at in range(0, len(rows), ROWS_AT_ONCE):
+                scores[:, at : at + ROWS_AT_ONCE] += self.products(held[at : at + ROWS_AT_ONCE], asked, len(queries), shift) << b
+            left = (1 << b) - 1  # what each lower slice together can still add a unit of the query
             if b and len(rows) > 4 * k and (gain - loss).max(initial=0) * left * 2 < np.ptp(scores, axis=1).max(initial=0):
-                lower = np.where(own, -np.inf, scores + (loss * left)[:, None])
+                lower = np.where(own, np.iinfo(np.int64).min, scores + (loss * left)[:, None])
                 kth = np.partition(lower, len(rows) - k, axis=1)[:, len(rows) - k]
                 keep = (scores + (gain * left)[:, None] >= kth[:, None]).any(axis=0)
-                if not keep.all():
-                    alive[rows[~keep]] = False
-                    rows, scores, own = rows[keep], scores[:, keep], own[:, keep]
-        scores[own] = -np.inf
+                rows, scores, own = rows[keep], scores[:, keep], own[:, keep]
+        scores[own] = np.iinfo(np.int64).min
         most = min(k, len(rows))
-        cut = np.partition(scores, len(rows) - most, axis=1)[:, len(rows) - most] if most else np.zeros(len(q))
+        cut = np.partition(scores, len(rows) - most, axis=1)[:, len(rows) - most] if most else np.zeros(len(queries))
         found = []
         for i, query in enumerate(query_ids):
             at = np.flatnonzero((scores[i] >= cut[i]) & ~own[i])
-            exact = self.vals[rows[at]] @ queries[i]
-            best = np.lexsort((self.ids[rows[at]], -exact))[:k]
-            found.append((np.full(len(best), query), self.ids[rows[at[best]]], exact[best]))
+            best = at[np.lexsort((self.ids[rows[at]], -scores[i, at]))[:k]]
+            found.append((np.full(len(best), query), self.ids[rows[best]], scores[i, best]))
         return found
 
+    @staticmethod
+    def products(held: np.ndarray, asked: list[np.ndarray], n: int, shift: int) -> np.ndarray:
+        """Sums, by query and row, of the queries' components where the rows' slice has a one."""
+        words = held.shape[1]
+        kind = np.uint16 if 64 * words << len(asked) < 1 << 16 else np.int64
+        total = np.zeros((n, len(held)), dtype=kind)
+        both, ones, part = np.empty(total.shape, np.uint64), np.empty(total.shape, np.uint8), np.empty(total.shape, kind)
+        for c, query in enumerate(asked):
+            for w in range(words):
+                np.bitwise_and(query[:, w, None], held[None, :, w], out=both)
+                np.bitwise_count(both, out=ones)
+                np.left_shift(ones, kind(c), out=part, dtype=kind, casting="unsafe")
+                total += part
+        return total.astype(np.int64) + shift * np.bitwise_count(held).sum(axis=1, dtype=np.int64)[None, :]
+
 
 def quantise(vectors: DataFrame, scale: int = 64) -> DataFrame:
     """vec_id, dim, vals (int64 little-endian floor(scale * x)); rows with a null or non-finite component, or no id, go."""
@@ -94,7 +123,7 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, blo
     without an id take no part.  Rows with the query's id are its own row and
     no candidates; a query id given twice asks once (its smallest vector).
     Vectors of another length are no candidates.  An empty vector scores 0.
-    Ties go to the smaller vec_id.  Scores are exact below 2**53.
+    Ties go to the smaller vec_id.  Scores are exact below 2**62.
     """
     spark = vectors.sparkSession
     rows = quantise(vectors, scale)

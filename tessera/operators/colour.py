@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import palette
 from tessera.functions.colour import CATEGORIES, CHROMATIC, TERMS
+from tessera.operators import aggregates, ordered
 
 _NAMES = {"raw": TERMS, "base": CATEGORIES, "label": CATEGORIES}
 
@@ -134,3 +135,53 @@ def equalised(pixels: DataFrame, mean: float = 50.0, deviation: float = 15.0) ->
     own = lab.groupBy("stem").agg(F.avg("L").alias("_m"), F.stddev_pop("L").alias("_s"))
     light = F.when(F.col("_s") < 1e-8, F.lit(mean)).otherwise((F.col("L") - F.col("_m")) / F.col("_s") * deviation + mean)
     return with_rgb(lab.join(own, "stem"), F.greatest(F.least(light, F.lit(100.0)), F.lit(0.0)), F.lit(0), F.lit(0)).drop("_m", "_s")
+
+
+def matched(pixels: DataFrame, bins: int = 256, top: float = 100.0) -> DataFrame:
+    """pixels (stem, pix, r, g, b) with the population's lightness histogram, their own a and b: bin, r1, g1, b1 and stored levels.
+
+    Three passes: moments of each specimen, moved to the population's (means
+    over specimens) and clipped; the mean of the specimens' histograms as
+    target; each specimen's pixels in order of lightness (ties by pix) fill the
+    target's bins exactly.
+    """
+    lab = with_lab(pixels)
+    own = lab.groupBy("stem").agg(F.avg("L").alias("_m"), F.stddev_pop("L").alias("_s"))
+    target = F.broadcast(own.agg(F.avg("_m").alias("_mean"), F.avg("_s").alias("_spread")))  # one row
+    light = F.greatest(F.least((F.col("L") - F.col("_m")) / F.col("_s") * F.col("_spread") + F.col("_mean"), F.lit(top)), F.lit(0.0))
+    moved = lab.join(own, "stem").crossJoin(target).withColumn("z", F.round(F.when(F.col("_s") < 1e-8, F.col("_mean")).otherwise(light), 6)).select("stem", "pix", "a", "b_", "z")
+    density = aggregates.target_density(aggregates.histograms(moved, "stem", "z", bins, top), "stem")
+    counts = ordered.apportion(density, moved.groupBy("stem").agg(F.count(F.lit(1)).alias("total")), "stem")
+    filled = ordered.match_ranks(moved, counts, "stem", "z", "pix")
+    return with_rgb(filled, F.col("bin") * F.lit(top / (bins - 1)), F.col("a"), F.col("b_")).withColumns(stored("nearest"))
+
+
+def drawn_category(pixels: DataFrame, draw: Column, table: np.ndarray | None = None) -> DataFrame:
+    """stem, category: one of the chromatic categories that a specimen shows, by the integer draw; no row where it shows none."""
+    shown = present(pixels, table).groupBy("stem").agg(F.collect_set("label").alias("_shown"))
+    listed = shown.withColumn("_listed", F.filter(F.array(*map(F.lit, CHROMATIC)), lambda c: F.array_contains("_shown", c)))
+    return listed.select("stem", F.element_at("_listed", (F.pmod(draw, F.size("_listed")) + 1).cast("int")).alias("category"))
+
+
+def audited(pixels: DataFrame, table: np.ndarray | None = None) -> DataFrame:
+    """pixels with base and label, chroma, the best term's probability (top) and its lead (margin), and m_<category>."""
+    probabilities = pixels.sparkSession.sparkContext.broadcast(palette.synthetic_table() if table is None else palette.checked_table(table))
+
+    def kernel(colours):
+        lab, p = palette.lab(colours), probabilities.value[palette.cells(colours)]
+        two = np.sort(p, axis=1)[:, -2:]
+        _, base, label = palette.hard_names(lab, p)
+        return [base, label, palette.chroma_hue(lab)[0], two[:, 1], two[:, 1] - two[:, 0], *palette.soft_names(lab, p).T]
+
+    return mapped(pixels, kernel, ("r", "g", "b"), "base string, label string, chroma double, top double, margin double, " + ", ".join(f"m_{c} double" for c in CATEGORIES))
+
+
+def removal_audit(pixels: DataFrame, categories: DataFrame, ambiguous: float = 0.15) -> DataFrame:
+    """What removing a category means for each specimen of `categories` (stem, category)."""
+    rows = audited(pixels).join(categories, "stem")
+    hit = F.col("label") == F.col("category")
+    member = F.coalesce(*(F.when(F.col("category") == c, F.col(f"m_{c}")) for c in CHROMATIC))
+    return rows.groupBy("stem", "category").agg(
+        F.avg(hit.cast("double")).alias("category_fraction"), F.avg(member).alias("mean_membership"), F.coalesce(F.avg(F.when(hit, F.col("chroma"))), F.lit(0.0)).alias("mean_chroma_in_category"),
+        F.avg((F.col("base") != F.col("label")).cast("double")).alias("fraction_changed"), F.avg("top").alias("mean_confidence"), F.avg("margin").alias("mean_margin"), F.avg((F.col("margin") < ambiguous).cast("double")).alias("fraction_ambiguous"),
+    )

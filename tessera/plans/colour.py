@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 
 from tessera.functions import colour as c
 from tessera.operators import colour as op
+from tessera.operators import conditions as cond
+from tessera.operators import joins
 from tessera.sources.relations import PIXELS
 
+from .ordered import STEP
 from .registry import Source, query, rounded
+from .relational import GRID
 
 FOREGROUND = f"SELECT * FROM ({PIXELS}) bg WHERE r <> 0 OR g <> 0 OR b <> 0"
 LAB = c.to_lab(FOREGROUND)
@@ -79,3 +83,58 @@ BACK = c.to_lab(f"SELECT stem, pix, L AS L0, a AS a0, b_ AS b0, r1 * {c.num(255)
 _register("standardise_audit", _audit, f"SELECT stem, round(avg(L), 4) AS realised_mean, round(stddev_pop(L), 4) AS realised_std, round(avg(sqrt((L - L0) * (L - L0) + (a - a0) * (a - a0) + (b_ - b0) * (b_ - b0))), 4) AS mean_delta_e FROM ({BACK}) x GROUP BY stem")
 FIXED = f"SELECT p.stem, p.pix, greatest(least(CASE WHEN q.s < {c.num(1e-8)} THEN {c.num(50)} ELSE (p.L - q.m) / q.s * {c.num(15)} + {c.num(50)} END, {c.num(100)}), {c.num(0)}) AS L, {c.num(0)} AS a, {c.num(0)} AS b_ FROM ({LAB}) p JOIN ({MOMENTS}) q ON p.stem = q.stem"
 _register("equalise_fixed_target", lambda p: _six(op.equalised(p), "stem", "pix", "r1", "g1", "b1"), f"SELECT stem, pix, {R6('r1', 'g1', 'b1')} FROM ({c.to_rgb(FIXED, KEEP)}) x")
+
+# The whole of A2: moments, the population's histogram, exact matching to it, 8-bit levels.
+POPULATION_MATCH = f"""
+WITH lab AS ({LAB}), st AS (SELECT stem, avg(L) AS m, stddev_pop(L) AS s FROM lab GROUP BY stem), t AS (SELECT avg(m) AS mean, avg(s) AS spread FROM st),
+z AS (SELECT p.stem, p.pix, p.a, p.b_, round(CASE WHEN st.s < 1e-8 THEN t.mean ELSE greatest(least((p.L - st.m) / st.s * t.spread + t.mean, {c.num(100)}), {c.num(0)}) END, 6) AS z FROM lab p JOIN st ON p.stem = st.stem CROSS JOIN t),
+h AS (SELECT stem, CAST(greatest(least(round_even(z / {STEP:.17e}, 0), 255), 0) AS INT) AS bin, count(*) AS n FROM z GROUP BY 1, 2),
+sizes AS (SELECT stem, sum(n) AS total FROM h GROUP BY stem),
+dens AS (SELECT bin, d / sum(d) OVER () AS density FROM (SELECT bin, sum(n / CAST(total AS DOUBLE)) AS d FROM h JOIN sizes ON h.stem = sizes.stem GROUP BY bin) x),
+e AS (SELECT stem, total, bin, density * total AS exact FROM sizes CROSS JOIN dens),
+f AS (SELECT *, CAST(floor(exact) AS BIGINT) AS base FROM e),
+k AS (SELECT *, total - sum(base) OVER (PARTITION BY stem) AS short, row_number() OVER (PARTITION BY stem ORDER BY round(exact - base, 9) DESC, bin) AS place FROM f),
+counts AS (SELECT stem, bin, base + CASE WHEN place <= short THEN 1 ELSE 0 END AS n FROM k),
+v AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY z, pix) AS rank FROM z),
+u AS (SELECT stem, bin, n, sum(n) OVER (PARTITION BY stem ORDER BY bin) AS hi FROM counts)
+SELECT v.stem, v.pix, u.bin, v.a, v.b_, u.bin * {STEP:.17e} AS L FROM v JOIN u ON v.stem = u.stem AND v.rank > u.hi - u.n AND v.rank <= u.hi"""
+_register("population_match", lambda p: _six(op.matched(p), "stem", "pix", "bin", *OUT), f"SELECT stem, pix, bin, {R6('r1', 'g1', 'b1')}, {NEAREST} FROM ({c.to_rgb(POPULATION_MATCH, f'{KEEP}, bin')}) x")
+
+# A6: a category that the specimen shows is drawn and turns gray.
+DRAWN = f"""
+SELECT stem, category FROM (
+  SELECT stem, label AS category, row_number() OVER (PARTITION BY stem ORDER BY list_position({list(c.CHROMATIC)!r}, label)) - 1 AS place, count(*) OVER (PARTITION BY stem) AS n
+  FROM (SELECT DISTINCT stem, label FROM ({NAMED}) n0 WHERE label IN ({', '.join(repr(x) for x in c.CHROMATIC)})) d) e WHERE (stem * 7919 + 13) % n = place"""
+GONE = f"SELECT x.stem, x.pix, category, L, CASE WHEN label = category THEN {c.num(0)} ELSE a END AS a, CASE WHEN label = category THEN {c.num(0)} ELSE b_ END AS b_ FROM ({NAMED}) x JOIN ({DRAWN}) d ON x.stem = d.stem"
+
+
+def _draws(pixels: DataFrame) -> DataFrame:
+    return op.drawn_category(pixels, F.col("stem") * 7919 + 13)
+
+
+_register("colour_removal_drawn", lambda p: _six(op.removed(p.join(_draws(p), "stem"), F.col("category")).withColumns(op.stored("truncated")), "stem", "pix", *OUT), f"SELECT stem, pix, {R6('r1', 'g1', 'b1')}, {STORED} FROM ({c.to_rgb(GONE, KEEP)}) y")
+MEMBER = "CASE d.category " + " ".join(f"WHEN '{x}' THEN s.m_{x}" for x in c.CHROMATIC) + " END"
+P, COPY = ", ".join("p_" + t for t in c.TERMS), ", ".join("copy_" + t for t in c.TERMS)
+COPIED = f"SELECT *, {', '.join(f'p_{t} AS copy_{t}' for t in c.TERMS)} FROM ({c.with_probabilities(FOREGROUND)}) pc"
+BOTH = c.soft_named(
+    f"SELECT stem, pix, base AS base_, label AS label_, C AS chroma, list_sort([{COPY}], 'DESC') AS ps, L, a, b_, {', '.join(f'copy_{t} AS p_{t}' for t in c.TERMS)} FROM ({c.named(c.to_lab(COPIED, f'stem, pix, {P}, {COPY}'), f'stem, pix, {COPY}')}) nc",
+    "stem, pix, base_, label_, chroma, ps",
+)
+AUDIT = ("category_fraction", "mean_membership", "mean_chroma_in_category", "fraction_changed", "mean_confidence", "mean_margin", "fraction_ambiguous")
+_register("colour_removal_audit", lambda p: rounded(op.removal_audit(p, _draws(p)), *AUDIT), f"""
+SELECT d.stem, d.category, round(avg(CASE WHEN s.label_ = d.category THEN {c.num(1)} ELSE {c.num(0)} END), 6) AS category_fraction, round(avg({MEMBER}), 6) AS mean_membership,
+       round(coalesce(avg(CASE WHEN s.label_ = d.category THEN s.chroma END), 0), 6) AS mean_chroma_in_category, round(avg(CASE WHEN s.base_ <> s.label_ THEN {c.num(1)} ELSE {c.num(0)} END), 6) AS fraction_changed,
+       round(avg(s.ps[1]), 6) AS mean_confidence, round(avg(s.ps[1] - s.ps[2]), 6) AS mean_margin, round(avg(CASE WHEN s.ps[1] - s.ps[2] < 0.15 THEN {c.num(1)} ELSE {c.num(0)} END), 6) AS fraction_ambiguous
+FROM ({DRAWN}) d JOIN ({BOTH}) s ON d.stem = s.stem GROUP BY 1, 2""")
+
+
+def _items(pixels: DataFrame) -> DataFrame:
+    """The fixed grid for every specimen, and A6 for each category that it shows."""
+    grid = joins.evaluation_items(pixels.select("stem").distinct(), cond.fixed_grid(pixels.sparkSession).select("condition_name", "code")).withColumn("category", F.lit(None).cast("string"))
+    shown = op.present(pixels).select("stem", F.concat(F.lit("A6_"), "label").alias("condition_name"), F.lit("A6").alias("code"), F.col("label").alias("category"))
+    return grid.unionByName(shown)
+
+
+_register("evaluation_items_all", _items, f"""
+SELECT s.stem, g.condition_name, g.code, CAST(NULL AS VARCHAR) AS category FROM (SELECT DISTINCT stem FROM ({FOREGROUND}) f) s CROSS JOIN (VALUES {GRID}) AS g(condition_name, code)
+UNION ALL SELECT stem, 'A6_' || label, 'A6', label FROM (SELECT DISTINCT stem, label FROM ({NAMED}) n0 WHERE label IN ({', '.join(repr(x) for x in c.CHROMATIC)})) x""")

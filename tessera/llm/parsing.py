@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import Entries, covered, exchange, marks_of, runs, text_rows, texts_of, unpacked
+from .exchange import Entries, exchange, marks_of, runs, text_rows, texts_of, unpacked
 from .shared import written
 from .textscan import U64, byte_rolling
 
@@ -85,12 +85,14 @@ def parse(rows: DataFrame, width: int, within: int = 0) -> DataFrame:
 
     def inner(batch, offsets):
         """Starts at which, and up to width - within bytes later, strings of the smaller width repeat."""
-        found = [repeated_starts(m, s, int(n), within) + o for m, s, n, o in zip(batch.column("marks").to_pylist(), batch.column("singles").to_pylist(), np.diff(offsets), offsets[:-1], strict=True)]
-        known = np.zeros(int(offsets[-1]) + 1, np.int64)
-        known[np.concatenate(found) + 1] = 1
-        known = np.cumsum(known)
-        last = np.minimum(np.arange(int(offsets[-1])) + width - within + 1, int(offsets[-1]))
-        return known[last] - known[:-1] == width - within + 1
+        delta = np.zeros(int(offsets[-1]) + 1, np.int32)
+        for marks, singles, place in zip(batch.column("marks").to_pylist(), batch.column("singles").to_pylist(), offsets.tolist(), strict=False):
+            first, last = ranges(marks, singles)
+            np.add.at(delta, first + place, 1)
+            np.add.at(delta, last + place + 1, -1)
+        known = np.concatenate([[0], np.cumsum(np.cumsum(delta[:-1]) > 0)])
+        end = np.minimum(np.arange(len(known) - 1) + width - within + 1, len(known) - 1)
+        return known[end] - known[:-1] == width - within + 1
 
     def entries(batch, data, offsets):
         roll = byte_rolling(data)
@@ -153,13 +155,14 @@ def single_starts(rows: DataFrame, width: int) -> DataFrame:
     return exchange(rows, entries, judge, (8, 0))
 
 
-def repeated_starts(marks: list[bytes] | None, singles: list[bytes] | None, n: int, width: int) -> np.ndarray:
-    """Starts in a text of n bytes of strings that repeat."""
+def ranges(marks: list[bytes] | None, singles: list[bytes] | None) -> tuple[np.ndarray, np.ndarray]:
+    """First and last starts of ranges in which every string repeats."""
     if not marks and not singles:
-        return np.zeros(0, np.int64)
-    values = np.concatenate([np.zeros(0, np.uint64), *(unpacked(m) for m in marks or ()), *(unpacked(m) for m in singles or ())])
-    s = np.unique(_starts(values[(values & U64(1)) == 0]))
-    return s[(s >= 0) & (s <= n - width)]
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    values = np.concatenate([unpacked(m) for m in [*(marks or ()), *(singles or ())]])
+    values = values[(values & U64(1)) == 0]
+    t, low = (values >> U64(16)).astype(np.int64), (values & U64(0xFFFF)).astype(np.int64)
+    return t - (low >> 8), t - (low >> 1 & 0x7F)
 
 
 def marked_rows(rows: DataFrame, width: int, within: int = 0) -> DataFrame:
@@ -179,10 +182,20 @@ def judged_rows(rows: DataFrame, *judged: DataFrame) -> DataFrame:
     return rows
 
 
-def removed(n: int, marks: list[bytes] | None, singles: list[bytes] | None, width: int) -> np.ndarray | None:
-    """Which of n bytes go; None if none does."""
-    s = repeated_starts(marks, singles, n, width)
-    return covered(n, s, s + width) if len(s) else None
+def spans(marks: list[bytes] | None, singles: list[bytes] | None, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs of bytes that repeated strings cover."""
+    first, last = ranges(marks, singles)
+    if not len(first):
+        return first, last
+    order = np.argsort(first, kind="stable")
+    start, end = first[order], np.maximum.accumulate(last[order] + width)
+    fresh = np.flatnonzero(start[1:] > end[:-1]) + 1
+    return start[np.concatenate([[0], fresh])], end[np.append(fresh, len(end)) - 1]
+
+
+def without(raw: bytes, start: np.ndarray, end: np.ndarray) -> bytes:
+    """raw without these runs."""
+    return b"".join(raw[a:b] for a, b in zip([0, *end.tolist()], [*start.tolist(), len(raw)], strict=True))
 
 
 def remove_repeats(docs: DataFrame, width: int = 400, passage: int = PASSAGE) -> DataFrame:
@@ -204,28 +217,16 @@ def remove_repeats(docs: DataFrame, width: int = 400, passage: int = PASSAGE) ->
         for batch in batches:
             out = []
             for raw, m0, s0, m1, s1 in zip(texts_of(batch), *(batch.column(c).to_pylist() for c in ("marks0", "singles0", "marks1", "singles1")), strict=True):
-                gone, spans, text = removed(len(raw), m1, s1, width), 0, raw
-                if gone is not None:
-                    text = np.frombuffer(raw, dtype=np.uint8)[~gone].tobytes()
-                    spans = int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1))
-                again = removed(len(raw), m0, s0, passage)
-                out.append((len(raw), len(raw) - len(text), spans, hashlib.sha256(text).hexdigest(), 0 if again is None else int(np.count_nonzero(again))))
+                start, end = spans(m1, s1, width)
+                text = without(raw, start, end)
+                wide, far = spans(m0, s0, passage)
+                out.append((len(raw), len(raw) - len(text), len(start), hashlib.sha256(text).hexdigest(), int((far - wide).sum())))
             cols = list(zip(*out, strict=True)) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.int64())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated"])
 
     return judged_rows(rows, *found).select("doc_id", "text", "marks0", "singles0", "marks1", "singles1").mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated long")
 
 
-def long_runs(raw: bytes, gone: np.ndarray, least_words: int) -> np.ndarray:
-    """gone without the runs in which fewer than least_words words stand."""
-    edges = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0))
-    out = gone.copy()
-    for start, end in edges.reshape(-1, 2):
-        if len(raw[start:end].split()) < least_words:
-            out[start:end] = False
-    return out
-
-
 def cut_repeats(docs: DataFrame, width: int = 400, least_words: int = 0) -> DataFrame:
     """The rows of docs with texts (and n_chars) without repeated strings; a text that this empties goes.
 
@@ -240,12 +241,10 @@ def cut_repeats(docs: DataFrame, width: int = 400, least_words: int = 0) -> Data
         for batch in batches:
             texts, kept = [], []
             for raw, marks, single in zip(texts_of(batch), batch.column("marks0").to_pylist(), batch.column("singles0").to_pylist(), strict=True):
-                gone = removed(len(raw), marks, single, width)
-                if gone is not None and least_words:
-                    gone = long_runs(raw, gone, least_words)
-                text = raw if gone is None else whole_characters(raw, gone)
+                runs_of = [(a, b) for a, b in zip(*(x.tolist() for x in spans(marks, single, width)), strict=True) if not least_words or len(raw[a:b].split()) >= least_words]
+                text = whole_characters(raw, runs_of) if runs_of else raw
                 texts.append(text.decode("utf-8", "replace"))
-                kept.append(gone is None or bool(text))
+                kept.append(not runs_of or bool(text))
             cols = [pa.array(texts, pa.string()) if c == "text" else pc.struct_field(batch.column("row"), f"c{i}") for i, c in enumerate(names)]
             if "n_chars" in names:
                 cols[names.index("n_chars")] = pa.array([len(t) for t in texts], pa.int64())
@@ -255,9 +254,12 @@ def cut_repeats(docs: DataFrame, width: int = 400, least_words: int = 0) -> Data
     return judged_rows(keyed, marked_rows(keyed, width)).select("row", "text", "marks0", "singles0").mapInArrow(finish, schema)
 
 
-def whole_characters(raw: bytes, gone: np.ndarray) -> bytes:
-    """What is left of raw if every character goes only as a whole."""
+def whole_characters(raw: bytes, runs_of: list[tuple[int, int]]) -> bytes:
+    """What is left of raw without these runs if every character goes only as a whole."""
     data = np.frombuffer(raw, dtype=np.uint8)
+    gone = np.zeros(len(data), dtype=bool)
+    for a, b in runs_of:
+        gone[a:b] = True
     lead = (data & 0xC0) != 0x80
     number = np.cumsum(lead) - 1
     if len(number) and number[0] < 0:

@@ -227,3 +227,73 @@ def test_registry_refuses_a_second_kernel():
     assert set(ablations.REGISTRY) == {"A3", "A4", "A5"}
     with pytest.raises(ValueError, match="registered"):
         ablations.ablation("A3", "crop")(lambda x: x)
+
+
+def _plain_median(image, k):
+    r = k // 2
+    padded = np.pad(image, ((r, r), (r, r), (0, 0)), mode="edge")
+    return np.array([[np.median(padded[y : y + k, x : x + k], axis=(0, 1)) for x in range(image.shape[1])] for y in range(image.shape[0])]).astype(np.uint8)
+
+
+def _images(spark, n=3, side=20):
+    rng = np.random.default_rng(1)
+    rows, arrays_of = [], {}
+    for stem in range(n):
+        image = np.zeros((side, side, 3), np.uint8)
+        image[3:-3, 3:-3] = rng.integers(20, 256, (side - 6, side - 6, 3))
+        rows.append((stem, side, side, image.tobytes()))
+        arrays_of[stem] = image
+    return spark.createDataFrame(rows, "stem long, height int, width int, data binary"), arrays_of
+
+
+def test_working_images_against_pixels(spark):
+    from tessera.functions import palette
+    from tessera.operators import chain, colour
+
+    images, arrays_of = _images(spark)
+    got = {(r.stem, r.member): chain.image_of(r) for r in chain.working_images(images, median=1).collect()}
+    assert {m for s, m in got if s == 0} >= {"", "A1", "A2", "A7"}
+    for stem, image in arrays_of.items():
+        inside = (image != 0).any(axis=-1)
+        pixels = spark.createDataFrame([(stem, i, *map(int, c)) for i, c in enumerate(image[inside])], "stem int, pix int, r int, g int, b int")
+        for member, made in (("A1", colour.gray(pixels)), ("A7", colour.chroma_only(pixels))):
+            want = np.array([(r.r8, r.g8, r.b8) for r in made.orderBy("pix").collect()])
+            assert (got[stem, member][inside] == want).all() and (got[stem, member][~inside] == 0).all()
+        for c in (m for s, m in got if s == stem and m.startswith("A6_")):
+            changed = (got[stem, c] != image).any(axis=-1)
+            labels = {r.pix: r.label for r in colour.named(pixels).collect()}
+            hit = np.zeros(inside.shape, bool)
+            hit[inside] = [labels[i] == c.removeprefix("A6_") for i in range(inside.sum())]
+            assert hit.any() and not (changed & ~hit).any()
+    # A2 gives every specimen the same histogram of lightness, up to what rounding to levels does.
+    light = [np.sort(palette.lab(got[s, "A2"][(arrays_of[s] != 0).any(axis=-1)])[:, 0]) for s in arrays_of]
+    assert all(np.abs(a - light[0]).mean() < 2 for a in light)
+
+
+def test_bags_follow_the_chain_step_by_step(spark):
+    from tessera.operators import chain
+
+    images, arrays_of = _images(spark)
+    working = chain.working_images(images, median=3)
+    items = chain.condition_items(images.select("stem"), conditions.fixed_grid(spark).filter("side IS NULL OR side IN (1, 4)"), working)
+    rows = chain.bags(items, working, chain.candidates(images, (4, 8)), (4, 8), n=3).collect()
+    by = {}
+    for r in rows:
+        by.setdefault((r.stem, r.condition_name), []).append(r)
+    names = {c for _, c in by}
+    assert {"reference", "A1", "A2", "A5", "A7", "A3_h1_r1", "A4_theta90_L17"} <= names and any(c.startswith("A6_") for c in names)
+    for stem, image in arrays_of.items():
+        geometry = [(r.source_size, r.y, r.x, r.flip) for r in by[stem, "reference"]]
+        assert [g[0] for g in geometry] == [4] * 3 + [8] * 3
+        for name in {c for s, c in by if s == stem}:
+            assert [(r.source_size, r.y, r.x, r.flip) for r in by[stem, name]] == geometry
+        blurred = _plain_median(image, 3)
+        for name, base in (("reference", blurred), ("A4_theta90_L17", kernels.box_blur(blurred, 90, 17))):
+            for r in by[stem, name]:
+                source = base[::-1] if r.flip else base
+                crop = source[r.y : r.y + r.source_size, r.x : r.x + r.source_size]
+                want = kernels.resize_cubic(np.ascontiguousarray(crop), 8) if r.source_size == 4 else crop
+                assert (np.frombuffer(r.data, np.uint8).reshape(8, 8, 3) == want).all()
+        for plain, mixed in zip(by[stem, "reference"], by[stem, "A3_h4_r1"], strict=True):
+            assert sorted(np.frombuffer(plain.data, np.uint8)) == sorted(np.frombuffer(mixed.data, np.uint8)) and mixed.block == 4
+        assert all(abs(r.alpha - (2.19 if r.source_size == 4 else 1.49)) <= 0.1 for r in by[stem, "A5"])

@@ -7,6 +7,8 @@ task orders all rows of a class.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -111,16 +113,79 @@ def numbered_families(rows: DataFrame) -> DataFrame:
     return names.select("family", (F.row_number().over(W.orderBy("family")) - 1).alias("place"), F.count(F.lit(1)).over(W.partitionBy()).alias("n"))
 
 
+def multiplicities(n: int, reps: int) -> np.ndarray:
+    """How often each replicate draws each of n families: reps x n, by the arithmetic of `family_draws`."""
+    rep, slot = np.arange(1, reps + 1, dtype=np.int64)[:, None], np.arange(n, dtype=np.int64)[None, :]
+    places = (rep * 7919 + (slot + 1) * 104729 + rep * (slot + 1) * (slot + 31)) % 1000003 % n
+    return np.stack([np.bincount(row, minlength=n) for row in places])
+
+
+def replicate_aucs(cells: DataFrame, families: list[str], reps: int, keys: list[str]) -> DataFrame:
+    """keys, rep, auc of cells (keys, family, p, pos, neg): replicates are columns of a matrix, not rows.
+
+    A group of one key and score bucket adds up, for every replicate at once,
+    what its positives win within the bucket; a second step adds what they win
+    over the buckets below.  The multiplicities (reps x families) are broadcast.
+    """
+    times = cells.sparkSession.sparkContext.broadcast((multiplicities(len(families), reps), {f: i for i, f in enumerate(families)}))
+    kinds = {f.name: f.dataType.simpleString() for f in cells.schema}
+    named = ", ".join(f"{k} {kinds[k]}" for k in keys)
+
+    def inside(rows: pa.Table) -> pa.Table:
+        table, place = times.value
+        p = rows.column("p").to_numpy()
+        order = np.argsort(p, kind="stable")
+        p, of = p[order], np.array([place[f] for f in rows.column("family").to_pylist()])[order]
+        pos, neg = (rows.column(c).to_numpy()[order] for c in ("pos", "neg"))
+        starts = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
+        won, below, positives = (np.zeros(reps, np.int64) for _ in range(3))
+        for at in range(0, len(starts), 1024):  # scores at once
+            cut = starts[at : at + 1025]
+            lo, hi = cut[0], cut[1024] if len(cut) > 1024 else len(p)
+            weight = table[:, of[lo:hi]]
+            heads = cut[:1024] - lo
+            a, b = np.add.reduceat(weight * pos[lo:hi], heads, axis=1), np.add.reduceat(weight * neg[lo:hi], heads, axis=1)
+            before = below[:, None] + np.cumsum(b, axis=1) - b
+            won += (a * (2 * before + b)).sum(axis=1)
+            below += b.sum(axis=1)
+            positives += a.sum(axis=1)
+        first = rows.slice(0, 1).select([*keys, "_b"])
+        return pa.table({**{c: first.column(c) for c in [*keys, "_b"]}, "won": pa.array([won.tolist()]), "pos": pa.array([positives.tolist()]), "neg": pa.array([below.tolist()])})
+
+    def across(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("_b")
+        won, pos, neg = (np.array(rows.column(c).to_pylist(), dtype=np.int64) for c in ("won", "pos", "neg"))
+        below = np.cumsum(neg, axis=0) - neg
+        total = (won + 2 * pos * below).sum(axis=0)
+        pairs = 2 * pos.sum(axis=0) * neg.sum(axis=0)
+        fine = np.flatnonzero(pairs)
+        auc = total[fine].astype(np.float64) / pairs[fine].astype(np.float64)
+        return pa.table({**{k: pa.array([rows.column(k)[0].as_py()] * len(fine), rows.schema.field(k).type) for k in keys}, "rep": pa.array(fine), "auc": pa.array(auc)})
+
+    buckets = cells.withColumn("_b", _bucket("p")).groupBy(*keys, "_b").applyInArrow(inside, f"{named}, _b long, won array<long>, pos array<long>, neg array<long>")
+    return buckets.groupBy(*keys).applyInArrow(across, f"{named}, rep long, auc double")
+
+
+FAMILIES_TO_BROADCAST = 20_000
+
+
 def bootstrap_delta_auc(predictions: DataFrame, reps: int) -> DataFrame:
     """condition_name, delta_auc_mean, delta_auc_variance (population), n_bootstrap_valid over family resamples.
 
     Counts by (condition, class, family, score) are built once; replicates
     only multiply them.  Replicates without any two-sided class drop out.
+    Up to FAMILIES_TO_BROADCAST families, replicates are never rows; beyond,
+    cells are joined with the draws.
     """
     cells = predictions.groupBy("condition_name", "class", "family", "p").agg(F.sum((F.col("t") > 0).cast("long")).alias("pos"), F.sum((F.col("t") <= 0).cast("long")).alias("neg"))
-    draws = family_draws(numbered_families(predictions), reps)
-    weighted = cells.join(draws, "family").withColumn("positive", F.col("pos") * F.col("times")).withColumn("negative", F.col("neg") * F.col("times"))
-    auc = macro(class_auc(weighted, ["condition_name", "rep", "class"], "p"), ["condition_name", "rep"], "auc")
+    families = [r.family for r in predictions.select("family").distinct().orderBy("family").limit(FAMILIES_TO_BROADCAST + 1).collect()]
+    if len(families) <= FAMILIES_TO_BROADCAST:
+        by_class = replicate_aucs(cells, families, reps, ["condition_name", "class"])
+    else:
+        draws = family_draws(numbered_families(predictions), reps)
+        weighted = cells.join(draws, "family").withColumn("positive", F.col("pos") * F.col("times")).withColumn("negative", F.col("neg") * F.col("times"))
+        by_class = class_auc(weighted, ["condition_name", "rep", "class"], "p")
+    auc = macro(by_class, ["condition_name", "rep"], "auc")
     base = auc.filter("condition_name = 'reference'").select("rep", F.col("macro_auc").alias("base"))
     deltas = auc.filter("condition_name <> 'reference'").join(base, "rep").withColumn("delta", F.col("macro_auc") - F.col("base"))
     return deltas.groupBy("condition_name").agg(F.avg("delta").alias("delta_auc_mean"), F.var_pop("delta").alias("delta_auc_variance"), F.count("delta").alias("n_bootstrap_valid"))

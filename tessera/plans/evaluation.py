@@ -9,7 +9,7 @@ from tessera.sources.relations import PREDICTIONS
 
 from .registry import Source, query, rounded
 
-REPS, FULL_REPS = 20, 500
+REPS = FULL_REPS = 500
 
 AUC = """
 auc_grouped AS (SELECT {keys}, class, p, sum({pos}) AS pos, sum({neg}) AS neg FROM {rows} GROUP BY ALL),

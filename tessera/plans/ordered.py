@@ -148,15 +148,15 @@ def grid_cell_sample(spark, sf_dir):
     return ordered.one_per_cell(p, "stem", "cell", seed, 16).select("stem", "cell", "cand", "place")
 
 
-@query("SELECT vec_id, round(list_sort(embedding, 'DESC')[1] - list_sort(embedding, 'DESC')[2], 6) AS margin FROM (SELECT vec_id, CAST(embedding[1:10] AS DOUBLE[]) AS embedding FROM embeddings)")
+@query("SELECT vec_id, round(list_sort(embedding, 'DESC')[1] - list_sort(embedding, 'DESC')[2], 6) AS margin FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings)")
 def top2_margin(spark, sf_dir):
-    e = Source(spark, sf_dir).table("embeddings").select("vec_id", F.slice("embedding", 1, 10).cast("array<double>").alias("v"))
+    e = Source(spark, sf_dir).table("embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     return rounded(e.select("vec_id", ordered.top2_margin(F.col("v")).alias("margin")), "margin")
 
 
-@query("SELECT vec_id, CAST(list_position(v, list_max(v)) - 1 AS BIGINT) AS best FROM (SELECT vec_id, embedding[1:10] AS v FROM embeddings)")
+@query("SELECT vec_id, CAST(list_position(v, list_max(v)) - 1 AS BIGINT) AS best FROM (SELECT vec_id, embedding AS v FROM embeddings)")
 def argmax_label(spark, sf_dir):
-    e = Source(spark, sf_dir).table("embeddings").select("vec_id", F.slice("embedding", 1, 10).alias("v"))
+    e = Source(spark, sf_dir).table("embeddings").select("vec_id", F.col("embedding").alias("v"))
     return e.select("vec_id", ordered.argmax(F.col("v")).alias("best"))
 
 

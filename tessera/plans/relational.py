@@ -105,18 +105,18 @@ def habitat_normalise(spark, sf_dir):
     return rounded(out, "share_a", "share_b", "share_c")
 
 
-PREVALENCE = "SELECT CAST(i - 1 AS INT) AS class, avg(CASE WHEN embedding[i] > 0 THEN CAST(1 AS DOUBLE) ELSE 0 END) AS prevalence FROM (SELECT embedding, unnest(range(1, 11)) AS i FROM embeddings) GROUP BY 1"
+PREVALENCE = "SELECT CAST(i - 1 AS INT) AS class, avg(CASE WHEN embedding[i] > 0 THEN CAST(1 AS DOUBLE) ELSE 0 END) AS prevalence FROM (SELECT embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY 1"
 
 
 @query(f"SELECT class, round(prevalence, 6) AS prevalence FROM ({PREVALENCE})")
 def class_prevalence(spark, sf_dir):
-    e = Source(spark, sf_dir).table("embeddings").select(F.slice("embedding", 1, 10).alias("v"))
+    e = Source(spark, sf_dir).table("embeddings").select(F.col("embedding").alias("v"))
     return rounded(agg.class_prevalence(e, "v"), "prevalence")
 
 
 @query(f"WITH p AS ({PREVALENCE}), w AS (SELECT class, 1 / greatest(prevalence, CAST(1e-6 AS DOUBLE)) AS w FROM p) SELECT class, round(w / avg(w) OVER (), 6) AS weight FROM w")
 def class_weights(spark, sf_dir):
-    e = Source(spark, sf_dir).table("embeddings").select(F.slice("embedding", 1, 10).alias("v"))
+    e = Source(spark, sf_dir).table("embeddings").select(F.col("embedding").alias("v"))
     return rounded(agg.class_weights(agg.class_prevalence(e, "v")), "weight")
 
 

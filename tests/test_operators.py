@@ -30,6 +30,16 @@ def test_average_precision(spark):
     assert abs(got - (0.5 * 1.0 + 0.5 * 2 / 4)) < 1e-12
 
 
+def test_bootstrap_by_matrix_and_by_join_agree(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [(c, k, f"f{i % 7}", float(rng.integers(0, 40)) / 40, float(rng.random() < 0.4)) for c in ("reference", "A1", "A2") for k in range(3) for i in range(60)]
+    df = spark.createDataFrame(rows, "condition_name string, class int, family string, p double, t double")
+    by_matrix = sorted(map(tuple, metrics.bootstrap_delta_auc(df, 25).collect()))
+    monkeypatch.setattr(metrics, "FAMILIES_TO_BROADCAST", 3)
+    by_join = sorted(map(tuple, metrics.bootstrap_delta_auc(df, 25).collect()))
+    assert len(by_matrix) == 2 and all(a[0] == b[0] and a[3] == b[3] and np.allclose(a[1:3], b[1:3]) for a, b in zip(by_matrix, by_join, strict=True))
+
+
 def test_all_degenerate_gives_no_row(spark):
     rows = spark.createDataFrame([(0, 0.1, 1, 0), (0, 0.2, 1, 0)], "class int, p double, positive int, negative int")
     assert metrics.class_auc(rows, ["class"], "p").count() == 0

@@ -2,6 +2,8 @@
 
 import collections
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tessera.llm.shared import written
 
@@ -43,3 +45,21 @@ def test_stages(spark):
         before = after
     rows = corpus_pipeline.run(spark, SMALL).collect()
     assert sorted(map(tuple, rows)) == sorted(map(tuple, before.collect()))
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Null, empty, very long and repeated rows, a null id, an empty benchmark, and no documents at all."""
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    hello = "Hello there my dear old friend"
+    rows = [(1, None, "en", "a", 0), (2, "", "en", "a", 0), (3, "123 456", "en", None, 7), (4, hello, None, "a", len(hello)), (4, hello, None, "a", len(hello)), (5, "word " * 50_000, "en", "b", 250_000), (None, "Another text stands here", "en", "b", 24), (6, hello, "en", "b", len(hello))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("fp", F.lit(1)).withColumn("marks", F.lit("x"))
+    kept = [{4, 5, 6, None}, {4, 5, None}, {4, None}, {4, None}]
+    before, none = docs, docs.limit(0)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        before, none = written(stage(spark, before, str(tmp_path)), f"odd{k}"), written(stage(spark, none, str(tmp_path)), f"none{k}")
+        assert none.count() == 0
+        if k < 4:
+            got = before.collect()
+            assert {r.doc_id for r in got} == kept[k] and sum(r.doc_id == 4 for r in got) == 2
+            assert {r.text for r in got if r.doc_id == 4} == {hello}
+    assert {r.doc_id for r in before.collect()} <= {4, None}

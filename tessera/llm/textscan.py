@@ -145,10 +145,3 @@ def windows(first: np.ndarray, width: int) -> np.ndarray:
 def ids(batch: pa.RecordBatch, column: str = "doc_id", null: int = np.iinfo(np.int64).max) -> np.ndarray:
     """The ids as int64; a null id is the largest integer."""
     return pc.fill_null(batch.column(column).cast(pa.int64()), null).to_numpy(zero_copy_only=False)
-
-
-def text_keys(data: np.ndarray, offsets: np.ndarray, rolling: Rolling | None = None) -> np.ndarray:
-    """A 64-bit key of each whole text, as int64."""
-    rolling = rolling or byte_rolling(data)
-    lengths = np.diff(offsets).astype(np.uint64)
-    return mix(rolling.raw(offsets[:-1], offsets[1:]) + lengths * U64(0xD6E8FEB86659FD93)).view(np.int64)

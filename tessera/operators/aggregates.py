@@ -82,11 +82,6 @@ def mean_of_means(df: DataFrame, keys: list[str], batch: str, value: str) -> Dat
     return df.groupBy(*keys, batch).agg(F.avg(value).alias("m")).groupBy(*keys).agg(F.avg("m").alias("mean_of_means"), F.count(F.lit(1)).alias("batches"))
 
 
-def agreement(df: DataFrame, key: str, a: str, b: str) -> DataFrame:
-    """Share of rows in which two labels differ."""
-    return df.groupBy(key).agg(F.avg((F.col(a) != F.col(b)).cast("double")).alias("changed"))
-
-
 def bounding_box(df: DataFrame, key: str, y: str, x: str) -> DataFrame:
     return df.groupBy(key).agg(F.min(y).alias("y0"), F.max(y).alias("y1"), F.min(x).alias("x0"), F.max(x).alias("x1"))
 

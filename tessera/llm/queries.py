@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import blocks, decontaminate, jaccard, langid, licenses, mixing, parsing, quality, topk, toxicity
+from . import blocks, decontaminate, jaccard, langid, lexical, licenses, mixing, parsing, periodic, quality, simhash, topk, toxicity
 from .shared import documents
 
 
@@ -64,7 +64,19 @@ def op10_exact_top_k(spark, sf_dir):
     return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_toxicity, op3_mix_sources, op4_license_scan, op5_language_id, op6_benchmark_decontamination, op7_quality, op8_block_dedup, op9_parse_dedup, op10_exact_top_k, op4_license_text, op4_license_lines)}
+def op11_periodic_runs(spark, sf_dir):
+    return periodic.run_digests(periodic.periodic_runs(periodic.with_planted_runs(documents(spark, sf_dir))))
+
+
+def op12_simhash(spark, sf_dir):
+    return simhash.components(documents(spark, sf_dir))
+
+
+def op13_lexical_search(spark, sf_dir):
+    return lexical.search(documents(spark, sf_dir), benchmark(spark, sf_dir)).select("item_id", "rank", "doc_id", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_toxicity, op3_mix_sources, op4_license_scan, op5_language_id, op6_benchmark_decontamination, op7_quality, op8_block_dedup, op9_parse_dedup, op10_exact_top_k, op11_periodic_runs, op12_simhash, op13_lexical_search, op4_license_text, op4_license_lines)}
 ORACLE_SQL = {
     "op1_ngram_jaccard": jaccard.ORACLE,
     "op3_mix_sources": mixing.ORACLE,
@@ -74,4 +86,5 @@ ORACLE_SQL = {
     "op8_block_dedup": blocks.ORACLE,
     "op9_parse_dedup": parsing.ORACLE,
     "op10_exact_top_k": topk.ORACLE,
+    "op13_lexical_search": lexical.ORACLE,
 }

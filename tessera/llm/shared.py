@@ -24,14 +24,16 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def written(df: DataFrame, name: str, compact: bool = False) -> DataFrame:
+def written(df: DataFrame, name: str, compact: bool = False, partition_by: str | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: a lost executor costs no recomputation.
 
     compact: many tasks give few rows each, so they are rebalanced into few files first.
+    partition_by: a column of few values, so that filters on it open only its files.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    (df.hint("rebalance") if compact else df).write.parquet(path)
+    writer = (df.hint("rebalance") if compact else df).write
+    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

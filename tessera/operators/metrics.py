@@ -14,10 +14,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BUCKETS = 256
+ROWS_AT_ONCE = 2048  # cells of a bucket that meet all replicates together
 
 
-def _bucket(score: str) -> Column:
-    return F.floor(F.least(F.greatest(F.col(score), F.lit(0.0)), F.lit(1.0)) * BUCKETS)
+def _bucket(score: str, buckets: int = BUCKETS) -> Column:
+    return F.floor(F.least(F.greatest(F.col(score), F.lit(0.0)), F.lit(1.0)) * buckets)
 
 
 def running_totals(df: DataFrame, keys: list[str], score: str, values: list[str], descending: bool = False) -> DataFrame:
@@ -77,20 +78,41 @@ def mean_error_to_reference(df: DataFrame, keys: list[str], item: str, predicted
     return rows.groupBy(*keys).agg(F.avg("e").alias("mean_abs_error"))
 
 
+def class_ranks(df: DataFrame, keys: list[str], score: str, positive: str = "positive", negative: str = "negative") -> DataFrame:
+    """keys, auc, ap of `class_auc` and `class_ap` from one pass of running totals; null where the key has none.
+
+    Totals run from the highest score down: what precedes a score are its
+    threshold's positives and negatives (ap), what doesn't precede it are the
+    negatives that its positives win against (auc).
+    """
+    grouped = df.groupBy(*keys, score).agg(F.sum(positive).alias("pos"), F.sum(negative).alias("neg"))
+    ranked = running_totals(grouped, keys, score, ["pos", "neg"], descending=True)
+    tp, fp = F.col("before_pos") + F.col("pos"), F.col("before_neg") + F.col("neg")
+    sums = ranked.groupBy(*keys).agg(
+        F.sum(F.col("pos") * tp.cast("double") / (tp + fp).cast("double")).alias("steps"), F.sum(F.col("pos") * (2 * F.col("before_neg") + F.col("neg"))).alias("lost"), F.sum("pos").alias("p"), F.sum("neg").alias("n"),
+    )
+    pairs = 2 * F.col("p") * F.col("n")
+    auc = F.when(pairs > 0, (pairs - F.col("lost")).cast("double") / pairs.cast("double"))
+    return sums.select(*keys, auc.alias("auc"), F.when(F.col("p") > 0, F.col("steps") / F.col("p").cast("double")).alias("ap"))
+
+
 def paired_summary(predictions: DataFrame) -> DataFrame:
     """condition_name, n_images, macro_auc, macro_ap, mean_kl, mean_abs_error, delta_auc.
 
     predictions: stem, condition_name, class, t (support), p (score), r (share).
+    One grouped pass over items gives the means, one over scores both rank
+    metrics.  Classes that hold one outcome only don't enter the macro means.
     """
     reference = predictions.filter("condition_name = 'reference'").select("stem", "class", F.col("r").alias("reference_r"))
     rows = predictions.join(reference, ["stem", "class"], "left").withColumn("positive", (F.col("t") > 0).cast("int")).withColumn("negative", 1 - F.col("positive"))
     keys = ["condition_name"]
-    auc = macro(class_auc(rows, [*keys, "class"], "p"), keys, "auc")
-    ap = macro(class_ap(rows, [*keys, "class"], "p"), keys, "ap")
-    n = rows.groupBy(*keys).agg(F.countDistinct("stem").alias("n_images"))
-    out = n.join(auc, keys, "left").join(ap, keys, "left").join(mean_kl(rows, keys, "stem", "t", "r"), keys).join(mean_error_to_reference(rows, keys, "stem", "r", "reference_r"), keys)
-    base = auc.filter("condition_name = 'reference'").select(F.col("macro_auc").alias("base_auc"))
-    return out.crossJoin(F.broadcast(base)).withColumn("delta_auc", F.when(F.col("condition_name") != "reference", F.col("macro_auc") - F.col("base_auc"))).drop("base_auc")
+    items = rows.groupBy(*keys, "stem").agg(F.sum(kl_term(F.col("t"), F.col("r"))).alias("kl"), F.avg(F.abs(F.col("r") - F.col("reference_r"))).alias("e"))
+    means = items.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_images"), F.avg("kl").alias("mean_kl"), F.avg("e").alias("mean_abs_error"))
+    ranks = class_ranks(rows, [*keys, "class"], "p").groupBy(*keys).agg(F.avg("auc").alias("macro_auc"), F.avg("ap").alias("macro_ap"))
+    # One row a condition: the reference's is found without a second pass.
+    base = F.max(F.when(F.col("condition_name") == "reference", F.col("macro_auc"))).over(W.partitionBy())
+    delta = F.when(F.col("condition_name") != "reference", F.col("macro_auc") - base)
+    return means.join(ranks, keys, "left").select(*keys, "n_images", "macro_auc", "macro_ap", "mean_kl", "mean_abs_error", delta.alias("delta_auc"))
 
 
 def family_draws(families: DataFrame, reps: int) -> DataFrame:
@@ -117,7 +139,7 @@ def multiplicities(n: int, reps: int) -> np.ndarray:
     """How often each replicate draws each of n families: reps x n, by the arithmetic of `family_draws`."""
     rep, slot = np.arange(1, reps + 1, dtype=np.int64)[:, None], np.arange(n, dtype=np.int64)[None, :]
     places = (rep * 7919 + (slot + 1) * 104729 + rep * (slot + 1) * (slot + 31)) % 1000003 % n
-    return np.stack([np.bincount(row, minlength=n) for row in places])
+    return np.stack([np.bincount(row, minlength=n).astype(np.int32) for row in places])
 
 
 def replicate_aucs(cells: DataFrame, families: list[str], reps: int, keys: list[str]) -> DataFrame:
@@ -126,7 +148,11 @@ def replicate_aucs(cells: DataFrame, families: list[str], reps: int, keys: list[
     A group of one key and score bucket adds up, for every replicate at once,
     what its positives win within the bucket; a second step adds what they win
     over the buckets below.  The multiplicities (reps x families) are broadcast.
+    A task multiplies ROWS_AT_ONCE cells at a time, however many share a score.
+    Keys of few cells have few buckets, so that groups are worth a call.
     """
+    largest = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    parts = min(BUCKETS, -(-largest // ROWS_AT_ONCE)) or 1
     times = cells.sparkSession.sparkContext.broadcast((multiplicities(len(families), reps), {f: i for i, f in enumerate(families)}))
     kinds = {f.name: f.dataType.simpleString() for f in cells.schema}
     named = ", ".join(f"{k} {kinds[k]}" for k in keys)
@@ -137,18 +163,30 @@ def replicate_aucs(cells: DataFrame, families: list[str], reps: int, keys: list[
         order = np.argsort(p, kind="stable")
         p, of = p[order], np.array([place[f] for f in rows.column("family").to_pylist()])[order]
         pos, neg = (rows.column(c).to_numpy()[order] for c in ("pos", "neg"))
-        starts = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
-        won, below, positives = (np.zeros(reps, np.int64) for _ in range(3))
-        for at in range(0, len(starts), 1024):  # scores at once
-            cut = starts[at : at + 1025]
-            lo, hi = cut[0], cut[1024] if len(cut) > 1024 else len(p)
-            weight = table[:, of[lo:hi]]
-            heads = cut[:1024] - lo
-            a, b = np.add.reduceat(weight * pos[lo:hi], heads, axis=1), np.add.reduceat(weight * neg[lo:hi], heads, axis=1)
+        fresh = np.concatenate([[True], p[1:] != p[:-1]])
+        won, below, positives, open_a, open_b = (np.zeros(reps, np.int64) for _ in range(5))
+        for at in range(0, len(p), ROWS_AT_ONCE):
+            weight = table[:, of[at : at + ROWS_AT_ONCE]]
+            heads = np.flatnonzero(fresh[at : at + ROWS_AT_ONCE])
+            if fresh[at]:  # the score before this block is complete
+                won += open_a * (2 * below + open_b)
+                below += open_b
+                positives += open_a
+                open_a, open_b = np.zeros(reps, np.int64), np.zeros(reps, np.int64)
+            else:
+                heads = np.concatenate([[0], heads])
+            a, b = (np.add.reduceat(weight * x[at : at + ROWS_AT_ONCE], heads, axis=1) for x in (pos, neg))
+            a[:, 0] += open_a
+            b[:, 0] += open_b
+            open_a, open_b = a[:, -1].copy(), b[:, -1].copy()
+            a, b = a[:, :-1], b[:, :-1]
             before = below[:, None] + np.cumsum(b, axis=1) - b
             won += (a * (2 * before + b)).sum(axis=1)
             below += b.sum(axis=1)
             positives += a.sum(axis=1)
+        won += open_a * (2 * below + open_b)
+        below += open_b
+        positives += open_a
         first = rows.slice(0, 1).select([*keys, "_b"])
         return pa.table({**{c: first.column(c) for c in [*keys, "_b"]}, "won": pa.array([won.tolist()]), "pos": pa.array([positives.tolist()]), "neg": pa.array([below.tolist()])})
 
@@ -162,7 +200,7 @@ def replicate_aucs(cells: DataFrame, families: list[str], reps: int, keys: list[
         auc = total[fine].astype(np.float64) / pairs[fine].astype(np.float64)
         return pa.table({**{k: pa.array([rows.column(k)[0].as_py()] * len(fine), rows.schema.field(k).type) for k in keys}, "rep": pa.array(fine), "auc": pa.array(auc)})
 
-    buckets = cells.withColumn("_b", _bucket("p")).groupBy(*keys, "_b").applyInArrow(inside, f"{named}, _b long, won array<long>, pos array<long>, neg array<long>")
+    buckets = cells.withColumn("_b", _bucket("p", parts)).groupBy(*keys, "_b").applyInArrow(inside, f"{named}, _b long, won array<long>, pos array<long>, neg array<long>")
     return buckets.groupBy(*keys).applyInArrow(across, f"{named}, rep long, auc double")
 
 

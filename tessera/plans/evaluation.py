@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import metrics
-from tessera.sources.relations import PREDICTIONS
 
-from .registry import Source, query, rounded
+from .predictions import PREDICTIONS, predictions
+from .registry import ORACLE_SQL, Source, query, rounded
 
-REPS = FULL_REPS = 500
+REPS = 500
 
 AUC = """
 auc_grouped AS (SELECT {keys}, class, p, sum({pos}) AS pos, sum({neg}) AS neg FROM {rows} GROUP BY ALL),
@@ -33,12 +33,12 @@ MAE = """
 mae AS (SELECT condition_name, avg(e) AS mean_abs_error FROM (
   SELECT a.condition_name, a.stem, avg(abs(a.r - b.r)) AS e FROM rows_ a LEFT JOIN rows_ b ON a.stem = b.stem AND a.class = b.class AND b.condition_name = 'reference' GROUP BY ALL) GROUP BY ALL)"""
 
-ROWS = f"WITH rows_ AS ({PREDICTIONS})"
+ROWS = f"WITH rows_ AS MATERIALIZED ({PREDICTIONS})"
 PLAIN_AUC = AUC.format(keys="condition_name", rows="rows_", pos="CASE WHEN t > 0 THEN 1 ELSE 0 END", neg="CASE WHEN t > 0 THEN 0 ELSE 1 END")
 
 
 def _rows(spark, sf_dir):
-    rows = Source(spark, sf_dir).sql(PREDICTIONS)
+    rows = predictions(spark, sf_dir)
     return rows.withColumn("positive", (F.col("t") > 0).cast("long")).withColumn("negative", (F.col("t") <= 0).cast("long"))
 
 
@@ -51,7 +51,7 @@ JOIN kl ON n.condition_name = kl.condition_name JOIN mae ON n.condition_name = m
 
 @query(PAIRED)
 def paired_condition_summary(spark, sf_dir):
-    out = metrics.paired_summary(Source(spark, sf_dir).sql(PREDICTIONS))
+    out = metrics.paired_summary(predictions(spark, sf_dir))
     return rounded(out, "macro_auc", "macro_ap", "mean_kl", "mean_abs_error", "delta_auc")
 
 
@@ -67,19 +67,25 @@ def macro_ap(spark, sf_dir):
 
 @query(f"{ROWS},{KL} SELECT condition_name, round(mean_kl, 6) AS mean_kl FROM kl")
 def mean_kl(spark, sf_dir):
-    return rounded(metrics.mean_kl(Source(spark, sf_dir).sql(PREDICTIONS), ["condition_name"], "stem", "t", "r"), "mean_kl")
+    return rounded(metrics.mean_kl(predictions(spark, sf_dir), ["condition_name"], "stem", "t", "r"), "mean_kl")
 
 
 @query(f"{ROWS},{MAE} SELECT condition_name, round(mean_abs_error, 6) AS mean_abs_error FROM mae")
 def mae_ref(spark, sf_dir):
     from tessera.operators import joins
 
-    rows = Source(spark, sf_dir).sql(PREDICTIONS)
+    rows = predictions(spark, sf_dir)
     reference = rows.filter("condition_name = 'reference'").select("stem", "class", F.col("r").alias("reference_r"))
     out = metrics.mean_error_to_reference(joins.paired(rows, reference, ["stem", "class"]), ["condition_name"], "stem", "r", "reference_r")
     return rounded(out, "mean_abs_error")
 
 
+@query(f"SELECT stem, family, condition_name, class, round(t, 6) AS t, round(p, 6) AS p, round(r, 6) AS r FROM ({PREDICTIONS}) x")
+def bag_predictions(spark, sf_dir):
+    """Every prediction of the bag model: each specimen under each of the fixed conditions, by class."""
+    return rounded(predictions(spark, sf_dir).select("stem", "family", "condition_name", "class", "t", "p", "r"), "t", "p", "r")
+
+
 WEIGHTED_AUC = AUC.format(keys="condition_name, rep", rows="weighted", pos="pos * times", neg="neg * times")
 
 
@@ -96,21 +102,20 @@ SELECT condition_name, round(avg(delta), 6) AS delta_auc_mean, round(var_pop(del
 
 @query(_bootstrap_sql(REPS))
 def bootstrap_delta_auc(spark, sf_dir):
-    out = metrics.bootstrap_delta_auc(Source(spark, sf_dir).sql(PREDICTIONS), REPS)
+    out = metrics.bootstrap_delta_auc(predictions(spark, sf_dir), REPS)
     return rounded(rounded(out, "delta_auc_mean"), "delta_auc_variance", digits=9)
 
 
-@query(_bootstrap_sql(FULL_REPS))
+@query(ORACLE_SQL["bootstrap_delta_auc"])
 def bootstrap_delta_auc_full(spark, sf_dir):
-    """bootstrap_delta_auc with the resamples of the reference."""
-    out = metrics.bootstrap_delta_auc(Source(spark, sf_dir).sql(PREDICTIONS), FULL_REPS)
-    return rounded(rounded(out, "delta_auc_mean"), "delta_auc_variance", digits=9)
+    """bootstrap_delta_auc, under the name it had when that one drew less often."""
+    return bootstrap_delta_auc(spark, sf_dir)
 
 
-@query(f"SELECT s.*, b.delta_auc_variance, b.n_bootstrap_valid FROM ({PAIRED}) s LEFT JOIN ({_bootstrap_sql(FULL_REPS)}) b ON s.condition_name = b.condition_name")
+@query(f"SELECT s.*, b.delta_auc_variance, b.n_bootstrap_valid FROM ({PAIRED}) s LEFT JOIN ({_bootstrap_sql(REPS)}) b ON s.condition_name = b.condition_name")
 def fold_summary(spark, sf_dir):
     """The summary of one fold, with the variance that fold combination weighs by."""
-    out = metrics.fold_summary(Source(spark, sf_dir).sql(PREDICTIONS), FULL_REPS)
+    out = metrics.fold_summary(predictions(spark, sf_dir), REPS)
     return rounded(rounded(out, "macro_auc", "macro_ap", "mean_kl", "mean_abs_error", "delta_auc"), "delta_auc_variance", digits=9)
 
 

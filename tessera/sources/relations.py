@@ -21,17 +21,6 @@ SELECT d.doc_id AS stem, d.source AS family, CASE d.lang WHEN 'en' THEN 'Back' W
        l.quality, l.toxic
 FROM documents d JOIN labels l ON d.doc_id = l.doc_id"""
 
-#: One row for each specimen, condition and class: support t (soft label), classifier score p, regression share r.
-PREDICTIONS = f"""
-SELECT i.stem, i.family, c.condition_name, k.class,
-       CASE k.class WHEN 0 THEN i.quality WHEN 1 THEN i.toxic ELSE 1 END / CAST(1 + i.quality + i.toxic AS DOUBLE) AS t,
-       ((i.stem * 37 + c.n * 11 + k.class * 5) % 101) / CAST(100 AS DOUBLE) AS p,
-       (1 + (i.stem * (3 + k.class) + c.n * 7) % 13)
-         / CAST(3 + (i.stem * 3 + c.n * 7) % 13 + (i.stem * 4 + c.n * 7) % 13 + (i.stem * 5 + c.n * 7) % 13 AS DOUBLE) AS r
-FROM ({ITEMS}) i
-CROSS JOIN (VALUES ('reference', 0), ('A1', 1), ('A2', 2), ('A7', 3)) AS c(condition_name, n)
-CROSS JOIN (VALUES (0), (1), (2)) AS k(class)"""
-
 EPOCHS = """
 SELECT CAST(datediff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INT) AS epoch, event_type AS term, avg(value) AS loss
 FROM events GROUP BY 1, 2"""

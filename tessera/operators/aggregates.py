@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .selection import medians
+
 
 def normalised(values: Column) -> Column:
     """An array divided by its sum; sums under 1e-12 divide by 1."""
@@ -61,7 +66,39 @@ def density_moments(density: DataFrame, bins: int, top: float) -> DataFrame:
 def conditional_stats(df: DataFrame, key: str, value: str, condition: Column, threshold: float) -> DataFrame:
     """Mean, exact median and share over a threshold among rows that meet the condition; null if none does."""
     v = F.when(condition, F.col(value))
-    return df.groupBy(key).agg(F.count(v).alias("n_met"), F.avg(v).alias("mean_met"), F.median(v).alias("median_met"), F.avg((v > threshold).cast("double")).alias("share_over"), F.avg(condition.cast("double")).alias("share_met"))
+    sums = df.groupBy(key).agg(F.count(v).alias("n_met"), F.avg(v).alias("mean_met"), F.avg((v > threshold).cast("double")).alias("share_over"), F.avg(condition.cast("double")).alias("share_met"))
+    middle = medians(df.filter(condition).select(key, value), key, value).withColumnRenamed("median", "median_met")
+    return sums.join(middle, key, "left")
+
+
+def population_pixels(stats: DataFrame, key: str, size: str) -> DataFrame:
+    """n_specimens, min_pixels, median_pixels, max_pixels, distinct_pixels of per-specimen counts; the median is selected, not sorted."""
+    whole = stats.agg(F.count_distinct(key).alias("n_specimens"), F.count_distinct(size).alias("distinct_pixels"), F.min(size).alias("min_pixels"), F.max(size).alias("max_pixels"))
+    middle = medians(stats.select(F.lit(0).alias("_all"), size), "_all", size).select(F.col("median").alias("median_pixels"))
+    return whole.join(middle, how="cross")  # one row each
+
+
+def vector_sum(rows: DataFrame, vector: str, weight: str, size: int) -> DataFrame:
+    """place, total: the weighted sum of array rows of `size`; a task adds its own rows, and only its sums are shuffled."""
+
+    def add(batches):
+        total = np.zeros(size)
+        for batch in batches:
+            if batch.num_rows:
+                flat = pc.list_flatten(batch.column(0)).to_numpy(zero_copy_only=False).reshape(batch.num_rows, size)
+                total += batch.column(1).to_numpy(zero_copy_only=False) @ flat
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype=np.int32)), pa.array(total)], names=["place", "part"])
+
+    held = rows.filter(F.col(vector).isNotNull() & F.col(weight).isNotNull()).select(F.col(vector).cast("array<double>"), F.col(weight).cast("double"))
+    return held.mapInArrow(add, "place int, part double").groupBy("place").agg(F.sum("part").alias("total"))
+
+
+def weighted_density(counts: DataFrame, key: str, bins: int, by_size: bool) -> DataFrame:
+    """bin, density of histograms (key, bin, n): each specimen alike, or by its pixels; sums to 1."""
+    sized = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("m"), F.sum("n").cast("double").alias("size"))
+    share = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.coalesce(F.try_element_at("m", b), F.lit(0)) / F.col("size"))
+    total = vector_sum(sized.select(share.alias("share"), (F.col("size") if by_size else F.lit(1.0)).alias("weight")), "share", "weight", bins)
+    return total.filter("total > 0").select(F.col("place").alias("bin"), (F.col("total") / F.sum("total").over(W.partitionBy())).alias("density"))  # one row a bin
 
 
 def zero_filled(df: DataFrame, key: str, category: str, categories: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import palette
 from tessera.functions.colour import CATEGORIES, CHROMATIC, TERMS
-from tessera.operators import aggregates, ordered
+from tessera.operators import aggregates, ordered, selection
 
 _NAMES = {"raw": TERMS, "base": CATEGORIES, "label": CATEGORIES}
 
@@ -152,7 +152,7 @@ def matched(pixels: DataFrame, bins: int = 256, top: float = 100.0) -> DataFrame
     moved = lab.join(own, "stem").crossJoin(target).withColumn("z", F.round(F.when(F.col("_s") < 1e-8, F.col("_mean")).otherwise(light), 6)).select("stem", "pix", "a", "b_", "z")
     density = aggregates.target_density(aggregates.histograms(moved, "stem", "z", bins, top), "stem")
     counts = ordered.apportion(density, moved.groupBy("stem").agg(F.count(F.lit(1)).alias("total")), "stem")
-    filled = ordered.match_ranks(moved, counts, "stem", "z", "pix")
+    filled = selection.matched_bins(moved, counts, "stem", "z", "pix")
     return with_rgb(filled, F.col("bin") * F.lit(top / (bins - 1)), F.col("a"), F.col("b_")).withColumns(stored("nearest"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.operators import aggregates as agg
-from tessera.operators import ordered
+from tessera.operators import ordered, selection
 from tessera.sources.relations import EPOCHS, PIXELS
 
 from .registry import Source, query, rounded
@@ -35,6 +35,16 @@ def ema_losses(spark, sf_dir):
     return rounded(ordered.moving_average(Source(spark, sf_dir).sql(EPOCHS), "term", "epoch", "loss", DECAY).select("term", "epoch", "ema"), "ema")
 
 
+@query("""
+WITH RECURSIVE e AS (SELECT event_type AS term, event_id, CAST(value AS DOUBLE) AS x, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS i FROM events),
+m AS (SELECT term, event_id, i, x AS ema FROM e WHERE i = 1 UNION ALL SELECT e.term, e.event_id, e.i, CAST(0.99 AS DOUBLE) * m.ema + CAST(0.01 AS DOUBLE) * e.x FROM m JOIN e ON e.term = m.term AND e.i = m.i + 1)
+SELECT term, event_id, i AS place, round(ema, 6) AS ema FROM m""")
+def ema_events(spark, sf_dir):
+    """The average after every single event: long series, cut over all partitions."""
+    e = Source(spark, sf_dir).table("events").select(F.col("event_type").alias("term"), "event_id", "value")
+    return rounded(ordered.moving_average(e, "term", "event_id", "value", 0.99).select("term", "event_id", "place", "ema"), "ema")
+
+
 @query(EMA + f""", r AS (SELECT term, epoch, ema / lag(ema, {LAG}) OVER (PARTITION BY term ORDER BY epoch) AS ratio FROM m),
 w AS (SELECT epoch, max(CASE WHEN term = 'click' THEN ratio END) AS a, max(CASE WHEN term = 'view' THEN ratio END) AS b FROM r GROUP BY epoch),
 s AS (SELECT epoch, CASE WHEN a IS NULL OR b IS NULL THEN CAST(0.5 AS DOUBLE) ELSE least(greatest(1 / (1 + exp(-(a - b) / {TEMPERATURE})), CAST({BAND[0]} AS DOUBLE)), CAST({BAND[1]} AS DOUBLE)) END AS weight_a FROM w)
@@ -101,6 +111,24 @@ def target_density(spark, sf_dir):
     return rounded(_density(spark, sf_dir), "density")
 
 
+WEIGHED = f"""
+WITH h AS ({HIST}), sizes AS (SELECT stem, CAST(sum(n) AS DOUBLE) AS size FROM h GROUP BY stem),
+d AS (SELECT w.weight, bin, sum(n / size * CASE w.weight WHEN 'image' THEN CAST(1 AS DOUBLE) ELSE size END) AS d FROM h JOIN sizes ON h.stem = sizes.stem CROSS JOIN (VALUES ('image'), ('pixel')) AS w(weight) GROUP BY 1, 2)"""
+
+
+@query(WEIGHED + " SELECT weight, bin, round(d / sum(d) OVER (PARTITION BY weight), 6) AS density FROM d")
+def weighted_density(spark, sf_dir):
+    """The population's histogram with each specimen alike, and by its pixels."""
+    counts = agg.histograms(Source(spark, sf_dir).sql(LIGHT), "stem", "v", BINS, TOP)
+    both = [agg.weighted_density(counts, "stem", BINS, by_size).select(F.lit(name).alias("weight"), "bin", "density") for name, by_size in (("image", False), ("pixel", True))]
+    return rounded(both[0].unionByName(both[1]), "density")
+
+
+@query(f"SELECT count(DISTINCT stem) AS n_specimens, count(DISTINCT n) AS distinct_pixels, min(n) AS min_pixels, median(CAST(n AS DOUBLE)) AS median_pixels, max(n) AS max_pixels FROM ({POPULATION}) p")
+def population_pixels(spark, sf_dir):
+    return agg.population_pixels(agg.population_stats(Source(spark, sf_dir).sql(LIGHT), "stem", "v"), "stem", "n")
+
+
 @query(DENSITY + f""", m AS (SELECT sum(bin * {STEP:.17e} * density) AS mean, sum(bin * {STEP:.17e} * bin * {STEP:.17e} * density) AS square, sum(CASE WHEN bin = 0 THEN density ELSE 0 END) AS lo, sum(CASE WHEN bin = 255 THEN density ELSE 0 END) AS hi FROM density)
 SELECT round(mean, 6) AS mean, round(sqrt(square - mean * mean), 6) AS std, round(lo, 6) AS atom_low, round(hi, 6) AS atom_high FROM m""")
 def density_moments(spark, sf_dir):
@@ -132,7 +160,7 @@ SELECT v.stem, v.pix, u.bin FROM v JOIN u ON v.stem = u.stem AND v.rank > u.hi -
 def hist_match(spark, sf_dir):
     v = Source(spark, sf_dir).sql(LIGHT)
     counts = ordered.apportion(_coarse(spark), v.groupBy("stem").agg(F.count(F.lit(1)).alias("total")), "stem")
-    return ordered.match_ranks(v, counts, "stem", "v", "pix").select("stem", "pix", "bin")
+    return selection.matched_bins(v, counts, "stem", "v", "pix").select("stem", "pix", "bin")
 
 
 CELLS = f"SELECT stem, pix AS cand, CAST(r // 16 AS INT) * 16 + CAST(g // 16 AS INT) AS cell, (pix * 2654435761 + stem * 40503) % 4294967296 AS h FROM ({PIXELS}) p"

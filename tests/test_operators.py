@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.functions import kernels, keyed
-from tessera.operators import aggregates, conditions, joins, metrics, ordered
+from tessera.operators import aggregates, conditions, joins, metrics, ordered, selection
 from tessera.sources import arrays, folds
 
 
@@ -117,7 +117,7 @@ def test_blocks_move_as_wholes(spark):
 def test_ranks_fill_bins_exactly(spark):
     values = spark.createDataFrame([("a", float(i % 5), i) for i in range(20)] + [("b", 1.0, 0)], "k string, v double, t int")
     counts = spark.createDataFrame([("a", 0, 3), ("a", 1, 0), ("a", 2, 17), ("b", 0, 0), ("b", 1, 1)], "k string, bin int, n long")
-    got = ordered.match_ranks(values, counts, "k", "v", "t").collect()
+    got = selection.matched_bins(values, counts, "k", "v", "t").collect()
     order = sorted((r.v, r.t, r.bin) for r in got if r.k == "a")
     assert [b for _, _, b in order] == [0] * 3 + [2] * 17 and [r.bin for r in got if r.k == "b"] == [1]
 

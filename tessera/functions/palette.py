@@ -16,8 +16,11 @@ CODE = {c: i for i, c in enumerate(CATEGORIES)}
 
 def lab(rgb: np.ndarray) -> np.ndarray:
     """L, a, b of channels 0..255, one row a colour."""
-    u = np.asarray(rgb, dtype=np.float64) / 255.0
+    rgb = np.asarray(rgb)
+    whole = rgb.dtype.kind in "iu"  # 256 levels: each is computed once
+    u = (np.arange(256.0) if whole else rgb.astype(np.float64)) / 255.0
     linear = np.where(u <= 0.04045, u / 12.92, ((u + 0.055) / 1.055) ** 2.4)
+    linear = linear[rgb] if whole else linear
     t = linear @ MATRIX.T / np.array(WHITE)
     f = np.where(t > DELTA**3, np.cbrt(t), t / (3 * DELTA**2) + 4 / 29)
     return np.column_stack([116 * f[:, 1] - 16, 500 * (f[:, 0] - f[:, 1]), 200 * (f[:, 1] - f[:, 2])])

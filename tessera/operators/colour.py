@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import palette
 from tessera.functions.colour import CATEGORIES, CHROMATIC, TERMS
-from tessera.operators import aggregates, ordered, selection
+from tessera.operators import aggregates, joins, ordered, selection
 
 _NAMES = {"raw": TERMS, "base": CATEGORIES, "label": CATEGORIES}
 
@@ -61,14 +61,31 @@ def stored(how: str) -> dict[str, Column]:
     return {f"{c}8": (F.floor(level(f"{c}1")) if how == "truncated" else F.rint(level(f"{c}1"))).cast("int") for c in "rgb"}
 
 
+LEVELS = ", r1 double, g1 double, b1 double, r8 int, g8 int, b8 int"
+
+
+def recoloured(pixels: DataFrame, change: Callable, named_outputs: str = "") -> DataFrame:
+    """pixels with r1, g1, b1 (0..1) and r8, g8, b8 (truncated) of what `change` makes of each distinct colour: one kernel, one pass.
+
+    change(colours, lab) gives new L, a, b arrays and the columns of named_outputs (a DDL string).
+    """
+
+    def kernel(colours):
+        light, a, b, *more = change(colours, palette.lab(colours))
+        channels = palette.rgb(np.column_stack(np.broadcast_arrays(light, a, b))).T
+        return [*more, *channels, *(np.floor(np.round(c * 255, 6)).astype(np.int32) for c in channels)]
+
+    return mapped(pixels, kernel, ("r", "g", "b"), (named_outputs + LEVELS).removeprefix(", "))
+
+
 def gray(pixels: DataFrame) -> DataFrame:
     """Lightness kept, colour gone."""
-    return with_rgb(with_lab(pixels), F.col("L"), F.lit(0), F.lit(0)).withColumns(stored("truncated"))
+    return recoloured(pixels, lambda _, lab: (lab[:, 0], 0.0, 0.0))
 
 
 def chroma_only(pixels: DataFrame, light: float = 50.0) -> DataFrame:
     """Colour kept at one lightness."""
-    return with_rgb(with_lab(pixels), F.lit(light), F.col("a"), F.col("b_")).withColumns(stored("truncated"))
+    return recoloured(pixels, lambda _, lab: (light, lab[:, 1], lab[:, 2]))
 
 
 def chroma() -> Column:
@@ -102,16 +119,46 @@ def soft_named(pixels: DataFrame, table: np.ndarray | None = None) -> DataFrame:
     return mapped(pixels, kernel, ("r", "g", "b"), "L double, a double, b_ double, " + ", ".join(f"m_{c} double" for c in CATEGORIES))
 
 
-def removed(pixels: DataFrame, category: Column, table: np.ndarray | None = None) -> DataFrame:
-    """pixels with label and r1, g1, b1, in which `category` has turned gray; a null category changes nothing."""
+def removed(pixels: DataFrame, category: str, table: np.ndarray | None = None) -> DataFrame:
+    """pixels with label, r1, g1, b1 and stored levels, in which `category` has turned gray."""
+    probabilities = pixels.sparkSession.sparkContext.broadcast(palette.synthetic_table() if table is None else palette.checked_table(table))
+
+    def change(colours, lab):
+        label = palette.hard_names(lab, probabilities.value[palette.cells(colours)])[2]
+        left = label != CATEGORIES.index(category)
+        return lab[:, 0], lab[:, 1] * left, lab[:, 2] * left, label
+
+    return recoloured(pixels, change, "label string")
+
+
+def removed_from_caches(pixels: DataFrame, labels: DataFrame, grays: DataFrame, category: str, keys: tuple[str, ...] = ("stem", "pix")) -> DataFrame:
+    """keys, r8, g8, b8: pixels of the category get their stored gray, others keep their levels.
+
+    keys tell the pixels of the caches; a pixel that a cache lacks fails the query.
+    """
+    on = list(keys)
+    grays = grays.select(*on, F.struct(*(F.col(f"{c}8").alias(c) for c in "rgb")).alias("_gray"))
+    met = joins.required(joins.required(pixels, labels, on, "label"), grays, on, "_gray")
+    gone = F.col("label") == category
+    return met.select(*on, *(F.when(gone, F.col(f"_gray.{c}")).otherwise(F.col(c)).cast("int").alias(f"{c}8") for c in "rgb"))
+
+
+def removed_by_row(pixels: DataFrame, category: Column, table: np.ndarray | None = None) -> DataFrame:
+    """`removed` with a category of each row's own (a null one changes nothing)."""
     gone = F.coalesce(F.col("label") == category, F.lit(False))
-    return with_rgb(named(pixels, table), F.col("L"), F.when(gone, F.lit(0.0)).otherwise(F.col("a")), F.when(gone, F.lit(0.0)).otherwise(F.col("b_")))
+    return with_rgb(named(pixels, table), F.col("L"), F.when(gone, F.lit(0.0)).otherwise(F.col("a")), F.when(gone, F.lit(0.0)).otherwise(F.col("b_"))).withColumns(stored("truncated"))
 
 
 def faded(pixels: DataFrame, category: str, share: float, table: np.ndarray | None = None) -> DataFrame:
-    """pixels with m_<category> and r1, g1, b1, whose colour goes by `share` of the membership."""
-    left = 1 - share * F.col(f"m_{category}")
-    return with_rgb(soft_named(pixels, table), F.col("L"), F.col("a") * left, F.col("b_") * left)
+    """pixels with m_<category>, r1, g1, b1 and stored levels, whose colour goes by `share` of the membership."""
+    probabilities = pixels.sparkSession.sparkContext.broadcast(palette.synthetic_table() if table is None else palette.checked_table(table))
+
+    def change(colours, lab):
+        member = palette.soft_names(lab, probabilities.value[palette.cells(colours)])[:, CATEGORIES.index(category)]
+        left = 1 - share * member
+        return lab[:, 0], lab[:, 1] * left, lab[:, 2] * left, member
+
+    return recoloured(pixels, change, f"m_{category} double")
 
 
 def present(pixels: DataFrame, table: np.ndarray | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -47,9 +48,22 @@ def with_cached(rows: DataFrame, cache: DataFrame, keys: list[str], value: str,
     return rows.join(cached, keys, "left").withColumn(value, F.coalesce("_cached", fallback)).drop("_cached")
 
 
+def from_caches(items: DataFrame, caches: list[DataFrame], key: str, cached: Callable, compute: Callable) -> DataFrame:
+    """Results of items that all caches have by cached(items), of the others by compute(items); a column `source` says which.
+
+    Both ways get only their own items, so that the costly one never runs for
+    what the caches hold.  A cache is a table with the key column; entries of
+    some caches only don't count.
+    """
+    held = built_everywhere(caches, [key]).distinct()
+    hits, misses = items.join(held, key, "left_semi"), items.join(held, key, "left_anti")
+    return cached(hits).withColumn("source", F.lit("cache")).unionByName(compute(misses).withColumn("source", F.lit("online")))
+
+
 def required(rows: DataFrame, cache: DataFrame, keys: list[str], value: str) -> DataFrame:
     """The cached value of every row; a missing one fails the query."""
-    return with_cached(rows, cache, keys, value, F.raise_error(F.lit(f"{value} was not built")))
+    cached = cache.select(*keys, F.col(value).alias("_cached"))
+    return rows.join(cached, keys, "left").withColumn(value, F.coalesce("_cached", F.raise_error(F.lit(f"{value} was not built")))).drop("_cached")
 
 
 def evaluation_items(items: DataFrame, conditions: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import colour as c
 from tessera.operators import colour as op
 from tessera.operators import conditions as cond
-from tessera.operators import joins
+from tessera.operators import joins, selection
 from tessera.sources.relations import PIXELS
 
 from .ordered import STEP
@@ -67,7 +67,7 @@ _register("presence_by_label", op.present, f"SELECT stem, label, count(CASE WHEN
 _register("override_fraction", lambda p: op.named(p).groupBy("stem").agg(F.round(F.avg((F.col("base") != F.col("label")).cast("double")), 6).alias("changed")), f"SELECT stem, round(avg(CASE WHEN base <> label THEN {c.num(1)} ELSE {c.num(0)} END), 6) AS changed FROM ({NAMED}) x GROUP BY stem")
 _register("colour_names_soft", lambda p: _six(op.soft_named(p), "stem", "pix", *(f"m_{x}" for x in c.CATEGORIES)), "SELECT stem, pix, " + ", ".join(f"round(m_{x}, 6) AS m_{x}" for x in c.CATEGORIES) + f" FROM ({SOFT}) x")
 REMOVED = c.to_rgb(f"SELECT {KEEP}, label, L, CASE WHEN label = 'green' THEN {c.num(0)} ELSE a END AS a, CASE WHEN label = 'green' THEN {c.num(0)} ELSE b_ END AS b_ FROM ({NAMED}) x", f"{KEEP}, label")
-_register("colour_remove", lambda p: _six(op.removed(p, F.lit("green")), "stem", "pix", "label", "r1", "g1", "b1"), f"SELECT stem, pix, label, {R6('r1', 'g1', 'b1')} FROM ({REMOVED}) x")
+_register("colour_remove", lambda p: _six(op.removed(p, "green"), "stem", "pix", "label", "r1", "g1", "b1"), f"SELECT stem, pix, label, {R6('r1', 'g1', 'b1')} FROM ({REMOVED}) x")
 SOFT_AB = c.soft_named(c.to_lab(c.with_probabilities(FOREGROUND), "stem, pix, " + ", ".join("p_" + t for t in c.TERMS)).replace("s0", "s0p"), f"{KEEP}, a, b_")
 FADED = c.to_rgb(f"SELECT {KEEP}, m_green, L, a * ({c.num(1)} - {c.num(0.8)} * m_green) AS a, b_ * ({c.num(1)} - {c.num(0.8)} * m_green) AS b_ FROM ({SOFT_AB}) x", f"{KEEP}, m_green")
 _register("colour_fade_soft", lambda p: _six(op.faded(p, "green", 0.8), "stem", "pix", "m_green", "r1", "g1", "b1"), f"SELECT stem, pix, {R6('m_green', 'r1', 'g1', 'b1')} FROM ({FADED}) x")
@@ -112,7 +112,7 @@ def _draws(pixels: DataFrame) -> DataFrame:
     return op.drawn_category(pixels, F.col("stem") * 7919 + 13)
 
 
-_register("colour_removal_drawn", lambda p: _six(op.removed(p.join(_draws(p), "stem"), F.col("category")).withColumns(op.stored("truncated")), "stem", "pix", *OUT), f"SELECT stem, pix, {R6('r1', 'g1', 'b1')}, {STORED} FROM ({c.to_rgb(GONE, KEEP)}) y")
+_register("colour_removal_drawn", lambda p: _six(op.removed_by_row(p.join(_draws(p), "stem"), F.col("category")), "stem", "pix", *OUT), f"SELECT stem, pix, {R6('r1', 'g1', 'b1')}, {STORED} FROM ({c.to_rgb(GONE, KEEP)}) y")
 MEMBER = "CASE d.category " + " ".join(f"WHEN '{x}' THEN s.m_{x}" for x in c.CHROMATIC) + " END"
 P, COPY = ", ".join("p_" + t for t in c.TERMS), ", ".join("copy_" + t for t in c.TERMS)
 COPIED = f"SELECT *, {', '.join(f'p_{t} AS copy_{t}' for t in c.TERMS)} FROM ({c.with_probabilities(FOREGROUND)}) pc"
@@ -138,3 +138,21 @@ def _items(pixels: DataFrame) -> DataFrame:
 _register("evaluation_items_all", _items, f"""
 SELECT s.stem, g.condition_name, g.code, CAST(NULL AS VARCHAR) AS category FROM (SELECT DISTINCT stem FROM ({FOREGROUND}) f) s CROSS JOIN (VALUES {GRID}) AS g(condition_name, code)
 UNION ALL SELECT stem, 'A6_' || label, 'A6', label FROM (SELECT DISTINCT stem, label FROM ({NAMED}) n0 WHERE label IN ({', '.join(repr(x) for x in c.CHROMATIC)})) x""")
+
+
+# A6 from the label and gray caches where a specimen has both, else online.  What the caches hold follows the suppliers' accounts.
+IN_LABELS, IN_GRAY = "s_acctbal > 0", "s_nationkey < 20"
+CACHED = f"SELECT s_suppkey FROM supplier WHERE {IN_LABELS} AND {IN_GRAY}"
+
+
+@query(f"SELECT y.stem, y.pix, {STORED}, CASE WHEN s.s_suppkey IS NULL THEN 'online' ELSE 'cache' END AS source FROM ({c.to_rgb(f'SELECT {KEEP}, L, CASE WHEN label = ' + repr('green') + f' THEN {c.num(0)} ELSE a END AS a, CASE WHEN label = ' + repr('green') + f' THEN {c.num(0)} ELSE b_ END AS b_ FROM ({NAMED}) x', KEEP)}) y LEFT JOIN ({CACHED}) s ON y.stem = s.s_suppkey WHERE true")
+def colour_removal_cached(spark, sf_dir):
+    """Green removed: by the stored labels and grays where a specimen has both, by classification where it hasn't."""
+    source = Source(spark, sf_dir)
+    pixels = op.foreground(source.sql(PIXELS))
+    own = source.table("supplier").select(F.col("s_suppkey").alias("stem"), "s_acctbal", "s_nationkey")
+    keys = ("stem", "pix", "r", "g", "b")  # line items may repeat a place
+    labels = selection.stored(op.named(pixels.join(own.filter(IN_LABELS), "stem", "left_semi")).select(*keys, "label").dropDuplicates(keys), "labels")
+    grays = selection.stored(op.gray(pixels.join(own.filter(IN_GRAY), "stem", "left_semi")).select(*keys, "r8", "g8", "b8").dropDuplicates(keys), "grays")
+    done = joins.from_caches(pixels, [labels, grays], "stem", lambda p: op.removed_from_caches(p, labels, grays, "green", keys), lambda p: op.removed(p, "green").select(*keys, "r8", "g8", "b8"))
+    return done.select("stem", "pix", "r8", "g8", "b8", "source")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import aggregates as agg
 from tessera.operators import conditions as cond
-from tessera.operators import joins
+from tessera.operators import joins, training
 from tessera.sources.relations import ITEMS, PIXELS
 
 from .registry import Source, query, rounded
@@ -227,3 +227,35 @@ def sample_stems(spark, sf_dir):
     d = Source(spark, sf_dir).table("documents").select("source", "doc_id")
     r = F.row_number().over(W.partitionBy("source").orderBy((F.col("doc_id") * 2654435761 + 12345) % 4294967296, "doc_id"))
     return d.withColumn("r", r).filter("r <= 5").drop("r")
+
+
+EPOCH_COUNT, RUN_SEED = 3, 42
+SEED_ = "((r * 31 + key + {k} * 104729) % 2147483647)"
+FEISTEL = f"xor(l, ((({SEED_} * {SEED_} % 2147483647 + {SEED_} * 48271) % 2147483647) >> 7) & mask)"
+ROUND = "SELECT epoch, i, key, bits, mask, n, steps{more}, r AS l, " + FEISTEL + " AS r FROM {table}"
+
+
+@query(f"""
+WITH RECURSIVE items AS (SELECT stem, family, view, row_number() OVER (ORDER BY view, stem) - 1 AS i, count(*) OVER () AS n FROM ({ITEMS}) x),
+size AS (SELECT n, greatest(CAST(ceil(ceil(log2(CAST(n AS DOUBLE))) / 2) AS INT), 1) AS bits FROM (SELECT max(n) AS n FROM items) m),
+walk AS (
+  SELECT e.epoch, i.i, ({RUN_SEED} * 104729 + e.epoch * 7919) % 2147483647 AS key, s.bits, (CAST(1 AS BIGINT) << s.bits) - 1 AS mask, s.n, 0 AS steps, i.i AS v FROM items i CROSS JOIN size s CROSS JOIN (SELECT range AS epoch FROM range({EPOCH_COUNT})) e
+  UNION ALL SELECT epoch, i, key, bits, mask, n, steps + 1, (l << bits) | r FROM (
+    {ROUND.format(k=3, more="", table="(" + ROUND.format(k=2, more="", table="(" + ROUND.format(k=1, more="", table="(" + ROUND.format(k=0, more="", table="(SELECT *, v >> bits AS l, v & mask AS r FROM walk WHERE steps = 0 OR v >= n) w0") + ") w1") + ") w2") + ") w3")}) w4)
+SELECT w.epoch, w.v AS place, w.i AS index, i.stem, i.family, i.view, '{RUN_SEED}|' || w.epoch || '|' || w.i || '|' || i.stem AS draw_key FROM walk w JOIN items i ON w.i = i.i WHERE w.steps > 0 AND w.v < w.n""")
+def training_items(spark, sf_dir):
+    """Every item of the united folds in every epoch, at its place in the epoch's order, with the key of its draws."""
+    items = training.dense_index(Source(spark, sf_dir).sql(ITEMS).select("stem", "family", "view"), ["view", "stem"])
+    ordered_ = training.epoch_orders(items, "index", EPOCH_COUNT, RUN_SEED)
+    return ordered_.select(F.col("epoch").cast("long").alias("epoch"), "place", "index", "stem", "family", "view", training.draw_key(RUN_SEED, "index", "stem").alias("draw_key"))
+
+
+@query("""
+WITH a AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1), b AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 0)
+SELECT d.doc_id AS stem FROM documents d WHERE d.doc_id NOT IN (SELECT doc_id FROM a INTERSECT SELECT doc_id FROM b)""")
+def still_to_build(spark, sf_dir):
+    """Specimens that one of two outputs lacks: what both have, taken away."""
+    source = Source(spark, sf_dir)
+    labels = source.table("labels").withColumnRenamed("doc_id", "stem")
+    done = joins.built_everywhere([labels.filter("quality = 1"), labels.filter("toxic = 0")], ["stem"])
+    return joins.not_yet_built(source.table("documents").select(F.col("doc_id").alias("stem")), done, ["stem"])

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.sources.relations import EPOCHS
 from tessera.streaming import events
 
-from .registry import Source, query, rounded
+from .ordered import BAND, DECAY, LAG, TEMPERATURE
+from .registry import ORACLE_SQL, Source, query, rounded
 
 
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
@@ -36,3 +38,19 @@ m AS (SELECT term, i, CAST(value AS DOUBLE) AS ema FROM e WHERE i = 1
 SELECT term, i AS epochs, round(ema, 6) AS ema FROM m QUALIFY row_number() OVER (PARTITION BY term ORDER BY i DESC) = 1""")
 def stream_balancer(spark, sf_dir):
     return rounded(events.run_now(events.balancer(events.event_stream(spark, sf_dir), 0.9), "update", "balancer", ("term",)), "ema")
+
+
+@query(ORACLE_SQL["ema_balance"])
+def stream_weights(spark, sf_dir):
+    """ema_balance by a stream over the log of epochs, which is written in three parts; its state lasts from batch to batch."""
+    losses = Source(spark, sf_dir).sql(EPOCHS)
+    wide = losses.groupBy("epoch").agg(*(F.max(F.when(F.col("term") == t, F.col("loss"))).alias(n) for t, n in (("click", "a"), ("view", "b")))).withColumn("run", F.lit("run"))
+    log, bounds = events.folder(spark, "log"), losses.agg(F.min("epoch"), F.max("epoch")).first()
+    schema = wide.schema
+    for k in range(3):
+        cut = [bounds[0] + (bounds[1] + 1 - bounds[0]) * x // 3 for x in (k, k + 1)]
+        wide.filter((F.col("epoch") >= cut[0]) & (F.col("epoch") < cut[1])).coalesce(1).write.mode("append").parquet(log)
+    with events.with_rocksdb(spark):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(log)
+        out = events.run_now(events.balanced(stream, DECAY, LAG, TEMPERATURE, BAND), "append", "weights")
+    return rounded(out.select("epoch", "weight_a", "weight_b"), "weight_a", "weight_b")

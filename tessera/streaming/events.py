@@ -6,13 +6,17 @@ with trigger(availableNow) and keeps its state under a checkpoint location.
 
 from __future__ import annotations
 
+import math
 import re
 import tempfile
 import uuid
+from collections import deque
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -31,15 +35,20 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def run_now(stream: DataFrame, mode: str, name: str, keys: tuple[str, ...] = ()) -> DataFrame:
-    """All available input, then the result as a table: complete results replace, appended ones add up, updates replace by `keys`."""
+def run_now(stream: DataFrame, mode: str, name: str, keys: tuple[str, ...] = (), at: tuple[str, str] | None = None) -> DataFrame:
+    """All available input, then the result as a table: complete results replace, appended ones add up, updates replace by `keys`.
+
+    A micro-batch is written to its own folder, replacing what is there: one
+    that is replayed (a failure after its write, before its commit) adds no
+    row twice.  at: (output folder, checkpoint folder) of a stream that goes on.
+    """
     spark = stream.sparkSession
-    out = folder(spark, name)
+    out, state = at or (folder(spark, name), folder(spark, f"{name}-state"))
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("_batch", F.lit(number).cast("long")).write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+        batch.write.mode("overwrite").parquet(f"{out}/_batch={0 if mode == 'complete' else number}")
 
-    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", folder(spark, f"{name}-state")).trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     rows = spark.read.schema(StructType([*stream.schema.fields, StructField("_batch", LongType())])).parquet(out)
     if mode != "update":
         return rows.drop("_batch")
@@ -55,23 +64,89 @@ def sessions(stream: DataFrame, gap: str, key: str) -> DataFrame:
     return stream.withWatermark("ts", "1 hour").groupBy(F.session_window("ts", gap).alias("s"), key).agg(F.count(F.lit(1)).alias("n")).select(F.col("s.start").cast("timestamp_ntz").alias("start"), key, "n")
 
 
-def build_missing(stream: DataFrame, done: DataFrame, key: str, build, name: str) -> DataFrame:
-    """Each micro-batch builds only keys that no output has; a replayed batch adds nothing."""
+def build_missing(stream: DataFrame, done: DataFrame, key: str, build, name: str, at: tuple[str, str] | None = None) -> DataFrame:
+    """Each micro-batch builds only keys that no output of another batch has, into a folder of its own; see `run_now`."""
     spark = stream.sparkSession
-    out = folder(spark, name)
+    out, state = at or (folder(spark, name), folder(spark, f"{name}-state"))
     schema = build(spark.createDataFrame([], stream.schema)).schema
+    held = StructType([*schema.fields, StructField("_batch", LongType())])
 
-    def write(batch: DataFrame, _id: int) -> None:
+    def write(batch: DataFrame, number: int) -> None:
         fresh = batch.dropDuplicates([key]).join(done, key, "left_anti")
         try:
-            fresh = fresh.join(spark.read.schema(schema).parquet(out).select(key), key, "left_anti")
+            fresh = fresh.join(spark.read.schema(held).parquet(out).filter(F.col("_batch") < number).select(key), key, "left_anti")
         except Exception as e:  # the first batch finds no output
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-        build(fresh).write.mode("append").parquet(out)
+        build(fresh).write.mode("overwrite").parquet(f"{out}/_batch={number}")
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(held).parquet(out).drop("_batch")
+
+
+class Balancer(StatefulProcessor):
+    """Weights of two loss terms, epoch by epoch: averages as a value, the last lag + 1 of them as a list."""
+
+    def __init__(self, decay: float, lag: int, temperature: float, band: tuple[float, float]):
+        self.decay, self.lag, self.temperature, self.band = decay, lag, temperature, band
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.averages = handle.getValueState("averages", "a double, b double")
+        self.history = handle.getListState("history", "a double, b double")
 
-    stream.writeStream.foreachBatch(write).option("checkpointLocation", folder(spark, f"{name}-state")).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(schema).parquet(out)
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        """A saved table goes on: its rows (epoch, ema_a, ema_b) of the last lag + 1 epochs."""
+        last = initialState.sort_values("epoch")[["ema_a", "ema_b"]].tail(self.lag + 1)
+        if len(last):
+            self.averages.update(tuple(map(float, last.iloc[-1])))
+            self.history.put([tuple(map(float, r)) for r in last.itertuples(index=False)])
+
+    def handleInputRows(self, key, rows, timerValues):
+        epochs = pd.concat(list(rows)).sort_values("epoch")
+        now = tuple(self.averages.get()) if self.averages.exists() else None
+        held = deque((tuple(r) for r in self.history.get()), maxlen=self.lag + 1) if self.history.exists() else deque(maxlen=self.lag + 1)
+        out = []
+        for r in epochs.itertuples():
+            now = (r.a, r.b) if now is None else tuple(self.decay * e + (1 - self.decay) * x for e, x in zip(now, (r.a, r.b), strict=True))
+            held.append(now)
+            weight = 0.5
+            if len(held) > self.lag:
+                ratios = [last / first for last, first in zip(held[-1], held[0], strict=True)]
+                weight = min(max(1 / (1 + math.exp(-(ratios[0] - ratios[1]) / self.temperature)), self.band[0]), self.band[1])
+            out.append((key[0], r.epoch, *now, weight, 1 - weight))
+        self.averages.update(now)
+        self.history.put(list(held))
+        yield pd.DataFrame(out, columns=["run", "epoch", "ema_a", "ema_b", "weight_a", "weight_b"])
+
+    def close(self) -> None:
+        pass
+
+
+WEIGHTS = "run string, epoch int, ema_a double, ema_b double, weight_a double, weight_b double"
+
+
+def balanced(stream: DataFrame, decay: float, lag: int, temperature: float, band: tuple[float, float], saved: DataFrame | None = None) -> DataFrame:
+    """run, epoch, ema_a, ema_b, weight_a, weight_b after each epoch of a stream of losses (run, epoch, a, b).
+
+    The state is kept between micro-batches and over restarts from the
+    checkpoint; saved: rows of an earlier result, from which a new stream goes
+    on.  Epochs of a run arrive in order (those of one micro-batch are sorted).
+    Needs the RocksDB state store (`with_rocksdb`).
+    """
+    initial = None if saved is None else saved.select("run", "epoch", "ema_a", "ema_b").groupBy("run")
+    return stream.select("run", "epoch", "a", "b").groupBy("run").transformWithStateInPandas(statefulProcessor=Balancer(decay, lag, temperature, band), outputStructType=WEIGHTS, outputMode="append", timeMode="none", initialState=initial)
+
+
+@contextmanager
+def with_rocksdb(spark: SparkSession):
+    """The state store that list states need, while a stream starts; the session's own setting comes back."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
 
 
 def balancer(stream: DataFrame, decay: float) -> DataFrame:

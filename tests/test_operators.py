@@ -139,7 +139,7 @@ def test_named_colours_follow_an_injected_table(spark):
     weights = np.zeros((32**3, 11))
     weights[:, 9] = 1.0  # everything is white
     assert {r.label for r in colour.named(colour.foreground(pixels), weights).collect()} == {"white"}
-    gone = colour.removed(pixels, F.lit("white"), weights).collect()
+    gone = colour.removed(pixels, "white", weights).collect()
     assert all(abs(r.r1 - r.g1) < 1e-3 and abs(r.g1 - r.b1) < 1e-3 for r in gone)
 
 

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tessera.operators import aggregates as agg
 from tessera.operators import conditions as cond
 from tessera.operators import joins, training
+from tessera.operators.selection import stored
+from tessera.sources import arrays, folds
 from tessera.sources.relations import ITEMS, PIXELS
+from tessera.streaming.events import folder
 
 from .registry import Source, query, rounded
 
+STEMS_TO_PUSH = 1000  # in one filter of the array source
+
 VIEWED = "SELECT doc_id AS stem, source AS family, CASE lang WHEN 'en' THEN 'Back' WHEN 'fr' THEN 'Belly' ELSE 'Side' END AS view FROM documents"
 CATEGORY = "CASE CAST(floor((r * 3 + g * 5 + b * 7) / 128) AS INT) % 4 WHEN 0 THEN 'blue' WHEN 1 THEN 'red' WHEN 2 THEN 'green' ELSE 'brown' END"
 
@@ -259,3 +266,44 @@ def still_to_build(spark, sf_dir):
     labels = source.table("labels").withColumnRenamed("doc_id", "stem")
     done = joins.built_everywhere([labels.filter("quality = 1"), labels.filter("toxic = 0")], ["stem"])
     return joins.not_yet_built(source.table("documents").select(F.col("doc_id").alias("stem")), done, ["stem"])
+
+
+@query(f"SELECT v.stem, v.family, v.view FROM ({VIEWED}) v JOIN labels l ON v.stem = l.doc_id WHERE l.quality = 1 AND v.view <> 'Side'")
+def view_semi_join(spark, sf_dir):
+    """Specimens of a view-partitioned table that a fold names; only the folders of its views are read."""
+    source = Source(spark, sf_dir)
+    viewed = source.sql(VIEWED)
+    by_view = folds.write_by_view(viewed, folder(spark, "by-view"))
+    good = source.table("labels").filter("quality = 1").select(F.col("doc_id").alias("stem"))
+    return folds.kept_by_view(by_view, viewed.join(good, "stem", "left_semi").filter("view <> 'Side'")).select("stem", "family", "view")
+
+
+@query("""
+WITH b AS (SELECT vec_id // 16 AS bag, count(*) AS n, sum(list_sum(CAST(embedding AS DOUBLE[]))) AS total FROM embeddings WHERE embedding IS NOT NULL GROUP BY 1)
+SELECT 'bag' || bag AS stem, CAST(n AS INT) AS height, round(total, 4) AS total FROM b JOIN labels l ON b.bag = l.doc_id WHERE l.quality = 1""")
+def npy_round_trip(spark, sf_dir):
+    """Bags of embeddings written as one file each; the files of labelled good specimens, found in a listing, are opened again."""
+    source = Source(spark, sf_dir)
+    spark.dataSource.register(arrays.NpyZst)
+    path = folder(spark, "arrays")
+    e = source.table("embeddings").filter("embedding is not null").select(F.floor(F.col("vec_id") / 16).alias("bag"), "vec_id", "embedding")
+
+    def packed(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("vec_id")
+        block = np.stack([np.asarray(v, dtype=np.float32) for v in rows.column("embedding").to_pylist()])
+        return pa.table({"stem": [f"bag{rows.column('bag')[0].as_py()}"], "height": pa.array([block.shape[0]], pa.int32()), "width": pa.array([block.shape[1]], pa.int32()), "channels": pa.array([1], pa.int32()), "dtype": ["float32"], "data": [block.tobytes()]})
+
+    e.groupBy("bag").applyInArrow(packed, arrays.SCHEMA).write.format("npyzst").mode("append").option("path", path).save()
+    good = source.table("labels").filter("quality = 1").select(F.concat(F.lit("bag"), "doc_id").alias("stem"))
+    wanted = [r.stem for r in arrays.listed(spark, path).join(good, "stem", "left_semi").limit(STEMS_TO_PUSH + 1).collect()]
+    files = spark.read.format("npyzst").option("pushdown", "true").load(path)
+    few = len(wanted) <= STEMS_TO_PUSH  # an IN list names the files; beyond, a join picks the rows
+
+    def sums(batches):
+        for batch in batches:
+            totals = [float(np.frombuffer(d, np.float32).astype(np.float64).sum()) for d in batch.column("data").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("stem"), batch.column("height"), pa.array(totals, pa.float64())], names=["stem", "height", "total"])
+
+    with arrays.pushed_filters(spark):
+        picked = files.filter(F.col("stem").isin(wanted)) if few else files.join(good, "stem", "left_semi")
+        return rounded(stored(picked.mapInArrow(sums, "stem string, height int, total double"), "sums"), "total", digits=4)

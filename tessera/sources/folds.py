@@ -27,6 +27,18 @@ def view_of(stem: Column) -> Column:
     return F.coalesce(found, F.raise_error(F.concat(F.lit("no view in "), stem)))
 
 
+def write_by_view(items: DataFrame, path: str) -> DataFrame:
+    """items (stem, ...) as a table with a folder for each view, which stands for the view-wise directories; read again."""
+    checked = items.withColumn("view", F.when(F.col("view").isin(*VIEWS), F.col("view")).otherwise(F.raise_error(F.concat(F.lit("no view: "), F.coalesce("view", F.lit("null"))))))
+    checked.write.partitionBy("view").parquet(path)
+    return items.sparkSession.read.schema(items.schema).parquet(path)
+
+
+def kept_by_view(by_view: DataFrame, folds: DataFrame) -> DataFrame:
+    """Rows of a view-partitioned table that the folds (stem, view) name; views that no fold has are pruned at run time."""
+    return by_view.join(folds.select("stem", "view"), ["stem", "view"], "left_semi")
+
+
 def read_fold(spark: SparkSession, path: str) -> DataFrame:
     """stem, family, habitat (shares that sum to 1, or zeros), view of a fold CSV."""
     schema = "name_of_img string, family string, " + ", ".join(f"`{h}` double" for h in HABITATS)

@@ -3,7 +3,7 @@
 Texts and items are normalised (ASCII lower case, runs of other ASCII than
 letters and digits as one space).  An occurrence of an item of n bytes with at
 most k edits shares n + 1 - q(k + 1) q-grams with it, all within k + 1
-diagonals.  Shared q-grams are counted in overlapping bands of 2(k + 1)
+diagonals; q is 8, and less for items of so few bytes that 8 bounds nothing.  Shared q-grams are counted in overlapping bands of 2(k + 1)
 diagonals; bands that reach the bound are verified by banded alignment.
 """
 
@@ -37,14 +37,20 @@ def normalised(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return low[place], place, np.searchsorted(place, offsets)
 
 
-def grams(data: np.ndarray) -> np.ndarray:
-    """The q bytes at each place as one integer."""
-    x = data.astype(np.uint64)
-    if len(x) < Q:
+def grams(data: np.ndarray, q: int = Q) -> np.ndarray:
+    """The q (up to 8) bytes at each place as one integer."""
+    if len(data) < q:
         return np.zeros(0, np.uint64)
+    x = np.concatenate([data, np.zeros(Q - q, np.uint8)]).astype(np.uint64)
     x = x[:-1] | x[1:] << U64(8)
     x = x[:-2] | x[2:] << U64(16)
-    return x[:-4] | x[4:] << U64(32)
+    x = x[:-4] | x[4:] << U64(32)
+    return x & U64((1 << 8 * q) - 1)
+
+
+def gram_size(length: int, budget: int) -> int:
+    """The longest grams, up to Q, of which an occurrence with `budget` edits must share one at least."""
+    return max(1, min(Q, length // (budget + 1)))
 
 
 def align(item: np.ndarray, text: np.ndarray, band: int, budget: int, fixed: int | None = None) -> tuple[int, int]:
@@ -74,8 +80,9 @@ def align(item: np.ndarray, text: np.ndarray, band: int, budget: int, fixed: int
 
 @dataclass
 class Index:
-    """q-grams of a block of items."""
+    """q-grams of those items of a block whose bound asks for this q."""
 
+    q: int
     ids: list[int]
     items: list[np.ndarray]
     budgets: np.ndarray
@@ -88,24 +95,31 @@ class Index:
     exact: list[bytes]
 
     @classmethod
-    def of(cls, rows: list[tuple[int, str]], rate: float) -> Index:
-        ids, items, budgets, needed, keys, item, place = [], [], [], [], [], [], []
+    def all(cls, rows: list[tuple[int, str]], rate: float) -> list[Index]:
+        """An index for each gram size that the items need: Q where it bounds anything, less for short items."""
+        by_size: dict[int, list] = {}
         for item_id, text in rows:
             raw = np.frombuffer((text or "").encode(), dtype=np.uint8)
             if len(raw):
                 raw = normalised(raw, np.array([0, len(raw)]))[0]
             raw = np.frombuffer(raw.tobytes().strip(), dtype=np.uint8)
-            if len(raw) < Q:
-                continue
-            budget = min(int(rate * len(raw)), (len(raw) + 1 - 1) // Q - 1)
-            g = grams(raw)
+            if len(raw):
+                budget = int(rate * len(raw))
+                by_size.setdefault(gram_size(len(raw), budget), []).append((item_id, raw, budget))
+        return [cls.of(q, held) for q, held in sorted(by_size.items())]
+
+    @classmethod
+    def of(cls, q: int, held: list[tuple[int, np.ndarray, int]]) -> Index:
+        ids, items, budgets, needed, keys, item, place = [], [], [], [], [], [], []
+        for item_id, raw, budget in held:
+            g = grams(raw, q)
             keys.append(g)
             item.append(np.full(len(g), len(ids)))
             place.append(np.arange(len(g)))
             ids.append(item_id)
             items.append(raw)
-            budgets.append(max(0, budget))
-            needed.append(max(1, len(raw) + 1 - Q * (budgets[-1] + 1)))
+            budgets.append(budget)
+            needed.append(max(1, len(raw) + 1 - q * (budget + 1)))
         key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
         order = np.argsort(key, kind="stable")
         key = key[order]
@@ -113,7 +127,7 @@ class Index:
         present = np.zeros(1 << FILTER_BITS, dtype=bool)
         present[cls.slot(key)] = True
         flat = lambda x: (np.concatenate(x) if x else np.zeros(0, np.int64))[order]
-        return cls(ids, items, np.array(budgets, np.int64), np.array(needed, np.int64), key[heads], np.append(heads, len(key)), flat(item), flat(place), present, [x.tobytes() for x in items])
+        return cls(q, ids, items, np.array(budgets, np.int64), np.array(needed, np.int64), key[heads], np.append(heads, len(key)), flat(item), flat(place), present, [x.tobytes() for x in items])
 
     @staticmethod
     def slot(g: np.ndarray) -> np.ndarray:
@@ -121,7 +135,7 @@ class Index:
 
     def bands(self, data: np.ndarray) -> list[tuple[int, int, int]]:
         """(item, first and last place at which an occurrence may start) of bands with enough shared q-grams."""
-        g = grams(data)
+        g = grams(data, self.q)
         at = np.flatnonzero(self.present[self.slot(g)])
         if not len(at) or not len(self.keys):
             return []
@@ -195,20 +209,21 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, bloc
     budget) are reported once, at the place with the fewest edits.
 
     An item matches where its whole normalised text stands with at most
-    rate * length edits (fewer, if the q-gram bound asks for it).  Items that
-    are null, or under 8 bytes when normalised, and null or empty texts match
-    nothing.  Repeated documents and items match alike.
+    rate * length edits (rounded down), inside words too.  Items of any length
+    count: where grams of 8 bytes bound nothing, shorter ones are counted.
+    Items that are null or empty when normalised, and null or empty texts,
+    match nothing.  Repeated documents and items match alike.
     """
     found = None
     for part in blocks_of(benchmark, block_bytes):
-        index = Index.of(sorted((r.item_id, r.text) for r in part.collect()), rate)  # at most about BLOCK_BYTES
+        indexes = Index.all(sorted((r.item_id, r.text) for r in part.collect()), rate)  # at most about BLOCK_BYTES
 
-        def run(batches, index=index):
+        def run(batches, indexes=indexes):
             for rows, data, offsets in chunks(batches):
                 norm, place, first = normalised(data, offsets)
-                got = index.matches(norm, first) if len(norm) else []
-                ids, h = rows.column("doc_id"), rows.column("row")
-                out = [(ids[t].as_py(), h[t].as_py(), index.ids[i], e, int(place[s] - offsets[t]), int(place[end - 1] + 1 - offsets[t])) for t, i, e, s, end in got if end > s]
+                ids, h, out = rows.column("doc_id"), rows.column("row"), []
+                for index in indexes if len(norm) else []:
+                    out += [(ids[t].as_py(), h[t].as_py(), index.ids[i], e, int(place[s] - offsets[t]), int(place[end - 1] + 1 - offsets[t])) for t, i, e, s, end in index.matches(norm, first) if end > s]
                 cols = list(zip(*out, strict=True)) if out else [[]] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "row", "item_id", "edits", "start", "end"])
 

@@ -342,6 +342,44 @@ def edits(a: bytes, b: bytes) -> int:
     return int(row.min())
 
 
+def brute_matches(docs, items, norm):
+    """(document, item): fewest edits, where they are a tenth of the item's length or fewer."""
+    want = {}
+    for d, t in docs:
+        for i, item in items:
+            n = norm(item or "")
+            if n and t and (e := edits(n, norm(t))) <= int(0.1 * len(n)):
+                want[(d, i)] = e
+    return want
+
+
+def test_decontamination_of_short_items(spark):
+    """Items of 1 to 40 bytes at the full tenth of edits."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(1, 6)))
+    items = []
+    for n in range(1, 41):
+        for _ in range(2):
+            t = word()
+            while len(t) < n:
+                t += " " + word()
+            items.append((len(items), t[: n - 1] + "q"))  # no space at the end
+    docs = []
+    for i, t in items:
+        budget = int(0.1 * len(t))
+        for changes in {0, budget, budget + 1}:
+            s = list(t)
+            for at in rng.sample(range(len(s)), min(changes, len(s))):
+                s[at] = rng.choice(["", "x", s[at] + "z"])
+            docs.append((len(docs), " ".join(word() for _ in range(8)) + " " + "".join(s) + " " + " ".join(word() for _ in range(8))))
+    norm = lambda t: re.sub(r"[^a-z0-9]+", " ", t.lower()).strip().encode()
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.edits for r in decontaminate.contaminated(df, bench).collect()}
+    want = brute_matches(docs, items, norm)
+    assert got == want
+    assert {len(items[i][1]) for _, i in want} == set(range(1, 41)) and {e for e in want.values()} >= {0, 1, 2, 3}
+
+
 def test_decontamination_finds_edited_items(spark):
     rng = random.Random(7)
     text = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(n))
@@ -359,13 +397,7 @@ def test_decontamination_finds_edited_items(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.edits for r in decontaminate.contaminated(df, bench).collect()}
     norm = lambda t: re.sub(r"[^a-z0-9]+", " ", t.lower()).strip().encode()
-    index = decontaminate.Index.of(items, decontaminate.RATE)
-    want = {}
-    for d, t in docs:
-        for k, i in enumerate(index.ids):
-            e = edits(index.items[k].tobytes(), norm(t or ""))
-            if e <= index.budgets[k]:
-                want[(d, i)] = e
+    want = brute_matches(docs, items, norm)
     assert got == want and len(want) >= 36
     clean = {r.doc_id for r in decontaminate.clean_documents(df, bench).collect()}
     assert clean == {d for d, _ in docs} - {d for d, _ in want}

@@ -1,7 +1,9 @@
 """License scans: fixed phrases, and an exact set-similarity join of text blocks with templates.
 
-A block is up to 64 consecutive words of one line, or with `across_lines` of the
-whole text (overlapping by half where that is longer).  A block meets a template if it holds at least `threshold` of
+A block is a number of consecutive words of one line, or with `across_lines` of
+the whole text; blocks overlap by half.  A template's blocks have 64 words, or
+the power of two that holds it twice, so a copy of a template of any length lies
+within one of its blocks.  A block meets a template if it holds at least `threshold` of
 the template's distinct words.  Template words are ordered by their frequency
 in the whole corpus, rarest first: a block that meets the threshold holds one
 of the first |T| - needed + 1 words (prefix filter), has enough distinct words
@@ -23,19 +25,33 @@ from .textscan import LOWER, alnum_words, byte_rolling, chunks, words
 
 # Phrases of the base labels.
 PHRASES = {"mit": "under the mit license", "apache-2": "apache license version 2", "cc-by-nc": "cc by nc"}
-# Sentences by which licenses are declared.
+# Sentences, headers and bodies by which licenses are declared.
 TEMPLATES = {
-    "apache-2": ["licensed under the apache license version 2 0"],
+    "apache-2": [
+        "licensed under the apache license version 2 0",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 "
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied "
+        "see the license for the specific language governing permissions and limitations under the license",
+    ],
     "bsd-3": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
     "cc-by-nc": ["licensed under cc by nc 4 0", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"],
     "cc-by-sa": ["this work is licensed under a creative commons attribution sharealike 4 0 international license"],
     "gpl-3": ["this work is licensed under the gnu general public license version 3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"],
-    "mit": ["released under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"],
+    "mit": ["released under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights "
+        "to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions "
+        "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software "
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement "
+        "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"],
     "mpl-2": ["this source code form is subject to the terms of the mozilla public license"],
 }
 BLOCK = 64
 
 
+def block_size(template: str) -> int:
+    """Words of a template's blocks."""
+    return max(BLOCK, 1 << (2 * len(template.split()) - 1).bit_length())
+
+
 def _vocabulary(templates: dict[str, list[str]], phrases: dict[str, str]) -> list[str]:
     return sorted({w for ts in templates.values() for t in ts for w in t.split()} | {w for p in phrases.values() for w in p.split()})
 
@@ -102,34 +118,38 @@ def scan(docs: DataFrame, threshold: float = 0.8, templates: dict[str, list[str]
         for text in texts:
             t = sorted({matcher.place[w] for w in text.split()}, key=lambda w: rank[w])
             need = math.ceil(threshold * len(t) - 1e-9)
-            sets.append((label, t, need, len(t) - need + 1))
-    by_prefix: dict[int, list[tuple[int, int]]] = {}
-    for i, (_, t, _, prefix) in enumerate(sets):
+            sets.append((label, t, need, len(t) - need + 1, block_size(text)))
+    by_size: dict[int, dict[int, list[tuple[int, int]]]] = {}  # of each block size: templates by the words of their prefixes
+    for i, (_, t, _, prefix, size) in enumerate(sets):
         for at, w in enumerate(t[:prefix]):
-            by_prefix.setdefault(w, []).append((i, at))
-    rare = np.zeros(len(vocabulary) + 1, dtype=bool)
-    rare[list(by_prefix)] = True
-
-    def joined(found: np.ndarray, lines: np.ndarray, first: np.ndarray) -> dict[int, dict[str, float]]:
-        """Labels and shares by text; found: vocabulary places by word, lines: number of each word's line."""
-        hits = np.flatnonzero(rare[found])
-        out: dict[int, dict[str, float]] = {}
-        done = set()
+            by_size.setdefault(size, {}).setdefault(w, []).append((i, at))
+
+    def rare_words(by_prefix: dict[int, list[tuple[int, int]]]) -> np.ndarray:
+        rare = np.zeros(len(vocabulary) + 1, dtype=bool)
+        rare[list(by_prefix)] = True
+        return rare
+
+    rare_of = {size: rare_words(by_prefix) for size, by_prefix in by_size.items()}
+
+    def joined(found: np.ndarray, lines: np.ndarray, first: np.ndarray, size: int, out: dict[int, dict[str, float]]) -> None:
+        """Puts labels and shares by text into out; found: vocabulary places by word, lines: number of each word's line."""
+        hits = np.flatnonzero(rare_of[size][found])
+        by_prefix, half, done = by_size[size], size // 2, set()
         for h in hits:
             text = int(np.searchsorted(first, h, side="right")) - 1
             start = max(int(first[text]), int(np.searchsorted(lines, lines[h])))
             end = min(int(first[text + 1]), int(np.searchsorted(lines, lines[h], side="right")))
-            base = start + (h - start) // (BLOCK // 2) * (BLOCK // 2)
-            for lo in (base - BLOCK // 2, base):
+            base = start + (h - start) // half * half
+            for lo in (base - half, base):
                 if lo < start or (lo, text) in done:
                     continue
                 done.add((lo, text))
-                words_here = found[lo : min(lo + BLOCK, end)]
+                words_here = found[lo : min(lo + size, end)]
                 block = sorted(set(words_here[words_here >= 0].tolist()), key=rank.__getitem__)
                 held, tried = set(block), set()
                 for j, w in enumerate(block):  # in the global order, so w is the first word that it shares with an untried template
                     for i, at in by_prefix.get(w, ()):
-                        label, t, need, _ = sets[i]
+                        label, t, need, *_ = sets[i]
                         if i in tried:
                             continue
                         tried.add(i)
@@ -139,7 +159,6 @@ def scan(docs: DataFrame, threshold: float = 0.8, templates: dict[str, list[str]
                         if shared >= need:
                             best = out.setdefault(text, {})
                             best[label] = max(best.get(label, 0.0), shared / len(t))
-        return out
 
     def run(batches):
         for rows, data, offsets in chunks(batches):
@@ -156,7 +175,9 @@ def scan(docs: DataFrame, threshold: float = 0.8, templates: dict[str, list[str]
                     places[i].append(int(a - first[i]))
                     labels[i].add(label)
             breaks = np.flatnonzero(low == 10) if not across_lines else np.zeros(0, np.int64)
-            more = joined(found, np.searchsorted(breaks, starts), first) if rare[found].any() else {}
+            lines, more = np.searchsorted(breaks, starts), {}
+            for size in by_size:
+                joined(found, lines, first, size, more)
             base = [",".join(sorted(x)) for x in labels]
             both = [",".join(sorted(labels[i] | set(more.get(i, ())))) for i in range(n)]
             score = [1.0 if labels[i] else max(more.get(i, {"": 0.0}).values()) for i in range(n)]
@@ -172,7 +193,8 @@ def _oracle(across_lines: bool = False) -> str:
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     phrases = ", ".join(f"('{label}', {p.split()!r})" for label, p in PHRASES.items())
-    templates = ", ".join(f"('{label}', {sorted(set(t.split()))!r})" for label, ts in TEMPLATES.items() for t in ts)
+    templates = ", ".join(f"('{label}', {sorted(set(t.split()))!r}, {block_size(t)})" for label, ts in TEMPLATES.items() for t in ts)
+    sizes = ", ".join(f"({n})" for n in sorted({block_size(t) for ts in TEMPLATES.values() for t in ts}))
     lines = "SELECT doc_id, words FROM w" if across_lines else f"SELECT doc_id, regexp_extract_all(unnest(string_split(t, chr(10))), '{word}') AS words FROM w"
     return f"""
 WITH w AS (SELECT doc_id, {low} AS t, regexp_extract_all({low}, '{word}') AS words FROM documents),
@@ -181,8 +203,8 @@ places AS (
   FROM w CROSS JOIN (VALUES {phrases}) AS v(label, p)),
 base AS (SELECT doc_id, count(*) AS n, min(i) - 1 AS lo, max(i) - 1 AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM places GROUP BY doc_id),
 lines AS ({lines}),
-blocks AS (SELECT doc_id, list_distinct(words[i + 1:i + {BLOCK}]) AS b FROM (SELECT doc_id, words, unnest(range(0, len(words), {BLOCK // 2})) AS i FROM lines)),
-shares AS (SELECT doc_id, label, len(list_intersect(b, t)) / CAST(len(t) AS DOUBLE) AS share FROM blocks CROSS JOIN (VALUES {templates}) AS v(label, t)),
+blocks AS (SELECT doc_id, size, list_distinct(words[i + 1:i + size]) AS b FROM (SELECT doc_id, words, size, unnest(range(0, len(words), size // 2)) AS i FROM lines CROSS JOIN (VALUES {sizes}) AS s(size)) cut),
+shares AS (SELECT doc_id, label, len(list_intersect(b, t)) / CAST(len(t) AS DOUBLE) AS share FROM blocks JOIN (VALUES {templates}) AS v(label, t, own) ON blocks.size = v.own),
 met AS (SELECT doc_id, label, share FROM shares WHERE share >= CAST(0.8 AS DOUBLE) - CAST(1e-12 AS DOUBLE)),
 united AS (SELECT doc_id, label FROM met UNION SELECT doc_id, label FROM places),
 named AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM united GROUP BY doc_id),

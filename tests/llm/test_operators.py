@@ -276,11 +276,13 @@ def test_licenses(docs, rows, odd):
         more, score = set(found), 1.0 if found else 0.0
         for line in lower(text).split("\n"):
             lw = re.findall(word, line)
-            for start in range(0, max(1, len(lw)), 32):
-                block = set(lw[start : start + 64])
-                for label, templates in licenses.TEMPLATES.items():
-                    for t in templates:
-                        share = len(block & set(t.split())) / len(set(t.split()))
+            for label, templates in licenses.TEMPLATES.items():
+                for t in templates:
+                    size = 64
+                    while size < 2 * len(t.split()):
+                        size *= 2
+                    for start in range(0, max(1, len(lw)), size // 2):
+                        share = len(set(lw[start : start + size]) & set(t.split())) / len(set(t.split()))
                         if share >= 0.8 - 1e-12:
                             more.add(label)
                             score = max(score, share)

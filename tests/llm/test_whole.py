@@ -190,6 +190,19 @@ def test_licenses_meet_wrapped_templates(spark):
     assert [(got[i].labels, got[i].score) for i in range(len(data))] == [(label, 1.0) for label in WRAPPED]
 
 
+def test_long_templates_are_met_wherever_they_stand(spark):
+    """A 300-word license, wrapped, at any place of a text, with a tenth of its words gone."""
+    body = [f"clause{i}" for i in range(300)]
+    kept = [w for i, w in enumerate(body) if i % 10]
+    wrapped = lambda w: "\n".join(" ".join(w[i : i + 11]) for i in range(0, len(w), 11))
+    data = [(k, "lead " * (97 * k) + wrapped(kept) + " tail" * 400) for k in range(12)] + [(99, wrapped(kept[:200]))]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(data, "doc_id long, text string"), templates={"own": [" ".join(body)]}, across_lines=True).collect()}
+    assert all(got[k].labels == "own" and abs(got[k].score - 0.9) < 1e-12 for k in range(12)) and got[99].labels == ""
+    mit = max(licenses.TEMPLATES["mit"], key=len).split()
+    row = licenses.scan(spark.createDataFrame([(1, "x " * 50 + wrapped(mit[12:]))], "doc_id long, text string"), across_lines=True).first()
+    assert row.labels == "mit" and row.score > 0.85
+
+
 def test_license_text_matches_sql(spark):
     con = duckdb.connect()
     con.sql(f"create view documents as select * from '{os.path.join(SMALL, 'documents.parquet')}'")

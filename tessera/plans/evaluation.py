@@ -80,10 +80,10 @@ def mae_ref(spark, sf_dir):
     return rounded(out, "mean_abs_error")
 
 
-@query(f"SELECT stem, family, condition_name, class, round(t, 6) AS t, round(p, 6) AS p, round(r, 6) AS r FROM ({PREDICTIONS}) x")
+@query(f"SELECT stem, family, condition_name, class, round(t, 6) AS t, p, r FROM ({PREDICTIONS}) x")
 def bag_predictions(spark, sf_dir):
     """Every prediction of the bag model: each specimen under each of the fixed conditions, by class."""
-    return rounded(predictions(spark, sf_dir).select("stem", "family", "condition_name", "class", "t", "p", "r"), "t", "p", "r")
+    return rounded(predictions(spark, sf_dir).select("stem", "family", "condition_name", "class", "t", "p", "r"), "t")  # p and r are rounded already
 
 
 WEIGHTED_AUC = AUC.format(keys="condition_name, rep", rows="weighted", pos="pos * times", neg="neg * times")

@@ -1,11 +1,11 @@
 """Exact top-k search by inner product over a bit-sliced index.
 
-Components are quantised to integers.  A block of rows keeps, for each bit of
-(value - block minimum), the row's dimensions as packed bits.  A block of
-queries, sliced in the same way, adds the slices from the most significant one
-downward by AND and population counts; what the lower slices can still add
-bounds every score, and rows whose bound is below the k-th best of every query
-leave.  What is left at the end has exact integer scores.
+Components are quantised to integers.  A block of rows keeps one bitmap over
+its rows for each bit of each dimension's (value - block minimum).  A query adds
+the bitmaps of its weights' bits with full adders on whole bitmaps: what comes
+out are the bitmaps of the scores' bits.  The top rows are selected from the
+most significant of them downward; the rows left at the boundary have one and
+the same score, and the smaller ids among them are taken.
 """
 
 from __future__ import annotations
@@ -16,82 +16,100 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-QUERIES_AT_ONCE, ROWS_AT_ONCE = 128, 512
 _QUANTISED = "vec_id long, dim int, vals binary"
 _FOUND = "query_id long, vec_id long, score long"
 
 
-def packed(bits: np.ndarray) -> np.ndarray:
+def bitmaps(bits: np.ndarray) -> np.ndarray:
     """Rows of 0 and 1 as rows of 64-bit words."""
-    words = -(-bits.shape[1] // 64)
-    held = np.zeros((len(bits), words * 64), dtype=np.uint8)
+    held = np.zeros((len(bits), -(-bits.shape[1] // 64) * 64), dtype=np.uint8)
     held[:, : bits.shape[1]] = bits
     return np.packbits(held, axis=1).view(np.uint64)
 
 
-def slices(values: np.ndarray) -> list[np.ndarray]:
-    """Bit slices, lowest first, of a matrix of integers from 0."""
-    whole = values.astype(np.uint64)
-    return [packed(((whole >> np.uint64(b)) & np.uint64(1)).astype(np.uint8)) for b in range(int(whole.max(initial=0)).bit_length())]
+def places(bitmap: np.ndarray) -> np.ndarray:
+    """The places of a bitmap's ones."""
+    return np.flatnonzero(np.unpackbits(bitmap.view(np.uint8)))
 
 
 class BitSlices:
-    """Rows of one dimension count, sorted by id, as bit slices of (value - smallest value of its dimension)."""
+    """Rows of one dimension count, sorted by id: bitmaps over rows, one for each bit of each dimension."""
 
     def __init__(self, ids: np.ndarray, vals: np.ndarray):
         order = np.argsort(ids, kind="stable")
-        self.ids, vals = ids[order], vals[order]
-        self.low = vals.min(axis=0)
-        self.slices = slices(vals - self.low)
-
-    def top(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(query id repeated, row ids, scores) with each query's k best rows, ties to the smaller id.
-
-        A slice of the rows and one of the queries add the population count of
-        their bitwise AND; queries are shifted to be 0 or more, and the shift
-        times the slice's own count is taken back.
+        self.ids = ids[order]
+        low = vals.min(axis=0)
+        above = (vals[order].astype(np.uint64) - low.astype(np.uint64)).T
+        width = [int(x).bit_length() for x in above.max(axis=1, initial=0)]
+        self.dim = np.repeat(np.arange(len(width)), width)
+        self.bit = np.array([b for n in width for b in range(n)], dtype=np.int64)
+        self.rows = bitmaps(np.ones((1, len(ids)), dtype=np.uint8))[0]
+        self.slices = np.empty((len(self.dim), len(self.rows)), dtype=np.uint64)
+        for i, (d, b) in enumerate(zip(self.dim, self.bit, strict=True)):
+            self.slices[i] = bitmaps(((above[d] >> np.uint64(b)) & np.uint64(1)).astype(np.uint8)[None, :])[0]
+        self.low, self.full = low.tolist(), [(1 << n) - 1 for n in width]
+
+    def added(self, query: np.ndarray) -> tuple[np.ndarray, int]:
+        """The score's bitmaps, lowest bit first, and what is to be added to the number they write.
+
+        A negative weight takes its dimension's complement (full - value), so
+        that only sums of numbers from 0 on are made.
         """
-        n = len(self.ids)
-        shift = int(queries.min(initial=0))
-        asked = slices(queries - shift)
-        scores = np.repeat((queries @ self.low)[:, None], n, axis=1)
-        gain, loss = np.maximum(queries, 0).sum(axis=1), np.minimum(queries, 0).sum(axis=1)
-        own = self.ids[None, :] == query_ids[:, None]
-        rows = np.arange(n)
-        for b in range(len(self.slices) - 1, -1, -1):
-            held = self.slices[b][rows]
-            for at in range(0, len(rows), ROWS_AT_ONCE):
-                scores[:, at : at + ROWS_AT_ONCE] += self.products(held[at : at + ROWS_AT_ONCE], asked, len(queries), shift) << b
-            left = (1 << b) - 1  # what each lower slice together can still add a unit of the query
-            if b and len(rows) > 4 * k and (gain - loss).max(initial=0) * left * 2 < np.ptp(scores, axis=1).max(initial=0):
-                lower = np.where(own, np.iinfo(np.int64).min, scores + (loss * left)[:, None])
-                kth = np.partition(lower, len(rows) - k, axis=1)[:, len(rows) - k]
-                keep = (scores + (gain * left)[:, None] >= kth[:, None]).any(axis=0)
-                rows, scores, own = rows[keep], scores[:, keep], own[:, keep]
-        scores[own] = np.iinfo(np.int64).min
-        most = min(k, len(rows))
-        cut = np.partition(scores, len(rows) - most, axis=1)[:, len(rows) - most] if most else np.zeros(len(queries))
-        found = []
-        for i, query in enumerate(query_ids):
-            at = np.flatnonzero((scores[i] >= cut[i]) & ~own[i])
-            best = at[np.lexsort((self.ids[rows[at]], -scores[i, at]))[:k]]
-            found.append((np.full(len(best), query), self.ids[rows[best]], scores[i, best]))
-        return found
-
-    @staticmethod
-    def products(held: np.ndarray, asked: list[np.ndarray], n: int, shift: int) -> np.ndarray:
-        """Sums, by query and row, of the queries' components where the rows' slice has a one."""
-        words = held.shape[1]
-        kind = np.uint16 if 64 * words << len(asked) < 1 << 16 else np.int64
-        total = np.zeros((n, len(held)), dtype=kind)
-        both, ones, part = np.empty(total.shape, np.uint64), np.empty(total.shape, np.uint8), np.empty(total.shape, kind)
-        for c, query in enumerate(asked):
-            for w in range(words):
-                np.bitwise_and(query[:, w, None], held[None, :, w], out=both)
-                np.bitwise_count(both, out=ones)
-                np.left_shift(ones, kind(c), out=part, dtype=kind, casting="unsafe")
-                total += part
-        return total.astype(np.int64) + shift * np.bitwise_count(held).sum(axis=1, dtype=np.int64)[None, :]
+        weight = np.abs(query)[self.dim]
+        inverted = np.where(query < 0, ~np.uint64(0), np.uint64(0))[self.dim]
+        terms = [np.flatnonzero((weight >> j) & 1) for j in range(int(weight.max(initial=0)).bit_length())]
+        term = np.concatenate([np.zeros(0, dtype=np.int64), *terms])
+        plane = np.concatenate([np.zeros(0, dtype=np.int64), *(self.bit[t] + j for j, t in enumerate(terms))])
+        sums, carried = [], np.empty((0, len(self.rows)), dtype=np.uint64)
+        while len(sums) <= plane.max(initial=-1) or len(carried):
+            here = term[plane == len(sums)]
+            held = np.empty((len(here) + len(carried), len(self.rows)), dtype=np.uint64)
+            np.take(self.slices, here, axis=0, out=held[: len(here)])
+            held[: len(here)] ^= inverted[here, None]
+            held[len(here) :], carries = carried, []
+            while len(held) > 2:  # three bitmaps become one of their sums, in the last one's place, and one of carries
+                third = len(held) // 3
+                a, b, c = held[:third], held[third : 2 * third], held[2 * third : 3 * third]
+                both = a & b
+                a ^= b
+                np.bitwise_and(a, c, out=b)
+                both |= b
+                c ^= a
+                carries.append(both)
+                held = held[2 * third :]
+            if len(held) == 2:
+                carries.append(held[:1] & held[1:])
+                held = held[:1] ^ held[1:]
+            sums.append(held[0] if len(held) else np.zeros_like(self.rows))
+            carried = np.concatenate(carries) if carries else carried[:0]
+        base = sum(q * (low if q >= 0 else low + full) for q, low, full in zip(query.tolist(), self.low, self.full, strict=True))
+        return np.array(sums, dtype=np.uint64).reshape(len(sums), len(self.rows)), base
+
+    def top(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the query's k best rows but its own, ties to the smaller id."""
+        sums, base = self.added(query)
+        equal, above = self.rows.copy(), np.zeros_like(self.rows)
+        own = np.zeros((1, len(self.ids)), dtype=np.uint8)
+        own[0, np.searchsorted(self.ids, query_id) : np.searchsorted(self.ids, query_id, "right")] = 1
+        equal &= ~bitmaps(own)[0]
+        taken = 0
+        for slice_ in sums[::-1]:
+            ones = equal & slice_
+            n = int(np.bitwise_count(ones).sum())
+            if taken + n > k:
+                equal = ones
+            else:
+                above |= ones
+                equal &= ~slice_
+                taken += n
+                if taken == k:
+                    break
+        rows = np.concatenate([places(above), places(equal)[: k - taken]])
+        bits = (sums.view(np.uint8)[:, rows >> 3] >> (7 - rows & 7).astype(np.uint8)) & 1
+        scores = np.full(len(rows), base % (1 << 64), dtype=np.uint64)
+        for i, ones in enumerate(bits[:64]):
+            scores += ones.astype(np.uint64) << np.uint64(i)
+        return self.ids[rows], scores.view(np.int64)
 
 
 def quantise(vectors: DataFrame, scale: int = 64) -> DataFrame:
@@ -113,7 +131,7 @@ def quantise(vectors: DataFrame, scale: int = 64) -> DataFrame:
     return vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(run, _QUANTISED)
 
 
-def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, block_rows: int = 8192) -> DataFrame:
+def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, block_rows: int = 32768) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose vec_id is divisible by `every` its k best other rows.
 
     The score is the integer inner product of floor(scale * x).  Every row is
@@ -135,33 +153,20 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, blo
     def search(batches):
         held: dict[int, list] = {}
         index_of: dict[int, BitSlices] | None = None
-        waiting: dict[int, list] = {}
-
-        def answer(dim):
-            got = waiting.pop(dim, [])
-            if not got or dim not in index_of:
-                return None
-            ids = np.array([x for x, _ in got], dtype=np.int64)
-            vals = np.frombuffer(b"".join(v for _, v in got), dtype="<i8").reshape(len(got), dim)
-            found = index_of[dim].top(ids, vals, k)
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[i] for f in found]).astype(np.int64)) for i in range(3)], names=["query_id", "vec_id", "score"])
-
-        def built():
-            return {d: BitSlices(np.array([x for x, _ in got], dtype=np.int64), np.frombuffer(b"".join(v for _, v in got), dtype="<i8").reshape(len(got), d)) for d, got in held.items()}
-
         for batch in batches:
+            found = []
             for kind, vec_id, dim, vals in zip(*(batch.column(c).to_pylist() for c in ("kind", "vec_id", "dim", "vals")), strict=True):
                 if kind == 0:
                     held.setdefault(dim, []).append((vec_id, vals))
                     continue
                 if index_of is None:
-                    index_of = built()
-                waiting.setdefault(dim, []).append((vec_id, vals))
-                if len(waiting[dim]) == QUERIES_AT_ONCE and (out := answer(dim)) is not None:
-                    yield out
-        for dim in list(waiting):
-            if (out := answer(dim)) is not None:
-                yield out
+                    index_of = {d: BitSlices(np.array([x for x, _ in rows], dtype=np.int64), np.frombuffer(b"".join(v for _, v in rows), dtype="<i8").reshape(len(rows), d)) for d, rows in held.items()}
+                    held.clear()
+                if dim in index_of:
+                    ids, scores = index_of[dim].top(vec_id, np.frombuffer(vals, dtype="<i8"), k)
+                    found.append((np.full(len(ids), vec_id), ids, scores))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*found, strict=True)], names=["query_id", "vec_id", "score"])
 
     met = index.unionByName(queries).repartitionById(blocks, F.col("block")).sortWithinPartitions("kind").mapInArrow(search, _FOUND)
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -449,6 +449,31 @@ def test_top_k(spark):
     assert got == want
 
 
+def test_score_bitmaps_are_the_scores():
+    """Added bitmaps write every row's inner product: values of up to 41 bits, negative weights, blocks of any size, no dimension."""
+    rng = np.random.default_rng(3)
+    for rows, dims, most in ((1, 1, 1), (63, 3, 5), (64, 8, 1), (65, 7, 40), (200, 16, 1 << 20), (10, 2, 1 << 40), (5, 0, 1)):
+        vals = rng.integers(-most, most + 1, (rows, dims))
+        index = topk.BitSlices(np.arange(rows), vals)
+        for query in (rng.integers(-most, most + 1, dims), np.zeros(dims, dtype=np.int64), np.full(dims, -1)):
+            if most > 1 << 30:
+                query = query % 1000
+            sums, base = index.added(query)
+            written = [base + sum(int(row[i]) << b for b, row in enumerate(np.unpackbits(sums.view(np.uint8), axis=1))) for i in range(rows)]
+            assert written == (vals @ query).tolist()
+            for k in (1, 20, rows + 5):
+                ids, scores = index.top(0, query, k)
+                want = sorted((-s, i) for i, s in enumerate(written) if i)[:k]
+                assert sorted(zip((-scores).tolist(), ids.tolist(), strict=True)) == want
+
+
+def test_top_k_of_ties(spark):
+    """Repeated vectors tie at the boundary of every block; the smaller ids stay."""
+    df = spark.createDataFrame([(i, [0.5, 0.25 if i % 7 else 0.5]) for i in range(1, 301)], "vec_id long, embedding array<double>")
+    for r in topk.top_k(df, block_rows=50).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "vec_id"))).alias("v")).collect():
+        assert [x.vec_id for x in r.v] == [i for i in range(7, 301, 7) if i != r.query_id][:20]
+
+
 def test_registered_queries_match_sql(spark):
     con = duckdb.connect()
     for t in ("documents", "embeddings", "benchmark"):

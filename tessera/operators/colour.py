@@ -176,12 +176,73 @@ def standardised(pixels: DataFrame) -> DataFrame:
     return with_rgb(both, F.col("L1"), F.col("a"), F.col("b_")).withColumns(stored("nearest"))
 
 
-def equalised(pixels: DataFrame, mean: float = 50.0, deviation: float = 15.0) -> DataFrame:
-    """pixels as grays whose lightness has one mean and deviation."""
+def equalised(pixels: DataFrame, mean: float = 50.0, deviation: float = 15.0, by: tuple[str, ...] = ("stem",)) -> DataFrame:
+    """pixels as grays whose lightness has one mean and deviation over the rows that agree in `by`: the whole image, or each crop of it."""
+    on = list(by)
     lab = with_lab(pixels)
-    own = lab.groupBy("stem").agg(F.avg("L").alias("_m"), F.stddev_pop("L").alias("_s"))
+    own = lab.groupBy(*on).agg(F.avg("L").alias("_m"), F.stddev_pop("L").alias("_s"))
     light = F.when(F.col("_s") < 1e-8, F.lit(mean)).otherwise((F.col("L") - F.col("_m")) / F.col("_s") * deviation + mean)
-    return with_rgb(lab.join(own, "stem"), F.greatest(F.least(light, F.lit(100.0)), F.lit(0.0)), F.lit(0), F.lit(0)).drop("_m", "_s")
+    return with_rgb(lab.join(own, on), F.greatest(F.least(light, F.lit(100.0)), F.lit(0.0)), F.lit(0), F.lit(0)).drop("_m", "_s")
+
+
+def equalise_audit(pixels: DataFrame, by: tuple[str, ...], mean: float = 50.0, deviation: float = 15.0) -> DataFrame:
+    """stem, crop, and the mean and deviation of lightness in what `by` tells apart (reference), in the crop, and as realised."""
+    gray = equalised(pixels, mean, deviation, by).withColumns({f"{c}255": F.col(f"{c}1") * 255 for c in "rgb"})
+    back = with_lab(gray, ("r255", "g255", "b255"), ("L2", "a2", "b2"))
+    moments = {"crop": "L", "realised": "L2"}
+    crops = back.groupBy("stem", "crop").agg(*(f(v).alias(f"{n}_{k}") for n, v in moments.items() for k, f in (("mean", F.avg), ("sd", F.stddev_pop))))
+    reference = back.groupBy(*by).agg(F.avg("L").alias("reference_mean"), F.stddev_pop("L").alias("reference_sd"))
+    return crops.join(reference, list(by))
+
+
+def gamut(pixels: DataFrame, light: float = 50.0, table: np.ndarray | None = None) -> DataFrame:
+    """pixels with label, and what remains of their colour at one lightness once it has passed through RGB.
+
+    intended and realised are chromas, retention their quotient (1 up to a
+    chroma of 1), delta_e the distance from the colour intended.
+    """
+    if not 0.0 <= light <= 100.0:
+        raise ValueError("light must lie in 0..100")
+    probabilities = pixels.sparkSession.sparkContext.broadcast(palette.synthetic_table() if table is None else palette.checked_table(table))
+
+    def kernel(colours):
+        lab = palette.lab(colours)
+        label = palette.hard_names(lab, probabilities.value[palette.cells(colours)])[2]
+        aim = np.column_stack([np.full(len(lab), light), lab[:, 1:]])
+        back = palette.lab(palette.rgb(aim) * 255)
+        wanted, got = np.hypot(aim[:, 1], aim[:, 2]), np.hypot(back[:, 1], back[:, 2])
+        kept = np.divide(got, wanted, out=np.ones_like(got), where=wanted > 1)
+        return [label, wanted, got, kept, np.sqrt(((back - aim) ** 2).sum(axis=1))]
+
+    return mapped(pixels, kernel, ("r", "g", "b"), "label string, intended double, realised double, retention double, delta_e double")
+
+
+def gamut_audit(pixels: DataFrame, light: float = 50.0) -> DataFrame:
+    """What one lightness costs each specimen: counts, chromas, retention (mean, exact median, shares lost) and distances.
+
+    Means of retention are null, and shares 0, where no pixel has a chroma over 1.
+    Rows without a stem are left out.
+    """
+    rows = selection.stored(gamut(pixels.filter("stem IS NOT NULL"), light).select("stem", "intended", "realised", "retention", "delta_e"), "gamut")
+    chromatic = F.col("intended") > 1
+    share = lambda hit: F.avg(hit.cast("double"))
+    losing = lambda least: F.coalesce(F.avg(F.when(chromatic, (F.col("retention") < least).cast("double"))), F.lit(0.0))
+    sums = rows.groupBy("stem").agg(
+        F.count(F.lit(1)).alias("n_foreground"), F.count(F.when(chromatic, 1)).alias("n_chromatic"), F.avg("intended").alias("mean_intended"), F.avg("realised").alias("mean_realised"),
+        F.avg(F.when(chromatic, F.col("retention"))).alias("mean_retention"), losing(0.95).alias("losing_5"), losing(0.8).alias("losing_20"),
+        F.avg("delta_e").alias("mean_delta_e"), share(F.col("delta_e") > 1).alias("share_over_1"), F.max(F.col("delta_e") > 1).alias("distorted"),
+    )
+    middle = selection.medians(rows.filter(chromatic), "stem", "retention").withColumnRenamed("median", "median_retention")
+    return sums.join(middle, "stem", "left")
+
+
+def gamut_by_category(pixels: DataFrame, light: float = 50.0) -> DataFrame:
+    """stem, label, n, mean_retention, mean_delta_e for all categories, also those that a specimen doesn't show (n 0, no means)."""
+    rows = gamut(pixels.filter("stem IS NOT NULL"), light)
+    shown = rows.groupBy("stem", "label").agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("intended") > 1, F.col("retention"))).alias("mean_retention"), F.avg("delta_e").alias("mean_delta_e"))
+    held = shown.groupBy("stem").agg(F.map_from_entries(F.collect_list(F.struct("label", F.struct("n", "mean_retention", "mean_delta_e")))).alias("_of"))  # a category a row
+    each = held.select("stem", "_of", F.explode(F.array(*map(F.lit, CATEGORIES))).alias("label")).withColumn("_is", F.try_element_at("_of", F.col("label")))
+    return each.select("stem", "label", F.coalesce("_is.n", F.lit(0)).alias("n"), "_is.mean_retention", "_is.mean_delta_e")
 
 
 def matched(pixels: DataFrame, bins: int = 256, top: float = 100.0) -> DataFrame:

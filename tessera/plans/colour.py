@@ -84,6 +84,41 @@ _register("standardise_audit", _audit, f"SELECT stem, round(avg(L), 4) AS realis
 FIXED = f"SELECT p.stem, p.pix, greatest(least(CASE WHEN q.s < {c.num(1e-8)} THEN {c.num(50)} ELSE (p.L - q.m) / q.s * {c.num(15)} + {c.num(50)} END, {c.num(100)}), {c.num(0)}) AS L, {c.num(0)} AS a, {c.num(0)} AS b_ FROM ({LAB}) p JOIN ({MOMENTS}) q ON p.stem = q.stem"
 _register("equalise_fixed_target", lambda p: _six(op.equalised(p), "stem", "pix", "r1", "g1", "b1"), f"SELECT stem, pix, {R6('r1', 'g1', 'b1')} FROM ({c.to_rgb(FIXED, KEEP)}) x")
 
+# Lightness equalised with the whole image's or each crop's own moments; a crop is every fourth pixel here.
+BY_SCOPE = {"crop": "stem, crop", "whole_image": "stem"}
+
+
+def _equalise_audit(pixels: DataFrame) -> DataFrame:
+    rows = pixels.withColumn("crop", F.pmod("pix", F.lit(4)).cast("int"))
+    both = [op.equalise_audit(rows, tuple(by.split(", "))).withColumn("scope", F.lit(scope)) for scope, by in BY_SCOPE.items()]
+    sums = ("reference_mean", "reference_sd", "crop_mean", "crop_sd", "realised_mean", "realised_sd")
+    return rounded(both[0].unionByName(both[1]).select("stem", "crop", "scope", *sums), *sums, digits=4)
+
+
+IN_CROPS = f"SELECT stem, pix, CAST(pix % 4 AS INT) AS crop, L FROM ({LAB}) x"
+SCOPED = {
+    scope: f"SELECT p.stem, p.crop, p.L AS L0, q.m, q.s, greatest(least(CASE WHEN q.s < {c.num(1e-8)} THEN {c.num(50)} ELSE (p.L - q.m) / q.s * {c.num(15)} + {c.num(50)} END, {c.num(100)}), {c.num(0)}) AS L, {c.num(0)} AS a, {c.num(0)} AS b_ FROM ({IN_CROPS}) p JOIN (SELECT {by}, avg(L) AS m, stddev_pop(L) AS s FROM ({IN_CROPS}) y GROUP BY {by}) q USING ({by})"
+    for scope, by in BY_SCOPE.items()
+}
+REALISED = {scope: c.to_lab(f"SELECT stem, crop, L0, m, s, r1 * {c.num(255)} AS r, g1 * {c.num(255)} AS g, b1 * {c.num(255)} AS b FROM ({c.to_rgb(sql, 'stem, crop, L0, m, s')}) x", "stem, crop, L0, m, s") for scope, sql in SCOPED.items()}
+_register("equalise_audit", _equalise_audit, " UNION ALL ".join(f"SELECT stem, crop, '{scope}' AS scope, round(avg(m), 4) AS reference_mean, round(avg(s), 4) AS reference_sd, round(avg(L0), 4) AS crop_mean, round(stddev_pop(L0), 4) AS crop_sd, round(avg(L), 4) AS realised_mean, round(stddev_pop(L), 4) AS realised_sd FROM ({sql}) z GROUP BY stem, crop" for scope, sql in REALISED.items()))
+
+# What one lightness costs: chroma only, through RGB and back.
+AT_50 = c.to_rgb(f"SELECT {KEEP}, label, C AS c0, {c.num(50)} AS L, a, b_ FROM ({NAMED}) x", f"{KEEP}, label, c0, a, b_")
+GAMUT = f"""SELECT stem, label, c0, {c.CHROMA} AS c1, CASE WHEN c0 > 1 THEN {c.CHROMA} / c0 ELSE {c.num(1)} END AS kept, sqrt((L - 50) * (L - 50) + (a - a0) * (a - a0) + (b_ - b0) * (b_ - b0)) AS de
+FROM ({c.to_lab(f"SELECT stem, pix, label, c0, a AS a0, b_ AS b0, r1 * {c.num(255)} AS r, g1 * {c.num(255)} AS g, b1 * {c.num(255)} AS b FROM ({AT_50}) x", "stem, pix, label, c0, a0, b0")}) y"""
+MEANS = ("mean_intended", "mean_realised", "mean_retention", "median_retention", "losing_5", "losing_20", "mean_delta_e", "share_over_1")
+_register("gamut_audit", lambda p: rounded(op.gamut_audit(p), *MEANS), f"""
+SELECT stem, count(*) AS n_foreground, count(CASE WHEN c0 > 1 THEN 1 END) AS n_chromatic, round(avg(c0), 6) AS mean_intended, round(avg(c1), 6) AS mean_realised,
+       round(avg(CASE WHEN c0 > 1 THEN kept END), 6) AS mean_retention, round(median(CASE WHEN c0 > 1 THEN kept END), 6) AS median_retention,
+       round(coalesce(avg(CASE WHEN c0 > 1 THEN CASE WHEN kept < 0.95 THEN {c.num(1)} ELSE {c.num(0)} END END), 0), 6) AS losing_5, round(coalesce(avg(CASE WHEN c0 > 1 THEN CASE WHEN kept < 0.8 THEN {c.num(1)} ELSE {c.num(0)} END END), 0), 6) AS losing_20,
+       round(avg(de), 6) AS mean_delta_e, round(avg(CASE WHEN de > 1 THEN {c.num(1)} ELSE {c.num(0)} END), 6) AS share_over_1, max(de) > 1 AS distorted
+FROM ({GAMUT}) z GROUP BY stem""")
+_register("gamut_by_category", lambda p: rounded(op.gamut_by_category(p), "mean_retention", "mean_delta_e"), f"""
+WITH m AS ({GAMUT}), g AS (SELECT stem, category FROM (SELECT DISTINCT stem FROM m), (SELECT unnest([{', '.join(map(repr, c.CATEGORIES))}]) AS category))
+SELECT g.stem, g.category AS label, count(m.stem) AS n, round(avg(CASE WHEN m.c0 > 1 THEN m.kept END), 6) AS mean_retention, round(avg(m.de), 6) AS mean_delta_e
+FROM g LEFT JOIN m ON m.stem = g.stem AND m.label = g.category GROUP BY 1, 2""")
+
 # The whole of A2: moments, the population's histogram, exact matching to it, 8-bit levels.
 POPULATION_MATCH = f"""
 WITH lab AS ({LAB}), st AS (SELECT stem, avg(L) AS m, stddev_pop(L) AS s FROM lab GROUP BY stem), t AS (SELECT avg(m) AS mean, avg(s) AS spread FROM st),

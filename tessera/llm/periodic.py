@@ -180,6 +180,8 @@ def runs_of(ids: np.ndarray, first: np.ndarray, exponent: int, least: int) -> tu
             waiting, held = [], 0
     if held:
         answer()
+    if not found:  # the texts' grid points lie elsewhere than before, and no run holds `exponent` of the new ones
+        return none, none, none, none
     # A multiple of a run's period spans the same words, so the smallest period of a span is its own.
     start, end, p = np.unique(np.concatenate(found), axis=0).T
     own = np.ones(len(start), dtype=bool)

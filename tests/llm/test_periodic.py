@@ -80,6 +80,14 @@ def test_runs_of_small_alphabets(exponent, least):
         assert got == [(k, *r) for k, w in enumerate(texts) for r in brute_runs(w, exponent, least)], trial
 
 
+def test_grid_points_that_agree_in_one_layout_only():
+    """Four grid points of the first layout hold one word by chance; without the first text the grid lies elsewhere, and none do."""
+    texts = [[2, 0, 3, 0, 2, 1, 3, 0, 3, 0, 2, 2], [3, 1, 3, 2, 3, 0, 3, 3, 0, 1, 2]]
+    ids, first = np.array([x for w in texts for x in w], dtype=np.int64), np.array([0, 12, 23])
+    assert [len(x) for x in periodic.runs_of(ids, first, 4, 6)] == [0, 0, 0, 0]
+    assert not any(brute_runs(w) for w in texts)
+
+
 def test_extensions_and_range_minima():
     rng = np.random.default_rng(3)
     for size in (1, 2, 15, 16, 17, 300):

@@ -14,9 +14,13 @@ Groups of up to 16 classes give all their pairs.  Larger groups first give
 pairs with two hubs and the next class.  Classes of such a group that these
 links have not connected are then met in blocks: a task holds two blocks, and
 of their pairs only those come out that lie in different components and pass
-length, position and bitmap bounds; tries verify them.  So a group of copies
-costs about as many pairs as it has members, and no link between components is
-missed.
+length, position and bitmap bounds; tries verify them.  This goes by bands of a
+hash of the pair, each STEP times as wide as all before it, and each sees the
+components that the bands before it have left: where many pairs of a family
+link, few of them connect it, and the others never come out.  After a random
+share p of the links, n classes have n / p links between components at most
+(on average), so a band gives about STEP * n.  The last band ends the range of
+the hash, so no link between components is missed.
 """
 
 from __future__ import annotations
@@ -36,6 +40,7 @@ from .textscan import LOWER, U64, Rolling, chunks, give_back, ids, mix, row_of,
 IS_WORD = whitespace_words()
 WORDS, SMALL, HOT_TABLE, SEGMENT, MEMBERS = 5, 16, 200_000, 2_000_000, 512
 GROUP_BLOCK, MAP_BYTES = 256, 256  # classes of a block of a large group; bytes of a bitmap that travels with each of them
+STEP = 16  # each band of pairs is so many times as wide as all before it; the first is to give so many pairs a class
 EVERY, WAITING = 1 << 31, 1 << 21  # no group has over EVERY classes; candidate pairs that wait in a task
 WIDTHS = (5, 8, 4, 4)
 MET = "kind int, a long, b long, n int, m int, bits binary"
@@ -351,8 +356,8 @@ def folded(matrix: np.ndarray, width: int) -> np.ndarray:
     return matrix
 
 
-def pairs_apart(x: Block, y: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of x, row of y, whether a bitmap was folded) of pairs that lie in different components and may link.
+def pairs_apart(x: Block, y: Block, low: float = 0.0, high: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of x, row of y, whether a bitmap was folded) of pairs of the band low <= hash < high that lie in different components and may link.
 
     Pairs that share the token before this one meet there already.
     """
@@ -360,6 +365,9 @@ def pairs_apart(x: Block, y: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     if x is y:
         apart = np.triu(apart, 1)
     i, j = np.nonzero(apart & candidate_mask(x.n[:, None], x.m[:, None], y.n[None, :], y.m[None, :]))
+    at = mix((x.fp[i] ^ y.fp[j]).view(np.uint64)) * 2.0**-64
+    inside = (at >= low) & ((at < high) | (high >= 1))
+    i, j = i[inside], j[inside]
     good = np.zeros(len(i), dtype=bool)
     kinds = x.length[i] << 32 | y.length[j]
     for kind in np.unique(kinds):
@@ -374,16 +382,21 @@ def pairs_apart(x: Block, y: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return i, j, (map_bits(x.n[i]) > 8 * MAP_BYTES) | (map_bits(y.n[j]) > 8 * MAP_BYTES)
 
 
-def group_candidates(groups: DataFrame, roots: DataFrame, maps: DataFrame, size: int = GROUP_BLOCK) -> DataFrame:
-    """a, b: classes of one token group but of different components whose bitmaps allow a link.
-
-    groups: token, fp, n, m (size and position).  Groups whose classes are all
-    connected are left alone.  A group is cut into blocks of about `size`
-    classes; pairs of blocks meet in tasks, and only pairs that pass come out.
-    """
+def in_components(groups: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """groups (token, fp, n, m: size and position) with root, and (token, lo, hi, many) of those whose classes aren't all connected."""
     labelled = groups.join(roots, F.col("fp") == F.col("node"), "left").select("token", "fp", "n", "m", F.coalesce("root", "fp").alias("root"))
     labelled = written(labelled, "labelled")
     stands = labelled.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("many")).filter("lo <> hi")
+    return labelled, written(stands, "stands", compact=True)
+
+
+def group_candidates(labelled: DataFrame, stands: DataFrame, maps: DataFrame, size: int = GROUP_BLOCK, low: float = 0.0, high: float = 1.0) -> DataFrame:
+    """a, b: classes of one token group but of different components whose bitmaps allow a link, of a band of pairs.
+
+    labelled, stands: `in_components`.  Groups whose classes are all connected
+    are left alone.  A group is cut into blocks of about `size` classes; pairs
+    of blocks meet in tasks, and only pairs that pass come out.
+    """
     blocks = F.ceil(F.col("many") / size).cast("int")
     still = labelled.join(stands.select(F.col("token").alias("open"), blocks.alias("blocks")), F.col("token") == F.col("open")).drop("open")
     before = F.coalesce(F.lag("token").over(W.partitionBy("fp").orderBy("m")), F.lit(0))
@@ -405,7 +418,7 @@ def group_candidates(groups: DataFrame, roots: DataFrame, maps: DataFrame, size:
             for k in range(batch.num_rows):
                 held = batch.column("sides").slice(k, 1).flatten()
                 sides = [Block(held.slice(s, 1).flatten()) for s in range(len(held))]
-                i, j, fold = pairs_apart(sides[0], sides[-1])
+                i, j, fold = pairs_apart(sides[0], sides[-1], low, high)
                 if len(i):
                     ends = np.sort(np.column_stack([sides[0].fp[i], sides[-1].fp[j]]), axis=1)
                     yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(ends[:, 0])), pa.array(np.ascontiguousarray(ends[:, 1])), pa.array(fold)], names=["a", "b", "folded"])
@@ -471,6 +484,18 @@ def connected(links: DataFrame) -> DataFrame:
             return labels
 
 
+def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots (see `connected`) after more links: only the components that these join are labelled anew."""
+    ends = links
+    for side in ("a", "b"):
+        of = roots.select(F.col("node").alias("of"), F.col("root").alias("known"))
+        ends = ends.join(of, F.col(side) == F.col("of"), "left").withColumn(side, F.coalesce("known", side)).select("a", "b")
+    tops = connected(ends.filter("a <> b")).select(F.col("node").alias("of"), F.col("root").alias("top"))
+    fresh = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
+    known = roots.unionByName(fresh.withColumn("root", F.col("node"))).groupBy("node").agg(F.min("root").alias("root"))
+    return written(known.join(tops, F.col("root") == F.col("of"), "left").select("node", F.coalesce("top", "root").alias("root")), "roots")
+
+
 def link_classes(docs: DataFrame, small: int = SMALL, block: int = MEMBERS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rid, fp, size of every row; a, b: links between classes; node, root: classes by component).
 
@@ -489,12 +514,18 @@ def link_classes(docs: DataFrame, small: int = SMALL, block: int = MEMBERS) -> t
     links = written(verify_pairs(written(thinned(first, maps), "pairs"), owners, rows, hot, block), "links", compact=True)
     roots = connected(links)
     groups = met.filter(F.col("kind") == GROUP).select(F.col("a").alias("token"), F.col("b").alias("fp"), "n", "m")
-    if groups.limit(1).count():
-        more = written(group_candidates(groups, roots, maps, max(2, min(GROUP_BLOCK, block // 2))), "more", compact=True)
+    low, high = 0.0, None
+    while low < 1:
+        labelled, stands = in_components(groups, roots)
+        at = stands.agg(F.sum("many").alias("n"), F.sum(F.col("many").cast("double") * F.col("many")).alias("pairs")).collect()[0]
+        if not at.n:
+            break
+        high = min(1.0, STEP * (high or at.n / at.pairs))
+        more = written(group_candidates(labelled, stands, maps, max(2, min(GROUP_BLOCK, block // 2)), low, high), "more", compact=True)
         late = written(verify_pairs(more, owners, rows, hot, block), "late", compact=True)
-        links = links.unionByName(late)
         if late.limit(1).count():
-            roots = connected(links)
+            links, roots = links.unionByName(late), merged(roots, late)
+        low = high
     return members, links, roots
 
 

@@ -8,6 +8,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -358,7 +359,7 @@ def brute_matches(docs, items, norm):
 def test_decontamination_of_short_items(spark):
     """Items of 1 to 40 bytes at the full tenth of edits."""
     rng = random.Random(11)
-    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(1, 6)))
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(4, 6)))
     items = []
     for n in range(1, 41):
         for _ in range(2):
@@ -512,3 +513,19 @@ def test_connected_components_of_chains_and_stars(spark):
     got = {r.node: r.root for r in jaccard.connected(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {x: find(x) for x in parent}
     assert jaccard.connected(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_bands_of_a_group_part_its_pairs():
+    """Every pair of classes in different components comes out in one band, and a band gives its share of them."""
+    rng = np.random.default_rng(8)
+    sets = [np.unique(np.concatenate([np.arange(150, dtype=np.uint64), rng.integers(1000, 1 << 40, 5).astype(np.uint64)])) for _ in range(300)]
+    fp = rng.integers(-(1 << 63), (1 << 63) - 1, 300)
+    members = [{"fp": int(f), "n": len(s), "m": 0, "root": int(f), "before": 0, "bits": jaccard.bitmaps(s, np.array([0, len(s)]), np.array([0]))[0]} for f, s in zip(fp, sets, strict=True)]
+    members = pa.array(members, pa.struct([("fp", pa.int64()), ("n", pa.int32()), ("m", pa.int32()), ("root", pa.int64()), ("before", pa.int64()), ("bits", pa.binary())]))
+    x, y = jaccard.Block(members.slice(0, 100)), jaccard.Block(members.slice(100))
+    for a, b, all_pairs in ((x, y, 20_000), (y, y, 19_900)):
+        met = [set(zip(*(k.tolist() for k in jaccard.pairs_apart(a, b, *band)[:2]), strict=True)) for band in ((0, 1 / 64), (1 / 64, 1 / 4), (1 / 4, 1), (0, 1))]
+        assert sum(map(len, met[:3])) == len(met[3]) == all_pairs and set.union(*met[:3]) == met[3]
+        assert len(met[0]) < all_pairs / 32
+    back = jaccard.pairs_apart(y, x, 0, 1 / 64)
+    assert set(zip(back[1].tolist(), back[0].tolist(), strict=True)) == set(zip(*(k.tolist() for k in jaccard.pairs_apart(x, y, 0, 1 / 64)[:2]), strict=True))

@@ -307,3 +307,19 @@ def test_bags_follow_the_chain_step_by_step(spark):
         for plain, mixed in zip(by[stem, "reference"], by[stem, "A3_h4_r1"], strict=True):
             assert sorted(np.frombuffer(plain.data, np.uint8)) == sorted(np.frombuffer(mixed.data, np.uint8)) and mixed.block == 4
         assert all(abs(r.alpha - (2.19 if r.source_size == 4 else 1.49)) <= 0.1 for r in by[stem, "A5"])
+
+
+def test_median_blur_of_any_window():
+    rng = np.random.default_rng(5)
+    for shape, k, top in (((9, 14, 3), 15, 256), ((30, 20, 3), 17, 40), ((8, 8, 1), 1, 3), ((1, 5, 3), 5, 256)):
+        image = rng.integers(0, top, shape).astype(np.uint8)
+        padded = np.pad(image, ((k // 2, k // 2), (k // 2, k // 2), (0, 0)), mode="edge")
+        want = np.median(np.lib.stride_tricks.sliding_window_view(padded, (k, k), axis=(0, 1)), axis=(-2, -1)).astype(np.uint8)
+        assert np.array_equal(kernels.median_blur(image, k), want)
+
+
+def test_canvases_are_dealt_to_tasks(spark):
+    """The supplier table is one small file: images that are made where it is read would all be one task's work."""
+    from tessera.plans.bags import canvases
+
+    assert canvases(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism

@@ -323,3 +323,12 @@ def test_canvases_are_dealt_to_tasks(spark):
     from tessera.plans.bags import canvases
 
     assert canvases(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_bags_are_dealt_by_number(spark):
+    """By bytes, a few tasks would get all images."""
+    from tessera.operators import chain
+
+    items = spark.createDataFrame([], "stem long, member string, condition_name string, code string, side int, theta int, length int")
+    found = chain.bags(items, spark.createDataFrame([], chain.IMAGE), spark.createDataFrame([], "stem long, places array<array<int>>"), (4, 8))
+    assert "RepartitionByExpression [stem" in found._jdf.queryExecution().logical().toString()

@@ -52,7 +52,7 @@ def histograms(df: DataFrame, key: str, value: str, bins: int, top: float) -> Da
 def target_density(hist: DataFrame, key: str) -> DataFrame:
     """bin, density: mean of the specimens' densities, summing to 1.  Specimens count alike."""
     sizes = hist.groupBy(key).agg(F.sum("n").alias("size"))
-    summed = hist.join(sizes, key).groupBy("bin").agg(F.sum(F.col("n") / F.col("size")).alias("d"))
+    summed = hist.join(sizes.hint("shuffle_hash"), key).groupBy("bin").agg(F.sum(F.col("n") / F.col("size")).alias("d"))
     return summed.select("bin", (F.col("d") / F.sum("d").over(W.partitionBy())).alias("density"))
 
 

@@ -3,7 +3,10 @@
 A key's values are counted in bars between its smallest and largest one.  A
 wanted rank falls into one bar, whose own smallest and largest value span the
 bars of the next step, until a bar holds few rows, one value, or ends at the rank.
-Only rows of such bars are looked at again, so nothing sorts a key's rows.
+Only rows of such bars are looked at again, so nothing sorts more than LEAF rows of a key.
+
+Tables of ranks and bars are small files of many rows, so joins with them are
+hinted: by its file's size each would be broadcast whole through the driver.
 """
 
 from __future__ import annotations
@@ -77,12 +80,12 @@ def at_ranks(rows: DataFrame, key: str, value: str, tie: str, wanted: DataFrame)
         def inside(spots):
             """Rows of the spots' bars, with the bar's first bar and ends."""
             cells = spots.select(F.col(key).alias("_k"), F.col("first_bar").alias("_first"), F.col("low").alias("_low"), F.col("high").alias("_high")).distinct()
-            return rows.join(cells, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_bar") == F.col("_first")) & (at >= F.col("_low")) & (at <= F.col("_high")))
+            return rows.join(cells.hint("shuffle_hash"), F.col(key).eqNullSafe(F.col("_k")) & (F.col("_bar") == F.col("_first")) & (at >= F.col("_low")) & (at <= F.col("_high")))
 
         number = F.row_number().over(W.partitionBy(key, "_first", "_low").orderBy(value, tie))  # LEAF rows at most
         numbered = inside(left.filter(few)).select(F.col(key).alias("_k"), "_first", "_low", at.alias("bound"), number.alias("_number"))
         same = F.col(key).eqNullSafe(F.col("_k")) & (F.col("first_bar") == F.col("_first")) & (F.col("low") == F.col("_low")) & (F.col("inside") == F.col("_number"))
-        found = found.unionByName(left.filter(few).join(numbered, same).select(key, "rank", "bound"))
+        found = found.unionByName(left.filter(few).hint("shuffle_hash").join(numbered, same).select(key, "rank", "bound"))
         left = left.filter(~few)
         if not left.limit(1).count():
             return found
@@ -106,15 +109,37 @@ def medians(values: DataFrame, key: str, value: str) -> DataFrame:
 def matched_bins(values: DataFrame, counts: DataFrame, key: str, value: str, tie: str) -> DataFrame:
     """values with bin: bins hold exactly the counts (key, bin, n), in order of value, then tie (an integer).
 
+    Keys of up to LEAF rows are numbered in order, and a row's number is looked
+    up in the list of the key's bins; larger keys go by bars (`_binned_by_bars`).
+    Values must not be null or NaN; rows without a key have no bins and are left out.
+    """
+    values = values.filter(F.col(key).isNotNull())
+    of_key = W.partitionBy(key)
+    ends = counts.filter((F.col("n") > 0) & F.col(key).isNotNull()).select(key, "bin", "n", F.sum("n").over(of_key.orderBy("bin")).alias("rank"), F.sum("n").over(of_key).alias("_total"))  # one row a bin
+    ends = stored(ends, "ends")
+    many = ends.filter(F.col("_total") > LEAF)
+    large = many.select(F.col(key).alias("_k")).distinct()  # under a row in LEAF
+    any_large = bool(many.limit(1).count())
+    small = values.join(large, F.col(key) == F.col("_k"), "left_anti") if any_large else values
+    repeated = F.transform(F.array_sort(F.collect_list(F.struct("bin", "n"))), lambda x: F.array_repeat(x["bin"], x["n"].cast("int")))
+    lists = ends.filter(F.col("_total") <= LEAF).groupBy(F.col(key).alias("_k")).agg(F.flatten(repeated).alias("_bins"))
+    numbered = small.withColumn("_number", F.row_number().over(of_key.orderBy(value, tie)))  # LEAF rows at most
+    met = numbered.join(lists.hint("merge"), F.col(key) == F.col("_k")).select(*values.columns, F.get("_bins", F.col("_number") - 1).alias("bin"))
+    if not any_large:
+        return met
+    return met.unionByName(_binned_by_bars(values.join(large, F.col(key) == F.col("_k"), "left_semi"), many.select(key, "bin", "rank"), key, value, tie))
+
+
+def _binned_by_bars(values: DataFrame, ends: DataFrame, key: str, value: str, tie: str) -> DataFrame:
+    """`matched_bins` for large keys; ends: key, bin and the rank of its last row, a table.
+
     The last row of each bin is found by rank.  A bar of values that no bin
     ends in gives its rows their bin by a lookup; the rows of other bars are
-    compared with the ends inside.  Values must not be null or NaN.
+    compared with the ends inside.
     """
     rows = barred(values, key, value)
     at = F.struct(F.col(value).alias("value"), F.col(tie).cast("long").alias("tie"))
-    ends = counts.filter("n > 0").select(key, "bin", F.sum("n").over(W.partitionBy(key).orderBy("bin")).alias("rank"))  # one row a bin
-    ends = stored(ends, "ends")
-    bounds = ends.join(at_ranks(rows, key, value, tie, ends), [key, "rank"]).select(key, "bin", "rank", "bound")
+    bounds = ends.hint("shuffle_hash").join(at_ranks(rows, key, value, tie, ends), [key, "rank"]).select(key, "bin", "rank", "bound")
     bars = _heights(rows, [key], "_bar", at)
     # Bars and ends in one order: an end lies in the next bar, a bar's last rows belong to the next end.
     laid = bars.select(key, (F.col("before") + F.col("n")).alias("_at"), F.lit(_BAR).alias("_kind"), F.col("_bar").alias("bar"))
@@ -123,6 +148,6 @@ def matched_bins(values: DataFrame, counts: DataFrame, key: str, value: str, tie
     laid = laid.withColumn("bar", F.last("bar", ignorenulls=True).over(on)).withColumn("after", F.last("bin", ignorenulls=True).over(on))
     inner = F.array_sort(F.collect_list(F.when(F.col("_kind") == _RANK, F.struct("bound", "bin"))))
     of_bar = laid.groupBy(F.col(key).alias("_k"), F.col("bar").alias("_b")).agg(inner.alias("_inner"), F.max(F.when(F.col("_kind") == _BAR, F.col("after"))).alias("_after"))
-    met = rows.join(of_bar, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_bar") == F.col("_b")))
+    met = rows.join(of_bar.hint("shuffle_hash"), F.col(key).eqNullSafe(F.col("_k")) & (F.col("_bar") == F.col("_b")))
     own = F.get(F.filter("_inner", lambda x: x["bound"] >= at), F.lit(0))["bin"]
     return met.select(*values.columns, F.when(F.size("_inner") == 0, F.col("_after")).otherwise(F.coalesce(own, "_after")).alias("bin"))

@@ -89,6 +89,17 @@ def test_matching_sorts_no_specimen(spark):
     assert selection.medians(values.limit(0), "k", "v").count() == 0
 
 
+@pytest.mark.parametrize(("leaf", "broadcasts"), [(4096, 0), (0, 1)])
+def test_matching_broadcasts_no_rows_or_bins(spark, monkeypatch, leaf, broadcasts):
+    """Written tables of rows, ranks and bars look small by their files; only the keys of large groups may be broadcast.  Rows without a key have no bins."""
+    monkeypatch.setattr(selection, "LEAF", leaf)
+    values = spark.range(600).selectExpr("IF(id < 590, id % 10, NULL) AS k", "CAST(hash(id) AS DOUBLE) AS v", "id AS t")
+    counts = spark.createDataFrame([(k, b, n) for k in range(10) for b, n in ((0, 9), (1, 50))], "k long, bin int, n long")
+    out = selection.matched_bins(values, counts, "k", "v", "t")
+    assert out._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") <= broadcasts
+    assert {(r.k, r.bin): r["count"] for r in out.groupBy("k", "bin").count().collect()} == {(k, b): n for k in range(10) for b, n in ((0, 9), (1, 50))}
+
+
 def test_vector_sum(spark):
     rng = np.random.default_rng(0)
     x, w = rng.normal(size=(50, 6)), rng.random(50)

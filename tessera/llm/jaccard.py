@@ -39,8 +39,9 @@ from .textscan import LOWER, U64, Rolling, chunks, give_back, ids, mix, row_of,
 
 IS_WORD = whitespace_words()
 WORDS, SMALL, HOT_TABLE, SEGMENT, MEMBERS = 5, 16, 200_000, 2_000_000, 512
+EDGES = 100_000  # links a task when components are labelled
 GROUP_BLOCK, MAP_BYTES = 256, 256  # classes of a block of a large group; bytes of a bitmap that travels with each of them
-STEP = 16  # each band of pairs is so many times as wide as all before it; the first is to give so many pairs a class
+STEP = 16  # a band is to give so many pairs a class, or is so many times as wide as all before it
 EVERY, WAITING = 1 << 31, 1 << 21  # no group has over EVERY classes; candidate pairs that wait in a task
 WIDTHS = (5, 8, 4, 4)
 MET = "kind int, a long, b long, n int, m int, bits binary"
@@ -383,10 +384,12 @@ def pairs_apart(x: Block, y: Block, low: float = 0.0, high: float = 1.0) -> tupl
 
 
 def in_components(groups: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """groups (token, fp, n, m: size and position) with root, and (token, lo, hi, many) of those whose classes aren't all connected."""
+    """groups (token, fp, n, m: size and position) with root, and (token, many, apart) of those whose classes aren't all connected: classes, and ordered pairs of them in different components."""
     labelled = groups.join(roots, F.col("fp") == F.col("node"), "left").select("token", "fp", "n", "m", F.coalesce("root", "fp").alias("root"))
     labelled = written(labelled, "labelled")
-    stands = labelled.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("many")).filter("lo <> hi")
+    sizes = labelled.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c"))
+    square = F.col("c").cast("double") * F.col("c")
+    stands = sizes.groupBy("token").agg(F.sum("c").alias("many"), F.sum(square).alias("within"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("token", "many", (F.col("many").cast("double") * F.col("many") - F.col("within")).alias("apart"))
     return labelled, written(stands, "stands", compact=True)
 
 
@@ -469,19 +472,24 @@ def connected(links: DataFrame) -> DataFrame:
     """node, root of every node that has a link; root is the smallest node it reaches.
 
     Each round takes the smallest label of the neighbours, then the label of
-    that label; a table in the shared folder ends each round.
+    that label; a table in the shared folder ends each round.  Few links take
+    few tasks: one for EDGES of them, or one a core.
     """
-    edges = written(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), "edges")
-    labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "labels")
-    while True:
+    spark, found = links.sparkSession, Observation()
+    both = links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct()
+    edges = written(both.observe(found, F.count(F.lit(1)).alias("n")), "edges")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-found.get["n"] // EDGES))
+    labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")).coalesce(tasks), "labels")
+    while found.get["n"]:
         heard = edges.join(labels, F.col("b") == F.col("node")).select(F.col("a").alias("node"), "root", F.lit(None).cast("long").alias("old"))
         better = heard.unionByName(labels.withColumn("old", F.col("root"))).groupBy("node").agg(F.min("root").alias("root"), F.max("old").alias("old"))
         jump = labels.select(F.col("node").alias("of"), F.col("root").alias("further"))
         changes = Observation()
         moved = better.join(jump, F.col("root") == F.col("of"), "left").select("node", F.least("root", "further").alias("root"), "old")
-        labels = written(moved.observe(changes, F.count(F.when(F.col("root") != F.col("old"), 1)).alias("n")).select("node", "root"), "labels")
+        labels = written(moved.observe(changes, F.count(F.when(F.col("root") != F.col("old"), 1)).alias("n")).select("node", "root").coalesce(tasks), "labels")
         if not changes.get["n"]:
-            return labels
+            break
+    return labels
 
 
 def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -514,13 +522,14 @@ def link_classes(docs: DataFrame, small: int = SMALL, block: int = MEMBERS) -> t
     links = written(verify_pairs(written(thinned(first, maps), "pairs"), owners, rows, hot, block), "links", compact=True)
     roots = connected(links)
     groups = met.filter(F.col("kind") == GROUP).select(F.col("a").alias("token"), F.col("b").alias("fp"), "n", "m")
-    low, high = 0.0, None
+    low, high = 0.0, 0.0
     while low < 1:
         labelled, stands = in_components(groups, roots)
-        at = stands.agg(F.sum("many").alias("n"), F.sum(F.col("many").cast("double") * F.col("many")).alias("pairs")).collect()[0]
+        at = stands.agg(F.sum("many").alias("n"), F.sum("apart").alias("apart")).collect()[0]
         if not at.n:
             break
-        high = min(1.0, STEP * (high or at.n / at.pairs))
+        # The pairs that are still apart tell how wide a band gives STEP of them a class; one that holds them all is the last.
+        high = min(1.0, max(STEP * high, low + STEP * at.n / at.apart))
         more = written(group_candidates(labelled, stands, maps, max(2, min(GROUP_BLOCK, block // 2)), low, high), "more", compact=True)
         late = written(verify_pairs(more, owners, rows, hot, block), "late", compact=True)
         if late.limit(1).count():

@@ -497,6 +497,24 @@ def test_empty_tables(empty, spark):
         assert df.count() == 0
 
 
+def test_few_links_take_few_tasks(spark, monkeypatch):
+    """A table of labels has a file for each core, or for so many links, whatever the number of shuffle partitions."""
+    before = {name: spark.conf.get(name) for name in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    links = spark.createDataFrame([(k, k + 1) for k in range(300) if k % 10], "a long, b long")
+    try:
+        for name, value in zip(before, ("64", "false"), strict=True):
+            spark.conf.set(name, value)
+        few = jaccard.connected(links)
+        assert len(few.inputFiles()) <= spark.sparkContext.defaultParallelism
+        monkeypatch.setattr(jaccard, "EDGES", 50)
+        more = jaccard.connected(links)
+        assert len(more.inputFiles()) > spark.sparkContext.defaultParallelism
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert {(r.node, r.root) for r in few.collect()} == {(r.node, r.root) for r in more.collect()} == {(k, (k - 1) // 10 * 10 + 1) for k in range(1, 301)}
+
+
 def test_connected_components_of_chains_and_stars(spark):
     rng = random.Random(11)
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(rng.randrange(200, 240), rng.randrange(200, 240)) for _ in range(25)] + [(-5, 300), (300, 301)]

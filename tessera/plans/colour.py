@@ -90,9 +90,9 @@ BY_SCOPE = {"crop": "stem, crop", "whole_image": "stem"}
 
 def _equalise_audit(pixels: DataFrame) -> DataFrame:
     rows = pixels.withColumn("crop", F.pmod("pix", F.lit(4)).cast("int"))
-    both = [op.equalise_audit(rows, tuple(by.split(", "))).withColumn("scope", F.lit(scope)) for scope, by in BY_SCOPE.items()]
+    both = op.equalise_audits(rows, {scope: tuple(by.split(", ")) for scope, by in BY_SCOPE.items()})
     sums = ("reference_mean", "reference_sd", "crop_mean", "crop_sd", "realised_mean", "realised_sd")
-    return rounded(both[0].unionByName(both[1]).select("stem", "crop", "scope", *sums), *sums, digits=4)
+    return rounded(both.select("stem", "crop", "scope", *sums), *sums, digits=4)
 
 
 IN_CROPS = f"SELECT stem, pix, CAST(pix % 4 AS INT) AS crop, L FROM ({LAB}) x"

@@ -13,7 +13,10 @@ import uuid
 from collections import deque
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -149,20 +152,49 @@ def with_rocksdb(spark: SparkSession):
         spark.conf.set(name, before) if before else spark.conf.unset(name)
 
 
-def balancer(stream: DataFrame, decay: float) -> DataFrame:
+def balancer(stream: DataFrame, decay: float, blocks: int | None = None) -> DataFrame:
     """term, epochs, ema: a moving average of each term's values by epoch, held as state between batches.
 
-    Values of one micro-batch are folded in the order of event time.
+    Values of one micro-batch are folded in the order of event time.  They are
+    dealt by ranges of (term, ts, event_id); a block of a range folds its steps
+    as if 0 came before and gives one row a term, and the rows of a term are
+    folded in order into its state.  No task holds a term's values.
     """
+    spark = stream.sparkSession
+    blocks = blocks or max(8 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def fold(batches):
+        """(term, first ts, first event_id, values, the first one, steps after it folded from 0) of each term in a range."""
+        held = list(batches)
+        if not held:
+            return
+        rows = pa.Table.from_batches(held)
+        order = pc.sort_indices(rows, sort_keys=[(c, "ascending") for c in ("term", "ts", "event_id")])
+        term, value = (rows.column(c).take(order).combine_chunks() for c in ("term", "value"))
+        codes = term.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        starts = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))[: len(codes)]
+        x = value.to_numpy(zero_copy_only=False)
+        out = []
+        for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(codes)], strict=True):
+            local = 0.0
+            for v in x[lo + 1 : hi].tolist():
+                local = decay * local + (1 - decay) * v
+            out.append((hi - lo, float(x[lo]), local))
+        first = rows.take(order.take(pa.array(starts))).select(["term", "ts", "event_id"]).combine_chunks()
+        new = [pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.float64(), pa.float64()))]
+        for batch in pa.Table.from_arrays([*first.columns, *new], names=["term", "ts", "event_id", "n", "first", "local"]).to_batches():
+            yield batch
 
     def update(key, frames, state: GroupState):
         n, ema = state.get if state.exists else (0, None)
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        for x in rows["value"]:
-            ema = x if ema is None else decay * ema + (1 - decay) * x
-            n += 1
-        state.update((n, ema))
+        for r in pd.concat(list(frames)).sort_values(["ts", "event_id"]).itertuples():  # a row a block
+            start = r.first if ema is None else decay * ema + (1 - decay) * r.first
+            ema = r.local + decay ** (r.n - 1) * start
+            n += r.n
+        state.update((int(n), float(ema)))
         yield pd.DataFrame({"term": [key[0]], "epochs": [n], "ema": [ema]})
 
-    grouped = stream.select(F.col("event_type").alias("term"), "ts", "event_id", "value").groupBy("term")
-    return grouped.applyInPandasWithState(update, "term string, epochs long, ema double", "n long, ema double", "update", GroupStateTimeout.NoTimeout)
+    values = stream.select(F.col("event_type").alias("term"), "ts", "event_id", F.col("value").cast("double").alias("value"))
+    kinds = ", ".join(f"{c} {t}" for c, t in values.dtypes if c != "value")
+    folded = values.repartitionByRange(blocks, "term", "ts", "event_id").mapInArrow(fold, f"{kinds}, n long, first double, local double")
+    return folded.groupBy("term").applyInPandasWithState(update, "term string, epochs long, ema double", "n long, ema double", "update", GroupStateTimeout.NoTimeout)

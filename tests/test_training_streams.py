@@ -122,3 +122,19 @@ def test_a_replayed_batch_replaces_its_rows(spark, tmp_path, monkeypatch, how):
     assert any(p.endswith("_batch=1") for p in calls)
     assert sorted((r.k, r.v) for r in go().select("k", "v").collect()) == got
     assert spark.read.parquet(at[0]).select(F.max("_batch")).first()[0] == 1
+
+
+def test_balancer_folds_blocks_and_goes_on(spark, tmp_path):
+    """Two micro-batches, each dealt over many blocks, fold to the plain recursion; the stateful step gets a row a block, not a term's values."""
+    rows = [("a" if i % 3 else "b", i % 7 * 10 + i // 7, i, float((i * 37) % 101)) for i in range(300)]
+    schema, log, at = "event_type string, ts long, event_id long, value double", str(tmp_path / "log"), (str(tmp_path / "out"), str(tmp_path / "state"))
+    want = {}
+    for part in (rows[:180], rows[180:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(log)
+        stream = events.balancer(spark.readStream.schema(schema).parquet(log), 0.9, 5)
+        got = {r.term: (r.epochs, r.ema) for r in events.run_now(stream, "update", "b", ("term",), at).collect()}
+        for term, _, _, x in sorted(part, key=lambda r: r[1:3]):
+            n, ema = want.get(term, (0, None))
+            want[term] = (n + 1, x if ema is None else 0.9 * ema + (1 - 0.9) * x)
+    assert "MapInArrow" in stream._jdf.queryExecution().logical().toString()
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-9 for k in want)

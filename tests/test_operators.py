@@ -332,3 +332,42 @@ def test_bags_are_dealt_by_number(spark):
     items = spark.createDataFrame([], "stem long, member string, condition_name string, code string, side int, theta int, length int")
     found = chain.bags(items, spark.createDataFrame([], chain.IMAGE), spark.createDataFrame([], "stem long, places array<array<int>>"), (4, 8))
     assert "RepartitionByExpression [stem" in found._jdf.queryExecution().logical().toString()
+
+
+def test_resize_of_a_stack():
+    stack = np.random.default_rng(6).integers(0, 256, (5, 16, 16, 3)).astype(np.uint8)
+    assert np.array_equal(kernels.resize_cubic(stack, 28), np.stack([kernels.resize_cubic(image, 28) for image in stack]))
+
+
+def test_crops_are_cut_once_for_conditions_that_share_them(monkeypatch):
+    """Resizing anew for every condition took most of a bag's time."""
+    from types import SimpleNamespace
+
+    from tessera.operators import chain
+
+    calls, resize = [], kernels.resize_cubic
+    monkeypatch.setattr(kernels, "resize_cubic", lambda stack, side: calls.append(len(stack)) or resize(stack, side))
+    image = np.random.default_rng(7).integers(1, 256, (24, 24, 3)).astype(np.uint8)
+    asked = [{"condition_name": name, "code": code, "side": side, "theta": theta, "length": length} for name, code, side, theta, length in (("reference", "", None, None, None), ("A5", "A5", None, None, None), ("A3_h4_r1", "A3", 4, None, None), ("A3_h1_r1", "A3", 1, None, None), ("A4_theta90_L5", "A4", None, 90, 5))]
+    row = SimpleNamespace(stem=3, height=24, width=24, data=image.tobytes(), asked=asked, flip=True, ys=[[0, 9], [3, 12]], xs=[[1, 16], [5, 0]])
+    rows = list(chain.condition_rows(row, (8, 12), np.ndarray.tobytes))
+    assert calls == [2, 2] and [len(made) for made in rows] == [4] * 5
+    for source, made in ((image, rows[0]), (kernels.box_blur(image, 90, 5), rows[4])):
+        for _, _, i, size, y, x, *_, data in made:
+            crop = np.ascontiguousarray(source[::-1][y : y + size, x : x + size])
+            assert data == (resize(crop, 12) if i < 2 else crop).tobytes()
+    assert [r[4:6] for r in rows[0]] == [(16, 1), (7, 16), (9, 5), (0, 0)]
+
+
+def test_colours_are_named_once_an_image(monkeypatch):
+    """The images without a category named all colours once a category."""
+    from tessera.functions import palette
+    from tessera.operators import chain
+
+    calls, names = [], palette.hard_names
+    monkeypatch.setattr(palette, "hard_names", lambda lab, p: calls.append(len(lab)) or names(lab, p))
+    image = np.random.default_rng(8).integers(0, 256, (12, 12, 3)).astype(np.uint8)
+    image[:4] = (200, 30, 30)
+    made = chain.recoloured_images(image, palette.synthetic_table())
+    assert calls == [len(np.unique(image[kernels.foreground(image)], axis=0))] and any(m.startswith("A6_") for m in made)
+    assert set(chain.recoloured_images(np.zeros((3, 3, 3), np.uint8), palette.synthetic_table())) == {"A1", "A7"}

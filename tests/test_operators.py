@@ -371,3 +371,15 @@ def test_colours_are_named_once_an_image(monkeypatch):
     made = chain.recoloured_images(image, palette.synthetic_table())
     assert calls == [len(np.unique(image[kernels.foreground(image)], axis=0))] and any(m.startswith("A6_") for m in made)
     assert set(chain.recoloured_images(np.zeros((3, 3, 3), np.uint8), palette.synthetic_table())) == {"A1", "A7"}
+
+
+def test_medians_of_merged_columns():
+    """Windows of 2**n - 1 pixels are medians of merged lists, across tiles and at values of 255 too."""
+    rng = np.random.default_rng(9)
+    for shape, k, low in (((9, 14, 3), 3, 0), ((20, 33, 2), 7, 200), ((1, 5, 3), 15, 254), ((140, 131, 1), 15, 0), ((33, 40, 1), 31, 0)):
+        image = rng.integers(low, 256, shape).astype(np.uint8)
+        padded = np.pad(image, ((k // 2, k // 2), (k // 2, k // 2), (0, 0)), mode="edge")
+        want = np.median(np.lib.stride_tricks.sliding_window_view(padded, (k, k), axis=(0, 1)), axis=(-2, -1)).astype(np.uint8)
+        assert np.array_equal(kernels.median_blur(image, k), want)
+        merged = kernels._merged_medians(np.ascontiguousarray(np.pad(padded, ((0, 0), (0, -shape[1] % ((k + 1) // 2)), (0, 0))).swapaxes(0, 1)), k)
+        assert np.array_equal(merged.swapaxes(0, 1)[:, : shape[1]], kernels._counted_medians(padded, k))

@@ -1,5 +1,7 @@
 """Operators on small cases with known results, and kernels by their properties."""
 
+import os
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -383,3 +385,21 @@ def test_medians_of_merged_columns():
         assert np.array_equal(kernels.median_blur(image, k), want)
         merged = kernels._merged_medians(np.ascontiguousarray(np.pad(padded, ((0, 0), (0, -shape[1] % ((k + 1) // 2)), (0, 0))).swapaxes(0, 1)), k)
         assert np.array_equal(merged.swapaxes(0, 1)[:, : shape[1]], kernels._counted_medians(padded, k))
+
+
+def test_members_without_images(spark):
+    from tessera.operators import chain
+
+    images, _ = _images(spark)
+    assert sorted(chain.members(images).collect()) == sorted(chain.working_images(images, median=1).select("stem", "member").collect())
+
+
+def test_the_bag_chain_reads_no_images_back(spark):
+    """A table's reader takes 4,096 rows at once, which are images here: six times sf0.1 ran out of memory."""
+    from tessera.plans import bags
+
+    shared = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(shared))
+    plan = bags.bag_chain(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert set(os.listdir(shared)) == before
+    assert "ShuffledHashJoin [stem" in plan  # images aren't sorted either
